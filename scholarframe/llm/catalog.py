@@ -2,20 +2,65 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scholarframe.llm import chat, decontaminate, licenses, line_dedup, packing, warc
 from scholarframe.llm.ngram_join import jaccard_classes
-from scholarframe.plans.tables import table
+from scholarframe.plans.tables import shared_dir, table
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(probe))
+    return chat.digest(chat.format_chats(turns.union(own).withColumn("parts", chat.text_part(F.col("text")))))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), limit=4096, end_id=1)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder, revisit_bytes=1000)
+    return warc.read_records(index, folder).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_chat_format": op2_chat_format,
+    "op5_decontaminate": op5_decontaminate,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_license_scan": op7_license_scan,
+    "op9_pack": op9_pack,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -38,5 +83,57 @@ reach AS (
   UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.r AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(r) AS r FROM reach GROUP BY id) m ON m.id = d.doc_id
+""",
+    "op1_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, l.i - 1 AS i, l.line FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(s) + 1), lambda k: {'i': k, 'line': s[k]})) AS l
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+said AS (SELECT *, row_number() OVER w AS n FROM lines WHERE regexp_matches(line, '[^ \t-\r]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+wins AS (
+  SELECT x.doc_id, x.i AS a, z.i AS b, x.line AS l1, y.line AS l2, z.line AS l3
+  FROM said x JOIN said y ON x.doc_id = y.doc_id AND y.n = x.n + 1 JOIN said z ON x.doc_id = z.doc_id AND z.n = x.n + 2),
+later AS (SELECT doc_id, a, b FROM wins QUALIFY row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a) > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.i FROM lines l JOIN later r ON l.doc_id = r.doc_id AND l.i BETWEEN r.a AND r.b)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(g.n, 0) AS n_removed
+FROM documents d
+LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id) k ON k.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
+""",
+    "op2_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + 20
+    + len(regexp_extract_all(text, '<\\*(?:/?s>|image>|audio>|document>)')) + len(regexp_extract_all(text, '\[\\*/?INST\]')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+""",
+    "op5_decontaminate": r"""
+WITH items AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS p
+  FROM items WHERE len(w) > 0),
+docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+runs AS (
+  SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {'i': i, 'p': array_to_string(w[i:i + k - 1], ' ')})) AS r
+  FROM docs CROSS JOIN (SELECT DISTINCT k FROM patterns)),
+hits AS (SELECT doc_id, runs.k, r.i AS i, item_id FROM runs JOIN patterns ON patterns.k = runs.k AND patterns.p = r.p),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN names n ON n.doc_id = d.doc_id
+""",
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+last AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN last USING (html)
 """,
 }
