@@ -134,3 +134,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     """
     held = _blocks(benchmark, window, block)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _scanned(it, held), _FOUND)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = BLOCK_PATTERNS) -> DataFrame:
+    """The rows of docs, all their columns kept, whose text no pattern occurs in."""
+    held = _blocks(benchmark, window, block)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            good = [True] * len(texts)
+            for block in held:
+                automaton = _automaton(block)
+                good = [ok and not scan(text, automaton)[1] for ok, text in zip(good, texts, strict=True)]
+            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,9 +18,11 @@ A document's set holds the hashes of its distinct word n-grams.  Two sets link w
    are frequent and the first two lie in both.  Sets above `long` tokens, whose combinations would
    grow with the square of e, index frequent tokens singly; sets within reach of that bound do both.
 4. Signatures of rare tokens have few members: they are joined with themselves.  Members of a
-   frequent signature are first compared with its member of the fewest unshared tokens; only
-   members that this leaves in different components are compared with each other.  Candidates
-   are verified on their shared tokens.
+   frequent signature are first compared with its member that has lost the fewest tokens before it; only
+   members that this leaves in different components are compared with each other.  A pair is
+   dropped where what follows the signature in either order is too little for a link, which
+   holds for no linked pair at its first common signature.  Candidates are verified on their
+   shared tokens.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ LONG = 512
 _LOW = np.uint64((1 << 48) - 1)
 
 _ROUTED = "key long, chunk long, docs binary, tokens binary, counts binary, refs binary"
-_SURVIVORS = "doc_id long, n int, shared int, fp binary, tokens binary, rare array<bigint>, frequent array<bigint>"
+_SURVIVORS = "doc_id long, n int, shared int, fp binary, tokens binary, rare array<bigint>, frequent array<bigint>, rare_left array<int>, frequent_left array<int>"
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -162,23 +164,25 @@ def _survivors(group: pa.Table, percent: int, long: int, frequent: int) -> pa.Ta
         alone = n - (b - a)
         doc = int.from_bytes(entry[:8], "little", signed=True)
         if not n or alone > spare:
-            rows.append((doc, n, int(b - a), None, None, None, None))
+            rows.append((doc, n, int(b - a), *[None] * 6))
         else:
             mine, freq = t[a:b], df[a:b] > frequent
             prefix = mine[: spare + 1 - alone]
             rare = prefix[~freq[: len(prefix)]]
             rest = mine[len(rare) : spare + 2 - alone] if len(rare) < len(prefix) else mine[:0]
-            sigs = []
+            sigs, left = [], []
             if 100 * n >= percent * long:
                 sigs.append(prefix[len(rare) :])
+                left.append(b - a - np.arange(len(rare), len(prefix)))
             if percent * n <= 100 * long and len(rest) > 1:
                 i, j = np.triu_indices(len(rest), 1)
                 lo, hi = np.minimum(rest[i], rest[j]), np.maximum(rest[i], rest[j])
                 sigs.append(mix(lo * np.uint64(0xA0761D6478BD642F) + mix(hi)))
-            sigs = np.concatenate(sigs) if sigs else mine[:0]
-            rows.append((doc, n, int(b - a), entry[12:], np.sort(mine).tobytes(), rare.view(np.int64), sigs.view(np.int64)))
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                left.append(b - a - len(rare) - j + 1)
+            sigs, left = (np.concatenate(x) if x else mine[:0] for x in (sigs, left))
+            rows.append((doc, n, int(b - a), entry[12:], np.sort(mine).tobytes(), rare.view(np.int64), sigs.view(np.int64), b - a - np.arange(len(rare)), left))
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 2]
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _SURVIVORS.split(", ")])
 
 
@@ -222,28 +226,30 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, frequent:
     reps = able.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
     sets = settle(able.join(reps.withColumnRenamed("fp", "f").withColumnRenamed("n", "m"), (F.col("fp") == F.col("f")) & (F.col("n") == F.col("m")) & (F.col("doc_id") == F.col("rep"))).drop("rep", "f", "m"), "classes")
 
-    def postings(kind: str, tag: str, *more) -> DataFrame:
-        out = sets.select("doc_id", "n", "shared", *more, F.explode(kind).alias("sig"))
-        return out.toDF(*(c if c == "sig" else {"doc_id": tag}.get(c, c + tag) for c in out.columns))
+    def postings(rows: DataFrame, kind: str, tag: str, *more: str) -> DataFrame:
+        """A row for each signature; left: the most tokens that can be common from this one on."""
+        out = rows.select("doc_id", "n", *more, F.explode(F.arrays_zip(F.col(kind).alias("sig"), F.col(f"{kind}_left").alias("left"))).alias("p"))
+        return out.select("p.sig", F.col("doc_id").alias(tag or "doc"), F.col("n").alias(f"n{tag}"), F.col("p.left").alias(f"left{tag}"), *(F.col(c).alias(f"{c}{tag}") for c in more))
 
-    def may_link(a: str, b: str):
-        most = F.least(f"shared{a}", f"shared{b}")
-        return 100 * most >= percent * (F.col(f"n{a}") + F.col(f"n{b}") - most)
+    # At the first common signature of a pair, all that stands before it in either order is not common.
+    most = F.least("lefta", "leftb")
+    may_link = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
-    rare = postings("rare", "a").join(postings("rare", "b"), "sig").where((F.col("a") < F.col("b")) & may_link("a", "b")).select("a", "b")
-    often = postings("frequent", "a")
-    star = often.groupBy("sig").agg(F.min(F.struct((F.col("na") - F.col("shareda")).alias("alone"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("shareda").alias("sharedb"))).alias("p"))
-    star = often.join(star, "sig").select("a", "na", "shareda", "p.*").where((F.col("a") != F.col("b")) & may_link("a", "b"))
+    rare = postings(sets, "rare", "a").join(postings(sets, "rare", "b"), "sig").where((F.col("a") < F.col("b")) & may_link).select("a", "b")
+    often = postings(sets, "frequent", "a")
+    star = often.groupBy("sig").agg(F.min(F.struct((F.col("na") - F.col("lefta")).alias("lost"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("lefta").alias("leftb"))).alias("p"))
+    star = often.join(star, "sig").select("a", "na", "lefta", "p.*").where((F.col("a") != F.col("b")) & may_link)
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = settle(_linked(rare.union(star).distinct(), sets, percent), "links")
     classes = connected_components(links, "a", "b")
 
-    placed = sets.select("doc_id", "n", "shared", F.explode("frequent").alias("sig")).join(classes, F.col("doc_id") == F.col("id"), "left").select("sig", "doc_id", "n", "shared", F.coalesce("component", "doc_id").alias("at"))
+    placed = sets.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("at", F.coalesce("component", "doc_id"))
+    placed = postings(placed, "frequent", "", "at")
     mixed = placed.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
-    left = settle(placed.join(mixed, "sig"), "left")
-    if not left.isEmpty():
-        side = lambda x: left.select("sig", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("shared").alias(f"shared{x}"), F.col("at").alias(f"at{x}"))
-        across = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("ata") != F.col("atb")) & may_link("a", "b")).select("a", "b").distinct()
+    apart = settle(placed.join(mixed, "sig"), "apart")
+    if not apart.isEmpty():
+        side = lambda x: apart.toDF("sig", *(f"{c}{x}" for c in ("", "n", "left", "at")))
+        across = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("ata") != F.col("atb")) & may_link).select("a", "b").distinct()
         more = settle(_linked(across, sets, percent), "links")
         if not more.isEmpty():
             classes = connected_components(links.union(more), "a", "b")
