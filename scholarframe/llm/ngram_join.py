@@ -83,7 +83,7 @@ def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], bits: int) -> Ite
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         few = ~hot[a:b]
         own = refs[first[a] : first[b] if b < len(first) else len(refs)]
-        yield int(bucket[a]), chunk, None, _pack48(tokens[a:b] & _LOW), np.minimum(counts[a:b], 65535).astype("<u2").tobytes(), own[_spans(counts[a:b], few)].tobytes()
+        yield int(bucket[a]), chunk, None, _pack48(tokens[a:b] & _LOW), np.minimum(counts[a:b], 255).astype("<u1").tobytes(), own[_spans(counts[a:b], few)].tobytes()
 
 
 def _routed(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -114,32 +114,32 @@ def _answer(group: pa.Table, bits: int) -> pa.Table:
     if key < 0:
         return group
     tokens = [_unpack48(x) for x in group.column("tokens").to_pylist()]
-    counts = [np.frombuffer(x, "<u2").astype(np.int64) for x in group.column("counts").to_pylist()]
+    counts = [np.frombuffer(x, "<u1").astype(np.int64) for x in group.column("counts").to_pylist()]
     every, where = np.unique(np.concatenate(tokens), return_inverse=True)
     total = np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
-    top, at, out = np.uint64(key >> (bits - 8) << 48), 0, []
+    at, out = 0, []
     for mine, local, refs in zip(tokens, counts, group.column("refs").to_pylist(), strict=True):
         df = total[where[at : at + len(mine)]]
         at += len(mine)
         keep, few = df >= 2, local < LOCALLY_HOT
         docs = np.frombuffer(refs, np.uint16)[_spans(np.where(few, local, 0), keep & few)]
         sent = np.where(few, local, 0)[keep].astype("<u1")
-        out.append(((top | mine[keep]).tobytes(), np.minimum(df[keep], 1 << 30).astype("<u4").tobytes() + sent.tobytes(), docs.tobytes()))
+        out.append((_pack48(mine[keep]), np.minimum(df[keep], 65535).astype("<u2").tobytes() + sent.tobytes(), docs.tobytes()))
     cols = list(zip(*out, strict=True))
     return pa.table({"key": group.column("key"), "chunk": group.column("chunk"), "docs": pa.nulls(len(out), pa.binary()), "tokens": pa.array(cols[0], pa.binary()), "counts": pa.array(cols[1], pa.binary()), "refs": pa.array(cols[2], pa.binary())})
 
 
-def _survivors(group: pa.Table, percent: int, long: int, frequent: int) -> pa.Table:
+def _survivors(group: pa.Table, bits: int, percent: int, long: int, frequent: int) -> pa.Table:
     """The chunk's documents that may link: their shared tokens in order, and their signatures."""
     tokens, dfs, docs, own = [], [], [], None
     for key, table, t, c, r in zip(*(group.column(k).to_pylist() for k in ("key", "docs", "tokens", "counts", "refs")), strict=True):
         if key < 0:
             own = table, np.frombuffer(t, np.uint64), np.frombuffer(c, "<u4").astype(np.int64), np.frombuffer(r, np.uint16)
             continue
-        many = len(t) // 8
-        sent = np.frombuffer(c, "<u1", many, 4 * many).astype(np.int64)
-        tokens.append(np.frombuffer(t, np.uint64))
-        dfs.append((np.frombuffer(c, "<u4", many), sent))
+        many = len(t) // 6
+        sent = np.frombuffer(c, "<u1", many, 2 * many).astype(np.int64)
+        tokens.append(_unpack48(t) | np.uint64(key >> (bits - 8) << 48))
+        dfs.append((np.frombuffer(c, "<u2", many), sent))
         docs.append(np.frombuffer(r, np.uint16))
     table, hot, hot_counts, hot_refs = own
     rows = []
@@ -220,11 +220,12 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, frequent:
     bits = max(8, min(24, int(volume // 6 >> 20).bit_length()))
     keyed = known.mapInArrow(lambda it: _routed(it, size, bits), _ROUTED)
     answered = keyed.groupBy("key").applyInArrow(lambda g: _answer(g, bits), _ROUTED)
-    found = settle(answered.groupBy("chunk").applyInArrow(lambda g: _survivors(g, percent, long, frequent), _SURVIVORS), "sets")
+    found = settle(answered.groupBy("chunk").applyInArrow(lambda g: _survivors(g, bits, percent, long, frequent), _SURVIVORS), "sets")
     able = found.where("fp is not null")
     # Equal sets are one class; only its smallest document goes on.
     reps = able.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
-    sets = settle(able.join(reps.withColumnRenamed("fp", "f").withColumnRenamed("n", "m"), (F.col("fp") == F.col("f")) & (F.col("n") == F.col("m")) & (F.col("doc_id") == F.col("rep"))).drop("rep", "f", "m"), "classes")
+    signs = able.drop("shared", "tokens").join(reps.toDF("f", "m", "rep"), (F.col("fp") == F.col("f")) & (F.col("n") == F.col("m")) & (F.col("doc_id") == F.col("rep")))
+    signs = settle(signs.select("doc_id", "n", "rare", "rare_left", "frequent", "frequent_left"), "signatures")
 
     def postings(rows: DataFrame, kind: str, tag: str, *more: str) -> DataFrame:
         """A row for each signature; left: the most tokens that can be common from this one on."""
@@ -235,22 +236,22 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, frequent:
     most = F.least("lefta", "leftb")
     may_link = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
-    rare = postings(sets, "rare", "a").join(postings(sets, "rare", "b"), "sig").where((F.col("a") < F.col("b")) & may_link).select("a", "b")
-    often = postings(sets, "frequent", "a")
+    rare = postings(signs, "rare", "a").join(postings(signs, "rare", "b"), "sig").where((F.col("a") < F.col("b")) & may_link).select("a", "b")
+    often = postings(signs, "frequent", "a")
     star = often.groupBy("sig").agg(F.min(F.struct((F.col("na") - F.col("lefta")).alias("lost"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("lefta").alias("leftb"))).alias("p"))
     star = often.join(star, "sig").select("a", "na", "lefta", "p.*").where((F.col("a") != F.col("b")) & may_link)
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = settle(_linked(rare.union(star).distinct(), sets, percent), "links")
+    links = settle(_linked(rare.union(star).distinct(), able, percent), "links")
     classes = connected_components(links, "a", "b")
 
-    placed = sets.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("at", F.coalesce("component", "doc_id"))
+    placed = signs.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("at", F.coalesce("component", "doc_id"))
     placed = postings(placed, "frequent", "", "at")
     mixed = placed.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
     apart = settle(placed.join(mixed, "sig"), "apart")
     if not apart.isEmpty():
         side = lambda x: apart.toDF("sig", *(f"{c}{x}" for c in ("", "n", "left", "at")))
         across = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("ata") != F.col("atb")) & may_link).select("a", "b").distinct()
-        more = settle(_linked(across, sets, percent), "links")
+        more = settle(_linked(across, able, percent), "links")
         if not more.isEmpty():
             classes = connected_components(links.union(more), "a", "b")
 
