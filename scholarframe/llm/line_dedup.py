@@ -71,8 +71,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     firsts = named.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "a")).alias("first")).where("times > 1").select("h1", "h2", "first")
     later = named.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "th", "a") != F.col("first"))
     cut = later.groupBy(F.col("doc_id").alias("d"), "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cut"))
-    hashed = docs.withColumn("t", F.xxhash64("text"))
-    joined = hashed.join(cut, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("th")), "left")
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("cut")))
+    # The row travels as one struct, so that none of its names can meet one of ours.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("t"))
+    joined = rows.join(cut, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("th")), "left")
+    text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(_kept(F.col("row.text"), F.col("cut")))
     removed = F.when(F.col("cut").isNull(), 0).otherwise(_removed(F.col("cut"))).cast("long")
-    return joined.select(*((text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns), removed.alias("n_removed"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns), removed.alias("n_removed"))

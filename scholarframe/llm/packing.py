@@ -27,6 +27,8 @@ REMEMBERED = 1_000_000
 #: Documents of a packing group.
 GROUP_DOCS = 8_192
 _SEPARATOR = "|"
+#: One closing mark after an ASCII letter or digit or a Latin letter that no normalisation changes.
+_CLOSING = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,;:!?])(\s|$)"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _loaded: dict[str, tuple] = {}
@@ -68,7 +70,7 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     tokenizer, mark, known = _tokenizer(path)
     texts = pc.fill_null(texts, "")
     special = pc.match_substring(texts, "<|").to_pylist()
-    words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), r"([\pL\pN])([.,;:!?])(\s|$)", r"\1 \2\3"))
+    words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _CLOSING, r"\1 \2\3"))
     coded = words.flatten().dictionary_encode()
     distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
     if len(known) > REMEMBERED:
@@ -126,7 +128,7 @@ def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndar
         gaps = count[size:]
         # Taking gap g to gap g - size changes the sum by 2 * (count[g - size] - count[g] + 1); a gap
         # that closes adds nothing, so there the change is 1 - 2 * count[g].
-        change = count[: limit + 1 - size] - gaps + 1
+        change = 2 * (count[: limit + 1 - size] - gaps + 1)
         change[0] -= 1
         change[gaps == 0] = far
         best = int(change.argmin())

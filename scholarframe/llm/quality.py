@@ -6,8 +6,8 @@ keep the `share` of rows of the smallest Mahalanobis distance, take their mean a
 repeat; the covariance determinant cannot grow on the way.  Rows beyond the 0.999 quantile of chi-square with five degrees of freedom are rejected.
 
 A step is two aggregates: one counts rows per distance bin, which gives the distance that the
-share stays under, one adds up the rows' products.  Both combine before they shuffle, so a group of
-a third of all rows is spread over all tasks.
+share stays under, one adds up the rows' products.  Both combine before they shuffle, and rows meet
+their group's figures by salt, so a group of a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ PARTS = ("v_words", "v_length", "v_symbols", "v_lines", "v_repeats")
 FLOOR = (0.35, 0.12, 0.8, 0.8, 0.9)
 #: Bins per factor e of the squared distance.
 BINS = 40
+#: Tasks that a group's rows are dealt to where they meet the group's own figures.
+SALTS = 64
 
 
 def _repeated(words: Column) -> Column:
@@ -81,10 +83,15 @@ def _cholesky(at: DataFrame, size: int) -> DataFrame:
     return at
 
 
+def _spread(figures: DataFrame) -> DataFrame:
+    """A group's figures, once for each salt."""
+    return figures.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _distance(rows: DataFrame, shape: DataFrame, size: int) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance under their group's shape."""
     factors = [f"l_{i}_{j}" for i in range(size) for j in range(i + 1)]
-    out = rows.join(shape.select("lang", "source", *(f"m_{i}" for i in range(size)), *factors), ["lang", "source"])
+    out = rows.join(_spread(shape.select("lang", "source", *(f"m_{i}" for i in range(size)), *factors)), ["lang", "source", "salt"])
     for i, part in enumerate(PARTS):
         known = reduce(add, (F.col(f"l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y_{i}", (F.col(part) - F.col(f"m_{i}") - known) / F.col(f"l_{i}_{i}"))
@@ -122,7 +129,7 @@ def robust_shapes(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataF
         counted = near.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"))
         run = counted.select("lang", "source", "bin", F.sum("n").over(group.orderBy("bin")).alias("run"), F.sum("n").over(group).alias("all"))
         bound = run.where(F.col("run") >= F.ceil(F.col("all") * share)).groupBy("lang", "source").agg(F.min("bin").alias("last"))
-        kept = near.join(bound, ["lang", "source"]).where("bin <= last")
+        kept = near.join(_spread(bound), ["lang", "source", "salt"]).where("bin <= last")
         # The share's covariance is too small for the whole; 1.9 makes up for it at 0.75 and five parts.
         shape = settle(_moments(kept, 1.9 if share < 1 else 1.0), "shape")
     return shape
@@ -136,7 +143,8 @@ def judge(docs: DataFrame, limit: float = 20.5, share: float = 0.75, steps: int
     words in repeated 3-word windows) or if its squared distance is over `limit`.  Groups of few rows
     have the floors as their least scatter, so a lone row has distance 0.  Repeated rows count each.
     """
-    rows = settle(vectors(text_counts(docs)), "vectors")
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    rows = settle(vectors(text_counts(docs)).withColumn("salt", salt), "vectors")
     fit = rows.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
     judged = _distance(fit, robust_shapes(fit, share, steps), len(PARTS))
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -42,7 +42,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(data)
     space = _SPACE[data]
     edge = np.zeros(n + 1, bool)
-    edge[starts] = True
+    edge[starts] = True  # an empty text at the end starts at n
     edge[n] = True
     first = ~space
     first[1:] &= space[:-1] | edge[1:n]
@@ -69,8 +69,7 @@ def token_sets(texts: list[bytes | None], size: int):
         lengths = np.fromiter(map(len, block), np.int64, len(block))
         starts = np.cumsum(lengths) - lengths
         if len(data):
-            words, first = word_hashes(data, np.minimum(starts, len(data) - 1))
-            first = np.where(starts >= len(data), len(words), first)
+            words, first = word_hashes(data, starts)
         else:
             words, first = np.empty(0, np.uint64), np.zeros(len(block), np.int64)
         bounds = np.append(first, len(words))
