@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     costs one row per map task), then lets labels point at their own label, which halves long
     chains.  The loop ends with the round that changes no label.  Null ends are ignored.
     """
-    there = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    there = settle(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"), "pairs")
     both = settle(there.union(there.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = settle(there.select(F.col("a").alias("id")).union(there.select("b")).groupBy("id").agg(F.first("id").alias("component")), "labels")
     while True:
