@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarframe.llm.line_dedup import let
+from scholarframe.functions.text import let
 
 PLACEHOLDERS = {"image": "<image>", "audio": "<audio>", "document": "<document>"}
 #: Tokens of an attachment by its kind: so many for each unit (tiles, seconds, pages).

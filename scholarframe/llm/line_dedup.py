@@ -9,15 +9,10 @@ any line is never in a removed range, so no wording is lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once a row, even where `use` needs it for every element."""
-    return F.transform(F.array(value), use)[0]
+from scholarframe.functions.text import let
 
 
 def _windows(text: Column) -> Column:

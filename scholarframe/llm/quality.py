@@ -18,7 +18,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarframe.llm.line_dedup import let
+from scholarframe.functions.text import let
 from scholarframe.plans.tables import settle
 
 SPACE = r"[\x20\x09-\x0D]+"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarframe.llm.line_dedup import let
+from scholarframe.functions.text import let
 from scholarframe.llm.trees import BoostedTrees, sample_share, sampled
 from scholarframe.plans.tables import settle
 
