@@ -222,9 +222,10 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, frequent:
     answered = keyed.groupBy("key").applyInArrow(lambda g: _answer(g, bits), _ROUTED)
     found = settle(answered.groupBy("chunk").applyInArrow(lambda g: _survivors(g, bits, percent, long, frequent), _SURVIVORS), "sets")
     able = found.where("fp is not null")
-    # Equal sets are one class; only its smallest document goes on.
-    reps = able.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
-    signs = able.drop("shared", "tokens").join(reps.toDF("f", "m", "rep"), (F.col("fp") == F.col("f")) & (F.col("n") == F.col("m")) & (F.col("doc_id") == F.col("rep")))
+    # Equal sets are one class; only its smallest document goes on.  Classes of one need no join partner.
+    reps = able.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("fp", "n", "rep")
+    reps = settle(reps, "copies")
+    signs = able.drop("shared", "tokens").join(reps, ["fp", "n"], "left").where("rep is null or rep = doc_id")
     signs = settle(signs.select("doc_id", "n", "rare", "rare_left", "frequent", "frequent_left"), "signatures")
 
     def postings(rows: DataFrame, kind: str, tag: str, *more: str) -> DataFrame:
@@ -238,8 +239,10 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, frequent:
 
     rare = postings(signs, "rare", "a").join(postings(signs, "rare", "b"), "sig").where((F.col("a") < F.col("b")) & may_link).select("a", "b")
     often = postings(signs, "frequent", "a")
-    star = often.groupBy("sig").agg(F.min(F.struct((F.col("na") - F.col("lefta")).alias("lost"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("lefta").alias("leftb"))).alias("p"))
-    star = often.join(star, "sig").select("a", "na", "lefta", "p.*").where((F.col("a") != F.col("b")) & may_link)
+    pivot = F.min(F.struct((F.col("na") - F.col("lefta")).alias("lost"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("lefta").alias("leftb")))
+    # Settled, so that both sides of the join are plain shuffles and a frequent signature's side can be split.
+    pivots = settle(often.groupBy("sig").agg(pivot.alias("p"), F.count("*").alias("members")).where("members > 1").select("sig", "p"), "pivots")
+    star = often.join(pivots, "sig").select("a", "na", "lefta", "p.*").where((F.col("a") != F.col("b")) & may_link)
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = settle(_linked(rare.union(star).distinct(), able, percent), "links")
     classes = connected_components(links, "a", "b")
@@ -255,7 +258,8 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, frequent:
         if not more.isEmpty():
             classes = connected_components(links.union(more), "a", "b")
 
-    named = able.select("doc_id", "n", "fp").join(reps, ["fp", "n"]).join(classes, F.col("rep") == F.col("id"), "left")
+    named = able.select("doc_id", "n", "fp").join(reps, ["fp", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    named = named.join(classes, F.col("rep") == F.col("id"), "left")
     named = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = found.where("fp is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).unionByName(_unnamed(docs, size))
