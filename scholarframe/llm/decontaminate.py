@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Patterns that one automaton holds, about 100 bytes each and some hundreds more in its states.
 BLOCK_PATTERNS = 200_000
+#: Bytes of rows scanned between two builds of an automaton, where there are several blocks.
+GATHERED = 64 << 20
 #: Every ASCII byte outside words becomes a space; A-Z become a-z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -80,8 +82,24 @@ _FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans arra
 _SPANS = pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64())]))
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """The batches as they are for one block; for several, joined, so that a worker that holds one
+    automaton at a time builds each of them once for `GATHERED` bytes and not once for a batch."""
+    if blocks == 1:
+        yield from batches
+        return
+    own: list[pa.RecordBatch] = []
     for batch in batches:
+        own.append(batch)
+        if sum(b.nbytes for b in own) >= GATHERED:
+            yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+            own = []
+    if own:
+        yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[pa.RecordBatch]:
+    for batch in _gathered(batches, len(held)):
         texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
         n_words = [0] * len(texts)
         runs: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -142,7 +160,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int =
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, len(held)):
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             good = [True] * len(texts)
             for block in held:

@@ -115,11 +115,12 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, set[str], set[s
     n_words = flat.count(b" ") - 1 if len(flat) > 2 else 0
     places, base = [], set()
     for padded, label in phrases:
-        at = flat.find(padded)
+        at, seen, words_before = flat.find(padded), 0, 0
         while at >= 0:
-            places.append(flat.count(b" ", 0, at))
+            words_before += flat.count(b" ", seen, at)
+            places.append(words_before)
             base.add(label)
-            at = flat.find(padded, at + 1)
+            seen, at = at, flat.find(padded, at + 1)
     labels, score = set(base), 0.5 if base else 0.0
     if b" licens" in flat or b" permission " in flat or b" rights reserved " in flat or b" redistribution " in flat:
         words = flat.split()
