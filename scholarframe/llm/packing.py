@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text tokenised at once.
 SLICE = 4 << 20
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, some 200 bytes each; the memory is emptied when it is full.
+REMEMBERED = 500_000
 #: Documents of a packing group.
 GROUP_DOCS = 8_192
 _SEPARATOR = "|"
@@ -45,18 +44,18 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def _learn(words: list[str], tokenizer, mark: int, known: dict[str, list[int]]) -> None:
-    """Ids of words new to `known`.  White space separates words for the tokenizer, so one long
+def _learn(words: list[str], tokenizer, mark: int, known: dict[str, bytes]) -> None:
+    """Ids of words new to `known`, four bytes each.  White space separates words for the tokenizer, so one long
     text of them, a separator between each two, has each word's own ids."""
     plain = [w for w in words if _SEPARATOR not in w]
     for at in range(0, len(plain), 4096):
         part = plain[at : at + 4096]
         ids = np.array(tokenizer.encode(f" {_SEPARATOR} ".join(part), add_special_tokens=False).ids, np.int32)
         for word, own in zip(part, np.split(ids, np.flatnonzero(ids == mark)), strict=True):
-            known[word] = own[own != mark].tolist()
+            known[word] = own[own != mark].tobytes()
     odd = [w for w in words if _SEPARATOR in w]
     for word, code in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-        known[word] = code.ids
+        known[word] = np.array(code.ids, np.int32).tobytes()
 
 
 def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
@@ -77,8 +76,8 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
         known.clear()
     _learn([w for w in distinct if w not in known], tokenizer, mark, known)
     own = [known[w] for w in distinct]
-    sizes = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum()))
+    sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    flat = np.frombuffer(b"".join(own), np.uint32)
     begin, many = (np.cumsum(sizes) - sizes)[code], sizes[code]
     ends = np.cumsum(many)
     ids = flat[np.repeat(begin - (ends - many), many) + np.arange(many.sum())] if len(code) else flat[:0]
