@@ -42,12 +42,17 @@ def abstract_from_index(spark, sf_dir):
     return index.select("doc_id", records.abstract_from_index(F.col("index")).alias("abstract"))
 
 
-def source_json(spark, sf_dir):
-    """Documents written as a search payload and read back by its reader."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 100")
+def payload_pages(docs: DataFrame, path: str) -> None:
+    """Documents as search payloads of a hundred ids each, one file a payload, since a reader takes a file as one object."""
     item = F.struct(F.col("doc_id").cast("string").alias("paperId"), F.get(F.split("text", "\n"), 0).alias("title"), F.lit("").alias("venue"), F.col("n_chars").alias("citationCount"), (F.col("doc_id") % 30 + 1990).cast("int").alias("year"))
+    pages = docs.groupBy(F.floor(F.col("doc_id") / 100).alias("page")).agg(F.sort_array(F.collect_list(item)).alias("data"))
+    pages.select("data").write.option("maxRecordsPerFile", 1).json(path)
+
+
+def source_json(spark, sf_dir):
+    """Documents written as search payloads and read back by their reader; the bound is the oracle's."""
     path = f"{shared_dir(spark)}/payload-{uuid.uuid4().hex}"
-    docs.agg(F.sort_array(F.collect_list(item)).alias("data")).write.json(path)
+    payload_pages(table(spark, sf_dir, "documents").where("doc_id < 100"), path)
     return records.semanticscholar(spark, path).select("source_record_id", "title", "venue", "citation_count", "year", "is_oa")
 
 
