@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from scholarframe.queries import reading
+from pyspark.sql import functions as F
+
+from scholarframe.queries import integration, reading
 from scholarframe.sources import records
 
 
@@ -14,3 +16,11 @@ def test_payload_pages_hold_every_document(spark, tmp_path):
     assert len(list(Path(f"{tmp_path}/payload").glob("part-*"))) == 11
     got = {r.source_record_id: (r.title, r.citation_count, r.year) for r in records.semanticscholar(spark, f"file://{tmp_path}/payload").collect()}
     assert got == {str(i): (f"title {i}", i + 5, i % 30 + 1990) for i in range(1050)}
+
+
+def test_search_cache_keys_take_whole_texts(spark, tmp_path, monkeypatch):
+    text = "a query that goes on beyond twenty characters"
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = iter((lambda q: F.char_length(F.trim(q)), lambda q: F.lit(len(text))))
+    monkeypatch.setattr(integration.T, "search_key", lambda q, _: next(seen)(q))
+    assert integration.search_cache_keys(spark, str(tmp_path)).first().same
