@@ -57,11 +57,11 @@ def inline_labels(spark, sf_dir):
 
 
 def bibliography(spark, sf_dir):
-    """Conversations as documents that cite three works each, one of them twice and one unknown."""
+    """Conversations as documents that cite three works each, one of them twice and one unknown; ids beyond the works are unknown too."""
     leaf = lambda k: F.concat(F.lit('{"type":"citation","attrs":{"workKey":"w'), k, F.lit('"}}'))
-    tree = F.concat(F.lit('{"type":"doc","content":[{"type":"p","content":['), leaf(F.col("conv_id") * 3 % 100), F.lit(","), leaf(F.lit("none")), F.lit(']},{"type":"p","content":['), leaf(F.col("conv_id") % 10), F.lit(","), leaf(F.col("conv_id") * 3 % 100), F.lit("]}]}"))
+    tree = F.concat(F.lit('{"type":"doc","content":[{"type":"p","content":['), leaf(F.col("conv_id") * 3), F.lit(","), leaf(F.lit("none")), F.lit(']},{"type":"p","content":['), leaf(F.col("conv_id")), F.lit(","), leaf(F.col("conv_id") * 3), F.lit("]}]}"))
     docs = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("tree", tree)
-    works = csl(spark, sf_dir).where("doc_id < 100").select("work_key", cite.inline_label("apa").alias("label"))
+    works = csl(spark, sf_dir).select("work_key", cite.inline_label("apa").alias("label"))
     return cite.bibliography(docs, works, "conv_id", "tree", "label")
 
 

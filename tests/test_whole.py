@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from scholarframe.queries import integration, reading
+from scholarframe.queries import citing, integration, reading
 from scholarframe.sources import records
 
 
@@ -24,3 +24,13 @@ def test_search_cache_keys_take_whole_texts(spark, tmp_path, monkeypatch):
     seen = iter((lambda q: F.char_length(F.trim(q)), lambda q: F.lit(len(text))))
     monkeypatch.setattr(integration.T, "search_key", lambda q, _: next(seen)(q))
     assert integration.search_cache_keys(spark, str(tmp_path)).first().same
+
+
+def test_bibliography_cites_all_works(spark, tmp_path):
+    spark.range(250).selectExpr("id AS doc_id", "concat('Title ', id) AS text", "'en' AS lang", "'s' AS source", "id + 7 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(120).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "'x' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    label = {f"w{r.doc_id}": r.apa for r in citing.inline_labels(spark, str(tmp_path)).collect()}
+    got = {}
+    for r in citing.bibliography(spark, str(tmp_path)).collect():
+        got.setdefault(r.conv_id, set()).add((r.work_key, r.text))
+    assert got == {i: {(k, label.get(k, f"[missing: {k}]")) for k in (f"w{3 * i}", "wnone", f"w{i}")} for i in range(120)}
