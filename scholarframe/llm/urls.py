@@ -82,18 +82,31 @@ def _with_suffixes(rows: DataFrame, suffixes: DataFrame, known: DataFrame) -> Da
     return joined.withColumns({"suffix_log_count": F.log1p(F.coalesce("seen", F.lit(0)).cast("double")), "suffix_block_rate": rate}).drop("seen", "blocked", "labelled")
 
 
+def suffix_labels(labelled: DataFrame) -> DataFrame:
+    """(suffix, labelled, blocked): counts over all labelled rows."""
+    rows = labelled.where("blocked is not null").select(F.substring_index(host(F.col("url")), ".", -2).alias("suffix"), F.col("blocked").cast("long").alias("blocked"))
+    return rows.groupBy("suffix").agg(F.count("*").alias("labelled"), F.sum("blocked").alias("blocked"))
+
+
+def drawn(labelled: DataFrame, total: int, sample_rows: int) -> DataFrame:
+    """About sample_rows of the `total` labelled rows, for the trees; each row of a repeated url is drawn for itself by its page_id."""
+    key = F.struct(*(c for c in ("url", "page_id") if c in labelled.columns))
+    return labelled.where("blocked is not null").where(sampled(key, sample_share(total, sample_rows)))
+
+
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each page; score is the trees' for blocking.
 
-    pages has page_id and url, labelled has url and blocked (0 or 1); other columns are ignored.  A null url has an
+    pages has page_id and url, labelled has url, blocked (0 or 1) and page_id, by which rows of one url are drawn apart;
+    without page_id they are drawn together.  Suffixes' shares count all labelled rows.  A null url has an
     empty host and path and is judged by the trees.  Without labels of both kinds the trees' verdict is the
     commoner kind, allow if there are none.  Repeated rows each give a row; an empty table none.
     """
     rows = lexical(pages.select("page_id", "url"))
     suffixes = settle(rows.groupBy("suffix").agg(F.count("*").alias("seen")), "suffixes")
-    share = sample_share(labelled.count(), sample_rows)
-    sample = settle(lexical(labelled.select("url", "blocked").where("blocked is not null").where(sampled(F.col("url"), share))), "labelled")
-    known = settle(sample.groupBy("suffix").agg(F.count("*").alias("labelled"), F.sum(F.col("blocked").cast("long")).alias("blocked")), "known")
+    known = settle(suffix_labels(labelled), "known")
+    total = known.agg(F.sum("labelled")).first()[0] or 0
+    sample = settle(lexical(drawn(labelled, total, sample_rows).select("url", "blocked")), "labelled")
     ready = settle(_with_suffixes(sample.withColumnRenamed("blocked", "label"), suffixes, known), "features")
     fold = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(5)) == 0
     trees = BoostedTrees(FEATURES, rounds=12).fit(ready, "label", fold)
@@ -103,6 +116,6 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], s
 
 
 def labelled_by_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """(url, blocked) of the pages that a rule decides: labelled URLs where no others are at hand."""
-    found = pages.select("url", longest_rule(host(F.col("url")), path(F.col("url")), rules).alias("fit"))
-    return found.where("fit is not null").select("url", (F.col("fit.verdict") == "block").cast("int").alias("blocked"))
+    """(page_id, url, blocked) of the pages that a rule decides: labelled URLs where no others are at hand."""
+    found = pages.select("page_id", "url", longest_rule(host(F.col("url")), path(F.col("url")), rules).alias("fit"))
+    return found.where("fit is not null").select("page_id", "url", (F.col("fit.verdict") == "block").cast("int").alias("blocked"))
