@@ -24,23 +24,73 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Label, template.  Words are compared after folding, so case and punctuation don't matter.
-TEMPLATES = (
-    ("mit", "<<optional>>this <<any 2>> is<<end>> released under the <<optional>>terms of the<<end>> mit license"),
-    ("mit", "licensed under the <<optional>>terms of the<<end>> mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 <<optional>>0<<end>>"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("gpl-3", "licensed under the gnu <<optional>>affero<<end>> <<optional>>lesser<<end>> general public license <<any 2>> version 3"),
-    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("gpl-2", "licensed under the gnu general public license <<any 2>> version 2"),
-    ("cc-by-nc", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc <<optional>>4 0<<end>>"),
-    ("cc-by-nc", "licensed under <<any 2>> creative commons attribution noncommercial <<any 3>> license"),
-    ("cc-by", "licensed under <<any 2>> creative commons attribution <<optional>>4 0<<end>> <<optional>>international<<end>> license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("all-rights-reserved", "copyright <<any 8>> all rights reserved"),
+_WARRANTY = "including but not limited to <<optional>>the<<end>> "
+_BSD_HEAD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<any 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<any 2>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = "<<any 2>> neither the name of <<any 12>> nor the names of <<any 6>> contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+_BSD_TAIL = (
+    "<<any 1>> this software is provided by <<any 12>> as is and any express or implied warranties " + _WARRANTY + "implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
 
+
+def _gnu_notice(kind: str, version: str) -> str:
+    """The notice that a GNU licence asks for in each file, of one version or of later ones too."""
+    return (
+        f"free software you can redistribute it and or modify it under the terms of the gnu {kind} as published by the free software foundation "
+        f"<<optional>>either<<end>> version {version} <<optional>>of the license<<end>> <<optional>>or at your option any later version<<end>> "
+        "<<any 4>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        f"see the gnu {kind} for more details"
+    )
+
+
+_GPL, _LGPL, _AGPL = ("general public license", "lesser general public license", "affero general public license")
+
+#: Label, score, template.  Words are compared after folding, so case and punctuation don't matter.  Labels that end in
+#: -text or -notice have the whole mandatory wording; openings without the rest score 0.75, and statements that
+#: name a licence score 1.
+TEMPLATES = (
+    ("mit", 1.0, "<<optional>>this <<any 2>> is<<end>> released under the <<optional>>terms of the<<end>> mit license"),
+    ("mit", 1.0, "licensed under the <<optional>>terms of the<<end>> mit license"),
+    ("mit", 0.75, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit-text", 1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+     "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+     "the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software "
+     "the software is provided as is without warranty of any kind express or implied " + _WARRANTY + "warranties of merchantability fitness for a particular purpose and noninfringement "
+     "in no event shall <<any 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache-2", 1.0, "licensed under the apache license version 2 <<optional>>0<<end>>"),
+    ("apache-2-notice", 1.0, "licensed under the apache license version 2 0 the license you may not use <<any 4>> except in compliance with the license "
+     "you may obtain a copy of the license at <<optional>>http<<end>> <<optional>>https<<end>> <<optional>>www<<end>> apache org licenses license 2 0 <<optional>>txt<<end>> <<optional>>html<<end>> "
+     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+     "see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-3", 1.0, "licensed under the gnu general public license <<any 2>> version 3"),
+    ("lgpl-3", 1.0, "licensed under the gnu lesser general public license <<any 2>> version 3"),
+    ("agpl-3", 1.0, "licensed under the gnu affero general public license <<any 2>> version 3"),
+    ("gpl-2", 1.0, "licensed under the gnu general public license <<any 2>> version 2"),
+    *((f"{label}-{version.replace(' ', '.')}", 0.75, f"under the terms of the gnu {kind} as published by the free software foundation <<optional>>either<<end>> version {version} <<optional>>of the license<<end>>")
+      for label, kind, version in (("gpl", _GPL, "2"), ("gpl", _GPL, "3"), ("lgpl", _LGPL, "2 1"), ("lgpl", _LGPL, "3"), ("agpl", _AGPL, "3"))),
+    *((f"{label}-{version.replace(' ', '.')}-notice", 1.0, _gnu_notice(kind, version))
+      for label, kind, version in (("gpl", _GPL, "2"), ("gpl", _GPL, "3"), ("lgpl", _LGPL, "2 1"), ("lgpl", _LGPL, "3"), ("agpl", _AGPL, "3"))),
+    ("cc-by-nc", 1.0, "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc <<optional>>4 0<<end>>"),
+    ("cc-by-nc", 1.0, "licensed under <<any 2>> creative commons attribution noncommercial <<any 3>> license"),
+    ("cc-by", 1.0, "licensed under <<any 2>> creative commons attribution <<optional>>4 0<<end>> <<optional>>international<<end>> license"),
+    ("bsd", 0.75, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2-text", 1.0, _BSD_HEAD + _BSD_TAIL),
+    ("bsd-3-text", 1.0, _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
+    ("isc", 0.75, "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-text", 1.0, "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted "
+     "provided that the above copyright notice and this permission notice appear in all copies "
+     "the software is provided as is and <<any 6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+     "in no event shall <<any 6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+     "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("all-rights-reserved", 1.0, "copyright <<any 8>> all rights reserved"),
+)
+
 _MARKUP = re.compile(r"<<(optional|end|any (\d+))>>|([^<]+)")
 
 
@@ -103,8 +153,8 @@ class TokenAutomaton:
 
 
 @cache
-def _compiled() -> tuple[list[tuple[str, TokenAutomaton]], list[tuple[bytes, str]]]:
-    automata = [(label, TokenAutomaton(template)) for label, template in TEMPLATES]
+def _compiled() -> tuple[list[tuple[str, float, TokenAutomaton]], list[tuple[bytes, str]]]:
+    automata = [(label, own, TokenAutomaton(template)) for label, own, template in TEMPLATES]
     return automata, [(b" " + p.encode() + b" ", label) for p, label in BASE_PHRASES.items()]
 
 
@@ -127,10 +177,10 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, set[str], set[s
         at = {}
         for k, word in enumerate(words):
             at.setdefault(word, []).append(k)
-        for label, automaton in automata:
+        for label, own, automaton in automata:
             if any(automaton.accepts(words, k) for w in automaton.first for k in at.get(w, ())):
                 labels.add(label)
-                score = 1.0
+                score = max(score, own)
     return n_words, len(places), min(places, default=None), max(places, default=None), base, labels, score
 
 
@@ -141,8 +191,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each document.
 
     docs has doc_id (long) and text; other columns are ignored.  A null or empty text has no words,
-    no places (first_word and last_word null), empty labels and score 0.  score is 1 where an
-    automaton accepts, 0.5 where only a base phrase stands, else 0.  Repeated rows each give a row.
+    no places (first_word and last_word null), empty labels and score 0.  score is the best of the
+    accepting templates', 0.5 where only a base phrase stands, else 0.  Repeated rows each give a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
