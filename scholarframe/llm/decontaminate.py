@@ -4,22 +4,25 @@ Words are runs of bytes other than ASCII space, punctuation and control bytes, A
 A text is normalised to its words, one space around each; a pattern is an item's run of `window`
 consecutive words, spaces included, so that a match begins and ends at word bounds.  Each task
 builds the automaton once and scans each text once; offsets map matches back to the words and
-to the original bytes.  Benchmarks beyond `block` patterns are scanned in blocks.
+to the original bytes.  Patterns are made and grouped by Spark and written to the shared folder in
+blocks of about `block` by their hash; a worker reads and holds one block at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns that one automaton holds, about 100 bytes each and some hundreds more in its states.
+from scholarframe.plans.tables import settle, shared_dir
+
+#: Patterns that one automaton holds, more or less, about 100 bytes each and some hundreds more in its states.
 BLOCK_PATTERNS = 200_000
 #: Bytes of rows scanned between two builds of an automaton, where there are several blocks.
 GATHERED = 64 << 20
@@ -27,7 +30,14 @@ GATHERED = 64 << 20
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
 
-_built: dict[int, object] = {}
+_built: dict[tuple[str, int], object] = {}
+
+
+class Blocks(NamedTuple):
+    """Where the patterns are, and in how many blocks."""
+
+    folder: str
+    number: int
 
 
 def fold(text: bytes) -> list[bytes]:
@@ -41,17 +51,30 @@ def windows(text: bytes, window: int) -> set[str]:
     return {f" {b' '.join(run).decode('latin-1')} " for run in runs}
 
 
-def _automaton(held):
-    """The broadcast patterns' automaton, built once per worker."""
-    key = held.value[0]
+def _block(folder: str, block: int) -> Iterator[tuple[bytes, list[str]]]:
+    """A block's patterns with their items; a block without any has no folder."""
+    from pyarrow import dataset
+    from pyarrow.fs import FileSystem, FileType
+
+    files, root = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    if files.get_file_info(f"{root}/block={block}").type == FileType.NotFound:
+        return
+    for batch in dataset.dataset(f"{root}/block={block}", format="parquet", filesystem=files).to_batches(columns=["pattern", "items"]):
+        yield from zip(batch.column("pattern").to_pylist(), batch.column("items").to_pylist(), strict=True)
+
+
+def _automaton(held: Blocks, block: int):
+    """A block's automaton; a worker holds the last one it built."""
+    key = held.folder, block
     if key not in _built:
         import ahocorasick
 
+        _built.clear()
         automaton = ahocorasick.Automaton()
-        for pattern, items in held.value[1] or [("  ", ())]:
-            automaton.add_word(pattern, (pattern.count(" ") - 1, items))
+        automaton.add_word("  ", (1, ()))
+        for pattern, items in _block(*key):
+            automaton.add_word(pattern.decode("latin-1"), (pattern.count(b" ") - 1, tuple(items)))
         automaton.make_automaton()
-        _built.clear()
         _built[key] = automaton
     return _built[key]
 
@@ -98,14 +121,14 @@ def _gathered(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.Rec
         yield from pa.Table.from_batches(own).combine_chunks().to_batches()
 
 
-def _scanned(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[pa.RecordBatch]:
-    for batch in _gathered(batches, len(held)):
+def _scanned(batches: Iterator[pa.RecordBatch], held: Blocks) -> Iterator[pa.RecordBatch]:
+    for batch in _gathered(batches, held.number):
         texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
         n_words = [0] * len(texts)
         runs: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
-        for block in held:
-            automaton = _automaton(block)
+        for block in range(held.number):
+            automaton = _automaton(held, block)
             for k, text in enumerate(texts):
                 n_words[k], own, names = scan(text, automaton)
                 runs[k] += own
@@ -119,26 +142,21 @@ def _scanned(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[pa.Recor
         yield pa.record_batch(cols, ["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
-def _blocks(benchmark: DataFrame, window: int, block: int) -> list:
-    """Broadcasts of at most `block` patterns each, with the items that hold each pattern."""
-    spark = benchmark.sparkSession
-    held: dict[str, set[str]] = defaultdict(set)
-    out = []
-
-    def ship():
-        patterns = [(p, tuple(sorted(i))) for p, i in sorted(held.items())]
-        digest = hashlib.blake2b(repr(patterns).encode(), digest_size=8).digest()
-        out.append(spark.sparkContext.broadcast((int.from_bytes(digest, "little"), patterns)))
-        held.clear()
-
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).orderBy("item", "text").toLocalIterator():
-        for pattern in windows(bytes(row.text or b""), window):
-            held[pattern].add(str(row.item))
-        if len(held) >= block:
-            ship()
-    if held or not out:
-        ship()
-    return out
+def _blocks(benchmark: DataFrame, window: int, block: int) -> Blocks:
+    """The benchmark's patterns with the items that hold each, in the shared folder."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = [p.encode("latin-1") for p in windows(text or b"", window)]
+                yield pa.record_batch([pa.array(own, pa.binary()), pa.array([str(item)] * len(own), pa.string())], ["pattern", "item"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, "pattern binary, item string")
+    held = settle(rows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items")), "patterns")
+    number = max(1, -(-held.count() // block))
+    folder = f"{shared_dir(benchmark.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    held.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(number))).repartition(number, "block").write.partitionBy("block").parquet(folder)
+    return Blocks(folder, number)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = BLOCK_PATTERNS) -> DataFrame:
@@ -160,11 +178,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int =
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches, len(held)):
+        for batch in _gathered(batches, held.number):
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             good = [True] * len(texts)
-            for block in held:
-                automaton = _automaton(block)
+            for block in range(held.number):
+                automaton = _automaton(held, block)
                 good = [ok and not scan(text, automaton)[1] for ok, text in zip(good, texts, strict=True)]
             yield batch.select(names).filter(pa.array(good, pa.bool_()))
 

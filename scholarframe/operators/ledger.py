@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarframe.functions.text import publication_credit
+from scholarframe.plans.tables import numbered
 
 
 def running_balance(events: DataFrame, user: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -62,7 +63,7 @@ def rank_sources(sources: DataFrame, now: Column, preference: list[str], sponsor
         able = able & F.col("sponsor_name").isNull()
     place = F.array_position(F.array(*map(F.lit, preference)), F.col("provider_id"))
     place = F.when(place == 0, len(preference) + 1).otherwise(place).cast("int")
-    return sources.where(able).withColumn("sponsored", F.col("sponsor_name").isNotNull().cast("int")).withColumn("place", place).withColumn("rank", F.row_number().over(Window.orderBy(F.col("sponsored").desc(), "place", "id")))
+    return numbered(sources.where(able).withColumn("sponsored", F.col("sponsor_name").isNotNull().cast("int")).withColumn("place", place), "rank", F.col("sponsored").desc(), F.col("place"), F.col("id"))
 
 
 def fails_over(status: Column) -> Column:

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def importable(spark: SparkSession) -> None:
@@ -35,3 +36,15 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with each row's place in the order, from 1: range partitions are numbered each for itself, after the rows of those before."""
+    ranges = settle(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before, total = [], 0
+    for r in sorted(ranges.groupBy("_range").agg(F.count("*").alias("n")).collect()):
+        before.append((r["_range"], total))
+        total += r["n"]
+    starts = df.sparkSession.createDataFrame(before, "_range int, _before long")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return ranges.join(F.broadcast(starts), "_range").withColumn(name, place.cast("int")).drop("_range", "_before")

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from scholarframe.functions import text as T
 from scholarframe.operators import cite, evidence, rank
-from scholarframe.plans.tables import table
+from scholarframe.plans.tables import numbered, table
 from scholarframe.plans.views import raw_work
 from scholarframe.queries.citing import csl
 from scholarframe.queries.works import QUERY, canonical
@@ -119,10 +119,8 @@ def replace_all(spark, sf_dir):
 
 def source_admin(spark, sf_dir):
     """Sources as administered: sponsors in order, none last."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("sponsor"))
-    return rows.select("s_suppkey", F.row_number().over(Window.orderBy(F.col("sponsor").asc_nulls_last(), "s_suppkey")).alias("place"))
+    return numbered(rows, "place", F.col("sponsor").asc_nulls_last(), F.col("s_suppkey")).select("s_suppkey", "place")
 
 
 def lookback(spark, sf_dir):

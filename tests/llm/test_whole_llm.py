@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholarframe.llm import licenses, urls
+from scholarframe.llm import decontaminate, licenses, urls
 
 
 def test_url_suffixes_count_all_labels(spark):
@@ -60,3 +60,15 @@ def test_gnu_notices_have_their_own_labels():
         assert _scan(text) == ({label, f"{label}-notice"}, 1.0)
         assert _scan(text.split("\n")[0]) == ({label}, 0.75)
     assert [_scan(f"Licensed under the GNU {k} General Public License version 3")[0] for k in ("", "Lesser", "Affero")] == [{"gpl-3"}, {"lgpl-3"}, {"agpl-3"}]
+
+
+def test_one_long_item_is_several_blocks(spark):
+    """Patterns of one item stay within blocks of about the size asked for, and all are found."""
+    words = [f"w{i}" for i in range(2000)]
+    bench = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[:5]))], "item_id long, text string")
+    held = decontaminate._blocks(bench, 3, 50)
+    sizes = [len(list(decontaminate._block(held.folder, k))) for k in range(held.number)]
+    assert sum(sizes) == 1998 and max(sizes) <= 100
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, "a w0 w1 w2 b")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, bench, window=3, block=50).collect()}
+    assert got == {1: (2000, ["7", "8"]), 2: (0, []), 3: (3, ["7", "8"])}

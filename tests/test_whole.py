@@ -34,3 +34,15 @@ def test_bibliography_cites_all_works(spark, tmp_path):
     for r in citing.bibliography(spark, str(tmp_path)).collect():
         got.setdefault(r.conv_id, set()).add((r.work_key, r.text))
     assert got == {i: {(k, label.get(k, f"[missing: {k}]")) for k in (f"w{3 * i}", "wnone", f"w{i}")} for i in range(120)}
+
+
+def test_source_admin_numbers_ranges_apart(spark, tmp_path):
+    spark.range(1, 2001).selectExpr("id AS s_suppkey", "concat('S', id * 7919 % 2003) AS s_name").repartition(5).write.parquet(f"{tmp_path}/supplier.parquet")
+    out = integration.source_admin(spark, str(tmp_path))
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    name = lambda k: f"S{k * 7919 % 2003}"
+    order = sorted(range(1, 2001), key=lambda k: (k % 3 != 0, name(k) if k % 3 == 0 else "", k))
+    assert {r.s_suppkey: r.place for r in out.collect()} == {k: i for i, k in enumerate(order, 1)}
+    none = spark.createDataFrame([], "s_suppkey long, s_name string")
+    none.write.parquet(f"{tmp_path}/none/supplier.parquet")
+    assert integration.source_admin(spark, f"{tmp_path}/none").count() == 0
