@@ -1,34 +1,40 @@
 """N-gram Jaccard join with token-combination prefixes: classes of linked documents.
 
-A document's set holds the hashes of its distinct word n-grams.  Two sets link when
-100 * intersection >= percent * union.
-
-1. Each task hashes its documents in chunks.  Per chunk and hash bucket it sends one row with
-   the chunk's distinct tokens and their local counts, so a token that a third of all
-   documents hold costs one entry a chunk.  A bucket adds up global document frequencies and
-   answers each chunk about its tokens of two or more documents.  Which documents of the chunk
-   hold a token travels with the row, or, for tokens that are frequent in the chunk, stays in
-   the chunk's own row.
-2. A set of n tokens can miss at most e = n - ceil(percent * n / 100) of them.  A set with more
-   than e tokens that no other document has links with nothing and is dropped here.
-3. The others order their tokens by (frequency, hash).  Of the first e + 1 tokens, each rare one
-   is indexed by itself.  If those reach into the frequent class, the prefix is extended to
-   e + 2 tokens and every 2-combination of its frequent tokens is indexed.  Either the first
-   common token of two linked sets is rare and lies in both prefixes, or all their common tokens
-   are frequent and the first two lie in both.  Sets above `long` tokens, whose combinations would
-   grow with the square of e, index frequent tokens singly; sets within reach of that bound do both.
-4. Signatures of rare tokens have few members: they are joined with themselves.  Members of a
-   frequent signature are first compared with its member that has lost the fewest tokens before it; only
-   members that this leaves in different components are compared with each other.  A pair is
-   dropped where what follows the signature in either order is too little for a link, which
-   holds for no linked pair at its first common signature.  Candidates are verified on their
-   shared tokens.
+A document's set holds the 64-bit hashes of its distinct word n-grams.  Two sets link when
+100 * intersection >= percent * union.  A set of n tokens can miss at most
+e = n - ceil(percent * n / 100) of them in a link.
+
+1. Most documents link with nothing, and that shows early: a fixed share of all hash values, twice
+   the part that a link may miss, is counted over all documents.  A document with more than e tokens of that share
+   that no other document holds is out.  The count is one shuffle of (token, document) pairs.
+2. Of the others, equal sets become one.  Their texts are hashed again, and the frequencies of all
+   their tokens are counted; those of one document are left out and count as missed.
+3. Tokens are ordered by (frequency, hash) and fall into classes of frequency, each with its k: rare tokens
+   are indexed singly, frequent ones in combinations of two, the most frequent in threes.  By its hash each token of the
+   upper classes belongs to one of g groups, g in proportion to e, and combinations are made within a group only, so
+   their number grows with the set's size and not with its square.  The prefix is extended until
+   its tokens, less k - 1 for each group met, exceed what a set can miss: two linked sets
+   that share no combination would share at most k - 1 prefix tokens of each group, and so too
+   few.  g follows the power of two below the set's size; a set that may link with larger
+   ones of the next power is indexed with theirs too.
+4. Signatures of rare tokens have at most `classes[0]` members: they are joined with themselves.  Members of
+   another signature are first compared with its member that has lost the fewest tokens before it; only
+   members that this leaves in different components are compared with each other, within bands of sizes that can link.
+   A pair is dropped where what follows the signature in either order, and k - 1 tokens of each group before it,
+   are too few for a link, which holds for no linked pair at its first common signature.
+   Candidates are verified on all their shared tokens.
+
+Links compare hashes: two different n-grams of one pair of documents count as one with odds of about
+n * n / 2 ** 64 for sets of n tokens (5e-14 for a thousand tokens).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,150 +46,157 @@ from scholarframe.llm.shingles import mix, token_sets
 from scholarframe.operators.components import connected_components
 from scholarframe.plans.tables import settle
 
-#: Tokens hashed before a chunk's rows are sent.
-CHUNK_TOKENS = 1 << 20
-CHUNK_DOCS = 60_000
-#: From so many documents of a chunk on, a token's documents stay in the chunk's own row.
-LOCALLY_HOT = 8
-FREQUENT = 64
-LONG = 512
-_LOW = np.uint64((1 << 48) - 1)
+#: Upper bounds of the frequency classes but the last; the class at place i indexes combinations of i + 1 tokens.
+CLASSES = (64, 4096)
+#: Tokens of a group that a prefix has, more or less.
+GROUP = 8
+#: Rows of one Arrow batch of (token, document) pairs, more or less.
+FLUSH = 1 << 18
 
-_ROUTED = "key long, chunk long, docs binary, tokens binary, counts binary, refs binary"
-_SURVIVORS = "doc_id long, n int, shared int, fp binary, tokens binary, rare array<bigint>, frequent array<bigint>, rare_left array<int>, frequent_left array<int>"
+_SIZED = "doc_id long, n int, fp binary"
+_SETS = "ref long, doc_id long, n int, tokens array<bigint>"
+_SIGNS = "ref long, n int, tokens binary, rare array<bigint>, rare_left array<int>, often array<bigint>, often_left array<int>"
 
 
-def _pack48(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    """Columns of a Spark schema's names; lists become arrays of the types named there."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.record_batch([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
 
 
-def _unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+def spare(n: int, percent: int) -> int:
+    """Tokens that a set of n can miss in a link."""
+    return n - -(-percent * n // 100)
 
 
-def _spans(counts: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """Positions of the picked groups' elements, where group i has counts[i] elements in a row."""
-    begin, many = (np.cumsum(counts) - counts)[pick], counts[pick]
-    return np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
+def fingerprint(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _chunk_rows(chunk: int, ids: list, sets: list[np.ndarray], bits: int) -> Iterator[tuple]:
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    refs = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
-    tokens, first, counts = np.unique(flat[order], return_index=True, return_counts=True)
-    hot = counts >= LOCALLY_HOT
-    table = b"".join(int(i).to_bytes(8, "little", signed=True) + int(n).to_bytes(4, "little") + hashlib.blake2b(s.tobytes(), digest_size=16).digest() for i, n, s in zip(ids, sizes, sets, strict=True))
-    yield -1 - chunk, chunk, table, tokens[hot].tobytes(), counts[hot].astype("<u4").tobytes(), refs[_spans(counts, hot)].tobytes()
-    bucket = (tokens >> np.uint64(56 - bits)).astype(np.int64)
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(tokens) else []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        few = ~hot[a:b]
-        own = refs[first[a] : first[b] if b < len(first) else len(refs)]
-        yield int(bucket[a]), chunk, None, _pack48(tokens[a:b] & _LOW), np.minimum(counts[a:b], 255).astype("<u1").tobytes(), own[_spans(counts[a:b], few)].tobytes()
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def _routed(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
-    part, seq, ids, sets, held = TaskContext.get().partitionId(), 0, [], [], 0
-    names = [x.split()[0] for x in _ROUTED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+def _sized(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Set size and fingerprint of each document."""
+    for batch in batches:
+        sets = [(len(s), fingerprint(s)) for s in token_sets(_texts(batch), size)]
+        yield _batch([batch.column("doc_id"), [n for n, _ in sets], [f for _, f in sets]], _SIZED)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], size: int, per_mille: int) -> Iterator[pa.RecordBatch]:
+    """(token, doc_id) for the sampled hash values of each document."""
+    tokens, ids, held = [], [], 0
 
-    def flush():
-        rows = list(zip(*_chunk_rows(part << 32 | seq, ids, sets, bits), strict=True))
-        return pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+    def flush() -> pa.RecordBatch:
+        many = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many))], ["token", "doc_id"])
 
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for i, tokens in zip(batch.column("doc_id").to_pylist(), token_sets(texts, size), strict=True):
+        for i, own in zip(batch.column("doc_id").to_pylist(), token_sets(_texts(batch), size), strict=True):
+            own = own[(own >> np.uint64(20)) % np.uint64(1000) < per_mille]
+            tokens.append(own)
             ids.append(i)
-            sets.append(tokens)
-            held += len(tokens)
-            if held >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
+            held += len(own)
+            if held >= FLUSH:
                 yield flush()
-                seq, ids, sets, held = seq + 1, [], [], 0
-    if ids:
+                tokens, ids, held = [], [], 0
+    if tokens:
         yield flush()
 
 
-def _answer(group: pa.Table, bits: int) -> pa.Table:
-    """A bucket's rows of all chunks, with only the tokens of two documents or more and their frequencies."""
-    key = group.column("key")[0].as_py()
-    if key < 0:
-        return group
-    tokens = [_unpack48(x) for x in group.column("tokens").to_pylist()]
-    counts = [np.frombuffer(x, "<u1").astype(np.int64) for x in group.column("counts").to_pylist()]
-    every, where = np.unique(np.concatenate(tokens), return_inverse=True)
-    total = np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
-    at, out = 0, []
-    for mine, local, refs in zip(tokens, counts, group.column("refs").to_pylist(), strict=True):
-        df = total[where[at : at + len(mine)]]
-        at += len(mine)
-        keep, few = df >= 2, local < LOCALLY_HOT
-        docs = np.frombuffer(refs, np.uint16)[_spans(np.where(few, local, 0), keep & few)]
-        sent = np.where(few, local, 0)[keep].astype("<u1")
-        out.append((_pack48(mine[keep]), np.minimum(df[keep], 65535).astype("<u2").tobytes() + sent.tobytes(), docs.tobytes()))
-    cols = list(zip(*out, strict=True))
-    return pa.table({"key": group.column("key"), "chunk": group.column("chunk"), "docs": pa.nulls(len(out), pa.binary()), "tokens": pa.array(cols[0], pa.binary()), "counts": pa.array(cols[1], pa.binary()), "refs": pa.array(cols[2], pa.binary())})
-
-
-def _survivors(group: pa.Table, bits: int, percent: int, long: int, frequent: int) -> pa.Table:
-    """The chunk's documents that may link: their shared tokens in order, and their signatures."""
-    tokens, dfs, docs, own = [], [], [], None
-    for key, table, t, c, r in zip(*(group.column(k).to_pylist() for k in ("key", "docs", "tokens", "counts", "refs")), strict=True):
-        if key < 0:
-            own = table, np.frombuffer(t, np.uint64), np.frombuffer(c, "<u4").astype(np.int64), np.frombuffer(r, np.uint16)
-            continue
-        many = len(t) // 6
-        sent = np.frombuffer(c, "<u1", many, 2 * many).astype(np.int64)
-        tokens.append(_unpack48(t) | np.uint64(key >> (bits - 8) << 48))
-        dfs.append((np.frombuffer(c, "<u2", many), sent))
-        docs.append(np.frombuffer(r, np.uint16))
-    table, hot, hot_counts, hot_refs = own
-    rows = []
-    if tokens:
-        t, df = np.concatenate(tokens), np.concatenate([x for x, _ in dfs]).astype(np.int64)
-        sent, refs = np.concatenate([x for _, x in dfs]), np.concatenate(docs)
-        at = np.argsort(t)
-        hot_df = df[at[np.searchsorted(t, hot, sorter=at)]] if len(hot) else np.empty(0, np.int64)
-        t = np.concatenate([np.repeat(t, sent), np.repeat(hot, hot_counts)])
-        df = np.concatenate([np.repeat(df, sent), np.repeat(hot_df, hot_counts)])
-        refs = np.concatenate([refs, hot_refs])
-        order = np.lexsort((t, df, refs))
-        t, df, refs = t[order], df[order], refs[order]
-        bounds = np.searchsorted(refs, np.arange(len(table) // 28 + 1))
-    else:
-        t, df, bounds = np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(table) // 28 + 1, int)
-    for k in range(len(table) // 28):
-        entry = table[28 * k : 28 * k + 28]
-        n = int.from_bytes(entry[8:12], "little")
-        a, b = bounds[k], bounds[k + 1]
-        spare = n - -(-percent * n // 100)
-        alone = n - (b - a)
-        doc = int.from_bytes(entry[:8], "little", signed=True)
-        if not n or alone > spare:
-            rows.append((doc, n, int(b - a), *[None] * 6))
-        else:
-            mine, freq = t[a:b], df[a:b] > frequent
-            prefix = mine[: spare + 1 - alone]
-            rare = prefix[~freq[: len(prefix)]]
-            rest = mine[len(rare) : spare + 2 - alone] if len(rare) < len(prefix) else mine[:0]
-            sigs, left = [], []
-            if 100 * n >= percent * long:
-                sigs.append(prefix[len(rare) :])
-                left.append(b - a - np.arange(len(rare), len(prefix)))
-            if percent * n <= 100 * long and len(rest) > 1:
-                i, j = np.triu_indices(len(rest), 1)
-                lo, hi = np.minimum(rest[i], rest[j]), np.maximum(rest[i], rest[j])
-                sigs.append(mix(lo * np.uint64(0xA0761D6478BD642F) + mix(hi)))
-                left.append(b - a - len(rare) - j + 1)
-            sigs, left = (np.concatenate(x) if x else mine[:0] for x in (sigs, left))
-            rows.append((doc, n, int(b - a), entry[12:], np.sort(mine).tobytes(), rare.view(np.int64), sigs.view(np.int64), b - a - np.arange(len(rare)), left))
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 2]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _SURVIVORS.split(", ")])
+def _numbered_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The sets of those documents whose text has the fingerprint asked for, each with a number of its own."""
+    ref = TaskContext.get().partitionId() << 36
+    for batch in batches:
+        rows: list[tuple] = []
+        for i, fp, own in zip(batch.column("doc_id").to_pylist(), batch.column("fp").to_pylist(), token_sets(_texts(batch), size), strict=True):
+            if fingerprint(own) == fp:
+                rows.append((ref, i, len(own), own.view(np.int64)))
+                ref += 1
+        yield _batch(list(zip(*rows, strict=True)) if rows else [[]] * 4, _SETS)
+
+
+@cache
+def _groups(level: int, percent: int, classes: int) -> int:
+    """Groups of each upper class for sets of 2 ** level tokens up to twice as many, and smaller ones that link
+    with those; 0 where such sets are too small to lose k - 1 tokens a group, so that all tokens are indexed singly."""
+    least = max(1, -(-percent * (1 << level) // 100))
+    room = -(-percent * least // 100) - 1
+    return min(max(1, spare(2 << level, percent) // GROUP), room // max(1, classes * (classes - 1) // 2))
+
+
+@cache
+def _choices(many: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(many), k)), np.int64).reshape(-1, k)
+
+
+def _combined(tokens: np.ndarray) -> np.ndarray:
+    """One hash for each row of tokens, whatever their order in the row."""
+    out = np.full(len(tokens), tokens.shape[1], np.uint64)
+    for column in np.sort(tokens, axis=1).T:
+        out = mix(out * np.uint64(0xA0761D6478BD642F) + column)
+    return out
+
+
+def signatures(n: int, tokens: np.ndarray, dfs: np.ndarray, percent: int, classes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Rare tokens, and hashes of combinations of others, that a set of n tokens is indexed by, each with the most tokens
+    that can be common to a pair whose first common signature it is.
+
+    tokens are those that other sets hold too, in order of (frequency, hash); dfs are their frequencies.
+    """
+    many, e = len(tokens), spare(n, percent)
+    alone = n - many
+    kind = np.searchsorted(np.array(classes), dfs)
+    rare, rare_left, often, often_left = ([tokens[:0].astype(np.int64)] for _ in range(4))
+    for level in range(n.bit_length() - 1, (100 * n // percent).bit_length()):
+        groups = _groups(level, percent, len(classes) + 1)
+        cell = np.where((kind > 0) & (groups > 0), (tokens % np.uint64(max(1, groups))).astype(np.int64) * len(classes) + kind, 0)
+        k = np.where(cell > 0, kind + 1, 1)
+        order = np.argsort(cell, kind="stable")
+        sorted_cells = cell[order]
+        place = np.empty(many, np.int64)
+        place[order] = np.arange(many) - np.searchsorted(sorted_cells, sorted_cells)
+        # A token among the first k - 1 of its cell adds nothing to what the prefix can count on.
+        counts = place >= k - 1
+        reach = np.flatnonzero(alone + np.cumsum(counts) > e)
+        stop = int(reach[0]) + 1 if len(reach) else many
+        left = many - np.arange(many) + np.cumsum(~counts) - ~counts
+        single = np.flatnonzero(cell[:stop] == 0)
+        rare.append(tokens[single].view(np.int64))
+        rare_left.append(left[single])
+        own = order[(order < stop) & (sorted_cells > 0)]
+        for part in np.split(own, np.flatnonzero(np.diff(cell[own])) + 1) if len(own) else []:
+            chosen = part[_choices(len(part), int(k[part[0]]))]
+            often.append(_combined(tokens[chosen]).view(np.int64))
+            often_left.append(left[chosen[:, -1]])
+    return *_once(np.concatenate(rare), np.concatenate(rare_left)), *_once(np.concatenate(often), np.concatenate(often_left))
+
+
+def _once(keys: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the largest of its numbers."""
+    order = np.lexsort((-left, keys))
+    keys = keys[order]
+    first = np.diff(keys, prepend=keys[:1] - 1) != 0
+    return keys[first], left[order][first].astype(np.int32)
+
+
+def _signed(batches: Iterator[pa.RecordBatch], percent: int, classes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        shared = batch.column("shared")
+        ends = shared.offsets.to_numpy() - shared.offsets[0].as_py()
+        flat = shared.flatten()
+        dfs, tokens = flat.field("df").to_numpy(), flat.field("token").to_numpy().view(np.uint64)
+        for k, (ref, n) in enumerate(zip(batch.column("ref").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+            d, t = dfs[ends[k] : ends[k + 1]], tokens[ends[k] : ends[k + 1]]
+            if n - len(t) > spare(n, percent):
+                continue
+            order = np.lexsort((t, d))
+            rows.append((ref, n, np.sort(t).tobytes(), *signatures(n, t[order], d[order], percent, classes)))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        yield _batch(cols, _SIGNS)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -192,20 +205,30 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         for na, nb, ta, tb in zip(*(batch.column(k).to_pylist() for k in ("na", "nb", "ta", "tb")), strict=True):
             x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
             x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
             keep.append(100 * common >= percent * (na + nb - common))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets link."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    side = lambda x: signs.select(F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
     return full.mapInArrow(lambda it: _verified(it, percent), "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
+def _candidates(known: DataFrame, sized: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n, fp, times) of the documents that the sampled hash values don't rule out; a doc_id of several rows always stays."""
+    per_mille = min(1000, 20 * (100 - percent))
+    pairs = known.mapInArrow(lambda it: _sampled(it, size, per_mille), "token long, doc_id long")
+    once = pairs.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+    rows = once.select("doc_id", F.lit(1).alias("alone"), F.lit(0).alias("times")).union(sized.where("doc_id is not null").select("doc_id", F.lit(0), F.lit(1)))
+    counted = rows.groupBy(F.col("doc_id").alias("id")).agg(F.sum("alone").alias("alone"), F.sum("times").alias("times"))
+    may = (F.col("times") > 1) | (F.col("alone") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    return sized.where("n > 0").join(counted.where("times > 0"), F.col("doc_id") == F.col("id")).where(may).select("doc_id", "n", "fp", "times")
+
+
+def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes: tuple[int, ...] = CLASSES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document: component_id is the smallest doc_id that links reach.
 
     docs has doc_id (long) and text (string); other columns are ignored.  A null or empty text
@@ -214,63 +237,63 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, frequent:
     a null component_id and links nothing.  An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    known = docs.where("doc_id is not null")
-    # Buckets of about a million tokens, at six bytes of text for a token.
-    volume = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(8, min(24, int(volume // 6 >> 20).bit_length()))
-    keyed = known.mapInArrow(lambda it: _routed(it, size, bits), _ROUTED)
-    answered = keyed.groupBy("key").applyInArrow(lambda g: _answer(g, bits), _ROUTED)
-    found = settle(answered.groupBy("chunk").applyInArrow(lambda g: _survivors(g, bits, percent, long, frequent), _SURVIVORS), "sets")
-    able = found.where("fp is not null")
-    # Equal sets are one class; only its smallest document goes on.  Classes of one need no join partner.
-    reps = able.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("fp", "n", "rep")
-    reps = settle(reps, "copies")
-    signs = able.drop("shared", "tokens").join(reps, ["fp", "n"], "left").where("rep is null or rep = doc_id")
-    signs = settle(signs.select("doc_id", "n", "rare", "rare_left", "frequent", "frequent_left"), "signatures")
+    sized = settle(docs.mapInArrow(lambda it: _sized(it, size), _SIZED), "sizes")
+    able = settle(_candidates(docs.where("doc_id is not null"), sized, size, percent), "able")
+    # Equal sets are one class; only its smallest document goes on.
+    reps = settle(able.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
+    asked = docs.join(reps.select(F.col("rep").alias("doc_id"), "fp"), "doc_id")
+    sets = settle(asked.mapInArrow(lambda it: _numbered_sets(it, size), _SETS), "sets")
+
+    # Frequencies, and each set's tokens that others hold.
+    held = sets.select("ref", F.explode("tokens").alias("token"))
+    # Settled, so that both sides of the join are plain shuffles and a token that very many sets hold can be split.
+    often = settle(held.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "frequencies")
+    shared = held.join(often, "token").groupBy("ref").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    shared = shared.join(sets.select("ref", "n"), "ref")
+    signs = settle(shared.select("ref", "n", "shared").mapInArrow(lambda it: _signed(it, percent, classes), _SIGNS), "signatures")
 
     def postings(rows: DataFrame, kind: str, tag: str, *more: str) -> DataFrame:
         """A row for each signature; left: the most tokens that can be common from this one on."""
-        out = rows.select("doc_id", "n", *more, F.explode(F.arrays_zip(F.col(kind).alias("sig"), F.col(f"{kind}_left").alias("left"))).alias("p"))
-        return out.select("p.sig", F.col("doc_id").alias(tag or "doc"), F.col("n").alias(f"n{tag}"), F.col("p.left").alias(f"left{tag}"), *(F.col(c).alias(f"{c}{tag}") for c in more))
+        out = rows.select("ref", "n", *more, F.explode(F.arrays_zip(F.col(kind).alias("sig"), F.col(f"{kind}_left").alias("left"))).alias("p"))
+        return out.select("p.sig", F.col("ref").alias(tag or "ref"), F.col("n").alias(f"n{tag}"), F.col("p.left").alias(f"left{tag}"), *more)
 
-    # At the first common signature of a pair, all that stands before it in either order is not common.
+    # At the first common signature of a pair, all that stands before it in either order is not common, but for k - 1 tokens a group.
     most = F.least("lefta", "leftb")
     may_link = 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
     rare = postings(signs, "rare", "a").join(postings(signs, "rare", "b"), "sig").where((F.col("a") < F.col("b")) & may_link).select("a", "b")
-    often = postings(signs, "frequent", "a")
+    combined = postings(signs, "often", "a")
     pivot = F.min(F.struct((F.col("na") - F.col("lefta")).alias("lost"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("lefta").alias("leftb")))
-    # Settled, so that both sides of the join are plain shuffles and a frequent signature's side can be split.
-    pivots = settle(often.groupBy("sig").agg(pivot.alias("p"), F.count("*").alias("members")).where("members > 1").select("sig", "p"), "pivots")
-    star = often.join(pivots, "sig").select("a", "na", "lefta", "p.*").where((F.col("a") != F.col("b")) & may_link)
+    pivots = settle(combined.groupBy("sig").agg(pivot.alias("p"), F.count("*").alias("members")).where("members > 1").select("sig", "p"), "pivots")
+    star = combined.join(pivots, "sig").select("a", "na", "lefta", "p.*").where((F.col("a") != F.col("b")) & may_link)
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = settle(_linked(rare.union(star).distinct(), able, percent), "links")
-    classes = connected_components(links, "a", "b")
+    links = settle(_linked(rare.union(star).distinct(), signs, percent), "links")
+    parts = connected_components(links, "a", "b")
 
-    placed = signs.join(classes, F.col("doc_id") == F.col("id"), "left").withColumn("at", F.coalesce("component", "doc_id"))
-    placed = postings(placed, "frequent", "", "at")
+    placed = signs.join(parts, F.col("ref") == F.col("id"), "left").withColumn("at", F.coalesce("component", "ref"))
+    placed = postings(placed, "often", "", "at")
     mixed = placed.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
     apart = settle(placed.join(mixed, "sig"), "apart")
     if not apart.isEmpty():
-        side = lambda x: apart.toDF("sig", *(f"{c}{x}" for c in ("", "n", "left", "at")))
-        across = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("ata") != F.col("atb")) & may_link).select("a", "b").distinct()
-        more = settle(_linked(across, able, percent), "links")
+        # Sizes that can link are in one band or in two next to each other; the smaller set asks in both.
+        band = F.floor(F.log(F.col("n") + 0.0) / math.log(101 / percent)).cast("int")
+        side = lambda x, bands: apart.withColumn("band", bands).toDF("sig", *(f"{c}{x}" for c in ("", "n", "left", "at")), "band")
+        smaller = side("a", F.explode(F.array(band, band + 1)))
+        first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        across = smaller.join(side("b", band), ["sig", "band"]).where(first & (F.col("ata") != F.col("atb")) & may_link).select("a", "b").distinct()
+        more = settle(_linked(across, signs, percent), "links")
         if not more.isEmpty():
-            classes = connected_components(links.union(more), "a", "b")
-
-    named = able.select("doc_id", "n", "fp").join(reps, ["fp", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    named = named.join(classes, F.col("rep") == F.col("id"), "left")
-    named = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    alone = found.where("fp is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).unionByName(_unnamed(docs, size))
-
-
-def _unnamed(docs: DataFrame, size: int) -> DataFrame:
-    """Rows without a doc_id: their set sizes, and no class."""
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(x) for x in token_sets(batch.column("text").cast(pa.binary()).to_pylist(), size)]
-            yield pa.record_batch([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n_shingles", "component_id"])
-
-    return docs.where("doc_id is null").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long")
+            parts = connected_components(links.union(more), "a", "b")
+
+    # A class of sets is named by its smallest document.
+    placed = sets.select("ref", "doc_id").join(parts, F.col("ref") == F.col("id"), "left").select("doc_id", F.coalesce("component", "ref").alias("at"))
+    least = placed.groupBy("at").agg(F.min("doc_id").alias("component"))
+    of_rep = settle(placed.join(least, "at").groupBy(F.col("doc_id").alias("rep")).agg(F.min("component").alias("component")), "classes")
+    member = able.join(reps, ["fp", "n"]).select("doc_id", "rep", "times")
+    if not able.where("times > 1").isEmpty():
+        # A doc_id of several rows joins the classes of all its sets.
+        several = member.where("times > 1").join(of_rep, "rep").select("doc_id", "component")
+        of_rep = connected_components(several.union(of_rep.select("rep", "component")), "doc_id", "component").withColumnRenamed("id", "rep")
+    final = member.join(of_rep, "rep").groupBy(F.col("doc_id").alias("known")).agg(F.min("component").alias("component"))
+    out = sized.join(final, F.col("doc_id") == F.col("known"), "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

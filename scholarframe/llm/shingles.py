@@ -2,7 +2,7 @@
 
 Words are maximal runs of bytes other than white space (space, tab to carriage return),
 A-Z lower-cased.  A document's tokens are the 64-bit hashes of its distinct word n-grams;
-a document of fewer words has its whole sequence as its only token.  Tokens have 56 bits.
+a document of fewer words has its whole sequence as its only token.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def token_sets(texts: list[bytes | None], size: int):
         grams = np.zeros(max(0, len(words) - size + 1), np.uint64)
         for k in range(size):
             grams += words[k : k + len(grams)] * _STEP[k]
-        grams = mix(grams) >> np.uint64(8)
+        grams = mix(grams)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= size:
                 yield np.unique(grams[a : b - size + 1])
@@ -84,7 +84,7 @@ def token_sets(texts: list[bytes | None], size: int):
                 short = np.full(1, b - a, np.uint64)
                 for k in range(b - a):
                     short = mix(short + words[a + k : a + k + 1] * _STEP[k + 32])
-                yield short >> np.uint64(8)
+                yield short
             else:
                 yield np.empty(0, np.uint64)
         at = stop

@@ -62,29 +62,61 @@ def near_copies(seed):
     return list(zip(ids, rows, strict=True))
 
 
-@pytest.mark.parametrize(("size", "percent", "frequent", "long"), [(4, 85, 64, 512), (4, 85, 2, 512), (5, 80, 2, 40), (3, 60, 1, 10)])
-def test_ngram_classes_brute(spark, size, percent, frequent, long):
-    rows = near_copies(size + percent + frequent)
+@pytest.mark.parametrize(("size", "percent", "classes"), [(4, 85, (64, 4096)), (4, 85, (2, 6)), (5, 80, (1, 4)), (3, 60, (1, 2)), (4, 90, (2,)), (2, 85, (1, 2, 3))])
+def test_ngram_classes_brute(spark, size, percent, classes):
+    rows = near_copies(size + percent + sum(classes))
     df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, sig string").repartition(3)
-    got = ngram_join.jaccard_classes(df, size, percent, frequent, long).collect()
+    got = ngram_join.jaccard_classes(df, size, percent, classes).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_classes(rows, size, percent)
 
 
 def test_ngram_odd_rows(spark):
-    rows = [(1, "a b c d e"), (1, "p q r s t"), (2, "A B C D E"), (None, "a b c d e"), (3, "p q r s t"), (None, None)]
+    rows = [(1, "a b c d e"), (1, "p q r s t"), (2, "A B C D E"), (None, "a b c d e"), (3, "p q r s t"), (None, None), (3, "p q r s t"), (4, "P q r s t")]
     got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_classes(rows, 4, 85)
     assert ngram_join.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_many_chunks_agree(spark, monkeypatch):
-    rows = near_copies(9)
-    rows = rows + [(1000 + i, rows[3][1]) for i in range(40)]
-    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 5)
-    flows = [list(ngram_join._chunk_rows(0, [i], [s], 8)) for (i, _), s in zip(rows[:2], shingles.token_sets([t.encode() if t else None for _, t in rows[:2]], 4), strict=True)]
-    assert all(r[0][0] == -1 for r in flows)
-    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute_classes(rows, 4, 85)
+def linked(x, y, percent):
+    common = len(x & y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+@pytest.mark.parametrize(("percent", "classes"), [(85, (2, 10)), (80, (64, 4096)), (60, (1, 3)), (95, (0, 1, 2)), (85, (0,))])
+def test_linked_sets_share_a_signature(percent, classes):
+    """Sets of all sizes up to beyond a thousand tokens, at and around the threshold: every linked pair has a common
+    signature, and at one of them the bound of what follows lets the pair pass."""
+    rng = np.random.default_rng(percent)
+    df = {t: int(rng.choice([2, 5, 12, 80, 5000])) for t in range(6000)}
+    hashed = shingles.mix(np.arange(6000, dtype=np.uint64))
+    tested = 0
+    for n in [*range(1, 40), *rng.integers(40, 1500, 40).tolist()]:
+        base = rng.choice(6000, n, replace=False)
+        for _ in range(4):
+            gone = int(rng.integers(0, ngram_join.spare(n, percent) + 2))
+            more = rng.choice(6000, int(rng.integers(0, max(2, n // 8))))
+            sets = set(base.tolist()), set(base[gone:].tolist()) | set(more.tolist())
+            if not sets[1] or not linked(*sets, percent):
+                continue
+            tested += 1
+            signed = []
+            for own in sets:
+                # A few tokens that no other set holds go missing, as they would after the count.
+                shared = [t for t in own if t in sets[0] & sets[1] or df[t] != 2]
+                order = sorted(shared, key=lambda t: (df[t], hashed[t]))
+                rare, rare_left, often, often_left = ngram_join.signatures(len(own), hashed[order], np.array([df[t] for t in order], np.int64), percent, classes)
+                signed.append(dict(zip([("r", x) for x in rare.tolist()] + [("o", x) for x in often.tolist()], [*rare_left.tolist(), *often_left.tolist()], strict=True)))
+            passing = [s for s in signed[0].keys() & signed[1].keys() for left in [min(signed[0][s], signed[1][s])] if 100 * left >= percent * (len(sets[0]) + len(sets[1]) - left)]
+            assert passing, (n, percent)
+    assert tested > 60
+
+
+def test_signatures_grow_with_the_set_and_not_its_square():
+    for n in (200, 2000, 20_000):
+        tokens = np.sort(shingles.mix(np.arange(n, dtype=np.uint64)))
+        for df, bound in ((100, 8), (10_000, 30)):
+            often = ngram_join.signatures(n, tokens, np.full(n, df, np.int64), 85, (64, 4096))[2]
+            assert len(often) <= bound * ngram_join.spare(n, 85)
 
 
 def test_shingles_of_long_and_split_blocks(monkeypatch):
