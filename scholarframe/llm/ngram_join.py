@@ -287,7 +287,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes:
 
     # A class of sets is named by its smallest document.
     placed = sets.select("ref", "doc_id").join(parts, F.col("ref") == F.col("id"), "left").select("doc_id", F.coalesce("component", "ref").alias("at"))
-    least = placed.groupBy("at").agg(F.min("doc_id").alias("component"))
+    least = settle(placed.groupBy("at").agg(F.min("doc_id").alias("component")), "least")
     of_rep = settle(placed.join(least, "at").groupBy(F.col("doc_id").alias("rep")).agg(F.min("component").alias("component")), "classes")
     member = able.join(reps, ["fp", "n"]).select("doc_id", "rep", "times")
     if not able.where("times > 1").isEmpty():
