@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+PACKAGE = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
+
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
+    """Lets Python workers import this package: on one machine from where the driver has it, before whatever they look in
+    already; on a cluster from an archive that Spark hands to every executor, once an application."""
+    context = spark.sparkContext
+    root, known = str(PACKAGE.parent), context.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    if on_cluster(spark) and context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as archive:
+            for file in sorted(PACKAGE.rglob("*.py")):
+                archive.write(file, file.relative_to(PACKAGE.parent))
+        # Only the driver reads this file; its file server sends it on.
+        path = Path(tempfile.mkdtemp(prefix="scholarframe-")) / "scholarframe.zip"
+        path.write_bytes(packed.getvalue())
+        context.addPyFile(str(path))
+
+
+def on_cluster(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master != "local" and not master.startswith("local[")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, a folder of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset on a single machine, as in tests, a folder of our own.
+
+    On a cluster an unset folder is an error: what an executor writes to its own disk, others would read as nothing."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if on_cluster(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scholarframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
