@@ -74,14 +74,57 @@ def test_chat_round_trip(spark):
 
 
 def test_chat_parts(spark):
-    parts = "array<struct<kind:string,text:string,ref:string,units:bigint>>"
     row = [(1, 0, "user", [("text", "see <image>", None, None), ("image", None, "s3://a.png", 2), ("audio", None, "b.wav", 3), ("text", None, None, None)]), (1, 1, "assistant", None), (1, 2, "user", [("document", None, "c.pdf", None), ("other", "odd", None, None)])]
-    made = chat.format_chats(spark.createDataFrame(row, f"conv_id long, turn long, role string, parts {parts}")).first()
+    made = chat.format_chats(spark.createDataFrame(row, f"conv_id long, turn long, role string, parts {chat.PARTS}")).first()
     assert made.formatted == "<s>user[INST]see <\\image><image><audio>[/INST]</s><s>assistant[INST][/INST]</s><s>user[INST]<document>odd[/INST]</s>"
     assert [(a.turn, a.part, a.kind, a.ref, a.tokens) for a in made.attachments] == [(0, 1, "image", "s3://a.png", 512), (0, 2, "audio", "b.wav", 75), (2, 0, "document", "c.pdf", 1024)]
     assert made.expanded_tokens == 1611
 
 
+def test_chat_parts_read_back_however_texts_are_split(spark):
+    """Texts of control strings, backslashes and NULs, cut anywhere and mixed with attachments, read back part by part;
+    the loss holds the assistant's texts and nothing else."""
+    rng = random.Random(11)
+    bits = ["</s>", "<s>", "[INST]", "[/INST]", "<image>", "<audio>", "<document>", "\\", "\0", "\0i", "\0t", "<", "[", "/s>", "é", " "]
+    rows, want = [], {}
+    for conv in range(60):
+        turns = []
+        for turn in range(rng.randint(1, 4)):
+            role, parts = rng.choice(["user", "assistant", "[INST]<s>"]), []
+            for _ in range(rng.randint(0, 7)):
+                if rng.random() < 0.25:
+                    parts.append((rng.choice(["image", "audio", "document"]), None, "r", 1))
+                else:
+                    text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 5)))
+                    at = rng.randint(0, len(text))
+                    parts += [("text", text[:at], None, None), ("text", text[at:], None, None)]
+            rows.append((conv, turn, role, parts))
+            joined = []
+            for kind, text, *_ in parts:
+                if kind != "text":
+                    joined.append((kind, None))
+                elif joined and joined[-1][0] == "text":
+                    joined[-1] = ("text", joined[-1][1] + text)
+                elif text:
+                    joined.append(("text", text))
+            turns.append((role, [x for x in joined if x != ("text", "")]))
+        want[conv] = turns
+    made = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}").repartition(3))
+    for r in made.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        assert [(t.role, [(p.kind, p.text) for p in t.parts]) for t in r.turns] == want[r.conv_id]
+        assert r.loss == "".join(x for role, parts in want[r.conv_id] if role == "assistant" for _, x in parts if x)
+        assert [a.kind for a in r.attachments] == [k for _, parts in want[r.conv_id] for k, _ in parts if k != "text"]
+        assert r.formatted.count("</s>") == len(want[r.conv_id])
+
+
+def test_chat_odd_rows(spark):
+    kinds = "conv_id long, turn long, role string, text string, parts2 string, n int, said string"
+    rows = [(1, 0, "assistant", "x", "", 1, ""), (1, 0, "assistant", "x", "", 1, ""), (1, None, None, None, None, None, None), (None, None, None, None, None, None, None)]
+    made = chat.format_chats(spark.createDataFrame(rows, kinds).withColumn("parts", chat.text_part(F.col("text"))))
+    assert {r.conv_id: r.formatted for r in made.collect()} == {1: "<s>[INST][/INST]</s>" + "<s>assistant[INST]x[/INST]</s>" * 2, None: "<s>[INST][/INST]</s>"}
+    assert chat.digest(chat.format_chats(spark.createDataFrame([], kinds).withColumn("parts", chat.text_part(F.col("text"))))).count() == 0
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     runs = defaultdict(list)
