@@ -1,10 +1,12 @@
 """Line dedup over overlapping windows of three lines, in DataFrame functions only.
 
 Lines are what \\n separates; those of white space alone don't count for windows.  Every three
-consecutive lines make a window, known by 128 bits of hashes.  A window that occurs more than
-once anywhere stays at its first occurrence, the smallest (doc_id, text hash, line), and its later
-occurrences are removed: their line ranges are merged and cut out.  The first occurrence of
-any line is never in a removed range, so no wording is lost.
+consecutive lines make a window, known by 128 bits of hashes.  Of a window that occurs more than
+once anywhere the first occurrence has the smallest (doc_id, text hash, line); all lines of the
+later ones are removed: their line ranges are merged and cut out.  Where a later occurrence overlaps the
+first one of its own text, the lines that they share go too: a, a, a, a holds the window a, a, a twice and
+becomes a.  Each line of a later occurrence equals one further up, so the first occurrence of
+any line is never removed and no wording is lost.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarframe.functions.text import let
+from scholarframe.plans.tables import settle
 
 
 def _windows(text: Column) -> Column:
@@ -62,7 +65,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     document and keep the same lines; a null doc_id comes before all others.
     """
     docs = docs.drop("n_removed")
-    named = docs.select("doc_id", F.xxhash64("text").alias("th"), F.inline(_windows(F.col("text"))))
+    # Settled, since both the count and the join need them: texts are split and hashed once.
+    named = settle(docs.select("doc_id", F.xxhash64("text").alias("th"), F.inline(_windows(F.col("text")))), "windows")
     firsts = named.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "a")).alias("first")).where("times > 1").select("h1", "h2", "first")
     later = named.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", "th", "a") != F.col("first"))
     cut = later.groupBy(F.col("doc_id").alias("d"), "th").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cut"))
