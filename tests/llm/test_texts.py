@@ -159,20 +159,69 @@ def test_quality_outliers_against_numpy(spark):
     assert judged[500].base_failed and not judged[501].kept and judged[501].n_words == 0
     bad = {i for i in range(240) if not judged[i].kept}
     assert bad == {i for i in range(240) if i % 24 == 0}
-    # One group again by numpy: the same steps from the same start.
+    # One group again by numpy: the same steps from the same starts, and the end of the smallest determinant.
     vec = {r.doc_id: [r[p] for p in quality.PARTS] for r in quality.vectors(quality.text_counts(spark.createDataFrame(rows[:240], DOCS))).collect()}
     ids = [i for i in range(240) if i % 2 == 0]
     x = np.array([vec[i] for i in ids])
+    mean, cov = brute_mcd(np, x)
+    assert np.allclose(squared(np, x, mean, cov), [judged[i].distance2 for i in ids], rtol=0.02, atol=0.02)
+
+
+def squared(np, x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+def brute_mcd(np, x, share=0.75, steps=3):
     floor = np.diag(np.square(quality.FLOOR))
     q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-    mean, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floor
-    for _ in range(3):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        bins = np.floor(np.log(d + 1e-3) * quality.BINS)
-        own = x[bins <= np.sort(bins)[int(np.ceil(0.75 * len(x))) - 1]]
-        mean, cov = own.mean(0), np.cov(own.T, bias=True) * 1.9 + floor
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    assert np.allclose(d, [judged[i].distance2 for i in ids], rtol=0.02, atol=0.02)
+    spread = np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + np.diag(floor))
+    z = (x - q[1]) / spread
+    turned = z / np.sqrt(np.maximum((z**2).sum(1), 1e-9))[:, None]
+    starts = [(q[1], np.diag(spread**2)), (x.mean(0), np.cov(x.T, bias=True) + floor), (q[1], turned.T @ turned / len(x) * x.shape[1] * np.outer(spread, spread) + floor)]
+    ends = []
+    for mean, cov in starts:
+        for _ in range(steps):
+            bins = np.floor(np.log(squared(np, x, mean, cov) + 1e-3) * quality.BINS)
+            own = x[bins <= np.sort(bins)[int(np.ceil(share * len(x))) - 1]]
+            kept = np.ceil(len(own) / len(x) * 200) / 200
+            mean, cov = own.mean(0), np.cov(own.T, bias=True) * quality.consistency(kept, x.shape[1]) + floor
+        ends.append((np.linalg.det(cov), mean, cov))
+    return min(ends, key=lambda e: e[0])[1:]
+
+
+def test_consistency_factor():
+    """Of chi-square with five degrees of freedom: its quantiles, and what a share of 0.75 loses."""
+    assert abs(quality.chi_square_quantile(0.999, 5) - 20.515) < 1e-3 and abs(quality.chi_square_quantile(0.95, 1) - 3.8415) < 1e-3
+    assert abs(quality.consistency(0.75, 5) - 1.412) < 1e-3 and quality.consistency(1.0, 5) == 1.0
+
+
+def test_determinant_decides_between_starts(spark):
+    """A third of the group lies far off in one direction: the mean of all rows starts wrong, the best end does not follow it."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (300, 5)) * [1, 1, 2, 2, 2]
+    x[200:] += [12, -9, 30, 0, 0]
+    rows = spark.createDataFrame([(i, "l", "s", i % quality.SALTS, *map(float, v)) for i, v in enumerate(x)], "doc_id long, lang string, source string, salt int, " + ", ".join(f"{p} double" for p in quality.PARTS))
+    shape = quality.robust_shapes(rows, share=0.6, steps=4)
+    got = {r.doc_id: r.d2 for r in quality._distance(rows, shape).collect()}
+    mean, cov = brute_mcd(np, x, 0.6, 4)
+    assert np.allclose(squared(np, x, mean, cov), [got[i] for i in range(300)], rtol=0.02, atol=0.02)
+    assert min(got[i] for i in range(200, 300)) > 40 > max(got[i] for i in range(200))
+
+
+def test_quality_odd_rows(spark, monkeypatch):
+    """Repeated rows and null ids count each, clashing names are ignored, an empty table gives no rows, and groups that
+    are too many to broadcast give the same result."""
+    words = lambda i: " ".join(f"w{(i * 7 + k) % 97}" for k in range(60 + i))
+    rows = [(i % 9 or None, words(i), "en", None, "d", "k", 1.0) for i in range(30)] + [(7, words(7), "en", None, "d", "k", 1.0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, salt string, start string, d2 double")
+    got = sorted(quality.judge(df).collect(), key=str)
+    assert len(got) == 33 and sum(r.doc_id is None for r in got) == 4 and all(r.kept for r in got)
+    monkeypatch.setattr(quality, "FEW_GROUPS", 0)
+    salted = sorted(quality.judge(df).collect(), key=str)
+    assert [tuple(r)[:-1] for r in salted] == [tuple(r)[:-1] for r in got] and all(abs(a.distance2 - b.distance2) < 1e-9 for a, b in zip(got, salted, strict=True))
+    assert quality.judge(df.limit(0)).count() == 0
 
 
 def brute_hits(text, items, window=10):
