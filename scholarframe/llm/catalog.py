@@ -20,10 +20,12 @@ def tokenizer_path() -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without repeated windows of three lines; null texts stay null."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of -1, read back from their formatted texts; a null text is an empty one."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(probe))
@@ -31,40 +33,59 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents; a null text has no words and fails the base."""
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by what `labels` outside the held-out third say."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that windows of ten words of `benchmark` cover, and the items met; null has no words."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents linked by four-word shingles at 0.85; documents without words link with nothing."""
     return jaccard_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the license scan that SQL can express: words, and places and labels of the base phrases."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 #: Verdict, and host with path.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' URLs: the longest rule's, else the trees'."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.labelled_by_rules(pages, URL_RULES), URL_RULES)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the URL filter that SQL can express: host, path and the longest rule with its verdict."""
+    pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    return pages.withColumn("fit", urls.longest_rule(F.col("host"), F.col("path"), URL_RULES)).select("page_id", "host", "path", "fit.rule", "fit.verdict")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 4096 tokens; a null text is the end id alone."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), limit=4096, end_id=1)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as WARC records and read back; a null html is an empty payload."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     index = warc.write_archives(table(spark, sf_dir, "pages"), folder, revisit_bytes=1000)
     return warc.read_records(index, folder).drop("url")
@@ -88,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
     "pipeline": pipeline,
+    "license_base": license_base,
+    "url_rules": url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -162,5 +185,26 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN last <> page_id THEN last END AS refers_to
 FROM p LEFT JOIN last USING (html)
+""",
+    "license_base": r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+phrases AS (SELECT * FROM (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')) t(p, label)),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS place FROM words CROSS JOIN phrases),
+found AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels
+FROM words w LEFT JOIN found f ON f.doc_id = w.doc_id
+""",
+    "url_rules": r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM parts),
+named AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM cut),
+rules AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(verdict, h, p)),
+best AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT n.page_id, host, path, rule, verdict FROM named n LEFT JOIN best b ON b.page_id = n.page_id
 """,
 }

@@ -149,7 +149,7 @@ def _blocks(benchmark: DataFrame, window: int, block: int) -> Blocks:
         for batch in batches:
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = [p.encode("latin-1") for p in windows(text or b"", window)]
-                yield pa.record_batch([pa.array(own, pa.binary()), pa.array([str(item)] * len(own), pa.string())], ["pattern", "item"])
+                yield pa.record_batch([pa.array(own, pa.binary()), pa.array([item] * len(own), pa.string())], ["pattern", "item"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, "pattern binary, item string")
     held = settle(rows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items")), "patterns")
@@ -164,8 +164,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
     docs has doc_id (long) and text, benchmark item_id and text; other columns are ignored.  A
     null text has no words.  Rows that repeat a doc_id are scanned each for itself, and null ids
-    are kept.  spans are byte ranges of the UTF-8 text, merged.  An item id of null is named
-    "None".  An empty benchmark hits nothing.  With several blocks a document is scanned once per
+    are kept.  spans are byte ranges of the UTF-8 text, merged.  An item without an id hits words but has no name
+    in items.  Repeated items count once.  An empty benchmark hits nothing.  With several blocks a document is scanned once per
     block and its runs are united.
     """
     held = _blocks(benchmark, window, block)

@@ -2,8 +2,8 @@
 
 A template is a text with markup: <<optional>>...<<end>> may be left out, <<any N>> stands for at
 most N words of any kind.  Everything else is mandatory wording.  It is compiled to an automaton
-over words; a text is accepted where the automaton reaches its end from some word on.  Texts without
-a word that every template has some of are never walked.
+over words; a text is accepted where the automaton reaches its end from some word on.  Each automaton names
+its longest mandatory word; it is walked only in texts that hold that word.
 """
 
 from __future__ import annotations
@@ -77,7 +77,11 @@ TEMPLATES = (
     *((f"{label}-{version.replace(' ', '.')}-notice", 1.0, _gnu_notice(kind, version))
       for label, kind, version in (("gpl", _GPL, "2"), ("gpl", _GPL, "3"), ("lgpl", _LGPL, "2 1"), ("lgpl", _LGPL, "3"), ("agpl", _AGPL, "3"))),
     ("cc-by-nc", 1.0, "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc <<optional>>4 0<<end>>"),
-    ("cc-by-nc", 1.0, "licensed under <<any 2>> creative commons attribution noncommercial <<any 3>> license"),
+    ("cc-by-nc", 1.0, "licensed under <<any 2>> creative commons attribution noncommercial <<optional>>4 0<<end>> <<optional>>international<<end>> license"),
+    *((f"cc-by-nc-{short}", 1.0, f"licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc {short} <<optional>>4 0<<end>>") for short in ("sa", "nd")),
+    *((f"cc-by-nc-{short}", 1.0, f"licensed under <<any 2>> creative commons attribution noncommercial {long} <<optional>>4 0<<end>> <<optional>>international<<end>> license")
+      for short, long in (("sa", "sharealike"), ("nd", "noderivatives"))),
+    ("cc-by-sa", 1.0, "licensed under <<any 2>> creative commons attribution sharealike <<optional>>4 0<<end>> <<optional>>international<<end>> license"),
     ("cc-by", 1.0, "licensed under <<any 2>> creative commons attribution <<optional>>4 0<<end>> <<optional>>international<<end>> license"),
     ("bsd", 0.75, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd-2-text", 1.0, _BSD_HEAD + _BSD_TAIL),
@@ -102,6 +106,8 @@ class TokenAutomaton:
         self.step: list[dict[bytes, list[int]]] = [{}]
         self.free: list[list[int]] = [[]]
         self.skip: list[list[int]] = [[]]
+        #: Words that every accepted text holds.
+        self.mandatory: set[bytes] = set()
         opened, at = [], 0
         for kind, count, words in _MARKUP.findall(template):
             if kind == "optional":
@@ -121,8 +127,12 @@ class TokenAutomaton:
                     new = self._state()
                     self.step[at].setdefault(word, []).append(new)
                     at = new
+                    if not opened:
+                        self.mandatory.add(word)
         self.end = at
         self.first = self._first()
+        #: The longest mandatory word with a space on either side; of no such word, what every text holds.
+        self.sign = b" %b " % max(self.mandatory, key=lambda w: (len(w), w)) if self.mandatory else b" "
 
     def _state(self) -> int:
         for part, empty in ((self.step, {}), (self.free, []), (self.skip, [])):
@@ -172,13 +182,14 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, set[str], set[s
             base.add(label)
             seen, at = at, flat.find(padded, at + 1)
     labels, score = set(base), 0.5 if base else 0.0
-    if b" licens" in flat or b" permission " in flat or b" rights reserved " in flat or b" redistribution " in flat:
+    seen_signs = {sign for sign in {a.sign for *_, a in automata} if sign in flat}
+    if seen_signs:
         words = flat.split()
         at = {}
         for k, word in enumerate(words):
             at.setdefault(word, []).append(k)
         for label, own, automaton in automata:
-            if any(automaton.accepts(words, k) for w in automaton.first for k in at.get(w, ())):
+            if automaton.sign in seen_signs and any(automaton.accepts(words, k) for w in automaton.first for k in at.get(w, ())):
                 labels.add(label)
                 score = max(score, own)
     return n_words, len(places), min(places, default=None), max(places, default=None), base, labels, score
@@ -192,7 +203,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     docs has doc_id (long) and text; other columns are ignored.  A null or empty text has no words,
     no places (first_word and last_word null), empty labels and score 0.  score is the best of the
-    accepting templates', 0.5 where only a base phrase stands, else 0.  Repeated rows each give a row.
+    accepting templates', 0.5 where only a base phrase stands, else 0.  Repeated rows each give a row, null ids too;
+    an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,15 @@
 """Sum-of-squares packing of token sequences into fixed-length training sequences.
 
-Documents are tokenised in tasks, cut into pieces only where they are longer than a sequence,
-and dealt by a hash of their id to groups of a bounded number of documents, so that no
-task sees more than one group.  Each group places its pieces, longest first, where the sum of
+Documents are tokenised in tasks, cut into pieces only where they are longer than a sequence, and written
+down; the pieces are dealt by a hash of their place there to groups of about `group_pieces`, whatever their
+ids, so that no task sees more than one group.  Each group places its pieces, longest first, where the sum of
 squares of the numbers of open sequences per residual gap becomes smallest; a new sequence is
 opened only for a piece that fits into no open one.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,15 +20,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarframe.plans.tables import settle
+
 #: Bytes of text tokenised at once.
 SLICE = 4 << 20
 #: Words whose ids a worker remembers, some 200 bytes each; the memory is emptied when it is full.
 REMEMBERED = 500_000
-#: Documents of a packing group.
-GROUP_DOCS = 8_192
+#: Pieces of a packing group, more or less.
+GROUP_PIECES = 8_192
 _SEPARATOR = "|"
 #: One closing mark after an ASCII letter or digit or a Latin letter that no normalisation changes.
 _CLOSING = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,;:!?])(\s|$)"
+#: Fixed value: how the vocabulary's file splits a text, white space left out.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _loaded: dict[str, tuple] = {}
@@ -39,11 +44,27 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        (mark,) = tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
+        (mark,) = tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids if _by_words(json.loads(tokenizer.to_str())) else (None,)
         _loaded[path] = tokenizer, mark, {}
     return _loaded[path]
 
 
+def _by_words(model: dict) -> bool:
+    """Whether white space and case change no word's ids: the file has the normalisers and the splitting that
+    `token_ids` counts on, and no added token but those that begin with <|."""
+    steps = (model.get("normalizer") or {}).get("normalizers") or []
+    splits = (model.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    return (
+        [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and steps[1] == blank
+        and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": _SPLIT}
+        and (splits[0]["behavior"], splits[0]["invert"], splits[1]["add_prefix_space"]) == ("Removed", True, False)
+        and all(x["content"].startswith("<|") for x in model.get("added_tokens") or [])
+    )
+
+
 def _learn(words: list[str], tokenizer, mark: int, known: dict[str, bytes]) -> None:
     """Ids of words new to `known`, four bytes each.  White space separates words for the tokenizer, so one long
     text of them, a separator between each two, has each word's own ids."""
@@ -64,10 +85,14 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     The vocabulary lower-cases, drops white space and never joins a letter and a full stop or
     comma, so each distinct word of a slice is tokenised once: ASCII letters are lower-cased and
     closing punctuation is set apart before.  Texts that may hold a special token's string are
-    tokenised whole.
+    tokenised whole, and so are all texts where the file is of another kind (see `_by_words`).
     """
     tokenizer, mark, known = _tokenizer(path)
     texts = pc.fill_null(texts, "")
+    if mark is None:
+        for text in texts.to_pylist():
+            yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return
     special = pc.match_substring(texts, "<|").to_pylist()
     words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _CLOSING, r"\1 \2\3"))
     coded = words.flatten().dictionary_encode()
@@ -152,7 +177,7 @@ def _packed(key: tuple, rows: pa.Table, limit: int) -> pa.Table:
     return rows.append_column("sequence_id", pa.array(where + (key[0].as_py() << 36))).append_column("offset", pa.array(offset))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document.
 
     docs has doc_id (long) and text (string); other columns are ignored.  A null or empty text
@@ -160,6 +185,8 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int =
     like any other.  An empty table gives no rows.  Sequence ids are unique, and a sequence's
     pieces lie without gaps from offset 0.
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    dealt = token_pieces(docs, tokenizer_path, limit, end_id).withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    # Settled, so that a piece's place in the files is the same on every attempt, and the count reads no text.
+    pieces = settle(token_pieces(docs, tokenizer_path, limit, end_id), "pieces")
+    groups = max(1, -(-pieces.count() // group_pieces))
+    dealt = pieces.withColumn("pack", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack").applyInArrow(lambda key, rows: _packed(key, rows, limit), f"{_PIECE}, sequence_id long, offset long")

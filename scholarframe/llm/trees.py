@@ -43,19 +43,22 @@ class BoostedTrees:
         ready = self._assembled(known)
         self.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=self.rounds, maxDepth=self.depth, maxBins=64, stepSize=0.3, minInstancesPerNode=3, seed=1).fit(ready.where("not fold"))
         if self.calibrate and all(counts.get((True, x)) for x in (0.0, 1.0)):
-            raw = self._raw(ready.where("fold"))
-            self.curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw.select("raw", "label"))
+            # Rows of one score, to a thousandth, are one weighted point, so the curve's sort is small and even.
+            points = self._raw(ready.where("fold")).groupBy(F.round("raw", 3).alias("raw")).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+            self.curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(points)
         return self
 
     def _raw(self, ready: DataFrame) -> DataFrame:
         return self.trees.transform(ready).withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        """rows with score, from 0 to 1."""
+    def score(self, rows: DataFrame, carried: str) -> DataFrame:
+        """(carried, score) for each row; score is from 0 to 1.  All that a caller keeps is in the one column `carried`,
+        so that no name of its table can meet a name of the trees'."""
         if self.trees is None:
-            return rows.withColumn("score", F.lit(self.constant))
-        out = self._raw(self._assembled(rows))
+            return rows.select(carried, F.lit(self.constant).alias("score"))
+        out = self._raw(self._assembled(rows.select(carried, *self.features)))
         if self.curve is None:
-            return out.withColumnRenamed("raw", "score")
+            return out.select(carried, F.col("raw").alias("score"))
         # The curve is flat in places; a hundredth of the trees' own score keeps their order there.
-        return self.curve.setPredictionCol("level").transform(out).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("level") + 0.01 * F.col("raw")))).drop("raw", "level")
+        level = self.curve.setPredictionCol("level").transform(out)
+        return level.select(carried, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("level") + 0.01 * F.col("raw"))).alias("score"))

@@ -2,7 +2,8 @@
 
 In DataFrame functions only.  A rule names a host, which stands for its subdomains too, and a path's
 beginning; the longest rule that fits decides.  Other URLs are judged by trees that learn from
-labelled URLs.
+labelled URLs.  A suffix's share of blocked URLs is cross-fitted: a labelled URL gets that of the other folds' rows,
+so that no row's feature tells its own label.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from scholarframe.llm.trees import BoostedTrees, sample_share, sampled
 from scholarframe.plans.tables import settle
 
 SAMPLE_ROWS = 20_000
+#: Folds of labelled rows, by their url.
+FOLDS = 5
 FEATURES = ["length", "depth", "digits", "entropy", "parameters", "host_length", "labels", "hyphens", "fragment", "secure", "extension", "suffix_log_count", "suffix_block_rate"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,18 +77,26 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
-def _with_suffixes(rows: DataFrame, suffixes: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with their suffix's count over all URLs, and its smoothed share of blocked ones among the labelled."""
-    stats = suffixes.join(known, "suffix", "left")
-    joined = rows.join(stats, "suffix", "left")
-    rate = (F.coalesce("blocked", F.lit(0)) + 1.0) / (F.coalesce("labelled", F.lit(0)) + 2.0)
-    return joined.withColumns({"suffix_log_count": F.log1p(F.coalesce("seen", F.lit(0)).cast("double")), "suffix_block_rate": rate}).drop("seen", "blocked", "labelled")
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def _with_suffixes(rows: DataFrame, suffixes: DataFrame, known: DataFrame, fold: str | None = None) -> DataFrame:
+    """rows with their suffix's count over all URLs, and its smoothed share of blocked ones among the labelled; with
+    `fold`, a column of the rows, among those of other folds."""
+    joined = rows.join(suffixes, "suffix", "left").join(known, "suffix", "left")
+    blocked, labelled = F.coalesce("blocked", F.lit(0)), F.coalesce("labelled", F.lit(0))
+    if fold:
+        blocked, labelled = (all_ - F.coalesce(F.get(f"{c}_by_fold", fold), F.lit(0)) for all_, c in ((blocked, "blocked"), (labelled, "labelled")))
+    counts = {"suffix_log_count": F.log1p(F.coalesce("seen", F.lit(0)).cast("double")), "suffix_block_rate": (blocked + 1.0) / (labelled + 2.0)}
+    return joined.withColumns(counts).drop("seen", *known.columns[1:])
 
 
 def suffix_labels(labelled: DataFrame) -> DataFrame:
-    """(suffix, labelled, blocked): counts over all labelled rows."""
-    rows = labelled.where("blocked is not null").select(F.substring_index(host(F.col("url")), ".", -2).alias("suffix"), F.col("blocked").cast("long").alias("blocked"))
-    return rows.groupBy("suffix").agg(F.count("*").alias("labelled"), F.sum("blocked").alias("blocked"))
+    """(suffix, labelled, blocked, labelled_by_fold, blocked_by_fold): counts over all labelled rows."""
+    rows = labelled.where("blocked is not null").select(F.substring_index(host(F.col("url")), ".", -2).alias("suffix"), fold_of(F.coalesce("url", F.lit(""))).alias("fold"), F.col("blocked").cast("long").alias("blocked"))
+    by_fold = lambda value: F.array(*(F.sum(F.when(F.col("fold") == k, value).otherwise(F.lit(0))) for k in range(FOLDS)))
+    return rows.groupBy("suffix").agg(F.count("*").alias("labelled"), F.sum("blocked").alias("blocked"), by_fold(F.lit(1)).alias("labelled_by_fold"), by_fold(F.col("blocked")).alias("blocked_by_fold"))
 
 
 def drawn(labelled: DataFrame, total: int, sample_rows: int) -> DataFrame:
@@ -98,7 +109,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], s
     """(page_id, host, path, rule, verdict, score) for each page; score is the trees' for blocking.
 
     pages has page_id and url, labelled has url, blocked (0 or 1) and page_id, by which rows of one url are drawn apart;
-    without page_id they are drawn together.  Suffixes' shares count all labelled rows.  A null url has an
+    without page_id they are drawn together.  Other columns are ignored.  Suffixes' shares count all labelled rows.  A null url has an
     empty host and path and is judged by the trees.  Without labels of both kinds the trees' verdict is the
     commoner kind, allow if there are none.  Repeated rows each give a row; an empty table none.
     """
@@ -106,16 +117,19 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], s
     suffixes = settle(rows.groupBy("suffix").agg(F.count("*").alias("seen")), "suffixes")
     known = settle(suffix_labels(labelled), "known")
     total = known.agg(F.sum("labelled")).first()[0] or 0
-    sample = settle(lexical(drawn(labelled, total, sample_rows).select("url", "blocked")), "labelled")
-    ready = settle(_with_suffixes(sample.withColumnRenamed("blocked", "label"), suffixes, known), "features")
-    fold = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(5)) == 0
-    trees = BoostedTrees(FEATURES, rounds=12).fit(ready, "label", fold)
-    scored = trees.score(_with_suffixes(rows, suffixes, known)).select("page_id", "score", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    sample = drawn(labelled, total, sample_rows).select("url", F.col("blocked").alias("label"), fold_of(F.coalesce("url", F.lit(""))).alias("fold"))
+    ready = settle(_with_suffixes(lexical(sample), suffixes, known, "fold"), "features")
+    trees = BoostedTrees(FEATURES, rounds=12).fit(ready, "label", F.col("fold") == 0)
+    page = F.struct("page_id", "url").alias("page")
+    scored = trees.score(_with_suffixes(rows, suffixes, known).select(page, *FEATURES), "page").select("page.page_id", "score", host(F.col("page.url")).alias("host"), path(F.col("page.url")).alias("path"))
     ruled = scored.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
     return ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
 
 
 def labelled_by_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """(page_id, url, blocked) of the pages that a rule decides: labelled URLs where no others are at hand."""
-    found = pages.select("page_id", "url", longest_rule(host(F.col("url")), path(F.col("url")), rules).alias("fit"))
-    return found.where("fit is not null").select("page_id", "url", (F.col("fit.verdict") == "block").cast("int").alias("blocked"))
+    """(page_id, url, blocked) of all pages: weak labels, where no others are at hand.
+
+    blocked is 1 where a rule blocks.  Pages that no rule decides count as not blocked, like those that a rule allows: else the trees
+    would know a suffix from its blocked pages alone, and block all its others."""
+    fit = longest_rule(host(F.col("url")), path(F.col("url")), rules)
+    return pages.select("page_id", "url", F.coalesce(fit["verdict"] == "block", F.lit(False)).cast("int").alias("blocked"))

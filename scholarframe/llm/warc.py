@@ -25,6 +25,8 @@ from scholarframe.plans.tables import settle
 FILE_BYTES = 64 << 20
 #: Records less than `GAP` bytes apart are read in one range of at most `RANGE` bytes.
 GAP, RANGE = 64 << 10, 8 << 20
+#: Bytes of archives that one task reads, more or less; a file is shared out in stretches of so many.
+TASK_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = "page_id long, url string, file string, offset long, length long, record_type string, digest string, refers_to long"
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -139,7 +141,8 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000) ->
     pages has page_id (long), url and html; other columns are ignored.  A null html is an empty payload; a
     null url writes no target.  Of equal payloads of at least `revisit_bytes`, the row of the largest
     page_id is the response and rows of other page_ids revisit it; rows that repeat that page_id
-    are responses too, and a null page_id revisits or, alone, responds.
+    are responses too, and a null page_id revisits or, alone, responds.  A record's id is its page_id's, so rows
+    that repeat one share it.  An empty table writes nothing.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     digest = F.when(F.octet_length("html") >= revisit_bytes, F.sha1(F.col("html").cast("binary")))
@@ -151,6 +154,10 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000) ->
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Reads the index's records back: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
-    sorted_index = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return sorted_index.mapInArrow(lambda it: _fetch(it, folder), _READ)
+    """Reads the index's records back: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+
+    Stretches of files are dealt to as many tasks as the records' bytes ask for; within a task they are read in order."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / TASK_BYTES).alias("stretch")
+    dealt = index.select("file", "offset", "length", stretch).repartition(max(1, -(-total // TASK_BYTES)), "file", "stretch")
+    return dealt.sortWithinPartitions("file", "offset").drop("stretch").mapInArrow(lambda it: _fetch(it, folder), _READ)

@@ -46,6 +46,33 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_toxicity_odd_rows(spark):
+    """Repeated rows are scored alike, a very long text is scored whole, and no column of the documents meets one of the
+    model's; equal texts with different labels make the same model in any order."""
+    rows, labels = corpus(seed=2)
+    long = "word " * 40_000
+    odd = [(5_000, long + "you idiot moron zzkrat idiot", "en", "s", 1), (5_001, long, "en", "s", 1), rows[3], rows[3]]
+    twice = [(6_000 + k, t, *rest) for k, (_, t, *rest) in enumerate(rows[:40])]
+    marks = [*labels, *((6_000 + k, 1, 1 - x) for k, (_, _, x) in enumerate(labels[:40]))]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in [*rows, *odd, *twice]], DOCS + ", level int, raw int, marks int, x int, features int, row int")
+    kinds = "doc_id long, quality int, toxic int"
+    one = toxicity.fit(docs, spark.createDataFrame(marks, kinds))
+    other = toxicity.fit(docs.repartition(7), spark.createDataFrame(marks[::-1], kinds).repartition(3))
+    assert (one.learned, one.starts) == (other.learned, other.starts)
+    scored = one.score(docs)
+    assert scored.columns == [*docs.columns, "score"] and one.score(scored).columns == scored.columns
+    got = scored.where("doc_id >= 5000 or doc_id = 3").select("doc_id", "score", "level", "raw", "features").collect()
+    assert len({r.score for r in got if r.doc_id == 3}) == 1 and sum(r.doc_id == 3 for r in got) == 3
+    assert all((r.level, r.raw, r.features) == (1, 2, 5) for r in got)
+
+
+def test_second_person_window_is_even(spark):
+    """A hit is near a second person three words before or after it, at a text's ends as within."""
+    texts = {"idiot a b you": 1, "idiot a b c you": 0, "x y z p q idiot a b you": 1, "x y z p q idiot a b c you": 0, "you a b idiot": 1, "you a b c idiot": 0, "p q you a b idiot": 1, "p q you a b c idiot": 0}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.row.text: r.near_you for r in toxicity.features(docs, set(), set()).collect()} == texts
+
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -78,6 +105,28 @@ def test_url_features_and_held_out(spark):
     assert (none.host, none.path, none.rule, none.verdict) == ("", "", None, "allow")
 
 
+def test_url_suffix_shares_are_cross_fitted(spark):
+    """A labelled row's suffix share leaves out its own fold, so the only row of a suffix learns nothing from itself."""
+    labelled = spark.createDataFrame([(i, f"http://a.s{i}.com/{i}", i % 2) for i in range(40)] + [(100 + i, f"http://b.same.com/{i}", 1) for i in range(50)], "page_id long, url string, blocked int")
+    known = urls.suffix_labels(labelled)
+    rows = urls.lexical(labelled).withColumn("fold", urls.fold_of(F.col("url")))
+    seen = rows.groupBy("suffix").agg(F.count("*").alias("seen"))
+    got = urls._with_suffixes(rows, seen, known, "fold").collect()
+    assert all(r.suffix_block_rate == 0.5 for r in got if r.page_id < 100)
+    own = {k: sum(r.fold == k for r in got if r.page_id >= 100) for k in range(urls.FOLDS)}
+    assert all(abs(r.suffix_block_rate - (51 - own[r.fold]) / (52 - own[r.fold])) < 1e-12 for r in got if r.page_id >= 100)
+
+
+def test_url_odd_rows(spark):
+    """Null urls and ids, repeated rows and clashing names each give a row; an empty table none."""
+    kinds = "page_id long, url string, score int, label int, suffix string"
+    rows = [(None, None, 1, 1, "k"), (1, "http://a.com/en/x", 1, 1, "k"), (1, "http://a.com/en/x", 1, 1, "k"), (2, "", 1, 1, "k"), (3, "http://q.org/" + "x" * 100_000, 1, 1, "k")]
+    pages = spark.createDataFrame(rows, kinds)
+    got = urls.judge(pages, urls.labelled_by_rules(pages, RULES), RULES).collect()
+    assert sorted((r.page_id, r.host, r.rule, r.verdict) for r in got if r.page_id) == [(1, "a.com", "com/en/", "block")] * 2 + [(2, "", None, "allow"), (3, "q.org", None, "allow")]
+    assert len(got) == 5 and urls.judge(pages.limit(0), pages.limit(0).selectExpr("page_id", "url", "label AS blocked"), RULES).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

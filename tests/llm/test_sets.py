@@ -170,7 +170,7 @@ def test_pack_is_exact_and_tight(spark):
     rng = random.Random(9)
     texts = [*ODD, *(" ".join("w%d." % rng.randint(0, 50) for _ in range(rng.randint(0, 90))) for _ in range(150)), "long words " * 3000]
     rows = [*enumerate(texts), (3, texts[3]), (None, "no id")]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer_path(), limit=64, end_id=1, group_docs=60).collect()
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer_path(), limit=64, end_id=1, group_pieces=60).collect()
     by_sequence: dict = {}
     pieces: dict = {}
     for r in got:
@@ -191,6 +191,35 @@ def test_pack_is_exact_and_tight(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
 
+def test_pack_spreads_repeated_ids(spark):
+    """Rows of one id, or of none, are dealt to as many groups as others."""
+    rows = spark.range(400).selectExpr("if(id % 2 = 0, 7L, null) AS doc_id", "'the same few words' AS text", "'p' AS pack", "1 AS length")
+    got = packing.pack(rows, tokenizer_path(), limit=64, group_pieces=40).collect()
+    sizes: dict = {}
+    for r in got:
+        sizes[r.sequence_id >> 36] = sizes.get(r.sequence_id >> 36, 0) + 1
+    assert len(got) == 400 and len(sizes) >= 8 and max(sizes.values()) <= 80
+    assert sum(r.doc_id is None for r in got) == 200
+
+
+def test_other_vocabularies_are_tokenised_whole(tmp_path):
+    """A file whose splitting is not the one that words are remembered by gives the tokenizer's own ids all the same."""
+    import json
+
+    with open(tokenizer_path()) as f:
+        model = json.load(f)
+    assert packing._by_words(json.loads(json.dumps(model)))
+    model["normalizer"]["normalizers"] = model["normalizer"]["normalizers"][:2]
+    other = str(tmp_path / "other.json")
+    with open(other, "w") as f:
+        json.dump(model, f)
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(other)
+    assert packing._tokenizer(other)[1] is None
+    assert [x.tolist() for x in packing.token_ids(pa.array(ODD, pa.string()), other)] == [own.encode(t or "", add_special_tokens=False).ids for t in ODD]
+
+
 def test_warc_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 3000)
     big, bigger = "<p>é</p>" * 200, "x" * 300_000
@@ -206,6 +235,9 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
         revisit = html == big and page != 7
         want.append((page, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 7 if revisit else None))
     assert got == sorted(want, key=str)
+    monkeypatch.setattr(warc, "TASK_BYTES", 1000)
+    assert sorted((tuple(r) for r in warc.read_records(index, folder).drop("url").collect()), key=str) == got
+    assert warc.read_records(index, folder).rdd.getNumPartitions() > 1
     one = warc.read_records(index.where("page_id = 6"), folder).collect()
     assert [(r.page_id, r.payload_bytes) for r in one] == [(6, 300_000)]
     assert warc.read_records(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder), folder).count() == 0
@@ -214,3 +246,13 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
 def test_ranges_coalesce():
     places = [(0, 10), (10, 5), (15 + warc.GAP, 5), (16 + 2 * warc.GAP + 20, warc.RANGE), (16 + 3 * warc.GAP + warc.RANGE, 1)]
     assert [(a, own) for a, _, own in warc._ranges(places)] == [(0, [0, 1, 2]), (places[3][0], [3]), (places[4][0], [4])]
+
+
+def test_warc_odd_rows(spark, tmp_path):
+    """Null ids and repeated rows each have a record; columns of the index's names are ignored."""
+    big = "y" * 2000
+    rows = [(None, "u", big, "a", 1), (3, "u", big, "a", 1), (3, "u", big, "a", 1), (None, None, None, None, None)]
+    folder = f"file://{tmp_path}/odd"
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, file string, offset int"), folder)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_records(index, folder).collect()), key=str)
+    assert got == sorted([(None, 2000, "revisit", 3), (3, 2000, "response", None), (3, 2000, "response", None), (None, 0, "response", None)], key=str)

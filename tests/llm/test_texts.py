@@ -277,3 +277,61 @@ def test_licenses(spark):
     assert [got[i].labels for i in (1, 2, 5, 6, 7, 9, 10)] == ["mit", "apache-2", "gpl-3", "cc-by-nc,mit", "cc-by-nc", "all-rights-reserved", ""]
     assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got.values()) and got[6].score == 0.5 and got[1].score == 1.0
     assert Counter(r.n_words for r in got.values())[0] == 2
+
+
+def brute_accepts(template, words):
+    """Whether the template stands somewhere in the words, by a regular expression over them."""
+    pattern = ""
+    for kind, count, text in licenses._MARKUP.findall(template):
+        if kind == "optional":
+            pattern += "(?:"
+        elif kind == "end":
+            pattern += ")?"
+        elif count:
+            pattern += rf"(?:[^ ]+ ){{0,{count}}}"
+        else:
+            pattern += "".join(re.escape(w.decode()) + " " for w in licenses.fold(text.encode()))
+    return re.search(rf"(?:^| ){pattern}", " ".join(words) + " ") is not None
+
+
+def test_token_automata_against_regular_expressions():
+    """Random templates over few words, and the library's own ones, accept what their expressions find."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["a", "b", "c", "d"])
+    found = 0
+    for _ in range(400):
+        template = " ".join(rng.choice([word(), word(), f"<<optional>>{word()} {word()}<<end>>", f"<<optional>>{word()}<<optional>>{word()}<<end>><<end>>", "<<any 2>>"]) for _ in range(rng.randint(1, 5))) + " " + word()
+        automaton = licenses.TokenAutomaton(template)
+        for _ in range(6):
+            words = [word() for _ in range(rng.randint(0, 14))]
+            own = [w.encode() for w in words]
+            want = brute_accepts(template, words)
+            assert any(automaton.accepts(own, k) for k in range(len(own))) == want
+            assert not want or automaton.sign in b" " + b" ".join(own) + b" "
+            found += want
+    assert found > 300
+    filler = "x y z".split()
+    for _, _, template in licenses.TEMPLATES:
+        words = [w.decode() for kind, count, text in licenses._MARKUP.findall(template) for w in (licenses.fold(text.encode()) if not kind else [])]
+        automaton = licenses.TokenAutomaton(template)
+        for cut in (words, words[:-1], filler + words + filler, words[1:]):
+            own = [w.encode() for w in cut]
+            assert any(automaton.accepts(own, k) for k in range(len(own))) == brute_accepts(template, cut)
+
+
+def test_license_families_and_odd_rows(spark):
+    kinds = "doc_id long, text string, labels string, score int"
+    texts = ["Licensed under CC BY-NC-SA 4.0", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "Licensed under the GNU Affero General Public License, version 3", "licensed under the GNU Lesser General Public License (LGPL) version 3"]
+    got = licenses.license_scan(spark.createDataFrame([(None, t, "x", 1) for t in texts] + [(1, texts[0], "x", 1)] * 2, kinds)).collect()
+    assert [r.labels for r in got] == ["cc-by-nc,cc-by-nc-sa", "cc-by-nc-nd", "agpl-3", "lgpl-3", "cc-by-nc,cc-by-nc-sa", "cc-by-nc,cc-by-nc-sa"]
+    assert licenses.license_scan(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_decontamination_odd_rows(spark):
+    """Repeated rows and long texts are scanned each for themselves; an item without an id hits, but is not named."""
+    words = [f"w{i}" for i in range(40_000)]
+    bench = spark.createDataFrame([(None, " ".join(words[100:115])), (5, " ".join(words[300:312])), (5, " ".join(words[300:312]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words), 3), (1, " ".join(words), 3), (None, "w1 w2", 4)], "doc_id long, text string, spans int")
+    got = [(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(1, 40_000, 27, ["5"]), (1, 40_000, 27, ["5"]), (None, 2, 0, [])], key=str)
+    assert decontaminate.clean(docs, bench).collect() == [(None, "w1 w2", 4)]
