@@ -109,7 +109,7 @@ def test_url_suffix_shares_are_cross_fitted(spark):
     """A labelled row's suffix share leaves out its own fold, so the only row of a suffix learns nothing from itself."""
     labelled = spark.createDataFrame([(i, f"http://a.s{i}.com/{i}", i % 2) for i in range(40)] + [(100 + i, f"http://b.same.com/{i}", 1) for i in range(50)], "page_id long, url string, blocked int")
     known = urls.suffix_labels(labelled)
-    rows = urls.lexical(labelled).withColumn("fold", urls.fold_of(F.col("url")))
+    rows = urls.lexical(labelled.select("page_id", "url")).withColumn("fold", urls.fold_of(F.col("url")))
     seen = rows.groupBy("suffix").agg(F.count("*").alias("seen"))
     got = urls._with_suffixes(rows, seen, known, "fold").collect()
     assert all(r.suffix_block_rate == 0.5 for r in got if r.page_id < 100)
@@ -158,3 +158,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["n-gram Jaccard join"]) - set(kept["benchmark decontamination"]) == {1002}
     assert set(kept["best-fit packing"]) == set(kept["benchmark decontamination"])
     assert P.run(spark, d).count() == docs.count()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, columns of the operators' own names and empty tables go through every stage."""
+    import corpus_pipeline as P
+
+    d = f"file://{tmp_path}/odd"
+    names = "score double, row int, ref long, th long, cut int, fp string, pack int, n int"
+    rows = [(None, None, None, None, None), (1, None, "en", "s", None), (2, "", None, "s", 0), (3, "few words", "en", None, 9), (3, "few words", "en", None, 9), (None, "few words", "en", "s", 9), (4, "few words", "en", "s", 9)]
+    docs = spark.createDataFrame([(*r, 0.9, 1, 2, 3, 4, "f", 5, 6) for r in rows], f"{DOCS}, {names}")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    kept = []
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == list(P.COLUMNS) and stage(spark, docs.limit(0), d).count() == 0
+        kept.append(sorted((r.doc_id for r in out.collect()), key=str))
+    every = sorted((r[0] for r in rows), key=str)
+    assert kept == [every, every, [x for x in every if x != 4], every]
+    packed = P.STAGES[-1][1](spark, docs, d).collect()
+    assert sorted((r.doc_id for r in packed), key=str) == every and P.STAGES[-1][1](spark, docs.limit(0), d).count() == 0
