@@ -16,7 +16,7 @@ from scholarframe.llm.trees import BoostedTrees, sample_share, sampled
 from scholarframe.plans.tables import settle
 
 SAMPLE_ROWS = 20_000
-#: Folds of labelled rows, by their url.
+#: Folds of labelled rows, by their url and page_id.
 FOLDS = 5
 FEATURES = ["length", "depth", "digits", "entropy", "parameters", "host_length", "labels", "hyphens", "fragment", "secure", "extension", "suffix_log_count", "suffix_block_rate"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,8 +77,13 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
-def fold_of(url: Column) -> Column:
-    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+def _key(labelled: DataFrame) -> Column:
+    """What tells labelled rows apart."""
+    return F.struct(*(c for c in ("url", "page_id") if c in labelled.columns))
+
+
+def fold_of(labelled: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(_key(labelled), F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
 def _with_suffixes(rows: DataFrame, suffixes: DataFrame, known: DataFrame, fold: str | None = None) -> DataFrame:
@@ -94,15 +99,14 @@ def _with_suffixes(rows: DataFrame, suffixes: DataFrame, known: DataFrame, fold:
 
 def suffix_labels(labelled: DataFrame) -> DataFrame:
     """(suffix, labelled, blocked, labelled_by_fold, blocked_by_fold): counts over all labelled rows."""
-    rows = labelled.where("blocked is not null").select(F.substring_index(host(F.col("url")), ".", -2).alias("suffix"), fold_of(F.coalesce("url", F.lit(""))).alias("fold"), F.col("blocked").cast("long").alias("blocked"))
+    rows = labelled.where("blocked is not null").select(F.substring_index(host(F.col("url")), ".", -2).alias("suffix"), fold_of(labelled).alias("fold"), F.col("blocked").cast("long").alias("blocked"))
     by_fold = lambda value: F.array(*(F.sum(F.when(F.col("fold") == k, value).otherwise(F.lit(0))) for k in range(FOLDS)))
     return rows.groupBy("suffix").agg(F.count("*").alias("labelled"), F.sum("blocked").alias("blocked"), by_fold(F.lit(1)).alias("labelled_by_fold"), by_fold(F.col("blocked")).alias("blocked_by_fold"))
 
 
 def drawn(labelled: DataFrame, total: int, sample_rows: int) -> DataFrame:
     """About sample_rows of the `total` labelled rows, for the trees; each row of a repeated url is drawn for itself by its page_id."""
-    key = F.struct(*(c for c in ("url", "page_id") if c in labelled.columns))
-    return labelled.where("blocked is not null").where(sampled(key, sample_share(total, sample_rows)))
+    return labelled.where("blocked is not null").where(sampled(_key(labelled), sample_share(total, sample_rows)))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -117,7 +121,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], s
     suffixes = settle(rows.groupBy("suffix").agg(F.count("*").alias("seen")), "suffixes")
     known = settle(suffix_labels(labelled), "known")
     total = known.agg(F.sum("labelled")).first()[0] or 0
-    sample = drawn(labelled, total, sample_rows).select("url", F.col("blocked").alias("label"), fold_of(F.coalesce("url", F.lit(""))).alias("fold"))
+    sample = drawn(labelled, total, sample_rows).select("url", F.col("blocked").alias("label"), fold_of(labelled).alias("fold"))
     ready = settle(_with_suffixes(lexical(sample), suffixes, known, "fold"), "features")
     trees = BoostedTrees(FEATURES, rounds=12).fit(ready, "label", F.col("fold") == 0)
     page = F.struct("page_id", "url").alias("page")

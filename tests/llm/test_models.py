@@ -109,7 +109,7 @@ def test_url_suffix_shares_are_cross_fitted(spark):
     """A labelled row's suffix share leaves out its own fold, so the only row of a suffix learns nothing from itself."""
     labelled = spark.createDataFrame([(i, f"http://a.s{i}.com/{i}", i % 2) for i in range(40)] + [(100 + i, f"http://b.same.com/{i}", 1) for i in range(50)], "page_id long, url string, blocked int")
     known = urls.suffix_labels(labelled)
-    rows = urls.lexical(labelled.select("page_id", "url")).withColumn("fold", urls.fold_of(F.col("url")))
+    rows = urls.lexical(labelled.select("page_id", "url")).withColumn("fold", urls.fold_of(labelled))
     seen = rows.groupBy("suffix").agg(F.count("*").alias("seen"))
     got = urls._with_suffixes(rows, seen, known, "fold").collect()
     assert all(r.suffix_block_rate == 0.5 for r in got if r.page_id < 100)
