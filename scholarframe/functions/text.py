@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import cache
 
@@ -26,28 +27,46 @@ def normalize_doi(doi: Column) -> Column:
 
 
 @cache
-def _folding() -> tuple[str, str, list[tuple[str, str]]]:
-    """Letters whose compatibility decomposition, without combining marks, is ASCII: one to one, and one to several."""
-    one, to, several = [], [], []
-    for code in range(0x80, 0x10000):
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Of all code points, those whose compatibility decomposition, without combining marks, holds an ASCII letter or digit:
+    characters that become one each, with what they become, and characters that become several (others in it a blank; texts
+    are lower-cased before, so several capitals alone count for nothing)."""
+    one, to, several = [], [], {}
+    for code in range(0x80, 0x110000):
         char = chr(code)
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char.lower()) if not 0x300 <= ord(c) <= 0x36F)
-        if plain and plain.isascii() and plain != char:
-            if len(plain) == 1:
-                one.append(char)
-                to.append(plain)
-            else:
-                several.append((char, plain))
+        plain = unicodedata.normalize("NFKD", char)
+        if plain == char:
+            continue
+        plain = "".join(c if c.isascii() else " " for c in plain if not 0x300 <= ord(c) <= 0x36F)
+        if len(plain) == 1 and plain.isalnum():
+            one.append(char)
+            to.append(plain)
+        elif any(c.isdigit() or c.islower() for c in plain):
+            several[char] = plain
     return "".join(one), "".join(to), several
 
 
+def _any_of(chars) -> str:
+    """A pattern of one of the characters, neighbours as ranges."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def fold_accents(text: Column, ligatures: bool = True) -> Column:
-    """Compatibility decomposition without combining marks, for characters that end up as ASCII."""
+    """Compatibility decomposition without combining marks, for characters that hold an ASCII letter or digit.
+
+    Characters that become several are looked up one by one, only in texts that have any."""
     one, to, several = _folding()
     text = F.translate(text, one, to)
     if ligatures:
-        for char, plain in (x for x in several if "ﬀ" <= x[0] <= "ﬆ"):
-            text = F.replace(text, F.lit(char), F.lit(plain))
+        wide = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # folded to one literal
+        each = lambda t: F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(wide[c], c)))
+        text = let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]") & t.rlike(_any_of(several)), F.array_join(each(t), "")).otherwise(t))
     return F.regexp_replace(text, "[̀-ͯ]", "")
 
 

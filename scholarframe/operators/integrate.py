@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from scholarframe.functions.text import normalize_doi, normalize_title, surname, work_key
+from scholarframe.functions.text import let, normalize_doi, normalize_title, surname, work_key
 from scholarframe.operators.components import connected_components
 
 #: Rank of sources; all others come after.
@@ -43,6 +43,22 @@ def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
 
 
+#: Fixed values of the same-work guard: characters of an abstract that count, and the least Jaccard of their words.
+SAME_WORK = (1000, 0.3)
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    """Jaccard of the normalised words of two abstracts' beginnings; null where either has none to compare."""
+    words = lambda text: F.array_distinct(F.filter(F.split(normalize_title(F.substring(text, 1, SAME_WORK[0])), " "), lambda w: w != ""))
+    both = lambda p: F.when((F.size(p["a"]) > 0) & (F.size(p["b"]) > 0), F.size(F.array_intersect(p["a"], p["b"])) / F.size(F.array_union(p["a"], p["b"])))
+    return let(F.struct(words(F.coalesce(a, F.lit(""))).alias("a"), words(F.coalesce(b, F.lit(""))).alias("b")), both)
+
+
+def same_work(a: Column, b: Column) -> Column:
+    """Whether two works of one hashed key may be the same: their abstracts overlap, or one has none to tell by."""
+    return F.coalesce(word_overlap(a, b) >= SAME_WORK[1], F.lit(True))
+
+
 def doi_edges(works: DataFrame) -> DataFrame:
     """Star edges from each record to the first of its DOI: linear in the records, whatever the group."""
     keyed = works.select("ord", normalize_doi(F.col("doi")).alias("key")).where("key is not null")
@@ -79,10 +95,30 @@ def cluster(works: DataFrame, edges: DataFrame) -> DataFrame:
     return works.join(parts, works.ord == parts.id, "left").withColumn("cluster", F.coalesce("component", "ord")).drop("id", "component")
 
 
+def source_rank() -> Column:
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("source_id")), F.lit(0)), F.lit(len(PRIORITY) + 1))
+
+
+def pick_bibliographic(works: DataFrame) -> Column:
+    """Aggregate: the whole `biblio` struct of the highest source that has any of its fields, never fields of two sources."""
+    fields = works.schema["biblio"].dataType.fieldNames()
+    some = F.coalesce(*(F.col(f"biblio.{f}").cast("string") for f in fields)).isNotNull()
+    return F.min_by(F.when(some, F.col("biblio")), F.when(some, F.struct(source_rank(), "ord")))
+
+
+def union_topics(works: DataFrame) -> DataFrame:
+    """(cluster, topics): array<struct<name, score>>, each name once with its largest score, best first, ties by first sight."""
+    said = works.select("cluster", "ord", F.posexplode("topics").alias("i", "t"))
+    best = said.groupBy("cluster", "t.name").agg(F.max("t.score").alias("score"), F.min(F.struct("ord", "i")).alias("first"))
+    listed = best.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "first", "name", "score"))).alias("all"))
+    return listed.select("cluster", F.transform("all", lambda t: F.struct(t["name"].alias("name"), t["score"].alias("score"))).alias("topics"))
+
+
 def reconcile(works: DataFrame) -> DataFrame:
-    """One row per cluster, every field by its own rule of survivorship; `works` has a cluster column."""
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("source_id")), F.lit(0)), F.lit(len(PRIORITY) + 1))
-    rows = works.withColumn("prio", rank).withColumn("n_doi", normalize_doi(F.col("doi")))
+    """One row per cluster, every field by its own rule of survivorship; `works` has a cluster column.
+
+    Where works have a struct `biblio` or an array `topics` of (name, score), the result has them too."""
+    rows = works.withColumn("prio", source_rank()).withColumn("n_doi", normalize_doi(F.col("doi")))
     said = lambda c: F.nullif(F.col(c), F.lit(""))
 
     def first(value: Column, when: Column, *order: Column) -> Column:
@@ -104,7 +140,10 @@ def reconcile(works: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or("is_oa"), F.lit(False)).alias("is_oa"),
         first(F.col("pdf_url"), said("pdf_url").isNotNull(), tier.alias("tier"), F.col("ord")).alias("pdf_url"),
         F.sort_array(F.collect_list(F.struct("ord", "source_id", "source_record_id", "citation_count"))).alias("sources"),
+        *([pick_bibliographic(works).alias("biblio")] if "biblio" in works.columns else []),
     )
+    if "topics" in works.columns:
+        merged = merged.join(union_topics(works), "cluster", "left")
     # The commonest year; of ties that whose first record ranks highest, then the first seen.
     years = rows.where("year is not null").groupBy("cluster", "year").agg(F.count("*").alias("n"), F.min(F.struct("ord", "prio")).alias("f"))
     year = years.groupBy("cluster").agg(F.max_by("year", F.struct("n", -F.col("f.prio"), -F.col("f.ord"))).alias("year"))

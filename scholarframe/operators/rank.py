@@ -19,8 +19,7 @@ def query_tokens(query: str) -> list[str]:
 
     one, to, several = _folding()
     text = query.lower().translate(str.maketrans(one, to))
-    for char, plain in several:
-        text = text.replace(char, plain)
+    text = "".join(several.get(char, char) for char in text)
     words = re.sub(r"[^a-z0-9\s]", " ", re.sub("[̀-ͯ]", "", text)).split()
     return list(dict.fromkeys(w for w in words if len(w) > 1 and w not in RANK_STOPWORDS))
 

@@ -54,7 +54,7 @@ def page_normalize(spark, sf_dir):
 
 def extract_json(spark, sf_dir):
     wrapped = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Sure:\n```json\n"), F.when(F.col("event_id") % 7 == 0, F.lit("{")).otherwise(F.lit("")), F.col("props"), F.lit("\n```")).alias("t"))
-    return wrapped.select("event_id", T.extract_json(F.col("t")).isNotNull().alias("parsed"))
+    return wrapped.select("event_id", F.try_variant_get(T.extract_json(F.col("t")), "$.k", "long").alias("k"), T.extract_json(F.col("t")).isNotNull().alias("parsed"))
 
 
 def _matrix(spark, sf_dir):
@@ -95,8 +95,8 @@ def markdown_export(spark, sf_dir):
 
 
 def library_list(spark, sf_dir):
-    """Saved orders of the first ten customers with their customer's name, latest first."""
-    saved = table(spark, sf_dir, "orders").where("o_custkey <= 10").select("o_custkey", "o_orderkey", "o_orderdate")
+    """Saved orders of each customer with the customer's name, latest first."""
+    saved = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     return saved.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").select("o_custkey", "o_orderkey", "c_name", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())).alias("place"))
 
 
@@ -106,13 +106,16 @@ def collection_counts(spark, sf_dir):
 
 
 def collection_items(spark, sf_dir):
-    """Items of small collections in their own order."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Items of each collection with what they name, those of unknown parts too."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left").select("l_orderkey", "l_linenumber", "p_name")
 
 
 def saved_membership(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey").join(table(spark, sf_dir, "lineitem").where("l_suppkey % 10 = 3").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
+    """Each part, whether any order saved it, and whether any sent it back."""
+    kept = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.lit(True).alias("saved"), F.bool_or(F.col("l_returnflag") == "R").alias("returned"))
+    marked = table(spark, sf_dir, "part").select("p_partkey").join(kept, "p_partkey", "left")
+    return marked.select("p_partkey", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("saved", "returned")))
 
 
 def next_position(spark, sf_dir):
@@ -122,9 +125,9 @@ def next_position(spark, sf_dir):
 
 def resolve_works(spark, sf_dir):
     """A customer's own snapshot first, else the part's record, else nothing."""
-    asked = table(spark, sf_dir, "lineitem").where("l_orderkey <= 500").select(F.col("l_partkey").alias("key")).distinct()
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key")).distinct()
     own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("own"))
-    shared = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("shared"))
+    shared = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("shared"))
     return asked.join(own, "key", "left").join(shared, "key", "left").select("key", F.coalesce("own", "shared").alias("title"))
 
 
@@ -156,7 +159,7 @@ def adopt_session(spark, sf_dir):
 def collection_reorder(spark, sf_dir):
     """New positions for the ids of a list, unknown ones ignored; others keep theirs."""
     order = spark.createDataFrame([(i, k) for k, i in enumerate((5, 3, 424242, 1))], "l_linenumber int, new int")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey <= 300").select("l_orderkey", "l_linenumber").join(F.broadcast(order), "l_linenumber", "left").select("l_orderkey", "l_linenumber", F.coalesce("new", "l_linenumber").alias("position"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(F.broadcast(order), "l_linenumber", "left").select("l_orderkey", "l_linenumber", F.coalesce("new", "l_linenumber").alias("position"))
 
 
 def delete_cascade(spark, sf_dir):
@@ -200,23 +203,23 @@ ORACLE_SQL = {
     "outline_guard": "WITH l AS (SELECT conv_id * 1000 + turn AS id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, trim(unnest(string_split(text, chr(10)))) AS line FROM conversations), g AS (SELECT id, i // 3 AS slide, max(CASE WHEN i % 3 = 0 THEN line END) AS title, count(*) FILTER (i % 3 = 1) AS bullets, count(*) FILTER (i % 3 = 2 AND line <> '') AS uncited FROM l GROUP BY ALL) SELECT id, count(*) FILTER (bullets > 0) AS slides, sum(bullets)::BIGINT AS bullets, sum(uncited)::BIGINT AS dropped_uncited, sum(bullets)::BIGINT AS dropped_foreign, count(*) FILTER (bullets = 0) AS dropped_slides FROM g WHERE title <> '' GROUP BY id",
     "page_citations": "SELECT doc_id, (doc_id % 90)::VARCHAR || CASE WHEN n_chars < 9998 THEN ',' || n_chars ELSE '' END AS pages FROM documents",
     "text_counts": "SELECT doc_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE len(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')) END AS words, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS sentences FROM documents",
-    "extract_json": "SELECT event_id, event_id % 7 <> 0 AS parsed FROM events",
+    "extract_json": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN (props::JSON->>'$.k')::BIGINT END AS k, event_id % 7 <> 0 AS parsed FROM events",
     "missing_pairs": f"WITH {_MATRIX} SELECT r.matrix_id, row_id, column_id FROM r JOIN c USING (matrix_id) ANTI JOIN (SELECT * FROM cells WHERE status <> 'error') d USING (matrix_id, row_id, column_id)",
     "matrix_counts": f"WITH {_MATRIX} SELECT matrix_id, rows, 5 AS columns, coalesce(found, 0) AS found, coalesce(errors, 0) AS errors, (rows * 5 - coalesce(found, 0)) * 3 AS estimate FROM (SELECT matrix_id, count(*) AS rows FROM r GROUP BY 1) LEFT JOIN (SELECT matrix_id, count(*) FILTER (status = 'found') AS found, count(*) FILTER (status = 'error') AS errors FROM cells GROUP BY 1) USING (matrix_id)",
     "matrix_export_wide": f"WITH {_MATRIX}, f AS (SELECT row_id, column_id AS p, value::INT || ' mg' AS v, page::VARCHAR AS g, 'q' || page AS q FROM cells WHERE status = 'found') SELECT row_id, " + ", ".join(f"coalesce(max({e}) FILTER (p = {p}), '') AS {n}_{p}" for p in range(3) for n, e in (("value", "v"), ("page", "g"), ("quote", "q"))) + " FROM f GROUP BY row_id",
     "csv_export": """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '"' || chr(9) || '=SUM(' || c_name || ')"' WHEN 1 THEN '"say ""' || c_name || '"", ok"' ELSE c_name END || ',' || c_mktsegment || ',' || c_nationkey AS line FROM customer""",
     "markdown_export": "SELECT n_regionkey, '| n_name | n_nationkey |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || '\\|x | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS table FROM nation GROUP BY 1",
-    "library_list": "SELECT o_custkey, o_orderkey, c_name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_custkey <= 10",
+    "library_list": "SELECT o_custkey, o_orderkey, c_name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "collection_counts": "SELECT c_custkey, count(o_orderkey) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
-    "collection_items": "SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_orderkey <= 200",
-    "saved_membership": "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 10 = 3)",
+    "collection_items": "SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN part ON p_partkey = l_partkey",
+    "saved_membership": "SELECT p_partkey, count(l_partkey) > 0 AS saved, coalesce(bool_or(l_returnflag = 'R'), false) AS returned FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
     "next_position": "SELECT o_orderkey, coalesce(max(l_linenumber), -1) + 1 AS next FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
-    "resolve_works": "SELECT k AS key, coalesce(c_name, CASE WHEN p_partkey % 2 = 0 THEN p_name END) AS title FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_orderkey <= 500) LEFT JOIN customer ON c_custkey = k LEFT JOIN part ON p_partkey = k",
+    "resolve_works": "SELECT k AS key, coalesce(c_name, CASE WHEN p_partkey % 2 = 0 THEN p_name END) AS title FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) LEFT JOIN customer ON c_custkey = k LEFT JOIN part ON p_partkey = k",
     "upsert_latest": "WITH o AS (SELECT o_custkey, max(o_orderkey) AS rev, arg_max(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey, max(o_orderkey) AS rev, arg_max(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT coalesce(o.o_custkey, n.o_custkey) AS o_custkey, coalesce(n.rev, o.rev) AS rev, coalesce(n.s, o.s) AS o_orderstatus, 'n' || o.rev AS note FROM o FULL JOIN n ON o.o_custkey = n.o_custkey",
     "embedding_misses": "SELECT doc_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE (CASE WHEN label % 3 <> 0 THEN 'm' || (label % 2) END) IS DISTINCT FROM 'm1'",
     "revision_ring": "SELECT user_id, event_id, k FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 20",
     "adopt_session": "SELECT o_orderkey, CASE WHEN o_custkey % 50 = 7 AND o_orderkey % 3 <> 0 THEN 9999 WHEN o_orderkey % 3 = 0 THEN o_custkey END AS owner FROM orders",
-    "collection_reorder": "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 3 ELSE l_linenumber END AS position FROM lineitem WHERE l_orderkey <= 300",
+    "collection_reorder": "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 5 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 3 ELSE l_linenumber END AS position FROM lineitem",
     "delete_cascade": "SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
     "document_ingest": "SELECT source, sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS uploads FROM documents GROUP BY ALL",
     "topic_aggregate": "SELECT p_brand || ' ' || p_type AS name, count(*) AS n, round(sum(l_discount), 6) AS weight FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount >= 0.02::DOUBLE GROUP BY 1 ORDER BY weight DESC, n DESC, name LIMIT 40",

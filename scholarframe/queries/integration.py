@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from scholarframe.functions import text as T
-from scholarframe.operators import cite, evidence, rank
+from scholarframe.operators import cite, evidence, integrate, rank
 from scholarframe.plans.tables import numbered, table
 from scholarframe.plans.views import raw_work
 from scholarframe.queries.citing import csl
@@ -45,7 +45,8 @@ def cache_fresh(spark, sf_dir):
 def search_cache_keys(spark, sf_dir):
     """Cache keys of the benchmark's whole texts as queries: the same for any case and outer blanks."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("  "), F.translate("text", "aeiou", "AEIOU"), F.lit(" ")).alias("q"), F.col("text").alias("p"))
-    return rows.select("item_id", (T.search_key(F.col("q"), F.struct(F.lit(1).alias("oa"))) == T.search_key(F.col("p"), F.struct(F.lit(1).alias("oa")))).alias("same"))
+    key = lambda c: T.search_key(F.col(c), F.struct(F.lit(1).alias("oa")))
+    return rows.select("item_id", key("p").alias("key"), (key("q") == key("p")).alias("same"))
 
 
 def _bibliographic(spark, sf_dir):
@@ -56,17 +57,15 @@ def _bibliographic(spark, sf_dir):
 
 def biblio_block(spark, sf_dir):
     """Each cluster's bibliographic block, whole, from the highest source that has one."""
-    rank_ = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ("crossref", "openalex", "europepmc", "pubmed", "doaj"))), F.col("source_id")), F.lit(0)), F.lit(6))
-    picked = _bibliographic(spark, sf_dir).where("biblio is not null").groupBy("cluster").agg(F.min_by("biblio", F.struct(rank_, "ord")).alias("b"))
-    return picked.select("cluster", "b.volume", "b.issue")
+    merged = integrate.reconcile(_bibliographic(spark, sf_dir))
+    return merged.select("cluster", "biblio.volume", "biblio.issue")
 
 
 def topic_union(spark, sf_dir):
     """Each cluster's topics with their largest score, best first, ties by first sight."""
-    topics = raw_work(spark, sf_dir).select((F.col("ord") % 50).alias("cluster"), "ord", F.explode(F.array(F.struct(F.concat(F.lit("t"), F.col("ord") % 7).alias("name"), ((F.col("ord") % 11) / 10).alias("score"), F.lit(0).alias("i")), F.struct(F.concat(F.lit("u"), F.col("ord") % 5).alias("name"), ((F.col("ord") % 13) / 12).alias("score"), F.lit(1).alias("i")))).alias("t"))
-    best = topics.groupBy("cluster", "t.name").agg(F.max("t.score").alias("score"), F.min(F.struct("ord", "t.i")).alias("first"))
-    listed = best.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "first", "name"))).alias("all"))
-    return listed.select("cluster", F.array_join(F.col("all.name"), ",").alias("topics"))
+    topic = lambda tag, many, of: F.struct(F.concat(F.lit(tag), F.col("ord") % many).alias("name"), ((F.col("ord") % of) / (of - 1)).alias("score"))
+    works = raw_work(spark, sf_dir).withColumn("cluster", F.col("ord") % 50).withColumn("topics", F.array(topic("t", 7, 11), topic("u", 5, 13)))
+    return integrate.reconcile(works).select("cluster", F.array_join(F.col("topics.name"), ",").alias("topics"))
 
 
 def filter_topics(spark, sf_dir):
@@ -84,8 +83,8 @@ def known_concepts(spark, sf_dir):
 
 def support_candidates(spark, sf_dir):
     """Up to eight candidates per customer: own items first, then shared ones not among them."""
-    own = table(spark, sf_dir, "orders").where("o_custkey <= 40").select("o_custkey", (F.col("o_orderkey") % 30).alias("key"), F.lit(0).alias("tier"))
-    shared = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("o_custkey")).join(F.broadcast(spark.range(10).select(F.col("id").alias("key"), F.lit(1).alias("tier"))))
+    own = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 30).alias("key"), F.lit(0).alias("tier"))
+    shared = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")).join(F.broadcast(spark.range(10).select(F.col("id").alias("key"), F.lit(1).alias("tier"))))
     fresh = shared.join(own.select("o_custkey", "key"), ["o_custkey", "key"], "left_anti")
     from pyspark.sql import Window
 
@@ -95,7 +94,7 @@ def support_candidates(spark, sf_dir):
 
 def contributions(spark, sf_dir):
     """Publications and reviews of each customer from three nested levels, as one list."""
-    nested = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").groupBy("l_orderkey", "l_suppkey").agg(F.collect_list(F.struct("l_linenumber", "l_returnflag")).alias("items"))
+    nested = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.collect_list(F.struct("l_linenumber", "l_returnflag")).alias("items"))
     groups = nested.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey", "items")).alias("groups"))
     flat = groups.select("l_orderkey", F.explode("groups").alias("g")).select("l_orderkey", F.col("g.l_suppkey").alias("group"), F.explode("g.items").alias("i"))
     works = flat.where("i.l_returnflag <> 'R'").select("l_orderkey", "group", F.col("i.l_linenumber").alias("item"), F.lit("publication").alias("kind"))
@@ -105,15 +104,15 @@ def contributions(spark, sf_dir):
 
 def citation_edges(spark, sf_dir):
     """Edges of two lists, null ends dropped, each edge once with the lists that have it."""
-    a = table(spark, sf_dir, "lineitem").where("l_orderkey <= 1500").selectExpr("concat('p', l_partkey % 200) AS citing", "case when l_linenumber <> 3 then concat('s', l_suppkey % 50) end AS cited", "'a' AS list")
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey <= 1500 and l_quantity > 25").selectExpr("concat('p', l_partkey % 200) AS citing", "concat('s', l_suppkey % 50) AS cited", "'b' AS list")
+    a = table(spark, sf_dir, "lineitem").selectExpr("concat('p', l_partkey % 200) AS citing", "case when l_linenumber <> 3 then concat('s', l_suppkey % 50) end AS cited", "'a' AS list")
+    b = table(spark, sf_dir, "lineitem").where("l_quantity > 25").selectExpr("concat('p', l_partkey % 200) AS citing", "concat('s', l_suppkey % 50) AS cited", "'b' AS list")
     return a.unionByName(b).where("cited is not null").groupBy("citing", "cited").agg(F.array_join(F.sort_array(F.collect_set("list")), "").alias("lists"))
 
 
 def replace_all(spark, sf_dir):
     """Findings after some documents' were replaced: theirs are the new ones only."""
-    old = table(spark, sf_dir, "lineitem").where("l_orderkey <= 800").select("l_orderkey", "l_linenumber", F.lit("old").alias("version"))
-    new = table(spark, sf_dir, "orders").where("o_orderkey <= 800 and o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit("new").alias("version"))
+    old = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit("old").alias("version"))
+    new = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit("new").alias("version"))
     return old.join(new.select("l_orderkey"), "l_orderkey", "left_anti").unionByName(new)
 
 
@@ -210,15 +209,15 @@ ORACLE_SQL = {
     "cost_table": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in ESTIMATES.items()) + ") t(feature, estimate)",
     "preflight": "SELECT c_custkey, b AS balance, b >= 14 AS allowed, greatest(0, 14 - b) AS short FROM (SELECT c_custkey, greatest(0, floor(c_acctbal / 100))::BIGINT AS b FROM customer)",
     "cache_fresh": "SELECT key, event_id FROM (SELECT event_id % 500 AS key, event_id, ts + INTERVAL 15 MINUTE AS e FROM events) WHERE e >= (SELECT max(ts) - INTERVAL 3 DAY FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY e DESC, event_id DESC) = 1",
-    "search_cache_keys": "SELECT item_id, true AS same FROM benchmark",
+    "search_cache_keys": "SELECT item_id, sha256(to_json({'query': lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), 'filters': {'oa': 1}})::VARCHAR) AS key, true AS same FROM benchmark",
     "biblio_block": f"WITH {RAW_WORK_SQL}, b AS (SELECT ord % 50 AS cluster, ord, coalesce(list_position(['crossref','openalex','europepmc','pubmed','doaj'], source_id), 6) AS p FROM raw_work WHERE ord % 3 <> 1) SELECT cluster, (o % 40)::VARCHAR AS volume, CASE WHEN o % 2 = 0 THEN (o % 9)::VARCHAR END AS issue FROM (SELECT cluster, arg_min(ord, {{'p': p, 'o': ord}}) AS o FROM b GROUP BY 1)",
     "topic_union": "WITH t AS (SELECT doc_id % 50 AS c, doc_id AS o, 0 AS i, 't' || (doc_id % 7) AS name, (doc_id % 11) / 10.0::DOUBLE AS s FROM documents UNION ALL SELECT doc_id % 50, doc_id, 1, 'u' || (doc_id % 5), (doc_id % 13) / 12.0::DOUBLE FROM documents), b AS (SELECT c, name, max(s) AS s, min({'o': o, 'i': i}) AS f FROM t GROUP BY ALL) SELECT c AS cluster, string_agg(name, ',' ORDER BY s DESC, f) AS topics FROM b GROUP BY c",
     "filter_topics": f"WITH {RAW_WORK_SQL} SELECT ord FROM raw_work WHERE year >= 2000 AND (ord % 7 = 3 OR ord % 5 = 1)",
     "known_concepts": "WITH k AS (SELECT DISTINCT p_brand AS b FROM part WHERE p_size < 25) SELECT p_partkey, CASE WHEN p_brand IN (SELECT b FROM k) THEN p_brand || ',' || p_brand ELSE '' END AS kept FROM part",
-    "support_candidates": "WITH o AS (SELECT DISTINCT o_custkey, o_orderkey % 30 AS key FROM orders WHERE o_custkey <= 40), a AS (SELECT o_custkey, key, 0 AS tier FROM o UNION ALL SELECT c_custkey, k, 1 FROM customer, (SELECT unnest(range(10)) AS k) WHERE c_custkey <= 40 AND NOT EXISTS (SELECT 1 FROM o WHERE o.o_custkey = c_custkey AND o.key = k)) SELECT o_custkey, key, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY tier, key) AS place FROM a) WHERE place <= 8",
-    "contributions": 'SELECT l_orderkey, l_suppkey AS "group", l_linenumber AS item, CASE WHEN l_returnflag = \'R\' THEN \'peer_review\' ELSE \'publication\' END AS kind FROM lineitem WHERE l_orderkey <= 2000',
-    "citation_edges": "WITH e AS (SELECT 'p' || (l_partkey % 200) AS citing, 's' || (l_suppkey % 50) AS cited, 'a' AS l FROM lineitem WHERE l_orderkey <= 1500 AND l_linenumber <> 3 UNION SELECT 'p' || (l_partkey % 200), 's' || (l_suppkey % 50), 'b' FROM lineitem WHERE l_orderkey <= 1500 AND l_quantity > 25) SELECT citing, cited, string_agg(l, '' ORDER BY l) AS lists FROM e GROUP BY ALL",
-    "replace_all": "WITH n AS (SELECT o_orderkey FROM orders WHERE o_orderkey <= 800 AND o_orderstatus = 'O') SELECT l_orderkey, l_linenumber, 'old' AS version FROM lineitem WHERE l_orderkey <= 800 AND l_orderkey NOT IN (SELECT * FROM n) UNION ALL SELECT o_orderkey, 0, 'new' FROM n",
+    "support_candidates": "WITH o AS (SELECT DISTINCT o_custkey, o_orderkey % 30 AS key FROM orders), a AS (SELECT o_custkey, key, 0 AS tier FROM o UNION ALL SELECT c_custkey, k, 1 FROM customer, (SELECT unnest(range(10)) AS k) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.o_custkey = c_custkey AND o.key = k)) SELECT o_custkey, key, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY tier, key) AS place FROM a) WHERE place <= 8",
+    "contributions": 'SELECT l_orderkey, l_suppkey AS "group", l_linenumber AS item, CASE WHEN l_returnflag = \'R\' THEN \'peer_review\' ELSE \'publication\' END AS kind FROM lineitem',
+    "citation_edges": "WITH e AS (SELECT 'p' || (l_partkey % 200) AS citing, 's' || (l_suppkey % 50) AS cited, 'a' AS l FROM lineitem WHERE l_linenumber <> 3 UNION SELECT 'p' || (l_partkey % 200), 's' || (l_suppkey % 50), 'b' FROM lineitem WHERE l_quantity > 25) SELECT citing, cited, string_agg(l, '' ORDER BY l) AS lists FROM e GROUP BY ALL",
+    "replace_all": "WITH n AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') SELECT l_orderkey, l_linenumber, 'old' AS version FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM n) UNION ALL SELECT o_orderkey, 0, 'new' FROM n",
     "source_admin": "SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 3 = 0 THEN s_name END NULLS LAST, s_suppkey) AS place FROM supplier",
     "lookback": "SELECT " + ", ".join(f"count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL {d} DAY) AS asked_{n}" for n, d in ((0, 1), (7, 7), (99, 30))) + " FROM events",
     "page_slice": RANKED_SQL + "SELECT cluster, score, (SELECT count(*) FROM scored) AS total FROM scored ORDER BY score DESC, cluster LIMIT 15 OFFSET 15",

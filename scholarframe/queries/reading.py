@@ -23,7 +23,7 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as positioned text: number, part and quantity in three columns, a caption above."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").selectExpr("l_orderkey", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n", "array(cast(l_partkey AS string), l_returnflag, cast(l_quantity AS string)) AS cells")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n", "array(cast(l_partkey AS string), l_returnflag, cast(l_quantity AS string)) AS cells")
     cells = lines.select("l_orderkey", "n", F.posexplode("cells").alias("c", "text")).selectExpr("l_orderkey", "n * 10L + c AS ord", "text", "c * 100.0D AS x", "700.0D - n * 15 AS y", "length(text) * 5.0D AS width", "10.0D AS height")
     caption = lines.select("l_orderkey").distinct().selectExpr("l_orderkey", "0L AS ord", "concat('Table ', l_orderkey, ' lines') AS text", "0.0D AS x", "700.0D AS y", "90.0D AS width", "10.0D AS height")
     return cells.union(caption)
@@ -35,8 +35,8 @@ def tables_detect(spark, sf_dir):
 
 
 def abstract_from_index(spark, sf_dir):
-    """First 60 words of each document, through an inverted index and back."""
-    words = F.slice(F.split("text", " "), 1, 60)
+    """Each document's text, through an inverted index and back."""
+    words = F.split("text", " ")
     long = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     index = long.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return index.select("doc_id", records.abstract_from_index(F.col("index")).alias("abstract"))
@@ -50,9 +50,9 @@ def payload_pages(docs: DataFrame, path: str) -> None:
 
 
 def source_json(spark, sf_dir):
-    """Documents written as search payloads and read back by their reader; the bound is the oracle's."""
+    """Documents written as search payloads and read back by their reader."""
     path = f"{shared_dir(spark)}/payload-{uuid.uuid4().hex}"
-    payload_pages(table(spark, sf_dir, "documents").where("doc_id < 100"), path)
+    payload_pages(table(spark, sf_dir, "documents"), path)
     return records.semanticscholar(spark, path).select("source_record_id", "title", "venue", "citation_count", "year", "is_oa")
 
 
@@ -76,9 +76,9 @@ def stream_health_hourly(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (chunk_pages, tables_detect, abstract_from_index, source_json, page_links, stream_health_hourly)}
 
 ORACLE_SQL = {
-    "tables_detect": "WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1) SELECT l_orderkey, 'Table ' || l_orderkey || ' lines' AS caption, n::INT AS rows, 3 AS columns, 1.0::DOUBLE AS confidence FROM l WHERE n >= 3",
-    "abstract_from_index": "SELECT doc_id, array_to_string((string_split(text, ' '))[1:60], ' ') AS abstract FROM documents",
-    "source_json": "SELECT doc_id::VARCHAR AS source_record_id, string_split(text, chr(10))[1] AS title, NULL::VARCHAR AS venue, n_chars AS citation_count, (doc_id % 30 + 1990)::INT AS year, false AS is_oa FROM documents WHERE doc_id < 100",
+    "tables_detect": "WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, 'Table ' || l_orderkey || ' lines' AS caption, n::INT AS rows, 3 AS columns, 1.0::DOUBLE AS confidence FROM l WHERE n >= 3",
+    "abstract_from_index": "SELECT doc_id, nullif(text, '') AS abstract FROM documents WHERE text IS NOT NULL",
+    "source_json": "SELECT doc_id::VARCHAR AS source_record_id, string_split(text, chr(10))[1] AS title, NULL::VARCHAR AS venue, n_chars AS citation_count, (doc_id % 30 + 1990)::INT AS year, false AS is_oa FROM documents",
     "page_links": """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""",
     "stream_health_hourly": "SELECT user_id % 9 AS provider_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS bucket_start, count(*) AS snapshot_count, count(*) FILTER (event_type NOT IN ('error', 'purchase')) AS up_count, count(*) FILTER (event_type = 'error') AS down_count, round(avg(value), 6) AS avg_latency_ms FROM events GROUP BY ALL",
 }

@@ -40,7 +40,7 @@ def reconcile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = raw_work(spark, sf_dir)
     messy = F.concat(F.lit("  HTTPS://dx.doi.org/"), F.upper("doi"))
-    return works.select("ord", T.normalize_title(F.substring("abstract", 1, 400)).alias("title"), T.normalize_doi(messy).alias("doi"), T.surname(F.col("authors")).alias("surname"))
+    return works.select("ord", T.normalize_title(F.col("abstract")).alias("title"), T.normalize_doi(messy).alias("doi"), T.surname(F.col("authors")).alias("surname"))
 
 
 def work_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +99,10 @@ def synthesis_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether consecutive documents look like the same work: Jaccard of the words of their first 1000 characters, at least 0.3."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(F.split(T.normalize_title(F.substring("text", 1, 1000)), " "), lambda w: w != "")).alias("w"))
-    pairs = docs.join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("w").alias("v")), "doc_id")
-    value = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
-    return pairs.select("doc_id", F.round(value, 6).alias("jaccard"), (value >= 0.3).alias("same_work"))
+    """Whether consecutive documents look like the same work; some have no text, or no word in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 17 != 3, F.when(F.col("doc_id") % 17 < 2, " .").otherwise(F.col("text"))).alias("a"))
+    pairs = docs.join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    return pairs.select("doc_id", F.round(integrate.word_overlap(F.col("a"), F.col("b")), 6).alias("jaccard"), integrate.same_work(F.col("a"), F.col("b")).alias("same_work"))
 
 
 QUERIES = {f.__name__: f for f in (search_keyword, cluster_doi, cluster_fuzzy, reconcile_fields, normalize_fields, work_keys, filter_works, venue_facets, similar_works, semantic_rank, retrieve_vector, retrieve_lexical, synthesis_context, jaccard_guard)}
@@ -145,7 +144,7 @@ ORACLE_SQL = {
     "search_keyword": RANKED_SQL + "SELECT cluster, score, round(rel, 6) AS relevance, year, citation_count, n_sources FROM scored WHERE year >= 1995 AND coalesce(citation_count, 0) >= 5 ORDER BY score DESC, cluster LIMIT 20",
     "cluster_doi": f"WITH {RAW_WORK_SQL} SELECT ord, CASE WHEN doi IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY doi) END AS cluster FROM raw_work",
     "reconcile_fields": CANONICAL_SQL + "SELECT cluster, title, md5(abstract) AS abstract_md5, doi, author, year, venue, citation_count, is_oa, pdf_url, n_sources, source_ids, work_key FROM keyed",
-    "normalize_fields": f"WITH {RAW_WORK_SQL} SELECT ord, {_NORM.format('left(abstract, 400)')} AS title, lower(doi) AS doi, nullif({_AUTHOR}, '') AS surname FROM raw_work",
+    "normalize_fields": f"WITH {RAW_WORK_SQL} SELECT ord, {_NORM.format('abstract')} AS title, lower(doi) AS doi, nullif({_AUTHOR}, '') AS surname FROM raw_work",
     "work_keys": f"WITH {RAW_WORK_SQL} SELECT ord, CASE WHEN doi IS NOT NULL THEN 'doi:' || sha256('doi:' || doi) ELSE 'hash:' || sha256('hash:' || {_TITLE} || '|' || coalesce(year::VARCHAR, '') || '|' || {_AUTHOR} || '|' || {_VENUE}) END AS work_key FROM raw_work",
     "filter_works": CANONICAL_SQL + "SELECT cluster, year, citation_count FROM keyed WHERE year BETWEEN 2000 AND 2020 AND is_oa AND coalesce(citation_count, 0) >= 50 AND list_has_any(sources, ['crossref','pubmed','arxiv'])",
     "venue_facets": CANONICAL_SQL + "SELECT venue AS name, count(*) AS n FROM keyed WHERE venue IS NOT NULL GROUP BY venue ORDER BY n DESC, min(cluster) LIMIT 15",
@@ -158,7 +157,8 @@ s AS (SELECT source, doc_id, round(list_sum(list_transform(['tion','ation','only
 SELECT source, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 8""",
     "synthesis_context": RANKED_SQL + ", top AS (SELECT *, row_number() OVER (ORDER BY score DESC, cluster) AS n FROM scored ORDER BY score DESC, cluster LIMIT 8) SELECT string_agg('[' || n || '] ' || title || ' (' || coalesce(year::VARCHAR, 'n.d.') || ')', chr(10) || chr(10) ORDER BY n) AS context FROM top",
     "jaccard_guard": f"""
-WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split({_NORM.format('left(text, 1000)')}, ' '), lambda t: t <> '')) AS w FROM documents),
-p AS (SELECT a.doc_id, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM w a JOIN w b ON a.doc_id = b.doc_id + 1)
-SELECT doc_id, round(i / (s - i)::DOUBLE, 6) AS jaccard, i / (s - i)::DOUBLE >= 0.3 AS same_work FROM p""",
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 17 < 2 THEN ' .' WHEN doc_id % 17 <> 3 THEN text ELSE '' END AS text FROM documents),
+w AS (SELECT doc_id, list_distinct(list_filter(string_split({_NORM.format('left(text, 1000)')}, ' '), lambda t: t <> '')) AS w FROM t),
+p AS (SELECT a.doc_id, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s, len(a.w) > 0 AND len(b.w) > 0 AS told FROM w a JOIN w b ON a.doc_id = b.doc_id + 1)
+SELECT doc_id, CASE WHEN told THEN round(i / (s - i)::DOUBLE, 6) END AS jaccard, NOT told OR i / (s - i)::DOUBLE >= 0.3 AS same_work FROM p""",
 }
