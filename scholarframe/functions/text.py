@@ -134,6 +134,24 @@ def citation_markers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), 1), lambda k: trim(k))
 
 
+def marker_segments(text: Column) -> Column:
+    """The text cut at its [[key]] markers, in order: array<struct<kind, value>>, a citation's value its trimmed key; none of them empty."""
+    pieces = F.filter(F.split(text, r"(?=\[\[[^\]]+\]\])|(?<=\]\])"), lambda p: p != "")
+    key = lambda p: F.regexp_extract(p, r"^\[\[([^\]]+)\]\]$", 1)
+    return F.transform(pieces, lambda p: F.when(key(p) != "", F.struct(F.lit("citation").alias("kind"), trim(key(p)).alias("value"))).otherwise(F.struct(F.lit("text").alias("kind"), p.alias("value"))))
+
+
+def remap_markers(text: Column, tags: Column) -> Column:
+    """The text with the key of each [[tag]] marker that the map `tags` knows in place of the tag; others stay."""
+    known = lambda p: tags[p["value"]]
+    piece = lambda p: F.when(p["kind"] == "text", p["value"]).otherwise(F.concat(F.lit("[["), F.coalesce(F.nullif(known(p), F.lit("")), p["value"]), F.lit("]]")))
+    return F.array_join(F.transform(marker_segments(text), piece), "")
+
+
+def page_label(first: Column, last: Column) -> Column:
+    return F.when(first == last, F.format_string("page %d", first)).otherwise(F.format_string("pages %d-%d", first, last))
+
+
 def page_citations(text: Column) -> Column:
     """First pages of the [p. N] and [pp. N-M] citations, in order."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[pp?\.\s*(\d{1,4})(?:\s*[-–]\s*\d{1,4})?\]"), 1), lambda p: p.cast("int"))

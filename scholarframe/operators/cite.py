@@ -6,11 +6,11 @@ import json
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from scholarframe.functions.text import fold_accents, safe_stem, trim
+from scholarframe.functions.text import citation_markers, fold_accents, safe_stem, trim
 
 #: Words that mark an organisation's name.
 CORPORATE = "university|institute|organization|organisation|association|society|department|ministry|centre|center|consortium|group|committee|agency"
@@ -20,6 +20,16 @@ BIBTEX_TYPES = {"article-journal": "article", "paper-conference": "inproceedings
 RIS_TYPES = {"article-journal": "JOUR", "paper-conference": "CPAPER", "chapter": "CHAP", "book": "BOOK", "thesis": "THES", "report": "RPRT", "dataset": "DATA", "article": "JOUR", "document": "GEN"}
 
 
+def deck_references(bullets: DataFrame, works: DataFrame) -> DataFrame:
+    """(deck, number, work_key, title): the works that a deck's bullets cite, numbered by where each is cited first, ties by key.
+
+    bullets has deck, slide, bullet and text with [[key]] markers, works work_key and title; keys of no work count for nothing."""
+    said = bullets.select("deck", "slide", "bullet", F.posexplode(citation_markers(F.col("text"))).alias("i", "work_key"))
+    first = said.groupBy("deck", "work_key").agg(F.min(F.struct("slide", "bullet", "i")).alias("at"))
+    known = first.join(works.select("work_key", "title"), "work_key")
+    return known.withColumn("number", F.row_number().over(Window.partitionBy("deck").orderBy("at", "work_key"))).select("deck", "number", "work_key", "title")
+
+
 def _lookup(table: dict[str, str], key: Column, default: str) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key], F.lit(default))
 

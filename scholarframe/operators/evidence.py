@@ -22,6 +22,12 @@ def keep_quoted(findings: DataFrame) -> DataFrame:
     return findings.where(quote_appears(F.col("source"), F.col("quote")) & quote_appears(F.col("quote"), F.col("value")))
 
 
+def findings_once(findings: DataFrame, group: str, order: str) -> DataFrame:
+    """Each group's findings whose quote and value stand where they should, each field and value once, the first."""
+    kept = keep_quoted(findings)
+    return kept.withColumn("_k", F.row_number().over(Window.partitionBy(group, "field", "value").orderBy(order))).where("_k = 1").drop("_k")
+
+
 def interpretation_holds(grid: Column, header_row: Column, units: Column, description: Column) -> Column:
     """Header within the grid, a unit or null per column, every unit written in some cell, and a description."""
     cells = F.transform(F.flatten(grid), squeeze)

@@ -2,13 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarframe.functions.text import normalize_doi, trim
 from scholarframe.operators.components import connected_components
 from scholarframe.plans.tables import settle
 
 
+#: Fixed value: nodes that a graph holds.
+MAX_NODES = 150
+
+
+def reference_key(doi: Column, title: Column, year: Column) -> Column:
+    """A reference's node: by its DOI, else by a fingerprint of title and year, marked as unresolved."""
+    plain = normalize_doi(doi)
+    print_ = F.substring(F.sha2(F.concat(F.lower(trim(F.coalesce(title, F.lit("")))), F.lit("|"), F.coalesce(year.cast("string"), F.lit(""))), 256), 1, 24)
+    return F.when(plain.isNotNull(), F.concat(F.lit("doi:"), plain)).otherwise(F.concat(F.lit("unresolved:"), print_))
+
+
+def refs_to_graph(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of references: refs has root, kind (citing or cited), doi, title, year and ord.
+
+    A citing reference points at its root, a root at what it cites.  Repeats stay; `merge_graph` takes each once."""
+    own = refs.withColumn("id", reference_key(F.col("doi"), F.col("title"), F.col("year")))
+    doi = normalize_doi(F.col("doi"))
+    nodes = own.select("ord", "id", F.coalesce("title", doi, F.lit("Untitled")).alias("label"), doi.alias("doi"), "year", F.lit(False).alias("is_root"), doi.isNotNull().alias("resolved"), doi.isNotNull().alias("expandable"), F.lit(False).alias("expanded"))
+    citing = F.col("kind") == "citing"
+    return nodes, own.select("ord", F.when(citing, F.col("id")).otherwise(F.col("root")).alias("source"), F.when(citing, F.col("root")).otherwise(F.col("id")).alias("target"), "kind")
+
+
+def merge_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, capacity: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with new ones, each once, in the order of `ord`, up to `capacity` nodes; an edge to a node that found no room goes too.
+
+    Each table has ord; the limit is the graph's own, so the top nodes are few and known to be."""
+    room = max(0, capacity - nodes.count())
+    columns = nodes.columns
+    first = new_nodes.groupBy("id").agg(F.min_by(F.struct(*columns), "ord").alias("n")).select("n.*").join(nodes.select("id"), "id", "left_anti").select(*columns)
+    grown = nodes.unionByName(first.orderBy("ord", "id").limit(room))
+    known = edges.select("source", "target").distinct()
+    fresh = new_edges.groupBy("source", "target").agg(F.min_by(F.struct(*edges.columns), "ord").alias("e")).select("e.*").join(known, ["source", "target"], "left_anti")
+    return grown, edges.unionByName(induced(fresh, grown).select(*edges.columns))
+
+
+def mark_expanded(nodes: DataFrame, node: str) -> DataFrame:
+    return nodes.withColumn("expanded", F.col("expanded") | (F.col("id") == node))
+
+
+def at_capacity(nodes: DataFrame, capacity: int = MAX_NODES) -> DataFrame:
+    return nodes.agg((F.count("*") >= capacity).alias("full"))
+
+
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes' ids with the number of edges that point at them; the edge's source need not be a node."""
     counts = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("in_degree"))
@@ -31,9 +75,10 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts = components(nodes, edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
     counts = nodes.agg(F.count("*").alias("nodes"), F.count_if(~F.col("resolved")).alias("unresolved"))
-    cited = in_degree(nodes, edges).where("in_degree > 0").agg(F.max_by(F.struct("id", "in_degree"), F.struct("in_degree", F.lit(0))).alias("m"), F.max("in_degree").alias("most")).select("most")
+    # Of equally cited ones the smallest id; none where nothing is cited.
+    cited = in_degree(nodes, edges).where("in_degree > 0").agg(F.min_by(F.struct("id", "in_degree"), F.struct(-F.col("in_degree"), "id")).alias("m")).select("m.id", F.col("m.in_degree").alias("most"))
     links = edges.agg(F.count("*").alias("links"))
-    return counts.join(links).join(parts).join(cited).select("nodes", "links", "components", "largest", "unresolved", F.col("most").alias("most_cited_degree"))
+    return counts.join(links).join(parts).join(cited).select("nodes", "links", "components", "largest", "unresolved", F.col("id").alias("most_cited"), F.col("most").alias("most_cited_degree"))
 
 
 def year_layers(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarframe.functions.text import cosine, let, rank_tokens, retrieval_tokens
+from scholarframe.functions.text import cosine, let, page_label, rank_tokens, retrieval_tokens, trim
 from scholarframe.plans.views import NOW_YEAR
 
 MIN_SIMILARITY = 0.2
@@ -95,6 +95,26 @@ def lexical_score(tokens: list[str], content: Column) -> Column:
     return let(retrieval_tokens(content), of)
 
 
+def document_context(passages: DataFrame, group: str) -> DataFrame:
+    """(group, context): each group's passages in the order of `rank`, under headings that name their pages."""
+    block = F.concat(F.lit("["), page_label(F.col("page_start"), F.col("page_end")), F.lit("]\n"), trim(F.col("content")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", block.alias("block"))))
+    return passages.groupBy(group).agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n").alias("context"))
+
+
+def retrieve(passages: DataFrame, query: str, vector: list[float] | None, group: str, order: str, k: int = 8) -> DataFrame:
+    """Each group's k best passages: by cosine to the query's vector among those that have an embedding, and by terms
+    where a group has none, or there is no vector."""
+    lexical = top_passages(passages, [w for w in query.lower().split()], group, order, k)
+    if vector is None:
+        return lexical
+    embedded = passages.where("embedding is not null")
+    asked = F.array(*map(F.lit, vector))
+    near = embedded.withColumn("score", F.round(cosine(F.col("embedding"), asked), 6))
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), F.col(order)))).where(F.col("rank") <= k)
+    return best.unionByName(lexical.join(embedded.select(group).distinct(), group, "left_anti"))
+
+
 def top_passages(passages: DataFrame, tokens: list[str], group: str, order: str, k: int = 8) -> DataFrame:
     """Each group's k best passages with a positive score."""
     scored = passages.withColumn("score", F.round(lexical_score(tokens, F.col("content")), 6)).where("score > 0")

@@ -77,7 +77,7 @@ _FILTERED = f"WITH {GRAPH_SQL}, {_DEG}, kept AS (SELECT * FROM deg WHERE is_root
 ORACLE_SQL = {
     "graph_in_degree": f"WITH {GRAPH_SQL}, {_DEG} SELECT id, in_degree FROM deg",
     "graph_components": f"{_COMP} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp",
-    "graph_summary": f"{_COMP}, {_DEG} SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS links, count(DISTINCT component) AS components, (SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY component)) AS largest, (SELECT count(*) FROM node WHERE NOT resolved) AS unresolved, (SELECT max(in_degree) FROM deg) AS most_cited_degree FROM comp",
+    "graph_summary": f"{_COMP}, {_DEG} SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS links, count(DISTINCT component) AS components, (SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY component)) AS largest, (SELECT count(*) FROM node WHERE NOT resolved) AS unresolved, (SELECT arg_min(id, {{'d': -in_degree, 'i': id}}) FROM deg WHERE in_degree > 0) AS most_cited, (SELECT max(in_degree) FROM deg WHERE in_degree > 0) AS most_cited_degree FROM comp",
     "graph_year_layers": f"WITH {GRAPH_SQL} SELECT id, coalesce(year - (SELECT min(year) FROM node), -1) AS layer FROM node",
     "graph_shortest_path": f"WITH RECURSIVE {GRAPH_SQL}, p AS (SELECT 'c24' AS id, 0 AS hops, ['c24'] AS way UNION ALL SELECT target, hops + 1, list_append(way, target) FROM p JOIN edge ON source = p.id WHERE NOT list_contains(way, target)), best AS (SELECT way FROM p WHERE id = 'r1' ORDER BY hops, list_reverse(way) LIMIT 1) SELECT unnest(range(len(way))) AS position, unnest(way) AS id FROM best",
     "graph_hops": f"WITH RECURSIVE {GRAPH_SQL}, p AS (SELECT id, 0 AS hops FROM node WHERE is_root UNION SELECT source, hops + 1 FROM p JOIN edge ON target = p.id) SELECT id, min(hops) AS hops FROM p GROUP BY id",

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,55 @@ def pubmed(spark: SparkSession, summaries: str, abstracts: str) -> DataFrame:
     return _record(rows, "pubmed", source_record_id=F.col("uid"), doi=F.expr("lower(get(filter(articleids, i -> i.idtype = 'doi'), 0).value)"), title=F.col("title"), abstract=F.col("abstract"), authors=_names("authors", "a.name"), year=first_year(F.col("pubdate")), venue=F.coalesce("fulljournalname", "source"))
 
 
+#: Rows of a page that a source gives at most.
+PAGE_SIZES = {"openalex": 50, "crossref": 50, "europepmc": 50, "doaj": 50, "semanticscholar": 50, "core": 100}
+
+
+def page_window(source: str, page: Column, per_page: Column) -> Column:
+    """(limit, offset) of a page of a source, pages from 1; null asks for the first page, of 20 rows."""
+    limit = F.least(F.coalesce(per_page, F.lit(20)), F.lit(PAGE_SIZES.get(source, 50)))
+    return F.struct(limit.cast("long").alias("limit"), ((F.coalesce(page, F.lit(1)) - 1) * limit).cast("long").alias("offset"))
+
+
+def year_filter(source: str, year_from: Column, year_to: Column, this_year: int) -> Column:
+    """The source's own words for a range of years; null where none is asked for."""
+    asked = F.coalesce(year_from, year_to).isNotNull()
+    first, last = F.coalesce(year_from, F.lit(1000)).cast("string"), F.coalesce(year_to, F.lit(this_year)).cast("string")
+    if source == "crossref":
+        parts = (F.concat(F.lit("from-pub-date:"), year_from.cast("string"), F.lit("-01-01")), F.concat(F.lit("until-pub-date:"), year_to.cast("string"), F.lit("-12-31")))
+        return F.when(asked, F.concat_ws(",", *parts))
+    if source == "doaj":
+        return F.when(asked, F.concat(F.lit("bibjson.year:["), first, F.lit(" TO "), last, F.lit("]")))
+    return F.when(asked, F.concat(F.lit("publication_year:"), first, F.lit("-"), last))
+
+
+def opencitations(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(doi, title, year) of a list of citing or cited works, DOIs only."""
+    rows = spark.read.schema("citing string, cited string").option("multiLine", True).json(path)
+    return rows.select(F.col(kind).alias("doi"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("year")).where("doi is not null")
+
+
+def semanticscholar_edges(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(doi, title, year) of a list of citing or cited papers; entries without a paper go."""
+    paper = f"{kind}Paper"
+    rows = _json(spark, path, f"data array<struct<{paper}:struct<title:string,year:int,externalIds:struct<DOI:string>>>>", "data").where(f"{paper} is not null")
+    return rows.select(F.col(f"{paper}.externalIds.DOI").alias("doi"), F.col(f"{paper}.title").alias("title"), F.col(f"{paper}.year").alias("year"))
+
+
+def publications(spark: SparkSession, path: str) -> DataFrame:
+    """(id, kind, title, year) of an author's works; ids are bare, entries without one go."""
+    rows = _json(spark, path, "results array<struct<id:string,display_name:string,publication_year:int>>", "results").where("id <> ''")
+    return rows.select(F.regexp_replace("id", r"^https?://openalex\.org/", "").alias("id"), F.lit("publication").alias("kind"), F.coalesce("display_name", F.lit("Untitled work")).alias("title"), F.col("publication_year").alias("year"))
+
+
+def peer_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """(id, kind, title, year) of a person's reviews, out of three nested levels; entries without a number go."""
+    summary = "struct<`put-code`:bigint,`completion-date`:struct<year:struct<value:string>>>"
+    groups = _json(spark, path, f"group array<struct<`peer-review-group`:array<struct<`peer-review-summary`:array<{summary}>>>>>", "group")
+    flat = groups.select(F.explode("peer-review-group").alias("g")).select(F.explode("g.peer-review-summary").alias("s")).where("s.`put-code` is not null")
+    return flat.select(F.col("s.put-code").cast("string").alias("id"), F.lit("peer_review").alias("kind"), F.lit("Peer review").alias("title"), F.col("s.completion-date.year.value").try_cast("int").alias("year"))
+
+
 READERS = {"openalex": openalex, "crossref": crossref, "europepmc": europepmc, "doaj": doaj, "semanticscholar": semanticscholar, "core": core, "unpaywall": unpaywall, "arxiv": arxiv}
 
 
@@ -108,10 +159,10 @@ def fan_out(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, Data
     for source, path in paths.items():
         try:
             rows = READERS[source](spark, path)
-            rows.limit(1).count()
+            rows.limit(1).collect()  # a whole row, so that it is parsed
             found.append(rows)
             status.append((source, "ok", None))
-        except Exception as error:
+        except (AnalysisException, Py4JJavaError, PySparkException, KeyError) as error:
             status.append((source, "error", type(error).__name__))
     empty = spark.createDataFrame([], f"source_id string, source_record_id string, doi string, title string, abstract string, authors {AUTHORS}, year int, venue string, citation_count bigint, is_oa boolean, pdf_url string, landing_page_url string")
     return reduce(DataFrame.unionByName, found, empty), spark.createDataFrame(status, "source_id string, status string, error string")
