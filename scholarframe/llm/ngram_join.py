@@ -50,6 +50,8 @@ from scholarframe.plans.tables import settle
 CLASSES = (64, 4096)
 #: Tokens of a group that a prefix has, more or less.
 GROUP = 8
+#: Bits of the sieve of document ids, as a power of two: 8 MB, whatever the table.
+SIEVE_BITS = 26
 #: Rows of one Arrow batch of (token, document) pairs, more or less.
 FLUSH = 1 << 18
 
@@ -228,6 +230,19 @@ def _candidates(known: DataFrame, sized: DataFrame, size: int, percent: int) ->
     return sized.where("n > 0").join(counted.where("times > 0"), F.col("doc_id") == F.col("id")).where(may).select("doc_id", "n", "fp", "times")
 
 
+def _sieved(docs: DataFrame, ids: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """Rows of docs whose doc_id may be among `ids`: a bit for the hash of each, in blocks that are broadcast.
+
+    It only spares the join that follows most texts that it would drop; the blocks have 2 ** bits bits at most."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    block, place = F.shiftright(slot, 15), slot.bitwiseAND(F.lit(32767).cast("long"))
+    blocks = ids.select(block.alias("block"), place.alias("place")).groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    known = F.expr("shiftright(byte, cast(place % 8 AS int)) & 1") == 1
+    told = docs.select("doc_id", "text", block.alias("block"), place.alias("place")).join(F.broadcast(blocks), "block")
+    return told.withColumn("byte", byte).where(known).select("doc_id", "text")
+
+
 def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes: tuple[int, ...] = CLASSES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document: component_id is the smallest doc_id that links reach.
 
@@ -241,7 +256,8 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes:
     able = settle(_candidates(docs.where("doc_id is not null"), sized, size, percent), "able")
     # Equal sets are one class; only its smallest document goes on.
     reps = settle(able.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
-    asked = docs.join(reps.select(F.col("rep").alias("doc_id"), "fp"), "doc_id")
+    wanted = reps.select(F.col("rep").alias("doc_id"), "fp")
+    asked = _sieved(docs, wanted).join(wanted, "doc_id")
     sets = settle(asked.mapInArrow(lambda it: _numbered_sets(it, size), _SETS), "sets")
 
     # Frequencies, and each set's tokens that others hold.

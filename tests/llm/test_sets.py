@@ -77,6 +77,17 @@ def test_ngram_odd_rows(spark):
     assert ngram_join.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_sieve_keeps_every_id_asked_for(spark):
+    """Also where hashes share bits; with room it drops most others, null ids among them."""
+    docs = spark.range(4000).selectExpr("if(id = 17, null, id * 7 - 5000) AS doc_id", "'t' AS text")
+    ids = docs.where("doc_id % 9 = 0").select("doc_id")
+    want = {r.doc_id for r in ids.collect()}
+    kept = {r.doc_id for r in ngram_join._sieved(docs, ids).collect()}
+    assert want <= kept and len(kept - want) <= 5 and None not in kept
+    assert want <= {r.doc_id for r in ngram_join._sieved(docs, ids, bits=16).collect()}
+    assert ngram_join._sieved(docs, ids.limit(0)).count() == 0
+
+
 def linked(x, y, percent):
     common = len(x & y)
     return 100 * common >= percent * (len(x) + len(y) - common)
