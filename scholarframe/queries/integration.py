@@ -46,7 +46,7 @@ def search_cache_keys(spark, sf_dir):
     """Cache keys of the benchmark's whole texts as queries: the same for any case and outer blanks."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("  "), F.translate("text", "aeiou", "AEIOU"), F.lit(" ")).alias("q"), F.col("text").alias("p"))
     key = lambda c: T.search_key(F.col(c), F.struct(F.lit(1).alias("oa")))
-    return rows.select("item_id", key("p").alias("key"), (key("q") == key("p")).alias("same"))
+    return rows.select("item_id", key("q").alias("asked"), key("p").alias("key")).select("item_id", "key", (F.col("asked") == F.col("key")).alias("same"))
 
 
 def _bibliographic(spark, sf_dir):
