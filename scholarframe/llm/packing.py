@@ -24,8 +24,9 @@ from scholarframe.plans.tables import settle
 
 #: Bytes of text tokenised at once.
 SLICE = 4 << 20
-#: Words whose ids a worker remembers, some 200 bytes each; the memory is emptied when it is full.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, some 200 bytes each, in two halves: when the younger half is full the older one
+#: goes, and words that were met meanwhile have moved on into the younger.
+REMEMBERED = 600_000
 #: Pieces of a packing group, more or less.
 GROUP_PIECES = 8_192
 _SEPARATOR = "|"
@@ -45,7 +46,7 @@ def _tokenizer(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         (mark,) = tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids if _by_words(json.loads(tokenizer.to_str())) else (None,)
-        _loaded[path] = tokenizer, mark, {}
+        _loaded[path] = tokenizer, mark, [{}, {}]
     return _loaded[path]
 
 
@@ -97,10 +98,14 @@ def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _CLOSING, r"\1 \2\3"))
     coded = words.flatten().dictionary_encode()
     distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    if len(known) > REMEMBERED:
-        known.clear()
-    _learn([w for w in distinct if w not in known], tokenizer, mark, known)
-    own = [known[w] for w in distinct]
+    young, old = known
+    lacking = [w for w in distinct if w not in young]
+    if len(young) + len(lacking) > REMEMBERED // 2:
+        known[:] = young, old = {}, young
+        lacking = distinct
+    young.update((w, old[w]) for w in lacking if w in old)
+    _learn([w for w in lacking if w not in young], tokenizer, mark, young)
+    own = [young[w] for w in distinct]
     sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
     flat = np.frombuffer(b"".join(own), np.uint32)
     begin, many = (np.cumsum(sizes) - sizes)[code], sizes[code]

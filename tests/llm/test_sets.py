@@ -153,6 +153,20 @@ def test_token_ids_equal_the_tokenizers():
     assert [x.tolist() for x in packing.token_ids(pa.array(ODD, pa.string())[3:6], tokenizer_path())] == [direct_ids(t) for t in ODD[3:6]]
 
 
+def test_token_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    """Words that go, stay by moving on, or come back have the same ids, and the memory keeps its bound."""
+    from tokenizers import Tokenizer
+
+    rng, own = random.Random(21), Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    monkeypatch.setattr(packing, "_loaded", {})
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["common", "words", f"w{rng.randint(0, 90)}", f"x|{rng.randint(0, 9)}", "Ünd."]) for _ in range(rng.randint(0, 9))) for _ in range(2)]
+        assert [x.tolist() for x in packing.token_ids(pa.array(texts), tokenizer_path())] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+        _, _, known = packing._loaded[tokenizer_path()]
+        assert all(len(half) <= 20 for half in known)
+
+
 def test_sum_of_squares_places_by_the_rule():
     rng = random.Random(8)
     for limit in (7, 30):
