@@ -63,14 +63,13 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed edges, source cites target: nation to region, supplier and customer to nation, where the keys leave no island whole."""
+    """Directed edges, source cites target, one of each nation to its region, supplier to its nation, customer to its nation or, each eighth one, to a supplier."""
     t = lambda n: table(spark, sf_dir, n)
-    edge = lambda df, a, x, b, y: df.selectExpr(f"concat('{a}', {x}) AS source", f"concat('{b}', {y}) AS target")
+    edge = lambda df, source, target: df.selectExpr(f"{source} AS source", f"{target} AS target")
     return (
-        edge(t("nation").where("n_nationkey % 6 <> 5"), "n", "n_nationkey", "r", "n_regionkey")
-        .union(edge(t("supplier").where("s_suppkey % 9 <> 0"), "s", "s_suppkey", "n", "s_nationkey"))
-        .union(edge(t("customer").where("c_custkey % 8 <> 0"), "c", "c_custkey", "n", "c_nationkey"))
-        .union(edge(t("customer").where("c_custkey % 16 = 8"), "c", "c_custkey", "s", "c_custkey % 10 + 1"))
+        edge(t("nation"), "concat('n', n_nationkey)", "concat('r', n_regionkey)")
+        .union(edge(t("supplier"), "concat('s', s_suppkey)", "concat('n', s_nationkey)"))
+        .union(edge(t("customer"), "concat('c', c_custkey)", "case when c_custkey % 8 = 0 then concat('s', c_custkey % 10 + 1) else concat('n', c_nationkey) end"))
     )
 
 
@@ -81,8 +80,7 @@ node AS (
   UNION ALL SELECT 's' || s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE (2000 + s_suppkey % 20)::INT END, false, s_suppkey % 5 <> 0 FROM supplier
   UNION ALL SELECT 'c' || c_custkey, c_name, (2005 + c_custkey % 18)::INT, false, c_custkey % 7 <> 0 FROM customer),
 edge AS (
-  SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation WHERE n_nationkey % 6 <> 5
-  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_suppkey % 9 <> 0
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 8 <> 0
-  UNION ALL SELECT 'c' || c_custkey, 's' || (c_custkey % 10 + 1) FROM customer WHERE c_custkey % 16 = 8)
+  SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+  UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 8 = 0 THEN 's' || (c_custkey % 10 + 1) ELSE 'n' || c_nationkey END FROM customer)
 """
