@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import chat, decontaminate, licenses, line_dedup, packing, quality, toxicity, urls, warc
+from scholarframe.llm import chat, decontaminate, fill_middle, licenses, line_dedup, packing, quality, toxicity, urls, warc
 from scholarframe.llm.ngram_join import jaccard_classes
 from scholarframe.plans.tables import shared_dir, table
 
@@ -91,6 +91,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, folder).drop("url")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut in three and reordered, as digests of the output and of the text rebuilt from it; a null text is an empty one."""
+    return fill_middle.digests(fill_middle.fill_middle(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
+    "op11_fill_middle": op11_fill_middle,
     "pipeline": pipeline,
     "license_base": license_base,
     "url_rules": url_rules,
@@ -185,6 +191,22 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN last <> page_id THEN last END AS refers_to
 FROM p LEFT JOIN last USING (html)
+""",
+    "op11_fill_middle": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id::VARCHAR) AS d FROM documents),
+drawn AS (
+  SELECT *, len(u)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(d, k, 8))::BIGINT) AS h FROM units),
+cuts AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
 """,
     "license_base": r"""
 WITH words AS (
