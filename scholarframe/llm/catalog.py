@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.llm import chat, decontaminate, fill_middle, licenses, line_dedup, packing, quality, toxicity, urls, warc
+from scholarframe.llm import chat, decontaminate, fill_middle, licenses, line_dedup, packing, periodic, quality, toxicity, urls, warc
 from scholarframe.llm.ngram_join import jaccard_classes
 from scholarframe.plans.tables import shared_dir, table
 
@@ -96,6 +96,12 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, a tenth of them with a planted loop; a null text has no words."""
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digests(periodic.periodic_runs(docs.select("doc_id", periodic.looped(F.col("text"), F.col("doc_id")).alias("text"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op10_warc": op10_warc,
     "op11_fill_middle": op11_fill_middle,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": pipeline,
     "license_base": license_base,
     "url_rules": url_rules,
@@ -207,6 +214,38 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
   sha256(text) AS restored_sha256
 FROM parts
+""",
+    "op12_periodic_runs": r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+hashed AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) AS h
+  FROM documents CROSS JOIN crc),
+drawn AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM hashed),
+listed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM drawn),
+placed AS (
+  SELECT doc_id, n, unnest(range(n)) AS i, CASE WHEN h % 10 = 0 THEN g % n ELSE n END AS a, g FROM drawn WHERE n > 0),
+said AS (
+  SELECT p.doc_id, p.n, p.i, l.word FROM placed p JOIN listed l
+    ON l.doc_id = p.doc_id AND l.i = CASE WHEN p.i < p.a THEN p.i ELSE p.a + (p.i - p.a) % (1 + (p.n - p.a) // (3 + p.g % 8)) END),
+fives AS (
+  SELECT doc_id, n, i, word || ' ' || lead(word, 1) OVER t || ' ' || lead(word, 2) OVER t || ' ' || lead(word, 3) OVER t || ' ' || lead(word, 4) OVER t AS f
+  FROM said WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (
+  SELECT p.doc_id, p.i, q.i - p.i AS lag FROM fives p JOIN fives q ON p.doc_id = q.doc_id AND p.f = q.f AND q.i > p.i AND 4 * (q.i - p.i) <= p.n),
+islands AS (SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, lag, min(i) AS start, count(*) + 4 + lag AS length FROM islands GROUP BY doc_id, lag, island),
+runs AS (SELECT doc_id, start, length, min(lag) AS period FROM stretches WHERE length >= greatest(6, 4 * lag) GROUP BY doc_id, start, length),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM said ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, l.start::BIGINT AS start, l.length::BIGINT AS length, l.period::BIGINT AS period, (1000 * l.length // l.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id LEFT JOIN longest l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """,
     "license_base": r"""
 WITH words AS (
