@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scholarframe.llm import chat, decontaminate, fill_middle, licenses, line_dedup, packing, periodic, quality, toxicity, urls, warc
 from scholarframe.llm.ngram_join import jaccard_classes
+from scholarframe.llm.simhash import simhash_classes
 from scholarframe.plans.tables import shared_dir, table
 
 
@@ -102,6 +103,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(docs.select("doc_id", periodic.looped(F.col("text"), F.col("doc_id")).alias("text"))))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents whose fingerprints of four-word shingles differ in four bits or fewer; texts without words have fingerprint 0."""
+    return simhash_classes(table(spark, sf_dir, "documents"), size=4, most=4)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_fill_middle": op11_fill_middle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_simhash": op13_simhash,
     "pipeline": pipeline,
     "license_base": license_base,
     "url_rules": url_rules,
