@@ -19,7 +19,9 @@ e = n - ceil(percent * n / 100) of them in a link.
    ones of the next power is indexed with theirs too.
 4. Signatures of rare tokens have at most `classes[0]` members: they are joined with themselves.  Members of
    another signature are first compared with its member that has lost the fewest tokens before it; only
-   members that this leaves in different components are compared with each other, within bands of sizes that can link.
+   members that this leaves in different components are compared with each other, within bands of sizes that can link; in a
+   crowd of more than `crowd`, sets that are made of the same long passages meet in longer combinations of whole passages
+   instead (crowds.py), so templates don't make all their texts candidates of each other.
    A pair is dropped where what follows the signature in either order, and k - 1 tokens of each group before it,
    are too few for a link, which holds for no linked pair at its first common signature.
    Candidates are verified on all their shared tokens.
@@ -31,7 +33,6 @@ n * n / 2 ** 64 for sets of n tokens (5e-14 for a thousand tokens).
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -42,12 +43,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholarframe.llm.crowds import FEW, band, crowd_candidates, elements
 from scholarframe.llm.shingles import mix, token_sets
 from scholarframe.operators.components import connected_components
 from scholarframe.plans.tables import settle
 
 #: Upper bounds of the frequency classes but the last; the class at place i indexes combinations of i + 1 tokens.
 CLASSES = (64, 4096)
+#: Members of a signature beyond which those made of few heavy elements are compared by elements.
+CROWD = 16
 #: Tokens of a group that a prefix has, more or less.
 GROUP = 8
 #: Bits of the sieve of document ids, as a power of two: 8 MB, whatever the table.
@@ -243,7 +247,7 @@ def _sieved(docs: DataFrame, ids: DataFrame, bits: int = SIEVE_BITS) -> DataFram
     return told.withColumn("byte", byte).where(known).select("doc_id", "text")
 
 
-def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes: tuple[int, ...] = CLASSES) -> DataFrame:
+def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes: tuple[int, ...] = CLASSES, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document: component_id is the smallest doc_id that links reach.
 
     docs has doc_id (long) and text (string); other columns are ignored.  A null or empty text
@@ -288,16 +292,24 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes:
 
     placed = signs.join(parts, F.col("ref") == F.col("id"), "left").withColumn("at", F.coalesce("component", "ref"))
     placed = postings(placed, "often", "", "at")
-    mixed = placed.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
-    apart = settle(placed.join(mixed, "sig"), "apart")
+    mixed = placed.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    apart = settle(placed.join(mixed.select("sig", (F.col("members") > crowd).alias("crowded")), "sig"), "apart")
     if not apart.isEmpty():
-        # Sizes that can link are in one band or in two next to each other; the smaller set asks in both.
-        band = F.floor(F.log(F.col("n") + 0.0) / math.log(101 / percent)).cast("int")
-        side = lambda x, bands: apart.withColumn("band", bands).toDF("sig", *(f"{c}{x}" for c in ("", "n", "left", "at")), "band")
-        smaller = side("a", F.explode(F.array(band, band + 1)))
+        # Sets of crowds that are made of few heavy elements are compared by those; pairs of others by the signatures.
+        crowds = apart.where("crowded").select("ref", "at").distinct()
+        listed = elements(sets.join(crowds.select("ref"), "ref", "left_semi"), percent)
+        listed = settle(listed.where(F.size(F.filter("el", lambda e: e["before"] <= F.col("budget"))) <= FEW).join(crowds, "ref"), "heavy")
+        by_elements = crowd_candidates(listed, percent)
+        apart = apart.join(listed.select("ref", F.lit(True).alias("known")), "ref", "left")
+        heavy = F.col("crowded") & F.coalesce("known", F.lit(False))
+        side = lambda x, bands, slots: apart.select("sig", bands.alias("band"), slots.alias("slot"), *(F.col(c).alias(f"{t}{x}") for c, t in (("ref", ""), ("n", "n"), ("left", "left"), ("at", "at"))))
+        own = band(F.col("n"), percent)
+        # The smaller set asks in its own band and the next; two heavy sets of a crowd have no slot in common.
+        smaller = side("a", F.explode(F.array(own, own + 1)), F.when(heavy, 1).otherwise(0))
+        larger = side("b", own, F.when(heavy | ~F.col("crowded"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).withColumn("slot", F.explode("slot"))
         first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        across = smaller.join(side("b", band), ["sig", "band"]).where(first & (F.col("ata") != F.col("atb")) & may_link).select("a", "b").distinct()
-        more = settle(_linked(across, signs, percent), "links")
+        across = smaller.join(larger, ["sig", "band", "slot"]).where(first & (F.col("ata") != F.col("atb")) & may_link).select("a", "b")
+        more = settle(_linked(across.union(by_elements).distinct(), signs, percent), "links")
         if not more.isEmpty():
             parts = connected_components(links.union(more), "a", "b")
 

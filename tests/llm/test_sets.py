@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scholarframe.llm import ngram_join, packing, shingles, warc
+from scholarframe.llm import crowds, ngram_join, packing, shingles, warc
 from scholarframe.llm.catalog import tokenizer_path
 
 
@@ -70,6 +70,48 @@ def test_ngram_classes_brute(spark, size, percent, classes):
     assert sorted((tuple(r) for r in got), key=str) == brute_classes(rows, size, percent)
 
 
+def templated(seed, many, pool=40, of=12, length=30, edits=0):
+    """Texts of some passages out of a pool, in order, words in between of their own; with edits, some are near copies."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}x{i}" for i in range(length)] for k in range(pool)]
+    rows = []
+    for i in range(many):
+        if edits and rows and rng.random() < 0.3:
+            words = rows[rng.randrange(len(rows))].split()
+            for _ in range(rng.randint(0, edits)):
+                words[rng.randrange(len(words))] = f"e{i}x{rng.random()}"
+        else:
+            words = [w for k in sorted(rng.sample(range(pool), of)) for w in passages[k]]
+        rows.append(" ".join(words))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("seed", "pool", "of", "edits", "crowd", "leaf", "percent"), [(1, 8, 5, 6, 2, 2, 85), (2, 6, 4, 20, 4, 3, 85), (3, 12, 3, 4, 2, 8, 60), (4, 5, 4, 9, 1, 1, 80)])
+def test_crowds_by_elements_brute(spark, monkeypatch, seed, pool, of, edits, crowd, leaf, percent):
+    """Templates whose texts share most passages: all signatures are crowded, and sets meet by whole passages."""
+    rows = templated(seed, 90, pool, of, 12, edits) + near_copies(seed)[:20]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    used = []
+    monkeypatch.setattr(ngram_join, "crowd_candidates", lambda listed, p: used.append(listed.count()) or crowds.crowd_candidates(listed, p, leaf))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.jaccard_classes(df, 4, percent, (2, 30), crowd).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_classes(rows, 4, percent)
+    assert used and used[0] > 10
+
+
+def test_templates_don_t_make_all_pairs(spark, monkeypatch):
+    """Of passages shared by three tenths of all texts no two texts link, and candidates grow with the texts and not with their square."""
+    linked, tried = ngram_join._linked, []
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, signs, percent: tried.append(pairs.count()) or linked(pairs, signs, percent))
+    counts = []
+    for many in (600, 1200, 2400):
+        tried.clear()
+        df = spark.createDataFrame(templated(many, many), "doc_id long, text string")
+        assert ngram_join.jaccard_classes(df).where("component_id <> doc_id").isEmpty()
+        counts.append(sum(tried))
+    assert counts[1] <= 2.3 * counts[0] and counts[2] <= 2.3 * counts[1], counts
+
+
 def test_ngram_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "p q r s t"), (2, "A B C D E"), (None, "a b c d e"), (3, "p q r s t"), (None, None), (3, "p q r s t"), (4, "P q r s t")]
     got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
