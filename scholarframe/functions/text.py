@@ -134,11 +134,31 @@ def citation_markers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), 1), lambda k: trim(k))
 
 
+#: A citation marker, [[key]]; brackets that make none are text.
+MARKER = r"\[\[([^\]]+)\]\]"
+
+
+def marker_runs(text: Column) -> Column:
+    """The text cut at its markers: array<struct<text, mark, key>>, what stands before each marker, the marker as it is written and
+    its trimmed key; the last has the rest and nulls.  Both parts come from the same matches, so the runs joined are the text."""
+    marks = lambda t, group: F.regexp_extract_all(t, F.lit(MARKER), group)
+    run = lambda t: F.transform(F.split(t, MARKER), lambda piece, i: F.struct(piece.alias("text"), F.get(marks(t, 0), i).alias("mark"), trim(F.get(marks(t, 1), i)).alias("key")))
+    return let(text, run)
+
+
 def marker_segments(text: Column) -> Column:
-    """The text cut at its [[key]] markers, in order: array<struct<kind, value>>, a citation's value its trimmed key; none of them empty."""
-    pieces = F.filter(F.split(text, r"(?=\[\[[^\]]+\]\])|(?<=\]\])"), lambda p: p != "")
-    key = lambda p: F.regexp_extract(p, r"^\[\[([^\]]+)\]\]$", 1)
-    return F.transform(pieces, lambda p: F.when(key(p) != "", F.struct(F.lit("citation").alias("kind"), trim(key(p)).alias("value"))).otherwise(F.struct(F.lit("text").alias("kind"), p.alias("value"))))
+    """The text cut at its [[key]] markers, in order: array<struct<kind, value>>, a citation's value its trimmed key; no text is empty.
+    A null text has null segments, an empty one none."""
+    said = lambda r: F.struct(F.lit("text").alias("kind"), r["text"].alias("value"))
+    cited = lambda r: F.struct(F.lit("citation").alias("kind"), r["key"].alias("value"))
+    both = F.flatten(F.transform(marker_runs(text), lambda r: F.array(said(r), cited(r))))
+    return F.filter(both, lambda s: s["value"].isNotNull() & ((s["kind"] == "citation") | (s["value"] != "")))
+
+
+def keep_markers(text: Column, permitted: Column) -> Column:
+    """The text without the markers whose key is not in the array `permitted`."""
+    known = lambda r: F.when(F.array_contains(permitted, r["key"]), r["mark"]).otherwise("")
+    return F.array_join(F.transform(marker_runs(text), lambda r: F.concat(r["text"], F.coalesce(known(r), F.lit("")))), "")
 
 
 def remap_markers(text: Column, tags: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarframe.functions.text import citation_markers, csv_field, sentences, trim
+from scholarframe.functions.text import citation_markers, csv_field, keep_markers, sentences, trim
 
 
 def squeeze(text: Column) -> Column:
@@ -28,6 +28,14 @@ def findings_once(findings: DataFrame, group: str, order: str) -> DataFrame:
     return kept.withColumn("_k", F.row_number().over(Window.partitionBy(group, "field", "value").orderBy(order))).where("_k = 1").drop("_k")
 
 
+def known_only(rows: DataFrame, key: str, names: str, known: DataFrame, name: str) -> DataFrame:
+    """(key, names): of each row's array `names` those that `known` has, in order, repeats kept; none gives an empty array."""
+    one = rows.select(key, F.posexplode_outer(names).alias("_i", "_n"))
+    met = one.join(known.select(F.col(name).alias("_n"), F.lit(True).alias("_known")).distinct(), "_n", "left")
+    kept = F.sort_array(F.collect_list(F.when(F.col("_known"), F.struct("_i", "_n"))))
+    return met.groupBy(key).agg(F.transform(kept, lambda x: x["_n"]).alias(names))
+
+
 def interpretation_holds(grid: Column, header_row: Column, units: Column, description: Column) -> Column:
     """Header within the grid, a unit or null per column, every unit written in some cell, and a description."""
     cells = F.transform(F.flatten(grid), squeeze)
@@ -36,12 +44,13 @@ def interpretation_holds(grid: Column, header_row: Column, units: Column, descri
 
 
 def validate_draft(drafts: DataFrame, key: str, text: str, allowed: list[str]) -> DataFrame:
-    """Per draft: kept sentences, foreign markers taken out, and how many sentences and citations were dropped."""
-    permitted = F.array(*map(F.lit, allowed))
+    """Per draft: kept sentences, foreign markers taken out, and how many sentences and citations were dropped.
+
+    Keys are compared as they are, whatever characters they hold; without any allowed key every sentence goes."""
+    permitted = F.array(*map(F.lit, allowed)).cast("array<string>")
     one = drafts.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
     cited = one.withColumn("all", citation_markers(F.col("sentence"))).withColumn("kept", F.filter("all", lambda k: F.array_contains(permitted, k)))
-    names = "|".join(allowed)
-    clean = F.trim(F.regexp_replace(F.regexp_replace("sentence", rf"\[\[(?!\s*(?:{names})\s*\]\])[^\]]+\]\]", ""), r"\s{2,}", " "))
+    clean = trim(F.regexp_replace(keep_markers(F.col("sentence"), permitted), r"\s{2,}", " "))
     kept = F.when(F.size("kept") > 0, F.struct("pos", clean.alias("s")))
     return cited.groupBy(key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["s"]), "\n").alias("text"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarframe.functions.text import cosine, let, page_label, rank_tokens, retrieval_tokens, trim
+from scholarframe.functions.text import RANK_STOPWORDS, RETRIEVAL_STOPWORDS, _folding, cosine, let, page_label, rank_tokens, retrieval_tokens, trim
 from scholarframe.plans.views import NOW_YEAR
 
 MIN_SIMILARITY = 0.2
@@ -13,10 +15,6 @@ MIN_SIMILARITY = 0.2
 
 def query_tokens(query: str) -> list[str]:
     """A query's distinct tokens, folded on the driver the way `rank_tokens` folds columns."""
-    import re
-
-    from scholarframe.functions.text import RANK_STOPWORDS, _folding
-
     one, to, several = _folding()
     text = query.lower().translate(str.maketrans(one, to))
     text = "".join(several.get(char, char) for char in text)
@@ -82,6 +80,12 @@ def similar_vectors(vectors: DataFrame, seed: int, k: int = 10, key: str = "vec_
     return near.orderBy(F.col("similarity").desc(), key).limit(min(25, k))
 
 
+def lexical_tokens(query: str) -> list[str]:
+    """A query's distinct tokens, cut on the driver the way `retrieval_tokens` cuts columns."""
+    words = re.split("[^a-z0-9]+", query.lower())
+    return list(dict.fromkeys(w for w in words if len(w) > 2 and w not in RETRIEVAL_STOPWORDS))
+
+
 def lexical_score(tokens: list[str], content: Column) -> Column:
     """Sum over distinct query tokens of 1 + ln(tf), over the root of the passage's token count."""
 
@@ -104,14 +108,15 @@ def document_context(passages: DataFrame, group: str) -> DataFrame:
 
 def retrieve(passages: DataFrame, query: str, vector: list[float] | None, group: str, order: str, k: int = 8) -> DataFrame:
     """Each group's k best passages: by cosine to the query's vector among those that have an embedding, and by terms
-    where a group has none, or there is no vector."""
-    lexical = top_passages(passages, [w for w in query.lower().split()], group, order, k)
+    where a group has none, or there is no vector; `lexical` tells which, since their scores don't compare."""
+    lexical = top_passages(passages, lexical_tokens(query), group, order, k).withColumn("lexical", F.lit(True))
     if vector is None:
         return lexical
     embedded = passages.where("embedding is not null")
     asked = F.array(*map(F.lit, vector))
     near = embedded.withColumn("score", F.round(cosine(F.col("embedding"), asked), 6))
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), F.col(order)))).where(F.col("rank") <= k)
+    best = best.withColumn("lexical", F.lit(False))
     return best.unionByName(lexical.join(embedded.select(group).distinct(), group, "left_anti"))
 
 

@@ -52,7 +52,7 @@ def search_cache_keys(spark, sf_dir):
 def _bibliographic(spark, sf_dir):
     block = F.struct((F.col("ord") % 40).cast("string").alias("volume"), F.when(F.col("ord") % 2 == 0, (F.col("ord") % 9).cast("string")).alias("issue"))
     works = raw_work(spark, sf_dir).withColumn("biblio", F.when(F.col("ord") % 3 != 1, block))
-    return works.withColumn("cluster", F.col("ord") % 50)
+    return works.withColumn("cluster", F.floor(F.col("ord") / 20))
 
 
 def biblio_block(spark, sf_dir):
@@ -64,7 +64,7 @@ def biblio_block(spark, sf_dir):
 def topic_union(spark, sf_dir):
     """Each cluster's topics with their largest score, best first, ties by first sight."""
     topic = lambda tag, many, of: F.struct(F.concat(F.lit(tag), F.col("ord") % many).alias("name"), ((F.col("ord") % of) / (of - 1)).alias("score"))
-    works = raw_work(spark, sf_dir).withColumn("cluster", F.col("ord") % 50).withColumn("topics", F.array(topic("t", 7, 11), topic("u", 5, 13)))
+    works = raw_work(spark, sf_dir).withColumn("cluster", F.floor(F.col("ord") / 20)).withColumn("topics", F.array(topic("t", 7, 11), topic("u", 5, 13)))
     return integrate.reconcile(works).select("cluster", F.array_join(F.col("topics.name"), ",").alias("topics"))
 
 
@@ -77,8 +77,8 @@ def filter_topics(spark, sf_dir):
 def known_concepts(spark, sf_dir):
     """Of each label's concepts only those that exist, in order, repeats kept."""
     made = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_brand"), F.lit("Brand#nowhere"), F.col("p_type"), F.col("p_brand")).alias("c"))
-    known = table(spark, sf_dir, "part").where("p_size < 25").agg(F.collect_set("p_brand").alias("k"))
-    return made.join(F.broadcast(known)).select("p_partkey", F.array_join(F.filter("c", lambda x: F.array_contains("k", x)), ",").alias("kept"))
+    known = table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_brand").alias("concept"))
+    return evidence.known_only(made, "p_partkey", "c", known, "concept").select("p_partkey", F.array_join("c", ",").alias("kept"))
 
 
 def support_candidates(spark, sf_dir):
@@ -210,8 +210,8 @@ ORACLE_SQL = {
     "preflight": "SELECT c_custkey, b AS balance, b >= 14 AS allowed, greatest(0, 14 - b) AS short FROM (SELECT c_custkey, greatest(0, floor(c_acctbal / 100))::BIGINT AS b FROM customer)",
     "cache_fresh": "SELECT key, event_id FROM (SELECT event_id % 500 AS key, event_id, ts + INTERVAL 15 MINUTE AS e FROM events) WHERE e >= (SELECT max(ts) - INTERVAL 3 DAY FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY e DESC, event_id DESC) = 1",
     "search_cache_keys": "SELECT item_id, sha256(to_json({'query': lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), 'filters': {'oa': 1}})::VARCHAR) AS key, true AS same FROM benchmark",
-    "biblio_block": f"WITH {RAW_WORK_SQL}, b AS (SELECT ord % 50 AS cluster, ord, coalesce(list_position(['crossref','openalex','europepmc','pubmed','doaj'], source_id), 6) AS p FROM raw_work WHERE ord % 3 <> 1) SELECT cluster, (o % 40)::VARCHAR AS volume, CASE WHEN o % 2 = 0 THEN (o % 9)::VARCHAR END AS issue FROM (SELECT cluster, arg_min(ord, {{'p': p, 'o': ord}}) AS o FROM b GROUP BY 1)",
-    "topic_union": "WITH t AS (SELECT doc_id % 50 AS c, doc_id AS o, 0 AS i, 't' || (doc_id % 7) AS name, (doc_id % 11) / 10.0::DOUBLE AS s FROM documents UNION ALL SELECT doc_id % 50, doc_id, 1, 'u' || (doc_id % 5), (doc_id % 13) / 12.0::DOUBLE FROM documents), b AS (SELECT c, name, max(s) AS s, min({'o': o, 'i': i}) AS f FROM t GROUP BY ALL) SELECT c AS cluster, string_agg(name, ',' ORDER BY s DESC, f) AS topics FROM b GROUP BY c",
+    "biblio_block": f"WITH {RAW_WORK_SQL}, b AS (SELECT ord // 20 AS cluster, ord, coalesce(list_position(['crossref','openalex','europepmc','pubmed','doaj'], source_id), 6) AS p FROM raw_work WHERE ord % 3 <> 1) SELECT cluster, (o % 40)::VARCHAR AS volume, CASE WHEN o % 2 = 0 THEN (o % 9)::VARCHAR END AS issue FROM (SELECT cluster, arg_min(ord, {{'p': p, 'o': ord}}) AS o FROM b GROUP BY 1)",
+    "topic_union": "WITH t AS (SELECT doc_id // 20 AS c, doc_id AS o, 0 AS i, 't' || (doc_id % 7) AS name, (doc_id % 11) / 10.0::DOUBLE AS s FROM documents UNION ALL SELECT doc_id // 20, doc_id, 1, 'u' || (doc_id % 5), (doc_id % 13) / 12.0::DOUBLE FROM documents), b AS (SELECT c, name, max(s) AS s, min({'o': o, 'i': i}) AS f FROM t GROUP BY ALL) SELECT c AS cluster, string_agg(name, ',' ORDER BY s DESC, f) AS topics FROM b GROUP BY c",
     "filter_topics": f"WITH {RAW_WORK_SQL} SELECT ord FROM raw_work WHERE year >= 2000 AND (ord % 7 = 3 OR ord % 5 = 1)",
     "known_concepts": "WITH k AS (SELECT DISTINCT p_brand AS b FROM part WHERE p_size < 25) SELECT p_partkey, CASE WHEN p_brand IN (SELECT b FROM k) THEN p_brand || ',' || p_brand ELSE '' END AS kept FROM part",
     "support_candidates": "WITH o AS (SELECT DISTINCT o_custkey, o_orderkey % 30 AS key FROM orders), a AS (SELECT o_custkey, key, 0 AS tier FROM o UNION ALL SELECT c_custkey, k, 1 FROM customer, (SELECT unnest(range(10)) AS k) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.o_custkey = c_custkey AND o.key = k)) SELECT o_custkey, key, place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY tier, key) AS place FROM a) WHERE place <= 8",

@@ -42,14 +42,14 @@ def graph_merge(spark, sf_dir):
 
 
 def source_windows(spark, sf_dir):
-    """Pages and years asked of three sources."""
+    """Pages and years asked of sources, each in its own words; one takes no years."""
     asked = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "case when l_linenumber <> 3 then l_linenumber end AS page", "case when l_suppkey % 7 <> 0 then l_suppkey % 130 + 1 end AS per_page", "case when l_partkey % 2 = 0 then 1990 + l_partkey % 20 end AS y1", "case when l_partkey % 3 = 0 then 2000 + l_partkey % 20 end AS y2")
     out = asked
-    for source in ("openalex", "crossref", "doaj", "core"):
+    for source in ("openalex", "crossref", "doaj", "core", "semanticscholar", "europepmc", "arxiv"):
         out = out.withColumn(f"{source}_window", records.page_window(source, F.col("page"), F.col("per_page")))
         out = out.withColumn(f"{source}_years", records.year_filter(source, F.col("y1"), F.col("y2"), 2026))
-    windows = [F.col(f"{s}_window.{c}").alias(f"{s}_{c}") for s in ("openalex", "core") for c in ("limit", "offset")]
-    return out.select("l_orderkey", "l_linenumber", *windows, "openalex_years", "crossref_years", "doaj_years")
+    windows = [F.col(f"{s}_window.{c}").alias(f"{s}_{c}") for s in ("openalex", "core", "semanticscholar") for c in ("limit", "offset")]
+    return out.select("l_orderkey", "l_linenumber", *windows, *(f"{s}_years" for s in ("openalex", "crossref", "doaj", "semanticscholar", "europepmc", "arxiv")))
 
 
 def _written(rows: DataFrame, name: str, entry, group: str, field: str | None) -> str:
@@ -63,7 +63,7 @@ def _written(rows: DataFrame, name: str, entry, group: str, field: str | None) -
 
 def citation_lists(spark, sf_dir):
     """Works that cite suppliers, by two sources' lists written and read back; the second has titles and entries without a paper."""
-    lines = table(spark, sf_dir, "orders").selectExpr("o_custkey % 40 AS page", "o_orderkey", "concat('10.1/', o_orderkey) AS doi", "concat('Order ', o_orderkey) AS title", "year(o_orderdate) AS year")
+    lines = table(spark, sf_dir, "orders").selectExpr("floor(o_orderkey / 100) AS page", "o_orderkey", "concat('10.1/', o_orderkey) AS doi", "concat('Order ', o_orderkey) AS title", "year(o_orderdate) AS year")
     coci = _written(lines, "coci", F.struct(F.col("doi").alias("citing"), F.lit("10.1/s").alias("cited")), "page", None)
     paper = F.when(F.col("o_orderkey") % 3 != 0, F.struct("title", "year", F.struct(F.col("doi").alias("DOI")).alias("externalIds")))
     edges = _written(lines, "edges", F.struct(paper.alias("citingPaper")), "page", "data")
@@ -74,7 +74,7 @@ def citation_lists(spark, sf_dir):
 
 def contribution_lists(spark, sf_dir):
     """Publications and peer reviews, written as their sources nest them and read back."""
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 40 AS page", "l_orderkey", "l_suppkey", "l_linenumber", "year(l_shipdate) AS year")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("floor(l_orderkey / 100) AS page", "l_orderkey", "l_suppkey", "l_linenumber", "year(l_shipdate) AS year")
     work = F.struct(F.when(F.col("l_linenumber") != 2, F.concat(F.lit("https://openalex.org/W"), F.col("l_orderkey"), F.lit("x"), F.col("l_linenumber"))).alias("id"), F.when(F.col("l_linenumber") != 4, F.concat(F.lit("Line "), F.col("l_orderkey"))).alias("display_name"), F.col("year").alias("publication_year"))
     works = _written(lines.where("l_suppkey % 2 = 0"), "works", work, "page", "results")
     summary = F.struct(F.when(F.col("l_linenumber") != 5, F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("put-code"), F.struct(F.struct(F.col("year").cast("string").alias("value")).alias("year")).alias("completion-date"))
@@ -188,6 +188,16 @@ def marker_segments(spark, sf_dir):
     return cut.select("conv_id", "turn", F.size("s").alias("segments"), of("citation").alias("keys"), F.md5(of("text").cast("binary")).alias("text_md5"))
 
 
+def odd_markers(spark, sf_dir):
+    """Turns with brackets that make no marker, and keys of characters that patterns would read: segments, and what a draft may keep."""
+    pieces = ("[[a.c]] x ]] y", "z [[k(1]] and [[ a.c ]]", " [[abc]] [[ ]] [[", "]][[k|+]]]] end [[]].")
+    text = F.concat(F.col("text"), F.element_at(F.array(*map(F.lit, pieces)), (F.col("turn") % 4 + 1).cast("int")))
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("t")).withColumn("s", T.marker_segments(F.col("t")))
+    told = F.array_join(F.transform("s", lambda x: F.concat(F.substring(x["kind"], 1, 1), x["value"])), "|")
+    kept = T.keep_markers(F.col("t"), F.array(*map(F.lit, ("a.c", "k(1", "k|+"))))
+    return made.select("conv_id", "turn", F.size("s").alias("segments"), F.md5(told.cast("binary")).alias("segments_md5"), F.md5(kept.cast("binary")).alias("kept_md5"))
+
+
 def document_context(spark, sf_dir):
     """The three best passages of each source, under headings that name their pages."""
     docs = table(spark, sf_dir, "documents").selectExpr("source", "doc_id", "text AS content", "cast(doc_id % 9 AS int) AS page_start", "cast(doc_id % 9 + doc_id % 2 AS int) AS page_end")
@@ -210,7 +220,7 @@ def findings_once(spark, sf_dir):
     return evidence.findings_once(made, "l_partkey", "ord").groupBy("l_partkey").agg(F.count("*").alias("findings"), F.min("ord").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (graph_from_refs, graph_merge, source_windows, citation_lists, contribution_lists, cache_put, unsave, create_collection, matrix_fill, matrix_edit, extraction_marks, manuscript_save, revision_snapshots, usage_monthly, sources_down, preflight_anonymous, deck_references, marker_segments, document_context, retrieve_fallback, findings_once)}
+QUERIES = {f.__name__: f for f in (graph_from_refs, graph_merge, source_windows, citation_lists, contribution_lists, cache_put, unsave, create_collection, matrix_fill, matrix_edit, extraction_marks, manuscript_save, revision_snapshots, usage_monthly, sources_down, preflight_anonymous, deck_references, marker_segments, odd_markers, document_context, retrieve_fallback, findings_once)}
 
 from scholarframe.queries.evidence import _MATRIX  # noqa: E402
 from scholarframe.queries.works import ORACLE_SQL as _WORKS  # noqa: E402
@@ -242,7 +252,10 @@ SELECT id, label, is_root, is_root OR id = 'doi:10.1/p1' AS expanded, (SELECT co
 SELECT l_orderkey, l_linenumber, least(n, 50) AS openalex_limit, (page - 1) * least(n, 50) AS openalex_offset, least(n, 100) AS core_limit, (page - 1) * least(n, 100) AS core_offset,
   CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'publication_year:' || coalesce(a, 1000) || '-' || coalesce(b, 2026) END AS openalex_years,
   CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN concat_ws(',', 'from-pub-date:' || a || '-01-01', 'until-pub-date:' || b || '-12-31') END AS crossref_years,
-  CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'bibjson.year:[' || coalesce(a, 1000) || ' TO ' || coalesce(b, 2026) || ']' END AS doaj_years FROM a""",
+  CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'bibjson.year:[' || coalesce(a, 1000) || ' TO ' || coalesce(b, 2026) || ']' END AS doaj_years,
+  least(n, 100) AS semanticscholar_limit, (page - 1) * least(n, 100) AS semanticscholar_offset,
+  CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN coalesce(a::VARCHAR, '') || '-' || coalesce(b::VARCHAR, '') END AS semanticscholar_years,
+  CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'PUB_YEAR:[' || coalesce(a, 1000) || ' TO ' || coalesce(b, 2026) || ']' END AS europepmc_years, NULL::VARCHAR AS arxiv_years FROM a""",
     "citation_lists": "SELECT '10.1/' || o_orderkey AS doi, CASE WHEN o_orderkey % 3 <> 0 THEN 'Order ' || o_orderkey END AS title, CASE WHEN o_orderkey % 3 <> 0 THEN year(o_orderdate)::INT END AS year FROM orders",
     "contribution_lists": "SELECT 'W' || l_orderkey || 'x' || l_linenumber AS id, 'publication' AS kind, CASE WHEN l_linenumber <> 4 THEN 'Line ' || l_orderkey ELSE 'Untitled work' END AS title, year(l_shipdate)::INT AS year FROM lineitem WHERE l_suppkey % 2 = 0 AND l_linenumber <> 2 UNION ALL SELECT (l_orderkey * 10 + l_linenumber)::VARCHAR, 'peer_review', 'Peer review', year(l_shipdate)::INT FROM lineitem WHERE l_suppkey % 2 = 1 AND l_linenumber <> 5",
     "cache_put": f"""WITH ev AS (SELECT event_id, event_id % 700 AS k, event_type AS p FROM events),
@@ -267,6 +280,16 @@ SELECT id, CASE WHEN n IS NULL OR st = 'disabled' THEN st WHEN total >= cap THEN
     "deck_references": """WITH l AS (SELECT l_orderkey AS deck, l_linenumber AS s, l_suppkey AS b, unnest([{'i': 0, 't': l_partkey % 90}, {'i': 1, 't': l_suppkey % 90}]) AS m FROM lineitem),
 f AS (SELECT deck, m.t % 40 AS w, min({'s': s, 'b': b, 'i': m.i}) AS p FROM l WHERE m.t < 60 GROUP BY ALL)
 SELECT deck, row_number() OVER (PARTITION BY deck ORDER BY p, 'w' || w) AS number, 'w' || w AS work_key, p_name AS title FROM f JOIN part ON p_partkey = w AND p_partkey < 35""",
+    "odd_markers": r"""
+WITH t AS (
+  SELECT conv_id, turn, text || ['[[a.c]] x ]] y', 'z [[k(1]] and [[ a.c ]]', ' [[abc]] [[ ]] [[', ']][[k|+]]]] end [[]].'][(turn % 4 + 1)::INT] AS t FROM conversations),
+p AS (SELECT conv_id, turn, string_split_regex(t, '\[\[[^\]]+\]\]') AS x, regexp_extract_all(t, '\[\[[^\]]+\]\]') AS m, regexp_extract_all(t, '\[\[([^\]]+)\]\]', 1) AS k FROM t),
+r AS (SELECT conv_id, turn, unnest(x) AS x, unnest(m) AS m, trim(unnest(k)) AS k, unnest(range(len(x))) AS i FROM p),
+s AS (
+  SELECT conv_id, turn, 2 * i AS i, 't' || x AS v FROM r WHERE x <> '' UNION ALL SELECT conv_id, turn, 2 * i + 1, 'c' || k FROM r WHERE m IS NOT NULL)
+SELECT conv_id, turn, n AS segments, segments_md5, kept_md5
+FROM (SELECT conv_id, turn, count(*) AS n, md5(string_agg(v, '|' ORDER BY i)) AS segments_md5 FROM s GROUP BY ALL)
+JOIN (SELECT conv_id, turn, md5(string_agg(x || CASE WHEN k IN ('a.c', 'k(1', 'k|+') THEN m ELSE '' END, '' ORDER BY i)) AS kept_md5 FROM r GROUP BY ALL) USING (conv_id, turn)""",
     "marker_segments": "SELECT conv_id, turn, 4 + CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS segments, CASE WHEN turn % 2 = 0 THEN 'k1|' ELSE '' END || 'k2|k3' AS keys, md5(text || ' ' || '|' || ' end') AS text_md5 FROM conversations",
     "document_context": _lexical("['tion','only','which','pour','nicht']") + ", best AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0 QUALIFY k <= 3) SELECT source, md5(string_agg('[' || CASE WHEN doc_id % 2 = 0 THEN 'page ' || (doc_id % 9) ELSE 'pages ' || (doc_id % 9) || '-' || (doc_id % 9 + 1) END || ']' || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY k)) AS context_md5 FROM best JOIN documents USING (source, doc_id) GROUP BY source",
     "retrieve_fallback": _lexical("['tion','only','which','pour','nicht']") + ", v AS (SELECT source, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -0.5 END)::DOUBLE[]), 6) AS score FROM documents JOIN embeddings ON vec_id = doc_id WHERE source < 'm'), b AS (SELECT * FROM v UNION ALL SELECT source, doc_id, score FROM s WHERE score > 0 AND source NOT IN (SELECT source FROM v)) SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 4",

@@ -102,24 +102,35 @@ def pubmed(spark: SparkSession, summaries: str, abstracts: str) -> DataFrame:
 
 
 #: Rows of a page that a source gives at most.
-PAGE_SIZES = {"openalex": 50, "crossref": 50, "europepmc": 50, "doaj": 50, "semanticscholar": 50, "core": 100}
+PAGE_SIZES = {"openalex": 50, "crossref": 50, "europepmc": 50, "doaj": 50, "semanticscholar": 100, "core": 100}
 
 
 def page_window(source: str, page: Column, per_page: Column) -> Column:
-    """(limit, offset) of a page of a source, pages from 1; null asks for the first page, of 20 rows."""
-    limit = F.least(F.coalesce(per_page, F.lit(20)), F.lit(PAGE_SIZES.get(source, 50)))
-    return F.struct(limit.cast("long").alias("limit"), ((F.coalesce(page, F.lit(1)) - 1) * limit).cast("long").alias("offset"))
+    """(limit, offset) of a page of a source, pages from 1; null asks for the first page, of 20 rows, and so does a page or a size below 1."""
+    asked = F.when(per_page >= 1, per_page).otherwise(20)
+    limit = F.least(asked, F.lit(PAGE_SIZES.get(source, 50)))
+    return F.struct(limit.cast("long").alias("limit"), (F.greatest(F.coalesce(page, F.lit(1)) - 1, F.lit(0)) * limit).cast("long").alias("offset"))
+
+
+#: Sources that take a range of years.
+YEAR_SOURCES = ("openalex", "crossref", "europepmc", "doaj", "semanticscholar")
 
 
 def year_filter(source: str, year_from: Column, year_to: Column, this_year: int) -> Column:
-    """The source's own words for a range of years; null where none is asked for."""
+    """The source's own words for a range of years; null where none is asked for, and for a source that takes no range."""
     asked = F.coalesce(year_from, year_to).isNotNull()
+    if source not in YEAR_SOURCES:
+        return F.lit(None).cast("string")
     first, last = F.coalesce(year_from, F.lit(1000)).cast("string"), F.coalesce(year_to, F.lit(this_year)).cast("string")
     if source == "crossref":
         parts = (F.concat(F.lit("from-pub-date:"), year_from.cast("string"), F.lit("-01-01")), F.concat(F.lit("until-pub-date:"), year_to.cast("string"), F.lit("-12-31")))
         return F.when(asked, F.concat_ws(",", *parts))
     if source == "doaj":
         return F.when(asked, F.concat(F.lit("bibjson.year:["), first, F.lit(" TO "), last, F.lit("]")))
+    if source == "semanticscholar":  # an open end is left empty
+        return F.when(asked, F.concat(F.coalesce(year_from.cast("string"), F.lit("")), F.lit("-"), F.coalesce(year_to.cast("string"), F.lit(""))))
+    if source == "europepmc":
+        return F.when(asked, F.concat(F.lit("PUB_YEAR:["), first, F.lit(" TO "), last, F.lit("]")))
     return F.when(asked, F.concat(F.lit("publication_year:"), first, F.lit("-"), last))
 
 

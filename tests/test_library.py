@@ -97,7 +97,7 @@ def test_library_writes(spark):
 
 def test_markers_and_context(spark):
     cut = one(spark, "a [[ k ]]b[[]] c [[x]]", T.marker_segments)
-    assert [tuple(x) for x in cut] == [("text", "a "), ("citation", "k"), ("text", "b[[]]"), ("text", " c "), ("citation", "x")]
+    assert [tuple(x) for x in cut] == [("text", "a "), ("citation", "k"), ("text", "b[[]] c "), ("citation", "x")]
     assert one(spark, "a [[ k ]] [[q]]", lambda c: T.remap_markers(c, F.create_map(F.lit("k"), F.lit("w1")))) == "a [[w1]] [[q]]"
     rows = spark.createDataFrame([("s", 2, 3, 4, " b "), ("s", 1, 2, 2, "a")], "g string, rank int, page_start int, page_end int, content string")
     assert rank.document_context(rows, "g").first().context == "[page 2]\na\n\n[pages 3-4]\nb"
