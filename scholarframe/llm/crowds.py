@@ -8,8 +8,8 @@ is so if all that is passed over weighs no more than the set can miss.  A small
 extended, pairs may end: those whose common elements are the node's only.  Both sets then can miss all that is left, both reach a link
 with the weight of the node alone, and so the smallest such set links with both: comparing it with the others is enough.
 
-A set's rows grow with its first level's nodes and the number of levels, not with the crowd; a node whose extension would
-multiply its rows is compared as it is, within bands of sizes that can link.
+A node is extended where that takes far fewer rows than it has pairs, and leaves fewer pairs; others are compared as they are,
+within bands of sizes that can link.  So the rows of a level are a fraction of the pairs that signatures alone would give.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from scholarframe.plans.tables import settle
 LEAF = 8
 #: Nodes of the first level that a set of heavy elements has at most.
 FEW = 32
-#: Rows of a node's extension to one of its own, at most.
-WIDE = 16
+#: A node is extended where its pairs are at least so many times the rows of its extension.
+WORTH = 4
 
 
 def band(n: Column, percent: int) -> Column:
@@ -56,11 +56,11 @@ def _nodes(rows: DataFrame) -> DataFrame:
     out = told.select("ref", "n", "at", "el", "total", "budget", "node", "skip", "got", "start", F.explode(ahead("pos")).alias("x"))
     own = F.col("x.e")
     out = out.select(
-        "ref", "n", "at", "el", "total", "budget", F.xxhash64("node", own["df"], own["who"]).alias("node"), F.col("x.j").alias("pos"),
+        "ref", "n", "at", "el", "total", "budget", F.col("node").alias("parent"), F.xxhash64("node", own["df"], own["who"]).alias("node"), F.col("x.j").alias("pos"),
         (F.col("skip") + own["before"] - F.col("start")).alias("skip"), (F.col("got") + own["weight"]).alias("got"), (own["before"] + own["weight"]).alias("start"),
     )
     after = F.col("total") - F.col("start")
-    return out.select("ref", "n", "at", "node", "pos", "skip", "got", after.alias("after"), F.size(ahead("pos")).alias("kids"), (F.col("skip") + after <= F.col("budget")).alias("may_end"))
+    return out.select("ref", "n", "at", "parent", "node", "pos", "skip", "got", after.alias("after"), F.size(ahead("pos")).alias("kids"), (F.col("skip") + after <= F.col("budget")).alias("may_end"))
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -81,20 +81,26 @@ def crowd_candidates(listed: DataFrame, percent: int, leaf: int = LEAF) -> DataF
     # The lists are joined to the rows of each level again, rather than carried through its shuffles.
     listed = settle(listed, "elements")
     found = None
-    rows = _nodes(listed.select("*", F.lit(0).cast("long").alias("node"), F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("skip"), F.lit(0).cast("long").alias("got")))
+    start = {"node": F.lit(0).cast("long"), "pos": F.lit(-1), "skip": F.lit(0).cast("long"), "got": F.lit(0).cast("long")}
+    rows = settle(_nodes(listed.withColumns(start)), "nodes")
     while True:
-        rows = settle(rows, "nodes")
         counted = rows.groupBy("node").agg(F.count("*").alias("many"), F.sum("kids").alias("all_kids"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-        counted = counted.where("lo <> hi").select("node", ((F.col("many") > leaf) & (F.col("all_kids") <= WIDE * F.col("many"))).alias("large"))
-        told = settle(rows.join(counted, "node"), "counted")
-        large = told.where("large")
-        ends = large.where("may_end")
+        # Nodes of one part have nothing left to connect.
+        counted = counted.where("lo <> hi").withColumn("large", (F.col("many") > leaf) & (2 * WORTH * F.col("all_kids") <= F.col("many") * F.col("many")))
+        told = settle(rows.join(counted.select("node", "many", "large"), "node"), "counted")
+        again = told.where("large").select("ref", "node", "pos", "skip", "got").join(listed, "ref")
+        below = settle(_nodes(again), "nodes")
+        # Where sets share nearly all, longer combinations tell no more of them apart: such a node is compared as it is.
+        inner = below.groupBy("parent", "node").agg(F.count("*").alias("many")).groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("many") * (F.col("many") - 1)).alias("inner"))
+        told = told.join(inner, "node", "left").withColumn("pays", F.col("large") & (F.coalesce("inner", F.lit(0)) < F.col("many") * (F.col("many") - 1)))
+        told = settle(told, "paying")
+        ends = told.where("pays and may_end")
         pivot = ends.groupBy("node").agg(F.min(F.struct("n", "ref", "at")).alias("p")).select("node", F.col("p.n").alias("np"), F.col("p.ref").alias("refp"), F.col("p.at").alias("atp"))
         star = ends.join(pivot, "node").where((F.col("at") != F.col("atp")) & (100 * F.col("got") >= percent * (F.col("n") + F.col("np") - F.col("got"))))
         star = star.select(F.least("ref", "refp").alias("a"), F.greatest("ref", "refp").alias("b"))
-        own = settle(_pairs(told.where("not large"), percent).union(star).distinct(), "candidates")
+        own = settle(_pairs(told.where("not pays"), percent).union(star).distinct(), "candidates")
         found = own if found is None else found.union(own)
-        if large.where("kids > 0").isEmpty():
+        paying = told.where("pays and kids > 0").select(F.col("node").alias("parent")).distinct()
+        if paying.isEmpty():
             return found.distinct()
-        again = large.select("ref", "node", "pos", "skip", "got").join(listed, "ref")
-        rows = _nodes(again)
+        rows = settle(below.join(paying, "parent", "left_semi"), "nodes")
