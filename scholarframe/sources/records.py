@@ -18,6 +18,8 @@ from scholarframe.functions.text import first_year, trim
 RECORD = ("source_id", "source_record_id", "doi", "title", "abstract", "authors", "year", "venue", "citation_count", "is_oa", "pdf_url", "landing_page_url")
 AUTHORS = "array<struct<name:string,orcid:string>>"
 
+RECORD_SCHEMA = f"source_id string, source_record_id string, doi string, title string, abstract string, authors {AUTHORS}, year int, venue string, citation_count bigint, is_oa boolean, pdf_url string, landing_page_url string"
+
 
 def abstract_from_index(index: Column) -> Column:
     """Text of an inverted index word -> positions; null or empty is null."""
@@ -35,8 +37,25 @@ def _record(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     return df.select(*((F.lit(source) if c == "source_id" else columns.get(c, F.lit(None)).cast(types.get(c, "string"))).alias(c) for c in RECORD))
 
 
-def _json(spark: SparkSession, path: str, schema: str, root: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode(root).alias("r")).select("r.*")
+#: Where a source's payload has its entries, and where an entry has its year.
+ENTRIES = {
+    "openalex": (("results",), ("publication_year",)),
+    "crossref": (("message", "items"), ("published", "date-parts", 0, 0)),
+    "europepmc": (("resultList", "result"), ("pubYear",)),
+    "doaj": (("results",), ("bibjson", "year")),
+    "semanticscholar": (("data",), ("year",)),
+    "core": (("results",), ("yearPublished",)),
+}
+
+
+def _json(spark: SparkSession, path: str | DataFrame, schema: str, root: str) -> DataFrame:
+    """A payload's entries, from files of whole payloads, or from rows whose column `payload` is one entry each."""
+    if isinstance(path, DataFrame):
+        whole = F.concat(F.lit("".join(f'{{"{k}":' for k in root.split("."))), F.lit("["), F.col("payload"), F.lit("]" + "}" * len(root.split("."))))
+        rows = path.where("payload is not null").select(F.from_json(whole, schema).alias("p")).select("p.*")
+    else:
+        rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.select(F.explode(root).alias("r")).select("r.*")
 
 
 def _names(people: str, name: str, orcid: str | None = None) -> Column:
@@ -175,7 +194,7 @@ def fan_out(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, Data
             status.append((source, "ok", None))
         except (AnalysisException, Py4JJavaError, PySparkException, KeyError) as error:
             status.append((source, "error", type(error).__name__))
-    empty = spark.createDataFrame([], f"source_id string, source_record_id string, doi string, title string, abstract string, authors {AUTHORS}, year int, venue string, citation_count bigint, is_oa boolean, pdf_url string, landing_page_url string")
+    empty = spark.createDataFrame([], RECORD_SCHEMA)
     return reduce(DataFrame.unionByName, found, empty), spark.createDataFrame(status, "source_id string, status string, error string")
 
 
