@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.operators import postings
+from scholarframe.operators import postings, vectors
 from scholarframe.plans.tables import settle, table
 
 
@@ -59,7 +59,28 @@ def findings_queries(spark, sf_dir):
     return found.select("doc_id", "field", "value", "quote", "page")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_many, cell_fill, findings_queries)}
+def _vectors(spark, sf_dir):
+    """Vectors of two models, by label."""
+    return table(spark, sf_dir, "embeddings").select((F.col("label") % 2).alias("model"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+
+
+def similar_batch(spark, sf_dir):
+    """The ten nearest vectors of its own model for every hundredth vector, exactly."""
+    held = _vectors(spark, sf_dir)
+    seeds = held.where("key % 100 = 0").select("model", F.col("key").alias("seed"))
+    return vectors.nearest(vectors.build(held), seeds, 10).select("seed", "key", "similarity", "rank")
+
+
+def similar_titles(spark, sf_dir):
+    """The five nearest works of every hundredth vector, with their titles; half of the vectors are of no work."""
+    held = _vectors(spark, sf_dir)
+    seeds = held.where("key % 100 = 0").select("model", F.col("key").alias("seed"))
+    works = table(spark, sf_dir, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("key"), F.get(F.split("text", "\n"), 0).alias("title"))
+    found = vectors.nearest(vectors.build(held), seeds, 5, among=works)
+    return found.join(works, "key").select("seed", "key", "similarity", "rank", "title")
+
+
+QUERIES = {f.__name__: f for f in (retrieve_many, cell_fill, findings_queries, similar_batch, similar_titles)}
 
 _STOP = "['the','a','an','and','or','but','of','to','in','on','for','with','is','are','was','were','be','been','it','this','that','as','by','at','from','what','how','why','does','do','did','which','who']"
 _TERMS = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t))"
@@ -82,7 +103,12 @@ def _appears(source: str, quote: str) -> str:
     return f"({_SQUEEZE.format(quote)} <> '' AND contains({_SQUEEZE.format(source)}, {_SQUEEZE.format(quote)}))"
 
 
+_NEAR = """SELECT s.vec_id AS seed, v.vec_id AS key, round(list_cosine_similarity(v.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS similarity
+  FROM embeddings s JOIN embeddings v ON s.label % 2 = v.label % 2 AND s.vec_id <> v.vec_id WHERE s.vec_id % 100 = 0"""
+
 ORACLE_SQL = {
+    "similar_batch": f"SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, key) AS rank FROM ({_NEAR}) QUALIFY rank <= 10",
+    "similar_titles": f"SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, key) AS rank FROM (SELECT n.*, string_split(text, chr(10))[1] AS title FROM ({_NEAR}) n JOIN documents ON doc_id = key AND doc_id % 2 = 1) QUALIFY rank <= 5",
     "retrieve_many": "WITH " + _ranked("SELECT source, doc_id, text AS content FROM documents", "SELECT item_id AS query_id, text FROM benchmark", "source", "doc_id", 4) + " SELECT query_id, source, doc_id, score, rank FROM best",
     "cell_fill": "WITH " + _ranked(_LINES, "SELECT * FROM (VALUES (1, 'only what they have been'), (2, 'nicht oder pour avec')) t(query_id, text)", "doc_id", "line", 4) + rf""",
 told AS (
