@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.operators import postings, vectors
+from scholarframe.operators import postings, readthrough, vectors
 from scholarframe.plans.tables import settle, table
+from scholarframe.queries.works import _BASE, CANONICAL_SQL, canonical
 
 
 def line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,47 @@ def similar_titles(spark, sf_dir):
     return found.join(works, "key").select("seed", "key", "similarity", "rank", "title")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_many, cell_fill, findings_queries, similar_batch, similar_titles)}
+#: What the stand-in for an embedding model counts in a text.
+LETTERS = "aeinost "
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: how often each of some letters stands in a text, and one."""
+    return [[1.0, *(float(t.count(c)) for c in LETTERS)] for t in texts]
+
+
+def _embedding_cache(spark, sf_dir, key):
+    """Cached vectors of some documents, all ones; of others those of another model only."""
+    ones = F.array(*(F.lit(1.0) for _ in range(len(LETTERS) + 1)))
+    return table(spark, sf_dir, "documents").where("doc_id % 3 < 2").select(key.alias("key"), F.when(F.col("doc_id") % 3 == 0, "letters").otherwise("other").alias("model"), ones.alias("value"))
+
+
+def embedding_read_through(spark, sf_dir):
+    """Embeddings of all documents by their text, from the cache or computed, and whether the cache has each afterwards, once."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    cache = _embedding_cache(spark, sf_dir, key)
+    read = readthrough.read_through(table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), "text"), cache, "letters", letter_counts)
+    kept = readthrough.keep_new(cache.distinct(), read.added.union(read.added)).where("model = 'letters'").groupBy("key").agg(F.count("*").alias("rows_kept"))
+    return read.rows.join(kept, "key").select("doc_id", "cached", F.array_join("value", ",").alias("vector"), "rows_kept")
+
+
+def rank_by_meaning(spark, sf_dir):
+    """Works by the likeness of their embeddings to a query's, cached or computed."""
+    works = canonical(spark, sf_dir)
+    cache = works.where("cluster % 5 = 0").select(F.col("cluster").alias("key"), F.lit("letters").alias("model"), F.array(*(F.lit(float(k)) for k in range(9))).alias("value"))
+    ranked, _ = readthrough.rank_by_meaning(works, "cluster", "a net to test it on", cache, "letters", letter_counts)
+    return ranked.select("cluster", "similarity", "score")
+
+
+def pair_reasons(spark, sf_dir):
+    """A reason for every supplier and part that orders bring together, each pair computed once however many orders name it; some are cached."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "concat('s', l_suppkey, '>p', l_partkey) AS key")
+    cache = lines.where("l_orderkey % 2 = 0").select("key", F.lit("m").alias("model"), F.concat(F.lit("kept "), "key").alias("value"))
+    read = readthrough.read_through(lines.withColumn("text", F.col("key")), cache, "m", lambda texts: [f"because {t.upper()}" for t in texts])
+    return read.rows.select("l_orderkey", "l_linenumber", F.col("value").alias("reason"))
+
+
+QUERIES = {f.__name__: f for f in (retrieve_many, cell_fill, findings_queries, similar_batch, similar_titles, embedding_read_through, rank_by_meaning, pair_reasons)}
 
 _STOP = "['the','a','an','and','or','but','of','to','in','on','for','with','is','are','was','were','be','been','it','this','that','as','by','at','from','what','how','why','does','do','did','which','who']"
 _TERMS = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t))"
@@ -106,7 +147,19 @@ def _appears(source: str, quote: str) -> str:
 _NEAR = """SELECT s.vec_id AS seed, v.vec_id AS key, round(list_cosine_similarity(v.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS similarity
   FROM embeddings s JOIN embeddings v ON s.label % 2 = v.label % 2 AND s.vec_id <> v.vec_id WHERE s.vec_id % 100 = 0"""
 
+_COUNTS = "[1.0::DOUBLE, " + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', '')))::DOUBLE" for c in "aeinost ") + "]"
+
 ORACLE_SQL = {
+    "embedding_read_through": f"""
+WITH k AS (SELECT doc_id, sha256(coalesce(text, '')) AS key, coalesce(text, '') AS text FROM documents),
+c AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
+SELECT doc_id, c.key IS NOT NULL AS cached, array_to_string(CASE WHEN c.key IS NOT NULL THEN list_transform(range(9), lambda i: 1.0::DOUBLE) ELSE {_COUNTS.format("text")} END, ',') AS vector, 1::BIGINT AS rows_kept FROM k LEFT JOIN c USING (key)""",
+    "rank_by_meaning": CANONICAL_SQL + f""", texts AS (SELECT *, title || coalesce(chr(10) || abstract, '') AS said FROM keyed),
+near AS (SELECT cluster, round(list_cosine_similarity(CASE WHEN cluster % 5 = 0 THEN [0.0::DOUBLE, 1, 2, 3, 4, 5, 6, 7, 8] ELSE {_COUNTS.format("said")} END, {_COUNTS.format("'a net to test it on'")}), 6) AS similarity FROM texts)
+SELECT cluster, similarity, round(6.0::DOUBLE * similarity + {_BASE}, 6) AS score FROM keyed JOIN near USING (cluster) WHERE similarity >= 0.2""",
+    "pair_reasons": """
+WITH l AS (SELECT l_orderkey, l_linenumber, 's' || l_suppkey || '>p' || l_partkey AS key FROM lineitem), c AS (SELECT DISTINCT key FROM l WHERE l_orderkey % 2 = 0)
+SELECT l_orderkey, l_linenumber, CASE WHEN c.key IS NOT NULL THEN 'kept ' || key ELSE 'because ' || upper(key) END AS reason FROM l LEFT JOIN c USING (key)""",
     "similar_batch": f"SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, key) AS rank FROM ({_NEAR}) QUALIFY rank <= 10",
     "similar_titles": f"SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, key) AS rank FROM (SELECT n.*, string_split(text, chr(10))[1] AS title FROM ({_NEAR}) n JOIN documents ON doc_id = key AND doc_id % 2 = 1) QUALIFY rank <= 5",
     "retrieve_many": "WITH " + _ranked("SELECT source, doc_id, text AS content FROM documents", "SELECT item_id AS query_id, text FROM benchmark", "source", "doc_id", 4) + " SELECT query_id, source, doc_id, score, rank FROM best",
