@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from scholarframe.functions.text import citation_markers, fold_accents, safe_stem, trim
+from scholarframe.operators import trees
 
 #: Words that mark an organisation's name.
 CORPORATE = "university|institute|organization|organisation|association|society|department|ministry|centre|center|consortium|group|committee|agency"
@@ -164,32 +160,11 @@ def missing_note(missing: Column) -> Column:
     return F.when(F.size(missing) > 0, F.concat(F.lit("Incomplete: no "), names, F.lit(" found for this record. Check the source before submitting.")))
 
 
-def _walk(node: dict, out: list[str]) -> None:
-    if isinstance(node, dict):
-        key = (node.get("attrs") or {}).get("workKey")
-        if node.get("type") == "citation" and key and key not in out:
-            out.append(key)
-        for child in node.get("content") or []:
-            _walk(child, out)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def cited_keys(trees: pd.Series) -> pd.Series:
-    """Keys of a JSON document tree's citations in reading order, each once; a tree of any depth doesn't fit a struct."""
-    def of(text: str | None) -> list[str]:
-        out: list[str] = []
-        try:
-            _walk(json.loads(text or "{}"), out)
-        except ValueError:
-            pass
-        return out
-
-    return trees.map(of)
-
-
 def bibliography(docs: DataFrame, works: DataFrame, key: str, tree: str, text: str) -> DataFrame:
-    """(key, position, work_key, text): each document's works in order of citation; an unknown one is marked."""
-    cited = docs.select(key, F.posexplode(cited_keys(F.col(tree))).alias("position", "work_key"))
+    """(key, position, work_key, text): each document's works in order of citation, each once; an unknown one is marked.
+
+    tree is JSON text of any depth; a null or malformed one cites nothing."""
+    cited = trees.cited(trees.nodes(docs, key, tree)).withColumnRenamed("key", key)
     return cited.join(works.select("work_key", F.col(text).alias("text")), "work_key", "left").select(key, "position", "work_key", F.coalesce("text", F.concat(F.lit("[missing: "), F.col("work_key"), F.lit("]"))).alias("text"))
 
 

@@ -103,5 +103,9 @@ ORACLE_SQL = {
     "cite_ris": f"WITH {_CSL} SELECT doc_id, concat_ws(chr(10), 'TY  - ' || CASE WHEN kind = 'paper-conference' THEN 'CPAPER' ELSE 'JOUR' END, CASE WHEN n > 0 THEN array_to_string(list_transform(inv, lambda x: 'AU  - ' || x), chr(10)) END, 'TI  - ' || title, 'PY  - ' || year, 'DA  - ' || year || '///', 'JO  - ' || container, 'VL  - ' || volume, 'IS  - ' || issue, 'SP  - ' || string_split(page, '-')[1], 'EP  - ' || string_split(page, '-')[2], 'PB  - ' || publisher, 'DO  - ' || CASE WHEN doc_id % 3 = 1 THEN '10.5555/' || doc_id END, 'UR  - ' || CASE WHEN doc_id % 3 = 2 THEN link END, 'ER  - ') AS text FROM a",
     "cite_missing": f"WITH {_CSL} SELECT doc_id, {_note(_A, _Y, _C, _V, _P)} AS apa, {_note(_A, _Y, _C, _P)} AS mla FROM a",
     "inline_labels": f"WITH {_CSL} SELECT doc_id, '(' || CASE n WHEN 0 THEN 'Anonymous' WHEN 1 THEN fam[1] WHEN 2 THEN fam[1] || ' & ' || fam[2] ELSE fam[1] || ' et al.' END || ', ' || coalesce(year::VARCHAR, 'n.d.') || ')' AS apa, '(' || CASE n WHEN 0 THEN 'Anonymous' WHEN 1 THEN fam[1] WHEN 2 THEN fam[1] || ' and ' || fam[2] ELSE fam[1] || ' et al.' END || ')' AS mla FROM a",
+    "bibliography": f"""
+WITH {_CSL}, l AS (SELECT work_key, '(' || CASE n WHEN 0 THEN 'Anonymous' WHEN 1 THEN fam[1] WHEN 2 THEN fam[1] || ' & ' || fam[2] ELSE fam[1] || ' et al.' END || ', ' || coalesce(year::VARCHAR, 'n.d.') || ')' AS label FROM a),
+k AS (SELECT conv_id, work_key, min(p) AS p FROM (SELECT conv_id, unnest(['w' || 3 * conv_id, 'wnone', 'w' || conv_id]) AS work_key, unnest([0, 1, 2]) AS p FROM (SELECT DISTINCT conv_id FROM conversations)) GROUP BY ALL)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1)::INT AS position, work_key, coalesce(label, '[missing: ' || work_key || ']') AS text FROM k LEFT JOIN l USING (work_key)""",
     "deck_export": "SELECT n_regionkey AS deck, 'Nations a tour.md' AS filename, '---' || chr(10) || 'marp: true' || chr(10) || '---' || chr(10) || chr(10) || '# Nations: a tour?' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg('# ' || n_name || chr(10) || chr(10) || '- first' || chr(10) || '- ' || n_name, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY 1",
 }

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from scholarframe.functions import text as T
-from scholarframe.operators import cite, evidence, integrate, rank
-from scholarframe.plans.tables import numbered, table
+from scholarframe.operators import cite, evidence, integrate, rank, trees
+from scholarframe.plans.tables import numbered, settle, table
 from scholarframe.plans.views import raw_work
 from scholarframe.queries.citing import csl
 from scholarframe.queries.works import QUERY, canonical
@@ -159,48 +155,32 @@ def collection_export(spark, sf_dir):
     return entries.groupBy("collection").agg(F.sort_array(F.collect_list(F.struct("doc_id", "entry"))).alias("all")).select("collection", F.md5(F.array_join(F.col("all.entry"), "\n\n").cast("binary")).alias("text_md5"), F.size("all").alias("works"))
 
 
-def _inline(node: dict, latex: bool) -> str:
-    kind = node.get("type")
-    if kind == "text":
-        text = node.get("text", "")
-        marks = {m.get("type") for m in node.get("marks") or []}
-        if latex:
-            text = "".join(f"\\{c}" if c in "&%$#_{}" else c for c in text)
-            return f"\\textbf{{{text}}}" if "bold" in marks else text
-        return f"**{text}**" if "bold" in marks else text
-    if kind == "citation":
-        key = (node.get("attrs") or {}).get("workKey", "")
-        return f"\\cite{{{key}}}" if latex else f"[@{key}]"
-    return "".join(_inline(c, latex) for c in node.get("content") or [])
-
-
-def _render(tree: str, latex: bool) -> str:
-    blocks = []
-    for node in json.loads(tree).get("content") or []:
-        text = _inline(node, latex)
-        if node.get("type") == "heading":
-            text = f"\\section{{{text}}}" if latex else f"# {text}"
-        blocks.append(text)
-    return "\n\n".join(blocks)
-
-
-@F.pandas_udf(StringType())
-def to_markdown(trees: pd.Series) -> pd.Series:
-    return trees.map(lambda t: _render(t, False))
-
-
-@F.pandas_udf(StringType())
-def to_latex(trees: pd.Series) -> pd.Series:
-    return trees.map(lambda t: _render(t, True))
-
-
 def manuscript_export(spark, sf_dir):
-    """A document tree per nation in Markdown and LaTeX; trees of any depth go through a UDF."""
+    """A document tree per nation in Markdown and LaTeX."""
     tree = F.concat(F.lit('{"type":"doc","content":[{"type":"heading","content":[{"type":"text","text":"'), F.col("n_name"), F.lit(' & co"}]},{"type":"p","content":[{"type":"text","text":"50% ","marks":[{"type":"bold"}]},{"type":"citation","attrs":{"workKey":"w'), F.col("n_nationkey"), F.lit('"}}]}]}'))
-    return table(spark, sf_dir, "nation").select("n_nationkey", to_markdown(tree).alias("markdown"), to_latex(tree).alias("latex"))
-
-
-QUERIES = {f.__name__: f for f in (cost_table, preflight, cache_fresh, search_cache_keys, biblio_block, topic_union, filter_topics, known_concepts, support_candidates, contributions, citation_edges, replace_all, source_admin, lookback, page_slice, attribution, interpretation_guard, collection_export, manuscript_export)}
+    docs = table(spark, sf_dir, "nation").select("n_nationkey", tree.alias("tree"))
+    seen = settle(trees.nodes(docs, "n_nationkey", "tree"), "nodes")
+    label = lambda a, b: seen.where("work_key is not null").select("work_key", F.concat(F.lit(a), F.col("work_key"), F.lit(b)).alias("label")).distinct()
+    markdown, latex = trees.body(seen, label("[@", "]"), False), trees.body(seen, label("\\cite{", "}"), True)
+    return markdown.join(latex.withColumnRenamed("body", "latex"), "key").select(F.col("key").alias("n_nationkey"), F.col("body").alias("markdown"), "latex")
+
+
+def manuscript_files(spark, sf_dir):
+    """Conversations as manuscripts with headings, lists in lists and citations, some unknown, in four formats."""
+    cited = lambda k: F.concat(F.lit('{"type":"citation","attrs":{"workKey":"w'), k.cast("string"), F.lit('"}}'))
+    said = lambda t, marks="": F.concat(F.lit('{"type":"text","text":'), F.to_json(F.array(t)).substr(F.lit(2), F.char_length(F.to_json(F.array(t))) - 2), F.lit(f',"marks":[{marks}]}}'))
+    node = lambda kind, *content: F.concat(F.lit(f'{{"type":"{kind}","attrs":{{"level":2}},"content":['), F.concat_ws(",", *content), F.lit("]}"))
+    first = F.get(F.split(F.col("text"), "\n"), 0)
+    inner = node("bulletList", node("listItem", node("p", said(F.lit("inner")))), node("listItem", node("p", cited(F.col("conv_id") + 1))))
+    outer = node("orderedList", node("listItem", node("p", said(first)), node("p", cited(F.col("conv_id")))), node("listItem", inner))
+    tree = node("doc", node("heading", said(F.lit("100% & more"))), node("p", said(F.lit("It "), '{"type":"italic"},{"type":"bold"}'), cited(F.lit("none")), cited(F.col("conv_id"))), outer, node("blockquote", said(F.lit("a\nb"))))
+    docs = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.concat(F.lit("Conversation: "), F.col("conv_id")).alias("title"), tree.alias("tree"))
+    key = F.col("doc_id").cast("string")
+    works = table(spark, sf_dir, "documents").select(F.concat(F.lit("w"), key).alias("work_key"), F.concat(F.lit("("), key, F.lit(")")).alias("label"), F.concat(F.lit("Work "), F.col("n_chars")).alias("entry"), F.concat(F.lit("b"), key).alias("bib_key"), F.concat(F.lit("@misc{b"), key, F.lit("}")).alias("bibtex"), F.concat(F.lit("TY  - "), key).alias("ris"))
+    return trees.export(docs, "conv_id", "title", "tree", works).select(F.col("key").alias("conv_id"), "format", "filename", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.md5(F.col("bib").cast("binary")).alias("bib_md5"))
+
+
+QUERIES = {f.__name__: f for f in (cost_table, preflight, cache_fresh, search_cache_keys, biblio_block, topic_union, filter_topics, known_concepts, support_candidates, contributions, citation_edges, replace_all, source_admin, lookback, page_slice, attribution, interpretation_guard, collection_export, manuscript_export, manuscript_files)}
 
 from scholarframe.queries.citing import ORACLE_SQL as _CITING  # noqa: E402
 from scholarframe.queries.works import RANKED_SQL, RAW_WORK_SQL  # noqa: E402
@@ -224,5 +204,24 @@ ORACLE_SQL = {
     "attribution": "SELECT s_suppkey, s_name AS header FROM supplier",
     "interpretation_guard": "SELECT n_nationkey, n_nationkey % 3 < 2 AND n_nationkey % 2 = 0 AS holds FROM nation",
     "collection_export": _CITING["cite_ris"].replace("SELECT doc_id, concat_ws(chr(10), 'TY", "SELECT doc_id // 10 AS collection, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5, count(*)::INT AS works FROM (SELECT doc_id, concat_ws(chr(10), 'TY", 1) + ") GROUP BY 1",
+    "manuscript_files": r"""
+WITH d AS (SELECT conv_id AS i, string_split(text, chr(10))[1] AS t, chr(10) AS n FROM conversations WHERE turn = 0),
+w AS (SELECT doc_id AS i, n_chars FROM documents),
+x AS (
+  SELECT d.*, a.i IS NOT NULL AS k0, b.i IS NOT NULL AS k1, a.n_chars AS c0, b.n_chars AS c1,
+    replace(regexp_replace(replace(t, '\', '\textbackslash{}'), '([&%$#_{}])', '\\1', 'g'), '~', '\textasciitilde{}') AS e FROM d LEFT JOIN w a ON a.i = d.i LEFT JOIN w b ON b.i = d.i + 1),
+m AS (
+  SELECT *, '[missing citation]' AS q, CASE WHEN k0 THEN '(' || i || ')' ELSE '[missing citation]' END AS m0, CASE WHEN k1 THEN '(' || (i + 1) || ')' ELSE '[missing citation]' END AS m1,
+    CASE WHEN k0 THEN '\cite{b' || i || '}' ELSE '\textbf{[missing citation]}' END AS l0, CASE WHEN k1 THEN '\cite{b' || (i + 1) || '}' ELSE '\textbf{[missing citation]}' END AS l1,
+    replace(e, '^', '\textasciicircum{}') AS f,
+    concat_ws(n || n, CASE WHEN k0 THEN '@misc{b' || i || '}' END, CASE WHEN k1 THEN '@misc{b' || (i + 1) || '}' END) AS bib, concat_ws(n || n, CASE WHEN k0 THEN 'TY  - ' || i END, CASE WHEN k1 THEN 'TY  - ' || (i + 1) END) AS ris FROM x),
+f AS (
+  SELECT i, 'markdown' AS format, '.md' AS ending, '# Conversation: ' || i || n || n || '## 100% & more' || n || n || '***It ***' || q || m0 || n || n || '1. ' || t || ' ' || m0 || n || '2. - inner' || n || '- ' || m1 || n || n || '> a' || n || '> b'
+    || n || n || '## References' || n || n || '- ' || q || ' (wnone)' || n || '- ' || coalesce('Work ' || c0, q || ' (w' || i || ')') || n || '- ' || coalesce('Work ' || c1, q || ' (w' || (i + 1) || ')') AS content, NULL AS bib FROM m
+  UNION ALL SELECT i, 'latex', '.tex', '\documentclass{article}' || n || '\usepackage[utf8]{inputenc}' || n || '\title{Conversation: ' || i || '}' || n || '\begin{document}' || n || '\maketitle' || n || n
+    || '\subsection{100\% \& more}' || n || n || '\textbf{\emph{It }}\textbf{[missing citation]}' || l0 || n || n || '\begin{enumerate}' || n || '  \item ' || f || ' ' || l0 || n || '  \item \begin{itemize}' || n || '  \item inner' || n || '  \item ' || l1 || n || '\end{itemize}' || n || '\end{enumerate}'
+    || n || n || '\begin{quote}' || n || 'a' || n || 'b' || n || '\end{quote}' || n || n || '\bibliographystyle{plain}' || n || '\bibliography{Conversation ' || i || '}' || n || '\end{document}', bib FROM m
+  UNION ALL SELECT i, 'bibtex', '.bib', bib, NULL FROM m UNION ALL SELECT i, 'ris', '.ris', ris, NULL FROM m)
+SELECT i AS conv_id, format, 'Conversation ' || i || ending AS filename, md5(content) AS content_md5, md5(bib) AS bib_md5 FROM f""",
     "manuscript_export": "SELECT n_nationkey, '# ' || n_name || ' & co' || chr(10) || chr(10) || '**50% **[@w' || n_nationkey || ']' AS markdown, '\\section{' || replace(n_name, '_', '\\_') || ' \\& co}' || chr(10) || chr(10) || '\\textbf{50\\% }\\cite{w' || n_nationkey || '}' AS latex FROM nation",
 }

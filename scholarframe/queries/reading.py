@@ -11,7 +11,7 @@ from scholarframe.operators import passages
 from scholarframe.plans.tables import settle, shared_dir, table
 from scholarframe.queries.accounts import snapshots
 from scholarframe.sources import pages, records
-from scholarframe.streaming import health
+from scholarframe.streaming import breaker, health
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,17 @@ def stream_health_hourly(spark, sf_dir):
     return spark.read.parquet(out).select("provider_id", F.date_format("bucket_start", "yyyy-MM-dd HH").alias("bucket_start"), "snapshot_count", "up_count", "down_count", F.round("avg_latency_ms", 6).alias("avg_latency_ms"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_pages, tables_detect, abstract_from_index, source_json, source_pages, fan_out_totals, page_links, stream_health_hourly)}
+def stream_breaker(spark, sf_dir):
+    """Every call's answer and every cooldown's end, from a stream over the events' files, written batch by batch."""
+    calls = snapshots(spark, sf_dir).select("provider_id", "event_id", F.col("recorded_at").cast("timestamp").alias("at"), "ok")
+    source = settle(calls, "calls")
+    stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rpartition("/")[0])
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    breaker.write_batches(breaker.breaker_events(stream), out, f"{out}-checkpoint").start().awaitTermination()
+    return spark.read.parquet(out).select("provider_id", "kind", "event_id", "at_ms", "state", "allowed")
+
+
+QUERIES = {f.__name__: f for f in (chunk_pages, tables_detect, abstract_from_index, source_json, source_pages, fan_out_totals, page_links, stream_health_hourly, stream_breaker)}
 
 ORACLE_SQL = {
     "tables_detect": "WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, 'Table ' || l_orderkey || ' lines' AS caption, n::INT AS rows, 3 AS columns, 1.0::DOUBLE AS confidence FROM l WHERE n >= 3",
