@@ -45,6 +45,24 @@ def merge_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_ed
     return grown, edges.unionByName(induced(fresh, grown).select(*edges.columns))
 
 
+#: Fixed value: works that a search or a library seeds a graph with.
+SEEDS = 20
+
+
+def seeds(entries: DataFrame, works: DataFrame, limits: dict[str, int | None]) -> DataFrame:
+    """(entry, owner, position, work_key, title): the works that start the graph of each entry, positions from 0.
+
+    entries has entry (its kind: a work, a collection, a search, a library), owner, work_key and ord; limits has the kinds and how many works each starts with, None
+    for all.  Keys of no work are left out before the count; a key that an owner has twice counts once, at its first place; ties go by key."""
+    first = entries.where(F.col("entry").isin(*limits)).groupBy("entry", "owner", "work_key").agg(F.min("ord").alias("ord"))
+    known = first.join(works.select("work_key", "title"), "work_key")
+    placed = known.withColumn("position", F.row_number().over(Window.partitionBy("entry", "owner").orderBy("ord", "work_key")) - 1)
+    within = F.lit(False)
+    for entry, most in limits.items():
+        within = within | ((F.col("entry") == entry) & (F.lit(most is None) | (F.col("position") < (most or 0))))
+    return placed.where(within).select("entry", "owner", "position", "work_key", "title")
+
+
 def mark_expanded(nodes: DataFrame, node: str) -> DataFrame:
     return nodes.withColumn("expanded", F.col("expanded") | (F.col("id") == node))
 

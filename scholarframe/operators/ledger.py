@@ -34,6 +34,23 @@ def diminishing_grants(items: DataFrame, threshold: int, base: int, user: str, o
     return items.withColumn("credit", publication_credit(index, base))
 
 
+def contribution_grants(items: DataFrame, granted: DataFrame, threshold: int, base: int, review: int) -> DataFrame:
+    """(user_id, key, kind, credit): what contributions earn that have earned nothing yet.
+
+    items has user_id, kind (publication or peer_review), id and ord; granted has user_id and key.  Publications earn `base` up to the threshold
+    and then half as much again and again; those granted before count on, in their place if they are listed again, and before all others if they
+    are not, so that batches earn what one run over all would.  Reviews earn `review` each and don't count.  An id listed twice earns once
+    and takes two places in that run; a later batch counts what was granted."""
+    publication = F.col("kind") == "publication"
+    told = items.withColumn("key", F.concat(F.when(publication, "work:").otherwise("review:"), F.col("id")))
+    unlisted = granted.where(F.col("key").startswith("work:")).select("user_id", "key").distinct().join(told, ["user_id", "key"], "left_anti").groupBy("user_id").agg(F.count("*").alias("before"))
+    place = F.row_number().over(Window.partitionBy("user_id", "kind").orderBy("ord", "id"))
+    times = F.row_number().over(Window.partitionBy("user_id", "key").orderBy("ord", "id"))
+    placed = told.withColumn("place", place).withColumn("times", times).where("times = 1").join(granted.select("user_id", "key"), ["user_id", "key"], "left_anti").join(unlisted, "user_id", "left")
+    index = F.coalesce("before", F.lit(0)) + F.col("place") - threshold
+    return placed.select("user_id", "key", "kind", F.when(publication, publication_credit(index, base)).otherwise(review).cast("long").alias("credit"))
+
+
 def within_schedule(hours: Column, days: Column, now: Column) -> Column:
     """Whether `now` (UTC) lies in an HH:MM-HH:MM window, which may pass midnight, of one of the ISO weekdays.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarframe.operators.evidence import latest, missing_pairs, upsert
+from scholarframe.operators.integrate import same_work
 
 #: Revisions that a manuscript keeps, and seconds between two of them at least.
 MAX_REVISIONS, REVISION_SECONDS = 20, 300
@@ -24,6 +25,19 @@ def put_cached(cache: DataFrame, new: DataFrame, keys: list[str], now: Column, t
     return upsert(cache, last.withColumn("expires_at", now + ttl), keys)
 
 
+def upsert_works(old: DataFrame, new: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(works, refused): the stored works after `new` was put in, by work_key, and new rows that were refused.
+
+    Both have work_key, abstract and the same columns; `order` is new's, and of rows with one key the last is put in.  A key made from a DOI is
+    the same work always and is overwritten.  One made from other fields may be another work's: it is overwritten only if the abstracts look like
+    the same work's."""
+    last = latest(new, ["work_key"], [order]).drop(order)
+    held = old.select("work_key", F.col("abstract").alias("_held"), F.lit(True).alias("_known"))
+    told = last.join(held, "work_key", "left").withColumn("_may", F.col("_known").isNull() | F.col("work_key").startswith("doi:") | same_work(F.col("_held"), F.col("abstract")))
+    put = told.where("_may").select(*old.columns)
+    return old.join(put.select("work_key"), "work_key", "left_anti").select(*old.columns).unionByName(put), told.where("not _may").select(*old.columns)
+
+
 def fresh(cache: DataFrame, now: Column) -> DataFrame:
     """Rows that have not expired; others are misses."""
     return cache.where(F.col("expires_at") >= now)

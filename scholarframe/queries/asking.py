@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarframe.operators import postings, readthrough, vectors
+from scholarframe.operators import graph, ledger, library, postings, readthrough, vectors
 from scholarframe.plans.tables import settle, table
 from scholarframe.queries.works import _BASE, CANONICAL_SQL, canonical
 
@@ -121,7 +121,39 @@ def pair_reasons(spark, sf_dir):
     return read.rows.select("l_orderkey", "l_linenumber", F.col("value").alias("reason"))
 
 
-QUERIES = {f.__name__: f for f in (retrieve_many, cell_fill, findings_queries, similar_batch, similar_titles, embedding_read_through, rank_by_meaning, pair_reasons)}
+def grants_in_batches(spark, sf_dir):
+    """What each supplier's lines earn as publications and reviews, granted in two batches, the second on top of the first."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS user_id", "if(l_returnflag = 'R', 'peer_review', 'publication') AS kind", "concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id", "l_orderkey * 10L + l_linenumber AS ord").distinct()
+    middle = lines.agg(F.floor(F.max("ord") / 2).alias("middle"))
+    dealt = lines.join(F.broadcast(middle))
+    none = spark.createDataFrame([], "user_id long, key string")
+    first = settle(ledger.contribution_grants(dealt.where("ord <= middle"), none, 5, 40, 10), "grants")
+    second = ledger.contribution_grants(dealt.where("ord > middle"), first.select("user_id", "key"), 5, 40, 10)
+    return first.union(second)
+
+
+def works_upserted(spark, sf_dir):
+    """Stored works after a second look at them: some with a DOI's key, some with other abstracts, some new."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "doi:").otherwise("hash:"), F.col("doc_id")).alias("work_key"), F.col("text").alias("abstract"))
+    old = docs.where("doc_id % 5 < 4").select("work_key", "abstract", F.lit("old").alias("seen"))
+    changed = F.when(F.col("doc_id") % 3 == 0, F.lit("quite another abstract of other words")).otherwise(F.col("abstract"))
+    new = docs.where("doc_id % 7 < 5").select("work_key", changed.alias("abstract"), F.lit("new").alias("seen"), F.lit(1).alias("ord"))
+    works, refused = library.upsert_works(old, new.union(new.withColumn("seen", F.lit("older")).withColumn("ord", F.lit(0))), "ord")
+    said = works.join(refused.select("work_key", F.lit(True).alias("refused")), "work_key", "left")
+    return said.select("work_key", "seen", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"), F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+def graph_seeds(spark, sf_dir):
+    """Works that start graphs: single works, orders as collections, customers' libraries and each source's documents as searches."""
+    works = table(spark, sf_dir, "part").where("p_size <> 7").select(F.concat(F.lit("w"), F.col("p_partkey")).alias("work_key"), F.col("p_name").alias("title"))
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_suppkey", "concat('w', l_partkey) AS work_key", "l_orderkey * 10L + l_linenumber AS ord")
+    single = table(spark, sf_dir, "part").selectExpr("'work' AS entry", "p_partkey AS owner", "concat('w', p_partkey) AS work_key", "0L AS ord")
+    collection, kept = lines.selectExpr("'collection'", "l_orderkey", "work_key", "ord"), lines.selectExpr("'library'", "l_suppkey", "work_key", "-ord")
+    search = lines.selectExpr("'search'", "l_suppkey % 3", "work_key", "ord % 1000")
+    return graph.seeds(single.union(collection).union(kept).union(search), works, {"work": 1, "collection": None, "search": graph.SEEDS, "library": graph.SEEDS})
+
+
+QUERIES = {f.__name__: f for f in (grants_in_batches, works_upserted, graph_seeds, retrieve_many, cell_fill, findings_queries, similar_batch, similar_titles, embedding_read_through, rank_by_meaning, pair_reasons)}
 
 _STOP = "['the','a','an','and','or','but','of','to','in','on','for','with','is','are','was','were','be','been','it','this','that','as','by','at','from','what','how','why','does','do','did','which','who']"
 _TERMS = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t))"
@@ -150,6 +182,23 @@ _NEAR = """SELECT s.vec_id AS seed, v.vec_id AS key, round(list_cosine_similarit
 _COUNTS = "[1.0::DOUBLE, " + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', '')))::DOUBLE" for c in "aeinost ") + "]"
 
 ORACLE_SQL = {
+    "grants_in_batches": """
+WITH l AS (SELECT DISTINCT l_suppkey AS user_id, CASE WHEN l_returnflag = 'R' THEN 'peer_review' ELSE 'publication' END AS kind, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY ord, id) - 5 AS i FROM l)
+SELECT user_id, CASE kind WHEN 'publication' THEN 'work:' ELSE 'review:' END || id AS key, kind, CASE WHEN kind = 'peer_review' THEN 10 WHEN i <= 0 THEN 40 ELSE greatest(1, floor(40 / power(2, least(i, 6)) + 0.5)) END::BIGINT AS credit FROM p""",
+    "works_upserted": r"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'doi:' ELSE 'hash:' END || doc_id AS work_key, text FROM documents),
+w AS (SELECT *, doc_id % 5 < 4 AS had, doc_id % 7 < 5 AS asked, doc_id % 3 = 0 AS changed, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(left(text, 1000))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: t <> '')) AS t FROM d),
+j AS (SELECT *, len(list_intersect(t, ['quite', 'another', 'abstract', 'of', 'other', 'words'])) AS c FROM w),
+r AS (SELECT *, had AND asked AND doc_id % 2 = 1 AND changed AND len(t) > 0 AND c / (len(t) + 6 - c)::DOUBLE < 0.3 AS refused FROM j WHERE had OR asked)
+SELECT work_key, CASE WHEN asked AND NOT refused THEN 'new' ELSE 'old' END AS seen, md5(CASE WHEN asked AND NOT refused AND changed THEN 'quite another abstract of other words' ELSE text END) AS abstract_md5, refused FROM r""",
+    "graph_seeds": """
+WITH l AS (SELECT l_orderkey, l_suppkey, 'w' || l_partkey AS work_key, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+e AS (SELECT 'work' AS entry, p_partkey AS owner, 'w' || p_partkey AS work_key, 0 AS ord FROM part UNION ALL SELECT 'collection', l_orderkey, work_key, ord FROM l
+  UNION ALL SELECT 'library', l_suppkey, work_key, -ord FROM l UNION ALL SELECT 'search', l_suppkey % 3, work_key, ord % 1000 FROM l),
+f AS (SELECT entry, owner, work_key, min(ord) AS ord FROM e GROUP BY ALL),
+p AS (SELECT f.*, p_name AS title, (row_number() OVER (PARTITION BY entry, owner ORDER BY ord, work_key) - 1)::INT AS position FROM f JOIN part ON work_key = 'w' || p_partkey AND p_size <> 7)
+SELECT entry, owner, position, work_key, title FROM p WHERE entry = 'collection' OR position < CASE entry WHEN 'work' THEN 1 ELSE 20 END""",
     "embedding_read_through": f"""
 WITH k AS (SELECT doc_id, sha256(coalesce(text, '')) AS key, coalesce(text, '') AS text FROM documents),
 c AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
