@@ -34,8 +34,9 @@ def ledger_reconcile(spark, sf_dir):
 
 
 def ledger_history(spark, sf_dir):
-    """The 50 latest entries of user 1."""
-    return ledger_events(spark, sf_dir).where("user_id = 1").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50).select("event_id", "delta")
+    """The 50 latest entries of every user."""
+    last = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return ledger_events(spark, sf_dir).withColumn("place", F.row_number().over(last)).where("place <= 50").select("user_id", "place", "event_id", "delta")
 
 
 def grants_diminishing(spark, sf_dir):
@@ -150,7 +151,7 @@ sched AS (SELECT id, moment, CASE h WHEN 0 THEN m >= 1320 OR m < 360 WHEN 1 THEN
 ORACLE_SQL = {
     "ledger_running_balance": f"WITH {_EVENTS} SELECT event_id, balance, applied FROM led",
     "ledger_reconcile": f"WITH {_EVENTS} SELECT user_id, sum(applied)::BIGINT AS ledger_total, arg_max(balance, {{'t': ts, 'e': event_id}}) AS balance, sum(applied) = arg_max(balance, {{'t': ts, 'e': event_id}}) AS consistent FROM led GROUP BY user_id",
-    "ledger_history": f"WITH {_EVENTS} SELECT event_id, delta FROM ev WHERE user_id = 1 ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "ledger_history": f"WITH {_EVENTS} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place, event_id, delta FROM ev QUALIFY place <= 50",
     "grants_diminishing": "SELECT o_orderkey, CASE WHEN i <= 0 THEN 40 ELSE greatest(1, floor(40 / pow(2, least(i, 6)) + 0.5)) END::BIGINT AS credit FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 5 AS i FROM orders)",
     "monthly_floor": "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS period, greatest(0, 20 - arg_min(o_orderkey % 37, o_orderkey)) AS top_up FROM orders GROUP BY ALL",
     "allowance_month": "SELECT user_id, strftime(ts, '%Y-%m') AS period, count(*) AS used, greatest(0, 30 - count(*)) AS left FROM events GROUP BY ALL",

@@ -21,7 +21,10 @@ def estimate(feature):
 
 
 def cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(ESTIMATES.items()), "feature string, estimate int").orderBy("estimate", "feature")
+    """What each feature is estimated to cost a call, and cost all events as calls of it; one feature has no estimate of its own."""
+    named = F.element_at(F.array(*map(F.lit, [*ESTIMATES, "other"])), (F.col("event_id") % (len(ESTIMATES) + 1) + 1).cast("int"))
+    calls = table(spark, sf_dir, "events").select(named.alias("feature"))
+    return calls.groupBy("feature").agg(F.count("*").alias("calls")).select("feature", estimate(F.col("feature")).alias("estimate"), "calls", (F.col("calls") * estimate(F.col("feature"))).alias("credits"))
 
 
 def preflight(spark, sf_dir):
@@ -186,7 +189,7 @@ from scholarframe.queries.citing import ORACLE_SQL as _CITING  # noqa: E402
 from scholarframe.queries.works import RANKED_SQL, RAW_WORK_SQL  # noqa: E402
 
 ORACLE_SQL = {
-    "cost_table": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in ESTIMATES.items()) + ") t(feature, estimate)",
+    "cost_table": "WITH n AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {v})" for i, (k, v) in enumerate([*ESTIMATES.items(), ("other", 4)])) + f") t(i, feature, estimate)) SELECT feature, estimate, count(*) AS calls, sum(estimate)::BIGINT AS credits FROM events JOIN n ON event_id % {len(ESTIMATES) + 1} = i GROUP BY ALL",
     "preflight": "SELECT c_custkey, b AS balance, b >= 14 AS allowed, greatest(0, 14 - b) AS short FROM (SELECT c_custkey, greatest(0, floor(c_acctbal / 100))::BIGINT AS b FROM customer)",
     "cache_fresh": "SELECT key, event_id FROM (SELECT event_id % 500 AS key, event_id, ts + INTERVAL 15 MINUTE AS e FROM events) WHERE e >= (SELECT max(ts) - INTERVAL 3 DAY FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY e DESC, event_id DESC) = 1",
     "search_cache_keys": "SELECT item_id, sha256(to_json({'query': lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))), 'filters': {'oa': 1}})::VARCHAR) AS key, true AS same FROM benchmark",

@@ -174,10 +174,9 @@ def preflight_anonymous(spark, sf_dir):
 
 def deck_references(spark, sf_dir):
     """Numbered references of each order's deck, after its tags were replaced by keys; some tags are unknown."""
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS deck", "l_linenumber AS slide", "l_suppkey AS bullet", "concat('See [[ t', l_partkey % 90, ' ]] and [[t', l_suppkey % 90, ']].') AS text")
-    tags = F.map_from_arrays(F.array(*(F.lit(f"t{k}") for k in range(60))), F.array(*(F.lit(f"w{k % 40}") for k in range(60))))
-    works = table(spark, sf_dir, "part").where("p_partkey < 35").selectExpr("concat('w', p_partkey) AS work_key", "p_name AS title")
-    return cite.deck_references(lines.withColumn("text", T.remap_markers(F.col("text"), tags)), works)
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS deck", "l_linenumber AS slide", "l_suppkey AS bullet", "concat('See [[ t1 ]] and [[t2]], not [[t3]].') AS text", "map('t1', concat('w', l_partkey), 't2', concat('w', l_suppkey * 3)) AS tags")
+    works = table(spark, sf_dir, "part").where("p_size <> 7").selectExpr("concat('w', p_partkey) AS work_key", "p_name AS title")
+    return cite.deck_references(lines.withColumn("text", T.remap_markers(F.col("text"), F.col("tags"))), works)
 
 
 def marker_segments(spark, sf_dir):
@@ -277,9 +276,10 @@ j AS (SELECT s.*, n, CASE WHEN rolled THEN n ELSE used + n END AS total FROM s L
 SELECT id, CASE WHEN n IS NULL OR st = 'disabled' THEN st WHEN total >= cap THEN 'exhausted' ELSE 'active' END AS status, coalesce(total, used) AS used, CASE WHEN NOT rolled OR n IS NOT NULL THEN '2024-03-01' ELSE '2024-02-27' END AS since, dorm AND n IS NULL AS dormant FROM j""",
     "sources_down": "SELECT event_id % 4000 AS search, bool_and(event_type = 'error') AS down FROM events GROUP BY 1",
     "preflight_anonymous": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN floor(c_acctbal / 100) >= 8 ELSE greatest(0, 20 - CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 25 ELSE 0 END) >= 8 END AS allowed FROM customer",
-    "deck_references": """WITH l AS (SELECT l_orderkey AS deck, l_linenumber AS s, l_suppkey AS b, unnest([{'i': 0, 't': l_partkey % 90}, {'i': 1, 't': l_suppkey % 90}]) AS m FROM lineitem),
-f AS (SELECT deck, m.t % 40 AS w, min({'s': s, 'b': b, 'i': m.i}) AS p FROM l WHERE m.t < 60 GROUP BY ALL)
-SELECT deck, row_number() OVER (PARTITION BY deck ORDER BY p, 'w' || w) AS number, 'w' || w AS work_key, p_name AS title FROM f JOIN part ON p_partkey = w AND p_partkey < 35""",
+    "deck_references": """
+WITH l AS (SELECT l_orderkey AS deck, l_linenumber AS s, l_suppkey AS b, unnest([{'i': 0, 'k': l_partkey}, {'i': 1, 'k': l_suppkey * 3}]) AS m FROM lineitem),
+f AS (SELECT deck, m.k AS k, min({'s': s, 'b': b, 'i': m.i}) AS p FROM l GROUP BY ALL)
+SELECT deck, row_number() OVER (PARTITION BY deck ORDER BY p, 'w' || k)::INT AS number, 'w' || k AS work_key, p_name AS title FROM f JOIN part ON p_partkey = k AND p_size <> 7""",
     "odd_markers": r"""
 WITH t AS (
   SELECT conv_id, turn, text || ['[[a.c]] x ]] y', 'z [[k(1]] and [[ a.c ]]', ' [[abc]] [[ ]] [[', ']][[k|+]]]] end [[]].'][(turn % 4 + 1)::INT] AS t FROM conversations),
