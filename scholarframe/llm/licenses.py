@@ -3,7 +3,8 @@
 A template is a text with markup: <<optional>>...<<end>> may be left out, <<any N>> stands for at
 most N words of any kind.  Everything else is mandatory wording.  It is compiled to an automaton
 over words; a text is accepted where the automaton reaches its end from some word on.  Each automaton names
-its longest mandatory word; it is walked only in texts that hold that word.
+its longest mandatory word; it is walked only in texts that hold that word.  A statement right behind a negation keeps its
+label, as it names the licence, but scores NEGATED.
 """
 
 from __future__ import annotations
@@ -51,6 +52,16 @@ def _gnu_notice(kind: str, version: str) -> str:
 
 _GPL, _LGPL, _AGPL = ("general public license", "lesser general public license", "affero general public license")
 
+#: Licences by the identifiers that files name them with, and the labels they get.
+_SPDX = {
+    "mit": "mit", "apache 2 0": "apache-2", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3",
+    "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "isc": "isc", "mpl 2 0": "mpl-2", "epl 2 0": "epl-2", "bsl 1 0": "boost-1", "zlib": "zlib", "unlicense": "unlicense",
+    "cc0 1 0": "cc0-1", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc",
+}
+#: Words right before a statement that take it back, and what it scores then.
+NEGATIONS, NEGATED = {b"not", b"never", b"nor", b"cannot", b"longer"}, 0.25
+_LICENSED = "<<optional>>licensed<<end>> <<optional>>released<<end>> <<optional>>distributed<<end>> <<optional>>available<<end>> under <<optional>>the<<end>> <<optional>>terms of the<<end>> "
+
 #: Label, score, template.  Words are compared after folding, so case and punctuation don't matter.  Labels that end in
 #: -text or -notice have the whole mandatory wording; openings without the rest score 0.75, and statements that
 #: name a licence score 1.
@@ -92,6 +103,31 @@ TEMPLATES = (
      "the software is provided as is and <<any 6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
      "in no event shall <<any 6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
      "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    *((label, 1.0, f"spdx license identifier {words}") for words, label in _SPDX.items()),
+    *((f"{label}-{version}", 1.0, _LICENSED + f"gnu {name} <<any 2>> {word}{version}") for label, name in (("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl")) for version in ("2", "3") for word in ("v", "version ")),
+    *((f"{label}-{version}", 1.0, f"licensed under the terms of the gnu {kind} <<any 2>> version {version}") for label, kind in (("gpl", _GPL), ("lgpl", _LGPL), ("agpl", _AGPL)) for version in ("2", "3")),
+    *((f"bsd-{k}", 1.0, _LICENSED + f"bsd {k} clause <<optional>>new<<end>> <<optional>>simplified<<end>> license") for k in ("2", "3")),
+    ("cc-by", 1.0, "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by 4 0"),
+    ("cc-by-sa", 1.0, "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by sa <<optional>>4 0<<end>>"),
+    ("mpl-2", 1.0, _LICENSED + "mozilla public license <<any 2>> 2 0"),
+    ("mpl-2-notice", 1.0, "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<optional>>http<<end>> <<optional>>https<<end>> <<optional>>www<<end>> mozilla org mpl 2 0"),
+    ("epl-2", 1.0, _LICENSED + "eclipse public license <<any 2>> 2 0"),
+    ("unlicense", 0.75, "this is free and unencumbered software released into the public domain"),
+    ("unlicense-text", 1.0, "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+     "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+     "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+     "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+     "the software is provided as is without warranty of any kind express or implied " + _WARRANTY + "warranties of merchantability fitness for a particular purpose and noninfringement "
+     "in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("cc0-1", 1.0, "to the extent possible under law <<any 12>> waived all copyright and related or neighboring rights to <<any 12>> work"),
+    ("boost-1", 1.0, "<<optional>>distributed<<end>> <<optional>>licensed<<end>> under the boost software license version 1 0"),
+    ("boost-1", 0.75, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", 0.75, "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib-text", 1.0, "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+     "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+     "<<any 1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+     "<<any 1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+     "<<any 1>> this notice may not be removed or altered from any source distribution"),
     ("all-rights-reserved", 1.0, "copyright <<any 8>> all rights reserved"),
 )
 
@@ -189,9 +225,18 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, set[str], set[s
         for k, word in enumerate(words):
             at.setdefault(word, []).append(k)
         for label, own, automaton in automata:
-            if automaton.sign in seen_signs and any(automaton.accepts(words, k) for w in automaton.first for k in at.get(w, ())):
-                labels.add(label)
-                score = max(score, own)
+            if automaton.sign not in seen_signs:
+                continue
+            taken_back = False
+            for k in (k for w in automaton.first for k in at.get(w, ())):
+                if automaton.accepts(words, k):
+                    labels.add(label)
+                    taken_back = bool(k) and words[k - 1] in NEGATIONS
+                    if not taken_back:
+                        score = max(score, own)
+                        break
+            if taken_back:
+                score = max(score, NEGATED)
     return n_words, len(places), min(places, default=None), max(places, default=None), base, labels, score
 
 
