@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarframe.operators import graph, ledger, library, postings, readthrough, vectors
-from scholarframe.plans.tables import settle, table
+from scholarframe.plans import versions
+from scholarframe.plans.tables import settle, shared_dir, table
 from scholarframe.queries.works import _BASE, CANONICAL_SQL, canonical
 
 
@@ -153,7 +156,20 @@ def graph_seeds(spark, sf_dir):
     return graph.seeds(single.union(collection).union(kept).union(search), works, {"work": 1, "collection": None, "search": graph.SEEDS, "library": graph.SEEDS})
 
 
-QUERIES = {f.__name__: f for f in (grants_in_batches, works_upserted, graph_seeds, retrieve_many, cell_fill, findings_queries, similar_batch, similar_titles, embedding_read_through, rank_by_meaning, pair_reasons)}
+def documents_saved(spark, sf_dir):
+    """Documents and their passages after a second save of some with other lines, both tables read from the newest version."""
+    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    docs, lines = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("save")), line_passages(spark, sf_dir).select("doc_id", "line", "content")
+    versions.write(spark, folder, {"parents": docs, "children": lines})
+    now = versions.read(spark, folder)
+    again = docs.where("doc_id % 3 = 0").withColumn("save", F.lit(2))
+    versions.write(spark, folder, versions.replace_children(now["parents"], now["children"], again, lines.where("line % 2 = 0"), "doc_id"))
+    now = versions.read(spark, folder)
+    held = now["children"].groupBy("doc_id").agg(F.count("*").alias("passages"), F.sum(F.char_length("content")).alias("chars"))
+    return now["parents"].join(held, "doc_id", "left").select("doc_id", "save", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (documents_saved, grants_in_batches, works_upserted, graph_seeds, retrieve_many, cell_fill, findings_queries, similar_batch, similar_titles, embedding_read_through, rank_by_meaning, pair_reasons)}
 
 _STOP = "['the','a','an','and','or','but','of','to','in','on','for','with','is','are','was','were','be','been','it','this','that','as','by','at','from','what','how','why','does','do','did','which','who']"
 _TERMS = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t))"
@@ -182,6 +198,10 @@ _NEAR = """SELECT s.vec_id AS seed, v.vec_id AS key, round(list_cosine_similarit
 _COUNTS = "[1.0::DOUBLE, " + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', '')))::DOUBLE" for c in "aeinost ") + "]"
 
 ORACLE_SQL = {
+    "documents_saved": """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+h AS (SELECT doc_id, count(*) AS passages, sum(length(content))::BIGINT AS chars FROM l WHERE doc_id % 3 <> 0 OR line % 2 = 0 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INT AS save, coalesce(passages, 0) AS passages, coalesce(chars, 0) AS chars FROM documents LEFT JOIN h USING (doc_id)""",
     "grants_in_batches": """
 WITH l AS (SELECT DISTINCT l_suppkey AS user_id, CASE WHEN l_returnflag = 'R' THEN 'peer_review' ELSE 'publication' END AS kind, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
 p AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY ord, id) - 5 AS i FROM l)
