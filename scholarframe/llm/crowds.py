@@ -27,6 +27,8 @@ LEAF = 8
 FEW = 32
 #: A node is extended where its pairs are at least so many times the rows of its extension.
 WORTH = 4
+#: Sets of a node, more or less, that tell whether extending it leaves fewer pairs.
+TRIED = 64
 
 
 def band(n: Column, percent: int) -> Column:
@@ -88,19 +90,21 @@ def crowd_candidates(listed: DataFrame, percent: int, leaf: int = LEAF) -> DataF
         # Nodes of one part have nothing left to connect.
         counted = counted.where("lo <> hi").withColumn("large", (F.col("many") > leaf) & (2 * WORTH * F.col("all_kids") <= F.col("many") * F.col("many")))
         told = settle(rows.join(counted.select("node", "many", "large"), "node"), "counted")
-        again = told.where("large").select("ref", "node", "pos", "skip", "got").join(listed, "ref")
-        below = settle(_nodes(again), "nodes")
-        # Where sets share nearly all, longer combinations tell no more of them apart: such a node is compared as it is.
-        inner = below.groupBy("parent", "node").agg(F.count("*").alias("many")).groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("many") * (F.col("many") - 1)).alias("inner"))
-        told = told.join(inner, "node", "left").withColumn("pays", F.col("large") & (F.coalesce("inner", F.lit(0)) < F.col("many") * (F.col("many") - 1)))
-        told = settle(told, "paying")
+        # Where sets share nearly all, longer combinations tell no more of them apart: such a node is compared as it is.  How many
+        # pairs an extension leaves is told by some of a node's sets, about TRIED or all of a smaller node.
+        some = told.where("large").where(F.pmod(F.xxhash64("node", "ref"), F.col("many")) < TRIED)
+        tried = _nodes(some.select("ref", "node", "pos", "skip", "got").join(listed, "ref"))
+        pairs = lambda c: F.col(c) * (F.col(c) - 1)
+        inner = tried.groupBy("parent", "node").agg(F.count("*").alias("met")).groupBy(F.col("parent").alias("node")).agg(F.sum(pairs("met")).alias("inner"))
+        paying = settle(some.groupBy("node").agg(F.count("*").alias("sets")).join(inner, "node", "left").where(F.coalesce("inner", F.lit(0)) < pairs("sets")).select("node", F.lit(True).alias("pays")), "paying")
+        told = settle(told.join(paying, "node", "left").withColumn("pays", F.coalesce("pays", F.lit(False))), "told")
         ends = told.where("pays and may_end")
         pivot = ends.groupBy("node").agg(F.min(F.struct("n", "ref", "at")).alias("p")).select("node", F.col("p.n").alias("np"), F.col("p.ref").alias("refp"), F.col("p.at").alias("atp"))
         star = ends.join(pivot, "node").where((F.col("at") != F.col("atp")) & (100 * F.col("got") >= percent * (F.col("n") + F.col("np") - F.col("got"))))
         star = star.select(F.least("ref", "refp").alias("a"), F.greatest("ref", "refp").alias("b"))
         own = settle(_pairs(told.where("not pays"), percent).union(star).distinct(), "candidates")
         found = own if found is None else found.union(own)
-        paying = told.where("pays and kids > 0").select(F.col("node").alias("parent")).distinct()
-        if paying.isEmpty():
+        again = told.where("pays and kids > 0")
+        if again.isEmpty():
             return found.distinct()
-        rows = settle(below.join(paying, "parent", "left_semi"), "nodes")
+        rows = settle(_nodes(again.select("ref", "node", "pos", "skip", "got").join(listed, "ref")), "nodes")
