@@ -31,20 +31,22 @@ class BoostedTrees:
     def _assembled(self, rows: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=self.features, outputCol="features").transform(rows)
 
-    def fit(self, rows: DataFrame, label: str, fold: Column) -> BoostedTrees:
-        """fold: true for the fifth or so of the rows that calibrates.  With rows of one class only, or none,
-        every score is that class."""
-        known = rows.select(*self.features, F.col(label).cast("double").alias("label"), fold.alias("fold")).where("label is not null")
+    def fit(self, rows: DataFrame, label: str, fold: Column, weight: str | None = None) -> BoostedTrees:
+        """fold: true for the fifth or so of the rows that calibrates; weight: a column with what each row stands for, else 1.
+        With rows of one class only, or none, every score is that class."""
+        weighs = F.col(weight).cast("double") if weight else F.lit(1.0)
+        known = rows.select(*self.features, F.col(label).cast("double").alias("label"), fold.alias("fold"), weighs.alias("weight")).where("label is not null")
         counts = {(r.fold, r.label): r.n for r in known.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
         if not all(counts.get((False, x)) for x in (0.0, 1.0)):
             total = sum(counts.values())
             self.constant = float(sum(n for (_, x), n in counts.items() if x == 1.0) * 2 > total) if total else 0.0
             return self
         ready = self._assembled(known)
-        self.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=self.rounds, maxDepth=self.depth, maxBins=64, stepSize=0.3, minInstancesPerNode=3, seed=1).fit(ready.where("not fold"))
+        weighed = {"weightCol": "weight"} if weight else {}
+        self.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=self.rounds, maxDepth=self.depth, maxBins=64, stepSize=0.3, minInstancesPerNode=3, seed=1, **weighed).fit(ready.where("not fold"))
         if self.calibrate and all(counts.get((True, x)) for x in (0.0, 1.0)):
             # Rows of one score, to a thousandth, are one weighted point, so the curve's sort is small and even.
-            points = self._raw(ready.where("fold")).groupBy(F.round("raw", 3).alias("raw")).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+            points = self._raw(ready.where("fold")).groupBy(F.round("raw", 3).alias("raw")).agg((F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), F.sum("weight").alias("weight"))
             self.curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(points)
         return self
 

@@ -108,15 +108,49 @@ def test_url_features_and_held_out(spark):
 def test_url_suffix_shares_are_cross_fitted(spark):
     """A labelled row's suffix share leaves out its own fold, so the only row of a suffix learns nothing from itself."""
     labelled = spark.createDataFrame([(i, f"http://a.s{i}.com/{i}", i % 2) for i in range(40)] + [(100 + i, f"http://b.same.com/{i}", 1) for i in range(50)], "page_id long, url string, blocked int")
-    known = urls.suffix_labels(labelled)
+    known = urls.block_counts(labelled, ("suffix",))
     rows = urls.lexical(labelled.select("page_id", "url")).withColumn("fold", urls.fold_of(labelled))
-    seen = rows.groupBy("suffix").agg(F.count("*").alias("seen"))
-    got = urls._with_suffixes(rows, seen, known, "fold").collect()
+    got = urls.with_share(rows, known, ("suffix",), "fold").collect()
     assert all(r.suffix_block_rate == 0.5 for r in got if r.page_id < 100)
     own = {k: sum(r.fold == k for r in got if r.page_id >= 100) for k in range(urls.FOLDS)}
     assert all(abs(r.suffix_block_rate - (51 - own[r.fold]) / (52 - own[r.fold])) < 1e-12 for r in got if r.page_id >= 100)
 
 
+def planted_urls(spark, n, seed, hidden):
+    """Blocked: section en of .com and es of .org, or any long run of digits; the share `hidden` of all labels is taken off."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        suffix, part, digits = rng.choice(["com", "net", "org"]), rng.choice(["en", "de", "es"]), rng.random() < 0.15
+        bad = (suffix, part) in (("com", "en"), ("org", "es")) or digits
+        rows.append((i, f"http://h{rng.randint(0, 30)}.site.{suffix}/{part}/{rng.randint(10**11, 10**12) if digits else rng.choice(['a', 'about', 'news'])}", int(bad), None if rng.random() < hidden else int(bad)))
+    return spark.createDataFrame(rows, "page_id long, url string, truth int, blocked int")
+
+
+def test_url_labels_that_no_suffix_tells(spark):
+    """Each suffix has blocked and other URLs, and half of the labels are missing; verdicts don't turn with the size."""
+    for n in (600, 2_400):
+        pages = planted_urls(spark, n, seed=n, hidden=0.5)
+        got = {r.page_id: r.verdict == "block" for r in urls.judge(pages, pages.select("page_id", "url", "blocked"), []).collect()}
+        rows = [r for r in pages.collect() if r.blocked is None]
+        hit = sum(got[r.page_id] and r.truth for r in rows)
+        assert hit >= 0.9 * sum(r.truth for r in rows) and hit >= 0.9 * sum(got[r.page_id] for r in rows)
+
+
+def test_url_held_out_by_suffix(spark):
+    """The report counts one fold's labelled rows, by suffix, as the verdicts of trees that never saw them."""
+    labelled = planted_urls(spark, 1_500, seed=9, hidden=0.3).select("page_id", "url", "blocked")
+    got = {r.kind: r for r in urls.held_out(labelled, F.substring_index("host", ".", -1)).collect()}
+    told = labelled.where((urls.fold_of(labelled) == 1) & F.col("blocked").isNotNull())
+    assert sum(r.n for r in got.values()) == told.count() and sorted(got) == ["com", "net", "org"]
+    assert all(r.found >= 0.85 * r.blocked and r.found >= 0.85 * r.flagged for r in got.values())
+
+
+def test_url_sections(spark):
+    cases = {"/en/7": "en", "/EN": "en", "/": "empty", "": "empty", "/123/x": "digits", "/about": "word", "/a-b": "other", "/\u00e9\u00e9/": "other"}
+    df = spark.createDataFrame([(p,) for p in cases], "p string").select("p", urls.section(F.col("p")).alias("s"))
+    assert {r.p: r.s for r in df.collect()} == cases
+
+
 def test_url_odd_rows(spark):
     """Null urls and ids, repeated rows and clashing names each give a row; an empty table none."""
     kinds = "page_id long, url string, score int, label int, suffix string"
