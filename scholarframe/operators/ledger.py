@@ -83,6 +83,12 @@ def rank_sources(sources: DataFrame, now: Column, preference: list[str], sponsor
     return numbered(sources.where(able).withColumn("sponsored", F.col("sponsor_name").isNotNull().cast("int")).withColumn("place", place), "rank", F.col("sponsored").desc(), F.col("place"), F.col("id"))
 
 
+def remaining_tokens(now: Column) -> Column:
+    """What a source may still spend this month; null without a cap."""
+    rolled = F.date_trunc("month", F.col("period_starts_at")) < F.date_trunc("month", now)
+    return F.col("monthly_token_cap") - F.when(rolled, 0).otherwise(F.col("tokens_used_period"))
+
+
 def fails_over(status: Column) -> Column:
     return F.coalesce((status >= 500) | status.isin(401, 402, 403, 429), F.lit(True))
 

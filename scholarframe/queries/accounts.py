@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholarframe.functions.text import credits_for_usage
-from scholarframe.operators import ledger
+from scholarframe.operators import dispatch, ledger
 from scholarframe.plans.tables import table
 
 NOW = "2026-01-14 02:30:00"
@@ -85,6 +85,24 @@ def capacity_rank(spark, sf_dir):
     return ledger.rank_sources(capacity(spark, sf_dir), now, ["gamma", "alpha", "beta"]).select("id", "sponsored", "place", "rank")
 
 
+def dispatch_calls(spark, sf_dir):
+    """Orders as calls, dealt to the suppliers of their customer's region; statuses follow from both keys."""
+    now = F.to_timestamp(F.lit(NOW))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("pool"))
+    regions = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n_nationkey")).join(nations, "n_nationkey")
+    ranked = ledger.rank_sources(capacity(spark, sf_dir), now, ["gamma", "alpha", "beta"]).withColumn("remaining", ledger.remaining_tokens(now))
+    sources = dispatch.ranked_in_pools(ranked.join(regions, "id").withColumnRenamed("id", "source_id"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(nations, "n_nationkey")
+    calls = table(spark, sf_dir, "orders").join(customers, "o_custkey").selectExpr("o_orderkey AS call_id", "pool", "o_orderdate AS ord", "o_orderkey % 50 + 1 AS tokens")
+
+    def status(call, source):
+        kind = (call * 7 + source * 13) % 12
+        return F.when(kind == 6, 429).when(kind == 7, 503).when(kind == 8, 400).when(kind == 9, 401).when(kind != 10, 200)
+
+    out = dispatch.dispatch(calls, sources, status)
+    return out.select(F.col("call_id").alias("o_orderkey"), F.col("source_id").cast("long").alias("source_id"), "outcome", "attempts", "status")
+
+
 def capacity_schedule(spark, sf_dir):
     """Which sources are in their hours at each of four moments."""
     moments = spark.createDataFrame([(m,) for m in ("2026-01-14 02:30:00", "2026-01-17 23:15:00", "2026-01-18 04:59:00", "2026-01-19 12:00:00")], "moment string")
@@ -136,7 +154,7 @@ def fanout_status(spark, sf_dir):
     return found.join(F.broadcast(all_)).select("provider_id", "records", F.when(F.col("ok"), "ok").otherwise("error").alias("status"), "degraded")
 
 
-QUERIES = {f.__name__: f for f in (ledger_running_balance, ledger_reconcile, ledger_history, grants_diminishing, monthly_floor, allowance_month, credit_cost, capacity_rank, capacity_schedule, pool_health, public_sponsors, fail_over, health_hourly, latency_rolling, breaker_consecutive, breaker_fsm, provider_health_summary, fanout_status)}
+QUERIES = {f.__name__: f for f in (ledger_running_balance, ledger_reconcile, ledger_history, grants_diminishing, monthly_floor, allowance_month, credit_cost, capacity_rank, dispatch_calls, capacity_schedule, pool_health, public_sponsors, fail_over, health_hourly, latency_rolling, breaker_consecutive, breaker_fsm, provider_health_summary, fanout_status)}
 
 _EVENTS = "ev AS (SELECT event_id, ts, user_id, CASE WHEN event_type = 'purchase' THEN -3 ELSE 1 END AS delta, CASE WHEN event_id % 4 = 0 THEN 'k' || (event_id % 97) END AS key FROM events), kept AS (SELECT * FROM ev WHERE key IS NULL UNION ALL SELECT * FROM ev WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY ts, event_id) = 1), summed AS (SELECT *, sum(delta) OVER w AS s FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), bal AS (SELECT *, (s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))::BIGINT AS balance FROM summed), led AS (SELECT *, balance - coalesce(lag(balance) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS applied FROM bal)"
 _SNAP = "snap AS (SELECT event_id, user_id % 9 AS provider_id, ts, value, CASE WHEN event_type = 'error' THEN 'down' WHEN event_type = 'purchase' THEN 'degraded' ELSE 'up' END AS health, event_type NOT IN ('error', 'purchase') AS ok FROM events)"
@@ -148,6 +166,8 @@ sched AS (SELECT id, moment, CASE h WHEN 0 THEN m >= 1320 OR m < 360 WHEN 1 THEN
   FROM (SELECT *, isodow(CASE WHEN h = 0 AND m < 360 THEN moment::TIMESTAMP - INTERVAL 1 DAY ELSE moment::TIMESTAMP END) AS wd FROM (
     SELECT cap.*, moment, hour(moment::TIMESTAMP) * 60 + minute(moment::TIMESTAMP) AS m FROM cap CROSS JOIN (SELECT unnest(['2026-01-14 02:30:00', '2026-01-17 23:15:00', '2026-01-18 04:59:00', '2026-01-19 12:00:00']) AS moment))))"""
 
+_RANKED = f"SELECT id, sponsored, place, row_number() OVER (ORDER BY sponsored DESC, place, id) AS rank FROM (SELECT cap.id, (sponsor_name IS NOT NULL)::INT AS sponsored, coalesce(nullif(list_position(['gamma','alpha','beta'], provider_id), 0), 4)::INT AS place FROM cap JOIN sched ON sched.id = cap.id AND moment = '{NOW}' WHERE open AND status <> 'disabled' AND has_key AND NOT dormant AND (status <> 'exhausted' OR rolled) AND (cap.cap IS NULL OR rolled OR tokens_used_period < cap.cap))"
+
 ORACLE_SQL = {
     "ledger_running_balance": f"WITH {_EVENTS} SELECT event_id, balance, applied FROM led",
     "ledger_reconcile": f"WITH {_EVENTS} SELECT user_id, sum(applied)::BIGINT AS ledger_total, arg_max(balance, {{'t': ts, 'e': event_id}}) AS balance, sum(applied) = arg_max(balance, {{'t': ts, 'e': event_id}}) AS consistent FROM led GROUP BY user_id",
@@ -156,7 +176,16 @@ ORACLE_SQL = {
     "monthly_floor": "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS period, greatest(0, 20 - arg_min(o_orderkey % 37, o_orderkey)) AS top_up FROM orders GROUP BY ALL",
     "allowance_month": "SELECT user_id, strftime(ts, '%Y-%m') AS period, count(*) AS used, greatest(0, 30 - count(*)) AS left FROM events GROUP BY ALL",
     "credit_cost": "SELECT conv_id, sum(CASE WHEN n = 0 THEN 0 ELSE greatest(1, ceil(n * CASE WHEN role = 'assistant' THEN 6.0::DOUBLE ELSE 0.5::DOUBLE END / 1000)) END)::BIGINT AS credits, sum(n)::BIGINT AS tokens FROM (SELECT conv_id, role, floor(length(text) / 4)::BIGINT AS n FROM conversations) GROUP BY conv_id",
-    "capacity_rank": f"WITH {_CAP} SELECT id, sponsored, place, row_number() OVER (ORDER BY sponsored DESC, place, id) AS rank FROM (SELECT cap.id, (sponsor_name IS NOT NULL)::INT AS sponsored, coalesce(nullif(list_position(['gamma','alpha','beta'], provider_id), 0), 4)::INT AS place FROM cap JOIN sched ON sched.id = cap.id AND moment = '{NOW}' WHERE open AND status <> 'disabled' AND has_key AND NOT dormant AND (status <> 'exhausted' OR rolled) AND (cap.cap IS NULL OR rolled OR tokens_used_period < cap.cap))",
+    "capacity_rank": f"WITH {_CAP} {_RANKED}",
+    "dispatch_calls": f"""WITH RECURSIVE {_CAP}, ranked AS ({_RANKED}),
+src AS (SELECT n_regionkey AS pool, row_number() OVER (PARTITION BY n_regionkey ORDER BY ranked.rank) AS rank, ranked.id AS source_id, CASE WHEN rolled THEN cap.cap ELSE cap.cap - tokens_used_period END AS remaining
+  FROM ranked JOIN cap ON cap.id = ranked.id JOIN supplier ON s_suppkey = ranked.id JOIN nation ON n_nationkey = s_nationkey),
+st AS (SELECT o_orderkey, n_regionkey AS pool, o_orderdate AS ord, 0::BIGINT AS rank, NULL::BIGINT AS source_id, 'pending' AS outcome, 0 AS attempts, NULL::INT AS status FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT o_orderkey, pool, ord, rank + 1, here, CASE WHEN here IS NULL THEN 'fallback' WHEN NOT opened THEN 'pending' WHEN coalesce(answer < 400, false) THEN 'served' WHEN coalesce(answer <> 400, true) THEN 'pending' ELSE 'error' END, attempts + opened::INT, CASE WHEN opened THEN answer ELSE status END
+  FROM (SELECT *, here IS NOT NULL AND (remaining IS NULL OR coalesce(sum(CASE WHEN answer < 400 THEN o_orderkey % 50 + 1 ELSE 0 END) OVER (PARTITION BY pool ORDER BY ord, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < remaining) AS opened
+    FROM (SELECT st.*, src.source_id AS here, remaining, CASE (o_orderkey * 7 + src.source_id * 13) % 12 WHEN 6 THEN 429 WHEN 7 THEN 503 WHEN 8 THEN 400 WHEN 9 THEN 401 WHEN 10 THEN NULL ELSE 200 END AS answer
+      FROM st LEFT JOIN src ON src.pool = st.pool AND src.rank = st.rank + 1 WHERE outcome = 'pending')))
+SELECT o_orderkey, source_id, outcome, attempts, status FROM st WHERE outcome <> 'pending'""",
     "capacity_schedule": f"WITH {_CAP} SELECT id, moment, open FROM sched",
     "pool_health": f"WITH {_CAP} SELECT count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'exhausted') AS exhausted, count(*) FILTER (status = 'disabled') AS disabled, count(sponsor_name) AS sponsored FROM cap",
     "public_sponsors": f"WITH {_CAP} SELECT sponsor_name, tokens_used_period FROM cap WHERE is_public AND sponsor_name IS NOT NULL",
