@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType
 
 from scholarframe.functions.text import let, normalize_doi, normalize_title, surname, work_key
 from scholarframe.operators.components import connected_components
+from scholarframe.plans.tables import settle
 
 #: Rank of sources; all others come after.
 PRIORITY = ("crossref", "openalex", "europepmc", "pubmed", "doaj")
+#: Parts of a surname block that titles without a year are compared with one by one.
+SALTS = 16
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -34,13 +38,86 @@ def jaro_winkler(a: str, b: str) -> float:
     m = len(ours)
     swaps = sum(x != y for x, y in zip(ours, theirs, strict=True)) / 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
-    return jaro + prefix * 0.1 * (1 - jaro)
-
-
-@F.pandas_udf(DoubleType())
-def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
+    return jaro + 0.1 * _prefix(a, b) * (1 - jaro)
+
+
+def _profile(codes: np.ndarray, kinds: int) -> tuple[np.ndarray, ...]:
+    """A text by its characters' codes: how often each stands in it, its places by code and then in order, their codes, and the how-manieth of its code each is."""
+    counts = np.bincount(codes, minlength=kinds)
+    order = np.argsort(codes, kind="stable")
+    by_code = codes[order]
+    return codes, counts, order, by_code, np.arange(len(codes)) - (np.cumsum(counts) - counts)[by_code]
+
+
+def _jaro(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
+    """Jaro similarity of two profiles, in time linear in the texts.
+
+    Equal characters are matched in order, so the k-th of one text meets the k-th of the other as long as both lie within reach;
+    characters of which some don't are gone through one by one."""
+    (ours, many, order, by_code, nth), (theirs, b_many, b_order, b_code, b_nth) = a, b
+    both = np.minimum(many, b_many)
+    i, j = order[nth < both[by_code]], b_order[b_nth < both[b_code]]
+    reach = max(len(ours), len(theirs)) // 2 - 1
+    far = np.abs(i - j) > reach
+    if far.any():
+        odd = np.unique(ours[i[far]])
+        kept = ~np.isin(ours[i], odd)
+        i, j, more = i[kept], j[kept], []
+        for code in odd.tolist():
+            places, k = b_order[b_code == code].tolist(), 0
+            for at in order[by_code == code].tolist():
+                while k < len(places) and places[k] < at - reach:
+                    k += 1
+                if k < len(places) and places[k] <= at + reach:
+                    more.append((at, places[k]))
+                    k += 1
+        if more:
+            i, j = np.concatenate([i, [x for x, _ in more]]), np.concatenate([j, [y for _, y in more]])
+    m = len(i)
+    if not m:
+        return 0.0
+    swaps = int((ours[np.sort(i)] != theirs[np.sort(j)]).sum()) / 2
+    return (m / len(ours) + m / len(theirs) + (m - swaps) / m) / 3
+
+
+def similar(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """Whether `jaro_winkler` of each pair reaches the threshold.
+
+    At most as many characters match as the pair has in common by count, which rules most pairs out; the others are compared."""
+    texts = list(dict.fromkeys([*a, *b]))
+    number = {t: k for k, t in enumerate(texts)}
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, codes = np.unique(codes, return_inverse=True)
+    ends = np.cumsum([len(t) for t in texts])
+    cut = [codes[end - len(t) : end] for t, end in zip(texts, ends.tolist(), strict=True)]
+    held = [_profile(c, len(kinds)) for c in cut]
+    x, y = np.array([number[t] for t in a], int), np.array([number[t] for t in b], int)
+    lengths = np.array([len(t) for t in texts])
+    out = np.zeros(len(a), bool)
+    for start in range(0, len(a), 4096):
+        own, other = x[start : start + 4096], y[start : start + 4096]
+        counts = [held[k][1] for k in own.tolist()], [held[k][1] for k in other.tolist()]
+        shared = np.minimum(*map(np.array, counts)).sum(1) if len(kinds) else np.zeros(len(own))
+        most = (shared / np.maximum(lengths[own], 1) + shared / np.maximum(lengths[other], 1) + 1) / 3
+        prefix = np.array([0.1 * _prefix(texts[k], texts[n]) for k, n in zip(own.tolist(), other.tolist(), strict=True)])
+        for k in np.flatnonzero((most + prefix * (1 - most) >= threshold - 1e-9) & (shared > 0)).tolist():
+            jaro = 1.0 if own[k] == other[k] else _jaro(held[own[k]], held[other[k]])
+            out[start + k] = jaro + prefix[k] * (1 - jaro) >= threshold
+        out[start : start + 4096] |= (own == other) & (threshold <= 1)
+    return out
+
+
+def _prefix(a: str, b: str) -> int:
+    """Characters that both begin with, four at most."""
+    return next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+
+
+def _similar(threshold: float):  # noqa: ANN202
+    @F.pandas_udf(BooleanType())
+    def told(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(similar(a.tolist(), b.tolist(), threshold))
+
+    return told
 
 
 #: Fixed values of the same-work guard: characters of an abstract that count, and the least Jaccard of their words.
@@ -70,18 +147,22 @@ def fuzzy_edges(works: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Pairs with the same surname, years at most one apart (null passes) and similar titles; one side lacks a DOI.
 
     A similarity of 0.92 needs lengths of at least three to five, so that bound goes before the UDF.  Records
-    of one block, year and title are the same pair to the UDF, so distinct ones meet and equal ones are stars."""
+    of one block, year and title are the same pair to the UDF, so distinct ones meet and equal ones are stars.  Keys meet by block and
+    year, so that a common surname is many groups; those without a year meet all of their block, dealt by salt."""
     keyed = works.select("ord", "year", normalize_doi(F.col("doi")).isNull().alias("bare"), surname(F.col("authors")).alias("block"), normalize_title(F.col("title")).alias("t"))
-    keyed = keyed.where("block is not null and t <> ''").withColumn("n", F.length("t"))
-    keys = keyed.groupBy("block", "year", "bare", "t", "n").agg(F.min("ord").alias("rep"))
-    side = lambda x: keys.select("block", *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "year", "bare", "t", "n")))
-    near = F.col("a_year").isNull() | F.col("b_year").isNull() | (F.abs(F.col("a_year") - F.col("b_year")) <= 1)
+    keyed = settle(keyed.where("block is not null and t <> ''").withColumn("n", F.length("t")), "keyed")
+    keys = settle(keyed.groupBy("block", "year", "bare", "t", "n").agg(F.min("ord").alias("rep")), "keys")
+    side = lambda x, rows, *by: rows.select(*by, *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "year", "bare", "t", "n")))
     bound = F.least("a_n", "b_n") >= 0.6 * F.greatest("a_n", "b_n") - 1e-6
-    pairs = side("a").join(side("b"), "block").where((F.col("a_rep") < F.col("b_rep")) & (F.col("a_bare") | F.col("b_bare")) & near & bound)
-    alike = pairs.where("a_t = b_t").union(pairs.where("a_t <> b_t").where(_jaro_winkler("a_t", "b_t") >= threshold))
+    dated, salt = keys.where("year is not null"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+    near = side("a", dated, "block", F.col("year").alias("by")).join(side("b", dated, "block", F.explode(F.array(*(F.col("year") + d for d in (-1, 0, 1)))).alias("by")), ["block", "by"]).where("a_rep < b_rep")
+    undated = side("a", keys.where("year is null"), "block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("by"))
+    any_year = undated.join(side("b", keys, "block", salt.alias("by")), ["block", "by"]).where("b_year is not null or a_rep < b_rep")
+    pairs = near.unionByName(any_year).where((F.col("a_bare") | F.col("b_bare")) & bound)
+    alike = settle(pairs.where((F.col("a_t") == F.col("b_t")) | _similar(threshold)("a_t", "b_t")).select("a_rep", "b_rep", "a_bare", "b_bare"), "alike")
     k = keys.select("rep", *(F.col(c).alias(f"k_{c}") for c in ("block", "year", "bare", "t")))
     same = (F.col("block") == F.col("k_block")) & F.col("year").eqNullSafe(F.col("k_year")) & (F.col("bare") == F.col("k_bare")) & (F.col("t") == F.col("k_t"))
-    members = keyed.join(k, same).select("ord", "rep", "bare")
+    members = settle(keyed.join(k, same).select("ord", "rep", "bare"), "members")
     # Records without a DOI match their own key; those with one match only a key without.
     own = members.where("bare and ord <> rep").select(F.col("rep").alias("first"), "ord")
     bare = alike.where("a_bare and b_bare").select(F.col("a_rep").alias("first"), F.col("b_rep").alias("ord"))
