@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholarframe.functions.text import let
 from scholarframe.operators.ledger import fails_over
 from scholarframe.plans.tables import settle
 
-CALL = ("call_id", "pool", "ord", "tokens", "_range")
+#: Ranks that one round decides, calls that make a step of a pool's queue, and calls of a pool that one task goes through.
+RANKS, STEP, CHUNK = 512, 4096, 32768
+CALL = ("call_id", "pool", "tokens", "at", "step", "attempts", "last_status")
+_WENT = "call_id {call}, pool {pool}, tokens long, at long, step long, attempts int, last_status int, outcome string, place int, left long"
 
 
 def dealt(rows: DataFrame, *order: str) -> DataFrame:
@@ -45,28 +51,123 @@ def dispatch(calls: DataFrame, sources: DataFrame, status: Callable[[Column, Col
     order, but for those whose remaining tokens are used up; the call that uses up the last ones is still served whole.  A failure that
     another source may mend moves it on, any other ends it.  outcome is served or error, by source_id, or fallback if no source is left.
 
-    A source only sees calls that those of lower rank let pass, so one round a rank decides all of its calls: its earlier successes
-    would use up what is left, or not.  Rounds end with the last call.  A null pool has no sources, null or negative tokens are 0, repeated
-    rows are calls of their own, empty tables give no rows or fallbacks only; other columns are ignored.
+    A round takes RANKS ranks at once.  Sources with a cap are used up by a short stretch of the pool's queue: its next CHUNK calls are gone through one by
+    one.  Later calls then only meet sources that are left; they are all sent on as if none of those was used up, which holds if what they spend is
+    less than what each has left, and otherwise the next stretch is gone through.  Calls that meet no open source of the round stay where
+    they are.  Rounds end with the last call.  A null pool has no sources, null or negative tokens are 0, repeated rows are calls of their
+    own, empty tables give no rows or fallbacks only; other columns are ignored.
     """
     spent = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long").alias("tokens")
-    pending = dealt(calls.select("call_id", "pool", "ord", spent), "pool", "ord", "call_id")
-    pending = pending.select(*CALL, F.lit(0).alias("attempts"), F.lit(None).cast("int").alias("last_status"))
-    places = settle(sources.select("pool", "source_id", "rank", "remaining"), "sources")
+    placed = running(dealt(calls.select("call_id", "pool", "ord", spent), "pool", "ord", "call_id"), "pool", ("ord", "call_id"), F.lit(1))
+    queue = settle(placed.select("call_id", "pool", "tokens", F.col("before").cast("long").alias("at"), F.floor(F.col("before") / STEP).cast("long").alias("step")), "queue")
+    queue = queue.select("*", F.lit(0).alias("attempts"), F.lit(None).cast("int").alias("last_status"))
+    places = settle(sources.select("pool", "source_id", "rank", F.col("remaining").cast("long").alias("left")), "sources")
     kind = places.schema["source_id"].dataType
-    decided = []
-    for rank in range(1, (places.agg(F.max("rank")).first()[0] or 0) + 1):
-        here = places.where(F.col("rank") == rank).drop("rank")
-        tried = pending.join(here, "pool", "left").withColumn("answer", status(F.col("call_id"), F.col("source_id")).cast("int"))
-        good = F.coalesce(F.col("answer") < 400, F.lit(False))
-        summed = running(tried, "pool", ("ord", "call_id"), F.when(good, F.col("tokens")).otherwise(0))
-        is_open = F.col("source_id").isNotNull() & (F.col("remaining").isNull() | (F.col("before") < F.col("remaining")))
-        outcome = F.when(F.col("source_id").isNull(), "fallback").when(~is_open, "pending").when(good, "served").when(fails_over(F.col("answer")), "pending").otherwise("error")
-        last = F.when(is_open, F.col("answer")).otherwise(F.col("last_status")).alias("last_status")
-        state = settle(summed.select(*CALL, (F.col("attempts") + is_open.cast("int")).alias("attempts"), last, "source_id", outcome.alias("outcome")), "round")
-        decided.append(state.where("outcome <> 'pending'"))
-        pending = state.where("outcome = 'pending'").drop("outcome", "source_id")
-        if pending.isEmpty():
+    schema = _WENT.format(call=dict(queue.dtypes)["call_id"], pool=dict(queue.dtypes)["pool"])
+    decided, touched, start = [], queue.limit(0), queue.select("pool", F.lit(0).cast("long").alias("start")).limit(0)
+    for first in range(1, (places.agg(F.max("rank")).first()[0] or 0) + 1, RANKS):
+        waiting = touched.unionByName(queue.join(start, "pool", "left").where(F.col("step") >= F.coalesce("start", F.lit(0))).select(*CALL))
+        here = _listed(places.where(F.col("rank").between(first, first + RANKS - 1)), "rank")
+        went, fate = _round(waiting, here, status, schema)
+        ended = [w.where("outcome <> 'pending'").select("call_id", "pool", F.col("source_id").cast(kind).alias("source_id"), "outcome", "attempts", "last_status") for w in went]
+        decided += ended
+        # Calls behind the last stretch of a pool without an open source were not touched, nor pools without sources in this round.
+        kept = touched.join(fate, "pool", "left").where(F.col("until").isNull() | (F.col("step") >= F.col("until"))).select(*CALL)
+        touched = settle(reduce(DataFrame.unionByName, [w.where("outcome = 'pending'").select(*CALL) for w in went], kept), "touched")
+        both = start.join(fate, "pool", "full").select("pool", F.greatest("start", "until").alias("start"))
+        start = settle(both, "start")
+        if touched.isEmpty() and queue.join(start, "pool", "left").where(F.col("step") >= F.coalesce("start", F.lit(0))).isEmpty():
             break
-    decided.append(pending.withColumns({"source_id": F.lit(None).cast(kind), "outcome": F.lit("fallback")}))
+    rest = touched.unionByName(queue.join(start, "pool", "left").where(F.col("step") >= F.coalesce("start", F.lit(0))).select(*CALL))
+    decided.append(rest.select("call_id", "pool", F.lit(None).cast(kind).alias("source_id"), F.lit("fallback").alias("outcome"), "attempts", "last_status"))
     return reduce(DataFrame.unionByName, decided).select("call_id", "pool", "source_id", "outcome", "attempts", F.col("last_status").alias("status"))
+
+
+def _listed(open_sources: DataFrame, order: str) -> DataFrame:
+    """(pool, here): each pool's sources that have something left, in order, as structs (order, source_id, left); at most RANKS of them."""
+    usable = open_sources.where("left is null or left > 0")
+    return settle(usable.groupBy("pool").agg(F.sort_array(F.collect_list(F.struct(order, "source_id", "left"))).alias("here")), "here")
+
+
+def _round(waiting: DataFrame, here: DataFrame, status: Callable[[Column, Column], Column], schema: str) -> tuple[list[DataFrame], DataFrame]:
+    """(calls by what became of them, fate): fate has each pool of `here` with `until`, the first step of its queue that was not touched."""
+    went, fates, after = [], [], here.select("pool", F.lit(0).cast("long").alias("after"))
+    while not here.isEmpty():
+        asked = waiting.join(here, "pool").join(after, "pool").where(F.col("step") >= F.col("after")).drop("after")
+        many = asked.groupBy("pool", "step").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("pool").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # Whole steps, up to the first that fills the stretch.
+        until = settle(many.withColumn("before", before).where(F.col("before") < CHUNK).groupBy("pool").agg((F.max("step") + 1).alias("until")), "until")
+        answers = F.transform(F.transform("here", lambda s: status(F.col("call_id"), s["source_id"]).cast("int")), _code)
+        head = asked.join(until, "pool").where(F.col("step") < F.col("until")).select(*CALL, answers.alias("answers"), F.transform("here", lambda s: s["left"]).alias("left"))
+        gone = settle(head.groupBy("pool").applyInArrow(_go_through, schema), "gone")
+        calls = gone.where("left is null").join(here, "pool").withColumn("source_id", F.get("here", F.col("place"))["source_id"]).drop("here", "left", "place")
+        went.append(calls)
+        left = here.select("pool", F.posexplode("here").alias("place", "s")).select("pool", "place", "s.source_id", "s.left")
+        now = gone.where("left is not null").select("pool", "place", F.col("left").alias("now"))
+        still = _listed(left.join(now, ["pool", "place"], "left").select("pool", "place", "source_id", F.coalesce("now", "left").alias("left")), "place")
+        # The calls behind the stretch, if none of the sources that are left is used up by them.
+        tail = waiting.join(still, "pool").join(until, "pool").where(F.col("step") >= F.col("until"))
+        sent = settle(_sent_on(tail, status), "sent")
+        spent = sent.where("outcome = 'served'").groupBy("pool", "source_id").agg(F.sum("tokens").alias("spent"))
+        limits = still.select("pool", F.explode("here").alias("s")).select("pool", "s.source_id", "s.left")
+        again = settle(spent.join(limits, ["pool", "source_id"]).where("left is not null and spent >= left").select("pool").distinct(), "again")
+        went.append(sent.join(again, "pool", "left_anti"))
+        whole = still.join(again, "pool", "left_anti").select("pool", F.lit(1 << 62).alias("whole"))
+        fates.append(until.join(again, "pool", "left_anti").join(whole, "pool", "left").select("pool", F.coalesce("whole", "until").alias("until")))
+        here, after = still.join(again, "pool", "left_semi"), until.select("pool", F.col("until").alias("after"))
+    none = here.select("pool", F.lit(0).cast("long").alias("until")).limit(0)
+    return went, settle(reduce(DataFrame.unionByName, fates, none), "fate")
+
+
+def _code(answer: Column) -> Column:
+    """An attempt's status (no answer: -1) and what it leads to, as one number: served 0, on to the next 1, an error 2."""
+    leads = F.when(F.coalesce(answer < 400, F.lit(False)), 0).when(fails_over(answer), 1).otherwise(2)
+    return F.coalesce(answer, F.lit(-1)) * 4 + leads
+
+
+def _sent_on(calls: DataFrame, status: Callable[[Column, Column], Column]) -> DataFrame:
+    """calls with what becomes of them at the sources of `here`, none of which is used up."""
+
+    def step(at: Column, s: Column) -> Column:
+        ends = lambda answer: F.when(F.coalesce(answer < 400, F.lit(False)), 0).when(fails_over(answer), 1).otherwise(2)
+        tried = lambda answer: F.struct(ends(answer).alias("ends"), (at["tries"] + 1).alias("tries"), answer.alias("answer"), s["source_id"].alias("source_id"))
+        # The status is computed once, and only for calls that come so far.
+        return F.when(at["ends"] != 1, at).otherwise(let(status(F.col("call_id"), s["source_id"]).cast("int"), tried))
+
+    kind = calls.schema["here"].dataType.elementType["source_id"].dataType
+    none = F.struct(F.lit(1).alias("ends"), F.lit(0).alias("tries"), F.lit(None).cast("int").alias("answer"), F.lit(None).cast(kind).alias("source_id"))
+    told = calls.withColumn("end", F.aggregate("here", none, step))
+    last = F.when(F.col("end.tries") > 0, F.col("end.answer")).otherwise(F.col("last_status"))
+    outcome = F.element_at(F.array(F.lit("served"), F.lit("pending"), F.lit("error")), F.col("end.ends") + 1)
+    return told.select("call_id", "pool", "tokens", "at", "step", (F.col("attempts") + F.col("end.tries")).alias("attempts"), last.alias("last_status"), outcome.alias("outcome"), "end.source_id")
+
+
+def _go_through(calls: pa.Table) -> pa.Table:
+    """A stretch of one pool's calls, one after the other: a row a call, and one with `left` for each source that has a cap."""
+    calls = calls.sort_by("at")
+    left = calls.column("left")[0].as_py()
+    answers = np.array(calls.column("answers").combine_chunks().flatten()).reshape(len(calls), len(left))
+    tokens, tries, last = (calls.column(c).to_pylist() for c in ("tokens", "attempts", "last_status"))
+    outcomes, places = ["pending"] * len(calls), [None] * len(calls)
+    still = list(range(len(left)))
+    for i, own in enumerate(tokens):
+        for place in still:
+            code = int(answers[i, place])
+            tries[i] += 1
+            last[i] = None if code >> 2 == -1 else code >> 2
+            if code & 3 == 1:
+                continue
+            outcomes[i], places[i] = ("served", "", "error")[code & 3], place
+            if code & 3 == 0 and left[place] is not None:
+                left[place] -= own
+                if left[place] <= 0:
+                    still.remove(place)
+            break
+    capped = [(k, v) for k, v in enumerate(left) if v is not None]
+    many, fill = len(calls), lambda kind: pa.nulls(len(capped), kind)
+    names = [f for f in ("call_id", "pool", "tokens", "at", "step")]
+    cols = [pa.concat_arrays([calls.column(c).combine_chunks(), fill(calls.schema.field(c).type) if c != "pool" else pa.array([calls.column("pool")[0].as_py()] * len(capped), calls.schema.field(c).type)]) for c in names]
+    cols += [pa.array([*x, *[None] * len(capped)], kind) for x, kind in ((tries, pa.int32()), (last, pa.int32()), (outcomes, pa.string()))]
+    cols += [pa.array([*places, *[k for k, _ in capped]], pa.int32()), pa.array([*[None] * many, *[v for _, v in capped]], pa.int64())]
+    return pa.table(cols, [*names, "attempts", "last_status", "outcome", "place", "left"])

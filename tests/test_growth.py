@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import time
 
-from scholarframe.operators import integrate
+from scholarframe.operators import dispatch, integrate
 
 WORKS = "ord long, source_id string, source_record_id string, doi string, title string, abstract string, authors array<struct<name:string,orcid:string>>, year int, venue string, citation_count long, is_oa boolean, pdf_url string"
 
@@ -33,3 +33,27 @@ def test_similar_is_jaro_winkler():
         pairs.append((a, "".join(b)))
     for least in (0.8, 0.92, 1.0):
         assert integrate.similar([a for a, _ in pairs], [b for _, b in pairs], least).tolist() == [integrate.jaro_winkler(a, b) >= least for a, b in pairs]
+
+
+def test_dispatch_takes_many_ranks_a_round(spark, monkeypatch):
+    """400 sources, each used up by a few calls, are decided in a few rounds."""
+    from tests.test_dispatch import fold, told
+
+    rng = random.Random(8)
+    calls = [(i, rng.choice(["a", "a", "b"]), rng.randint(0, 900), rng.choice([0, 3, 5, 30]), "x") for i in range(3_000)]
+    sources = [(p, 1000 * k + j, j, None if j % 97 == 0 else rng.randint(0, 40)) for k, p in enumerate("ab") for j in range(1, 401)]
+    tables = []
+    settle = dispatch.settle
+    monkeypatch.setattr(dispatch, "settle", lambda df, name="table": tables.append(name) or settle(df, name))
+    assert told(spark, calls, sources) == fold(calls, sources) and len(tables) < 40
+
+
+def test_dispatch_over_many_stretches(spark, monkeypatch):
+    from tests.test_dispatch import fold, told
+
+    for name, value in (("RANKS", 3), ("STEP", 8), ("CHUNK", 20)):
+        monkeypatch.setattr(dispatch, name, value)
+    rng = random.Random(9)
+    calls = [(i, rng.choice(["a", "b", "none", None]), rng.randint(0, 50), rng.choice([None, 0, 3, 9]), "x") for i in range(160)]
+    sources = [("a", j, j, cap) for j, cap in enumerate([30, 5, None, 12, 0, 60, None], 1)] + [("b", 10 + j, j, cap) for j, cap in enumerate([20, 15, 90], 1)]
+    assert told(spark, calls, sources) == fold(calls, sources)
