@@ -4,7 +4,7 @@
     spark.read.format("literature_pages").option("path", folder).option("source", "openalex").load().where("year >= 2000")
 
 A recording is a folder of one sub-folder per source and page with that page's payload, and an index of the pages: source,
-page, first and last year, entries.  Each page is an input partition.  Comparisons of `year` are taken over: `words` puts the range
+page, first and last year, entries.  Each page is an input partition, or several are where there are many.  Comparisons of `year` are taken over: `words` puts the range
 in the source's own language, pages whose years the index rules out are never opened, and of the others only entries in
 the range are returned.  A page that can't be read costs its entries only: it gives one row with `error` set, if no range is asked
 for.
@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from scholarframe.plans.tables import settle
 from scholarframe.sources.records import ENTRIES, READERS, RECORD_SCHEMA
 
+#: Input partitions of a source at most; with more pages than that, each takes several, so that tasks don't grow with the pages.
+PARTITIONS = 256
 SCHEMA = "source string, page long, position int, year int, payload string, error string"
 INDEX = "_index"
 
@@ -81,7 +83,7 @@ def words(source: str, years: Range, this_year: int) -> str | None:
 @dataclass
 class Page(InputPartition):
     source: str
-    page: int
+    pages: list[int]
     request: str | None
 
 
@@ -114,16 +116,20 @@ class PageReader(DataSourceReader):
         known = ds.dataset(f"{folder}/{INDEX}", format="parquet", filesystem=system, exclude_invalid_files=True)
         own = known.to_table(filter=ds.field("source") == self.source).to_pylist()
         request = words(self.source, self.years, self.this_year)
-        return [Page(self.source, r["page"], request) for r in sorted(own, key=lambda r: r["page"]) if self.years.meets(r["first"], r["last"])]
+        asked = sorted(r["page"] for r in own if self.years.meets(r["first"], r["last"]))
+        size = -(-len(asked) // PARTITIONS) or 1
+        return [Page(self.source, asked[k : k + size], request) for k in range(0, len(asked), size)]
 
     def read(self, partition: Page | None) -> Iterator[tuple]:
+        for page in partition.pages if partition is not None else ():  # none: no page is left
+            yield from self._entries(page)
+
+    def _entries(self, page: int) -> Iterator[tuple]:
         import pyarrow.fs as pafs
 
-        if partition is None:  # no page is left
-            return
         system, folder = _opened(self.folder)
         root, path = ENTRIES[self.source]
-        found = system.get_file_info(pafs.FileSelector(f"{folder}/source={self.source}/page={partition.page}", allow_not_found=True))
+        found = system.get_file_info(pafs.FileSelector(f"{folder}/source={self.source}/page={page}", allow_not_found=True))
         for file in sorted(f.path for f in found if not f.base_name.startswith(("_", "."))):
             with system.open_input_stream(file) as stream:
                 text = stream.read()
@@ -135,12 +141,12 @@ class PageReader(DataSourceReader):
                     raise TypeError(f"{root[-1]} is no list")
             except (ValueError, KeyError, TypeError) as error:
                 if not self.years.asked:
-                    yield self.source, partition.page, None, None, None, type(error).__name__
+                    yield self.source, page, None, None, None, type(error).__name__
                 continue
             for position, entry in enumerate(entries):
                 year = _year(entry, path)
                 if self.years.has(year):
-                    yield self.source, partition.page, position, year, json.dumps(entry, ensure_ascii=False), None
+                    yield self.source, page, position, year, json.dumps(entry, ensure_ascii=False), None
 
 
 def _opened(folder: str):

@@ -5,7 +5,12 @@ from __future__ import annotations
 import random
 import time
 
-from scholarframe.operators import dispatch, integrate
+import pandas as pd
+from pyspark.sql import functions as F
+
+from scholarframe.operators import dispatch, integrate, postings
+from scholarframe.sources import pages, records
+from scholarframe.streaming import breaker
 
 WORKS = "ord long, source_id string, source_record_id string, doi string, title string, abstract string, authors array<struct<name:string,orcid:string>>, year int, venue string, citation_count long, is_oa boolean, pdf_url string"
 
@@ -57,3 +62,79 @@ def test_dispatch_over_many_stretches(spark, monkeypatch):
     calls = [(i, rng.choice(["a", "b", "none", None]), rng.randint(0, 50), rng.choice([None, 0, 3, 9]), "x") for i in range(160)]
     sources = [("a", j, j, cap) for j, cap in enumerate([30, 5, None, 12, 0, 60, None], 1)] + [("b", 10 + j, j, cap) for j, cap in enumerate([20, 15, 90], 1)]
     assert told(spark, calls, sources) == fold(calls, sources)
+
+
+def test_many_pages_are_few_partitions(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/recorded"
+    rows = spark.range(30).selectExpr("'openalex' AS source", "id AS page", "0 AS position", "2000 AS year", "concat('{\"id\":\"', id, '\",\"publication_year\":2000}') AS payload")
+    pages.record(rows, folder)
+    monkeypatch.setattr(pages, "PARTITIONS", 7)
+    reader = pages.PageReader({"path": folder, "source": "openalex"})
+    parts = reader.partitions()
+    assert len(parts) <= 7 and sorted(row[1] for p in parts for row in reader.read(p)) == list(range(30))
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_an_index_of_words_is_made_in_its_row(spark):
+    texts = ["a b a", "", "x  y x x", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.split("text", " ").alias("words"))
+    index = records.inverted_index(rows, "doc_id")
+    assert exchanges(index) == 0
+    got = {r.doc_id: r.t for r in index.select("doc_id", records.abstract_from_index(F.col("index")).alias("t")).collect()}
+    assert got == {0: "a b a", 1: None, 2: "x  y x x", 3: None}
+
+
+def test_payloads_of_many_groups_are_few_files(spark):
+    from scholarframe.queries import library as queries
+
+    rows = spark.range(3_000).selectExpr("id AS k", "id div 3 AS page")
+    lists = queries._written(rows, "lists", F.struct(F.col("k").cast("string").alias("citing"), F.lit("s").alias("cited")), "page", None)
+    assert len(spark.read.text(lists).inputFiles()) < 50
+    assert sorted(int(r.doi) for r in records.opencitations(spark, lists, "citing").collect()) == list(range(3_000))
+
+
+def test_postings_are_counted_and_dropped_in_their_row(spark, monkeypatch):
+    docs = spark.createDataFrame([("s", i, f"word{i % 5} word{i % 5} other{i} thing {'word0' if i % 3 else ''}") for i in range(40)] + [("s", 99, None), ("s", 98, "of a")], "source string, doc_id long, content string")
+    index = postings.postings(docs, "source", "doc_id")
+    assert exchanges(index) == 0
+    assert {(r.term, r.tf, r.length) for r in index.where("doc_id = 1").collect()} == {("word1", 2, 5), ("other1", 1, 5), ("thing", 1, 5), ("word0", 1, 5)}
+    asked = spark.createDataFrame([(1, "word0 thing"), (2, "word3")], "query_id int, text string")
+    found = lambda: sorted(tuple(r) for r in postings.retrieve_many(index, asked, "source", "doc_id", 3).collect())
+    by_broadcast = found()
+    monkeypatch.setattr(postings, "FEW_TERMS", 1)
+    assert by_broadcast == found() and len(by_broadcast) == 6
+
+
+def test_a_batch_of_calls_is_returned_in_slices(monkeypatch):
+    """A provider's batch is never one table of objects; slices add up to what one table gave."""
+
+    class Held:
+        value, timers = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        registerTimer = deleteTimer = lambda self, at: None
+
+    def run(size):
+        monkeypatch.setattr(breaker, "SLICE", size)
+        one = breaker.Breaker()
+        one.handle, one.state = Handle(), Held()
+        rng = random.Random(2)
+        frames = [pd.DataFrame({"event_id": [k * 300 + i for i in range(300)], "at_ms": [rng.randint(0, 9_000_000) for _ in range(300)], "ok": [rng.random() < 0.4 for _ in range(300)]}) for k in range(4)]
+        out = list(one.handleInputRows((1,), iter(frames), None))
+        return len(out), pd.concat(out).values.tolist(), one.state.value
+
+    few, rows, state = run(10_000)
+    many, sliced, again = run(50)
+    assert few == 1 and many > 20 and str(rows) == str(sliced) and state == again
