@@ -36,9 +36,7 @@ def tables_detect(spark, sf_dir):
 
 def abstract_from_index(spark, sf_dir):
     """Each document's text, through an inverted index and back."""
-    words = F.split("text", " ")
-    long = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
-    index = long.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    index = records.inverted_index(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("words")), "doc_id")
     return index.select("doc_id", records.abstract_from_index(F.col("index")).alias("abstract"))
 
 

@@ -6,8 +6,11 @@ themselves: JSON is read permissively and missing fields are null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,29 @@ def abstract_from_index(index: Column) -> Column:
     return F.nullif(F.array_join(F.transform(F.array_sort(words), lambda x: x["w"]), " "), F.lit(""))
 
 
+def inverted_index(texts: DataFrame, key: str) -> DataFrame:
+    """(key, index) of (key, words): each text's words with their positions, made within its row, so that no word is shuffled.  Null words are a null index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, words, places, lengths = [0], [], [], [0]
+            for own in batch.column(1).to_pylist():
+                at: dict[str, list[int]] = {}
+                for i, word in enumerate(own or ()):
+                    at.setdefault(word, []).append(i)
+                words.extend(at)
+                for p in at.values():
+                    places.extend(p)
+                    lengths.append(len(places))
+                ends.append(len(words))
+            positions = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(places, pa.int32()))
+            maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()), positions)
+            index = pc.if_else(batch.column(1).is_valid(), maps, pa.nulls(len(maps), maps.type)) if batch.column(1).null_count else maps
+            yield pa.record_batch([batch.column(0), index], [key, "index"])
+
+    return texts.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, index map<string, array<int>>")
+
+
 def strip_prefix(value: Column) -> Column:
     """A DOI, ORCID or work id without its resolver's address."""
     return F.nullif(F.regexp_replace(value, r"^https?://(?:dx\.)?(?:doi|orcid|openalex)\.org/", ""), F.lit(""))
@@ -54,10 +80,15 @@ def _json(spark: SparkSession, path: str | DataFrame, schema: str, root: str) ->
         whole = F.concat(F.lit("".join(f'{{"{k}":' for k in root.split("."))), F.lit("["), F.col("payload"), F.lit("]" + "}" * len(root.split("."))))
         rows = path.where("payload is not null").select(F.from_json(whole, schema).alias("p")).select("p.*")
     else:
-        rows = spark.read.schema(schema).option("multiLine", True).json(path)
+        rows = _payloads(spark, path, schema)
     return rows.select(F.explode(root).alias("r")).select("r.*")
 
 
+def _payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Whole payloads: one a line in a folder or file named .jsonl, one a file in any other."""
+    return spark.read.schema(schema).option("multiLine", not path.rstrip("/").endswith(".jsonl")).json(path)
+
+
 def _names(people: str, name: str, orcid: str | None = None) -> Column:
     return F.expr(f"transform({people}, a -> named_struct('name', {name}, 'orcid', {orcid or 'cast(null AS string)'}))")
 
@@ -155,7 +186,7 @@ def year_filter(source: str, year_from: Column, year_to: Column, this_year: int)
 
 def opencitations(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(doi, title, year) of a list of citing or cited works, DOIs only."""
-    rows = spark.read.schema("citing string, cited string").option("multiLine", True).json(path)
+    rows = _payloads(spark, path, "citing string, cited string")
     return rows.select(F.col(kind).alias("doi"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("year")).where("doi is not null")
 
 
