@@ -53,11 +53,11 @@ def source_windows(spark, sf_dir):
 
 
 def _written(rows: DataFrame, name: str, entry, group: str, field: str | None) -> str:
-    """Rows as JSON payloads, one for each group: an array, or an object whose `field` is one; a file each."""
-    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Rows as JSON payloads, one for each group: an array, or an object whose `field` is one; a line each, so that files don't grow with the groups."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}.jsonl"
     paged = rows.groupBy(group).agg(F.collect_list(entry).alias("all"))
     body = F.to_json("all") if field is None else F.to_json(F.struct(F.col("all").alias(field)))
-    paged.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    paged.select(body.alias("value")).write.text(path)
     return path
 
 
