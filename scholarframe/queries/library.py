@@ -26,7 +26,9 @@ def graph_from_refs(spark, sf_dir):
     nodes, edges = graph.refs_to_graph(_refs(spark, sf_dir))
     ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("target", F.lit(0), F.lit(1)))
     counted = ends.groupBy("id").agg(F.sum("out").alias("gives"), F.sum("into").alias("takes"))
-    told = nodes.groupBy("id").agg(F.min_by(F.struct("label", "doi", "year", "resolved"), "ord").alias("n"))
+    # Equal nodes are counted down by hash before the first of each id is sought, which sorts.
+    each = nodes.groupBy("id", "label", "doi", "year", "resolved").agg(F.min("ord").alias("ord"))
+    told = each.groupBy("id").agg(F.min_by(F.struct("label", "doi", "year", "resolved"), "ord").alias("n"))
     return told.select("id", "n.*").join(counted, "id")
 
 
