@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from statistics import median
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,9 +155,13 @@ def detect_tables(items: DataFrame, key: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = tables_of([(i["text"], i["x"], i["y"], i["width"], i["height"]) for i in own])
-                rows += [(k, n, *t) for n, t in enumerate(found)]
+            # Column by column: a row of structs as dicts costs more than what is found in it.
+            flat = batch.column(1).flatten()
+            items = list(zip(*(pc.struct_field(flat, c).to_pylist() for c in ("text", "x", "y", "width", "height")), strict=True))
+            end = 0
+            for k, many in zip(batch.column(0).to_pylist(), pc.list_value_length(batch.column(1)).to_pylist(), strict=True):
+                start, end = end, end + many
+                rows += [(k, n, *t) for n, t in enumerate(tables_of(items[start:end]))]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             types = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.list_(pa.string())), pa.float64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "table_index", "caption", "grid", "confidence"])
