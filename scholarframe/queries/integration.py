@@ -131,7 +131,8 @@ def lookback(spark, sf_dir):
 
 def page_slice(spark, sf_dir):
     """The second page of a search, with the number of all matches."""
-    ranked = rank.rank_works(canonical(spark, sf_dir), QUERY)
+    # Settled narrow, so that the works are made and ranked once for both.
+    ranked = settle(rank.rank_works(canonical(spark, sf_dir), QUERY).select("cluster", "score"), "ranked")
     total = ranked.agg(F.count("*").alias("total"))
     return rank.page(ranked, 2, 15).select("cluster", "score").join(F.broadcast(total))
 
