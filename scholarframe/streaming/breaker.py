@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +18,8 @@ from scholarframe.operators.ledger import breaker_step, fresh_breaker
 
 OUT = "provider_id long, kind string, event_id long, at_ms long, state string, allowed boolean"
 _STATE = "name string, failed int, last string, cooldown long, opened long, ended boolean"
+#: Calls of a batch that are objects at a time, and rows that are returned at once.
+SLICE = 10_000
 #: What `transformWithState` keeps its state in.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -40,9 +43,11 @@ class Breaker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         at, ended = self._read()
         before = None if ended else at["opened"] + at["cooldown"]
-        calls = pd.concat(list(rows)).sort_values(["at_ms", "event_id"])
         out = []
-        for event, at_ms, ok in zip(calls["event_id"].tolist(), calls["at_ms"].tolist(), calls["ok"].tolist(), strict=True):
+        for event, at_ms, ok in _in_order(rows):
+            if len(out) >= SLICE:
+                yield _rows(out)
+                out = []
             if not ended and at_ms >= at["opened"] + at["cooldown"]:  # the cooldown is over before its timer was due
                 out.append((key[0], "half_open", None, at["opened"] + at["cooldown"], "half_open", None))
                 ended = True
@@ -71,6 +76,17 @@ class Breaker(StatefulProcessor):
         pass
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bool]]:
+    """The calls of a batch as (event_id, at_ms, ok) by time: held as arrays, seventeen bytes a call, and made into objects a slice at a time."""
+    parts = [(r["event_id"].to_numpy(np.int64), r["at_ms"].to_numpy(np.int64), r["ok"].to_numpy(bool)) for r in rows]
+    event, at_ms, ok = (np.concatenate(p) for p in zip(*parts, strict=True))
+    parts.clear()
+    order = np.lexsort((event, at_ms))
+    for start in range(0, len(order), SLICE):
+        own = order[start : start + SLICE]
+        yield from zip(event[own].tolist(), at_ms[own].tolist(), ok[own].tolist(), strict=True)
+
+
 def _rows(out: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(out, columns=["provider_id", "kind", "event_id", "at_ms", "state", "allowed"])
     return frame.astype({"event_id": "Int64", "allowed": "boolean"})
