@@ -26,18 +26,28 @@ def postings(passages: DataFrame, group: str, order: str) -> DataFrame:
     """(term, group, order, tf, length): how often each term stands in each passage, and the passage's number of terms.
 
     A passage's terms are counted within its row, so texts are not shuffled.  Passages without terms give no rows."""
-    told = passages.select(group, order, retrieval_tokens(F.col("content")).alias("terms")).withColumn("length", F.size("terms"))
-    one = told.select(group, order, "length", F.explode(F.array_sort("terms")).alias("term"))
-    return one.groupBy("term", group, order).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    n = F.size("terms")
+    told = passages.select(group, order, F.array_sort(retrieval_tokens(F.col("content"))).alias("terms")).where(n > 0)
+    # Equal terms are neighbours: a run's length is the distance of two starts.
+    starts = F.filter(F.transform("terms", lambda t, i: F.when((i == 0) | (t != F.get("terms", i - 1)), i)), lambda i: i.isNotNull())
+    told = told.select(group, order, "terms", n.alias("length"), starts.alias("starts"))
+    runs = F.transform("starts", lambda s, i: F.struct(F.get("terms", s).alias("term"), (F.coalesce(F.get("starts", i + 1), F.col("length")) - s).cast("long").alias("tf")))
+    return told.select(group, order, "length", F.explode(runs).alias("run")).select("run.term", group, order, "run.tf", "length")
+
+
+#: Asked terms that are sent to every task; more of them are joined by shuffle.
+FEW_TERMS = 20_000
 
 
 def retrieve_many(index: DataFrame, queries: DataFrame, group: str, order: str, k: int) -> DataFrame:
     """(query_id, group, order, score, rank): each query's k best passages of each group, ties by order.
 
-    index is a postings table, queries has query_id and text.  Only postings of asked terms are joined; their scores are summed
+    index is a postings table, queries has query_id and text.  Postings of terms that nobody asks for are dropped where they are, as long as
+    no more than FEW_TERMS are asked; their scores are summed
     before any ranking, and the ranks of a query and group are cut to k before they are shuffled.  A query without terms finds nothing."""
     asked = queries.select("query_id", F.explode(F.array_distinct(retrieval_tokens(F.col("text")))).alias("term"))
-    hits = index.join(asked, "term")
+    few = asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    hits = index.join(F.broadcast(asked) if few else asked, "term")
     scored = hits.groupBy("query_id", group, order).agg(F.sum(1 + F.log(F.col("tf").cast("double"))).alias("total"), F.first("length").alias("length"))
     scored = scored.select("query_id", group, order, F.round(F.col("total") / F.sqrt(F.col("length").cast("double")), 6).alias("score"))
     best = Window.partitionBy("query_id", group).orderBy(F.col("score").desc(), F.col(order))
