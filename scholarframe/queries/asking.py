@@ -127,6 +127,7 @@ def pair_reasons(spark, sf_dir):
 def grants_in_batches(spark, sf_dir):
     """What each supplier's lines earn as publications and reviews, granted in two batches, the second on top of the first."""
     lines = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS user_id", "if(l_returnflag = 'R', 'peer_review', 'publication') AS kind", "concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id", "l_orderkey * 10L + l_linenumber AS ord").distinct()
+    lines = settle(lines, "lines")  # both batches and the middle read it
     middle = lines.agg(F.floor(F.max("ord") / 2).alias("middle"))
     dealt = lines.join(F.broadcast(middle))
     none = spark.createDataFrame([], "user_id long, key string")
