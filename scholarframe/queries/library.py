@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scholarframe.functions import text as T
 from scholarframe.operators import cite, evidence, graph, library, rank
-from scholarframe.plans.tables import shared_dir, table
+from scholarframe.plans.tables import settle, shared_dir, table
 from scholarframe.sources import records
 
 NOW = "TIMESTAMP '2024-03-01 00:00:00'"
@@ -23,12 +23,15 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_from_refs(spark, sf_dir):
     """Every node that references make, with how many edges they give and take."""
-    nodes, edges = graph.refs_to_graph(_refs(spark, sf_dir))
-    ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("target", F.lit(0), F.lit(1)))
-    counted = ends.groupBy("id").agg(F.sum("out").alias("gives"), F.sum("into").alias("takes"))
-    # Equal nodes are counted down by hash before the first of each id is sought, which sorts.
-    each = nodes.groupBy("id", "label", "doi", "year", "resolved").agg(F.min("ord").alias("ord"))
-    told = each.groupBy("id").agg(F.min_by(F.struct("label", "doi", "year", "resolved"), "ord").alias("n"))
+    refs = _refs(spark, sf_dir)
+    citing = F.col("kind") == "citing"
+    # Equal references are counted by hash first, so that keys are made once for each and few rows are sorted.
+    each = settle(refs.groupBy("doi", "title", "year").agg(F.min("ord").alias("ord"), F.count_if(citing).alias("gives"), F.count_if(~citing).alias("takes")), "references")
+    nodes, _ = graph.refs_to_graph(each.select("ord", "doi", "title", "year", F.lit(None).cast("string").alias("root"), F.lit("citing").alias("kind")))
+    roots = refs.groupBy(F.col("root").alias("id")).agg(F.count_if(~citing).alias("gives"), F.count_if(citing).alias("takes"))
+    ends = each.select(graph.reference_key(F.col("doi"), F.col("title"), F.col("year")).alias("id"), "gives", "takes").union(roots)
+    counted = ends.groupBy("id").agg(F.sum("gives").alias("gives"), F.sum("takes").alias("takes"))
+    told = nodes.groupBy("id").agg(F.min_by(F.struct("label", "doi", "year", "resolved"), "ord").alias("n"))
     return told.select("id", "n.*").join(counted, "id")
 
 
