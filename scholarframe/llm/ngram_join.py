@@ -47,6 +47,7 @@ from scholarframe.llm.crowds import FEW, band, crowd_candidates, elements
 from scholarframe.llm.shingles import mix, token_sets
 from scholarframe.operators.components import connected_components
 from scholarframe.plans.tables import settle
+from scholarframe.plans.workers import handing_back
 
 #: Upper bounds of the frequency classes but the last; the class at place i indexes combinations of i + 1 tokens.
 CLASSES = (64, 4096)
@@ -58,6 +59,8 @@ GROUP = 8
 SIEVE_BITS = 26
 #: Rows of one Arrow batch of (token, document) pairs, more or less.
 FLUSH = 1 << 18
+#: Rows of texts, sets or pairs that a worker, and Spark beside it, holds as one Arrow batch.
+BATCH_ROWS = 2048
 
 _SIZED = "doc_id long, n int, fp binary"
 _SETS = "ref long, doc_id long, n int, tokens array<bigint>"
@@ -220,13 +223,13 @@ def _linked(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets link."""
     side = lambda x: signs.select(F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
-    return full.mapInArrow(lambda it: _verified(it, percent), "a long, b long")
+    return full.mapInArrow(lambda it: handing_back(_verified(it, percent)), "a long, b long")
 
 
 def _candidates(known: DataFrame, sized: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, fp, times) of the documents that the sampled hash values don't rule out; a doc_id of several rows always stays."""
     per_mille = min(1000, 20 * (100 - percent))
-    pairs = known.mapInArrow(lambda it: _sampled(it, size, per_mille), "token long, doc_id long")
+    pairs = known.mapInArrow(lambda it: handing_back(_sampled(it, size, per_mille)), "token long, doc_id long")
     once = pairs.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
     rows = once.select("doc_id", F.lit(1).alias("alone"), F.lit(0).alias("times")).union(sized.where("doc_id is not null").select("doc_id", F.lit(0), F.lit(1)))
     counted = rows.groupBy(F.col("doc_id").alias("id")).agg(F.sum("alone").alias("alone"), F.sum("times").alias("times"))
@@ -256,13 +259,13 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes:
     a null component_id and links nothing.  An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    sized = settle(docs.mapInArrow(lambda it: _sized(it, size), _SIZED), "sizes")
-    able = settle(_candidates(docs.where("doc_id is not null"), sized, size, percent), "able")
+    sized = settle(docs.mapInArrow(lambda it: handing_back(_sized(it, size)), _SIZED), "sizes", BATCH_ROWS)
+    able = settle(_candidates(docs.where("doc_id is not null"), sized, size, percent), "able", BATCH_ROWS)
     # Equal sets are one class; only its smallest document goes on.
     reps = settle(able.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
     wanted = reps.select(F.col("rep").alias("doc_id"), "fp")
     asked = _sieved(docs, wanted).join(wanted, "doc_id")
-    sets = settle(asked.mapInArrow(lambda it: _numbered_sets(it, size), _SETS), "sets")
+    sets = settle(asked.mapInArrow(lambda it: handing_back(_numbered_sets(it, size)), _SETS), "sets", BATCH_ROWS)
 
     # Frequencies, and each set's tokens that others hold.
     held = sets.select("ref", F.explode("tokens").alias("token"))
@@ -270,7 +273,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes:
     often = settle(held.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "frequencies")
     shared = held.join(often, "token").groupBy("ref").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     shared = shared.join(sets.select("ref", "n"), "ref")
-    signs = settle(shared.select("ref", "n", "shared").mapInArrow(lambda it: _signed(it, percent, classes), _SIGNS), "signatures")
+    signs = settle(shared.select("ref", "n", "shared").mapInArrow(lambda it: handing_back(_signed(it, percent, classes)), _SIGNS), "signatures", BATCH_ROWS)
 
     def postings(rows: DataFrame, kind: str, tag: str, *more: str) -> DataFrame:
         """A row for each signature; left: the most tokens that can be common from this one on."""
@@ -287,7 +290,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes:
     pivots = settle(combined.groupBy("sig").agg(pivot.alias("p"), F.count("*").alias("members")).where("members > 1").select("sig", "p"), "pivots")
     star = combined.join(pivots, "sig").select("a", "na", "lefta", "p.*").where((F.col("a") != F.col("b")) & may_link)
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = settle(_linked(rare.union(star).distinct(), signs, percent), "links")
+    links = settle(_linked(rare.union(star).distinct(), signs, percent), "links", BATCH_ROWS)
     parts = connected_components(links, "a", "b")
 
     placed = signs.join(parts, F.col("ref") == F.col("id"), "left").withColumn("at", F.coalesce("component", "ref"))
@@ -309,7 +312,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, classes:
         larger = side("b", own, F.when(heavy | ~F.col("crowded"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).withColumn("slot", F.explode("slot"))
         first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
         across = smaller.join(larger, ["sig", "band", "slot"]).where(first & (F.col("ata") != F.col("atb")) & may_link).select("a", "b")
-        more = settle(_linked(across.union(by_elements).distinct(), signs, percent), "links")
+        more = settle(_linked(across.union(by_elements).distinct(), signs, percent), "links", BATCH_ROWS)
         if not more.isEmpty():
             parts = connected_components(links.union(more), "a", "b")
 

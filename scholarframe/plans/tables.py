@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
 
@@ -59,11 +60,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes a table in the shared folder and reads it back: what follows starts from those files."""
+def settle(df: DataFrame, name: str = "table", batch_rows: int = 0) -> DataFrame:
+    """Writes a table in the shared folder and reads it back: what follows starts from those files.
+
+    With `batch_rows`, Arrow batches to Python have so many rows at most while it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    known = int(spark.conf.get(ARROW_ROWS))
+    fewer = batch_rows > 0 and not 0 < known <= batch_rows
+    if fewer:
+        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if fewer:
+            spark.conf.set(ARROW_ROWS, str(known))
     return spark.read.schema(df.schema).parquet(path)
 
 
