@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarframe.plans.tables import settle, shared_dir
+from scholarframe.plans.workers import handing_back
 
 #: Patterns that one automaton holds, more or less, about 100 bytes each and some hundreds more in its states.
 BLOCK_PATTERNS = 200_000
@@ -169,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     block and its runs are united.
     """
     held = _blocks(benchmark, window, block)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scanned(it, held), _FOUND)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: handing_back(_scanned(it, held)), _FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = BLOCK_PATTERNS) -> DataFrame:
@@ -186,4 +187,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int =
                 good = [ok and not scan(text, automaton)[1] for ok, text in zip(good, texts, strict=True)]
             yield batch.select(names).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: handing_back(run(it)), docs.schema)

@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarframe.plans.tables import settle
+from scholarframe.plans.workers import give_back, handing_back
 
 #: Bytes of text tokenised at once.
 SLICE = 4 << 20
+#: Texts that a worker, and Spark beside it, holds as one Arrow batch.
+BATCH_ROWS = 4096
 #: Words whose ids a worker remembers, some 200 bytes each, in two halves: when the younger half is full the older one
 #: goes, and words that were met meanwhile have moved on into the younger.
 REMEMBERED = 600_000
@@ -144,7 +147,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, limit: int, end_id: int)
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and `end_id`, cut only beyond `limit`."""
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, tokenizer_path, limit, end_id), _PIECE)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: handing_back(_cut(it, tokenizer_path, limit, end_id)), _PIECE)
 
 
 def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +182,7 @@ def _packed(key: tuple, rows: pa.Table, limit: int) -> pa.Table:
     order = [("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "ids_crc32"))]
     rows = rows.drop_columns("pack").sort_by(order)
     where, offset = sum_of_squares(rows.column("length").to_numpy(), limit)
+    give_back()
     return rows.append_column("sequence_id", pa.array(where + (key[0].as_py() << 36))).append_column("offset", pa.array(offset))
 
 
@@ -191,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int =
     pieces lie without gaps from offset 0.
     """
     # Settled, so that a piece's place in the files is the same on every attempt, and the count reads no text.
-    pieces = settle(token_pieces(docs, tokenizer_path, limit, end_id), "pieces")
+    pieces = settle(token_pieces(docs, tokenizer_path, limit, end_id), "pieces", BATCH_ROWS)
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("pack", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack").applyInArrow(lambda key, rows: _packed(key, rows, limit), f"{_PIECE}, sequence_id long, offset long")
