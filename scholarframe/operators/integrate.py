@@ -198,7 +198,8 @@ def union_topics(works: DataFrame) -> DataFrame:
 def reconcile(works: DataFrame) -> DataFrame:
     """One row per cluster, every field by its own rule of survivorship; `works` has a cluster column.
 
-    Where works have a struct `biblio` or an array `topics` of (name, score), the result has them too."""
+    Where works have a struct `biblio` or an array `topics` of (name, score), the result has them too. Where they have `abstract_length`,
+    `abstract` is what is asked of an abstract of that length, and that of the longest survives."""
     rows = works.withColumn("prio", source_rank()).withColumn("n_doi", normalize_doi(F.col("doi")))
     said = lambda c: F.nullif(F.col(c), F.lit(""))
 
@@ -209,11 +210,12 @@ def reconcile(works: DataFrame) -> DataFrame:
         return F.max_by(said(value), F.when(said(value).isNotNull(), F.struct(F.length(value), -F.col("ord"))))
 
     titled = said("title").isNotNull() & (F.col("title") != "Untitled")
+    reduced = F.max_by("abstract", F.when(F.col("abstract_length") > 0, F.struct("abstract_length", -F.col("ord")))) if "abstract_length" in works.columns else longest("abstract")
     tier = F.when(F.col("source_id") == "unpaywall", 0).when(F.coalesce("is_oa", F.lit(False)), 1).otherwise(2)
     orcids = F.size(F.filter("authors", lambda a: a["orcid"].isNotNull()))
     merged = rows.groupBy("cluster").agg(
         F.coalesce(first(F.col("title"), titled, F.col("prio"), F.col("ord")), longest("title"), F.lit("Untitled")).alias("title"),
-        longest("abstract").alias("abstract"),
+        reduced.alias("abstract"),
         first(F.col("n_doi"), F.col("n_doi").isNotNull(), (F.col("source_id") != "crossref").alias("x"), F.col("ord")).alias("doi"),
         F.max_by("authors", F.struct(orcids, F.size("authors"), -F.col("ord"))).alias("authors"),
         first(F.col("venue"), said("venue").isNotNull(), F.col("prio"), F.col("ord")).alias("venue"),

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholarframe.functions.text import RANK_STOPWORDS, RETRIEVAL_STOPWORDS, _folding, cosine, let, page_label, rank_tokens, retrieval_tokens, trim
+from scholarframe.functions.text import RANK_STOPWORDS, RETRIEVAL_STOPWORDS, _folding, cosine, fold_accents, let, page_label, rank_tokens, retrieval_tokens, trim
 from scholarframe.plans.views import NOW_YEAR
 
 MIN_SIMILARITY = 0.2
@@ -33,6 +33,15 @@ def relevance(tokens: list[str], title: Column, abstract: Column, authors: Colum
     return (2 * F.size(in_title) + 2 * F.size(in_authors) + F.size(other)) / F.lit(float(len(tokens)))
 
 
+def asked_words(query: str):  # noqa: ANN201
+    """What `relevance` takes from a text: a function to the query's tokens in it, parted by blanks, whose relevance is the text's own.
+
+    A token of `rank_tokens` is a longest run of a-z and 0-9 in the folded text, so each asked one is looked for by itself."""
+    tokens = query_tokens(query)
+    held = lambda t: F.concat_ws(" ", *(F.when(t.rlike(rf"(?<![a-z0-9]){w}(?![a-z0-9])"), w) for w in tokens)) if tokens else F.lit("")
+    return lambda text: let(fold_accents(F.lower(F.coalesce(text, F.lit("")))), held)
+
+
 def base_score(citations: Column, sources: Column, year: Column, is_oa: Column, now_year: int = NOW_YEAR) -> Column:
     recency = F.coalesce(F.greatest(F.lit(0.0), 1 - (F.lit(now_year) - year) / 25.0), F.lit(0.0))
     return 2.0 * F.log10(F.coalesce(citations, F.lit(0)) + 1.0) + F.size(sources) + 0.8 * recency + F.when(is_oa, 0.3).otherwise(0.0)

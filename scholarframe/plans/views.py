@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarframe.plans.tables import table
@@ -12,24 +14,29 @@ SOURCES = ("crossref", "openalex", "europepmc", "pubmed", "doaj", "arxiv", "sema
 NOW_YEAR = 2026
 
 
-def raw_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One record per document: ord, source_id, doi, title, abstract, authors, year, venue, citation_count, is_oa, pdf_url, topics."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    first = F.get(F.split("text", "\n"), 0)
-    return docs.select(
+def raw_work(spark: SparkSession, sf_dir: str, abstract: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One record per document: ord, source_id, doi, title, abstract, authors, year, venue, citation_count, is_oa, pdf_url, topics.
+
+    With `abstract`, that of the text stands for the abstract, whose length is a column abstract_length. All comes from the text before labels are joined, so that no more of it is shuffled than is asked for."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"),
         F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("doc_id") % 9 + 1).cast("int")).alias("source_id"),
         F.col("doc_id").cast("string").alias("source_record_id"),
-        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("10.5555/"), F.substring(F.md5(F.col("text").cast("binary")), 1, 12))).alias("doi"),
-        first.alias("title"),
-        F.col("text").alias("abstract"),
-        F.array(F.struct(F.get(F.split("text", " "), 0).alias("name"), F.when(F.col("doc_id") % 5 == 0, F.lit("0000-0001")).alias("orcid"))).alias("authors"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("10.5555/"), F.substring(F.md5(text.cast("binary")), 1, 12))).alias("doi"),
+        F.substring_index(text, "\n", 1).alias("title"),
+        (abstract(text) if abstract else text).alias("abstract"),
+        F.array(F.struct(F.substring_index(text, " ", 1).alias("name"), F.when(F.col("doc_id") % 5 == 0, F.lit("0000-0001")).alias("orcid"))).alias("authors"),
         F.when(F.col("doc_id") % 13 != 0, (F.col("n_chars") % 36 + 1990).cast("int")).alias("year"),
         F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("Venue "), (F.col("n_chars") % 7).cast("string"))).alias("venue"),
         F.when(F.col("doc_id") % 11 != 0, F.col("n_chars") % 500).alias("citation_count"),
-        (F.col("quality") == 1).alias("is_oa"),
         F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("https://pdf.example/"), F.col("doc_id").cast("string"))).alias("pdf_url"),
+        *([F.length(text).alias("abstract_length")] if abstract else []),
     )
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), (F.col("quality") == 1).alias("is_oa"))
+    names = docs.columns
+    at = names.index("pdf_url")
+    return docs.join(labels, "ord", "left").select(*names[:at], "is_oa", *names[at:])
 
 
 #: The same records for the oracle.

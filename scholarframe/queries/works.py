@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholarframe.functions import text as T
 from scholarframe.operators import integrate, rank
-from scholarframe.plans.tables import table
+from scholarframe.plans.tables import settle, table
 from scholarframe.plans.views import RAW_WORK_SQL, raw_work
 
 QUERY = "It was not them"
@@ -18,8 +18,14 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrate.reconcile(integrate.cluster_by_doi(raw_work(spark, sf_dir)))
 
 
+def ranked_works(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """Works ranked for a query, as `rank_works` ranks canonical ones; `abstract` is only the query's words in it, so texts are read once and not shuffled."""
+    works = settle(raw_work(spark, sf_dir, rank.asked_words(query)), "works")
+    return rank.rank_works(integrate.reconcile(integrate.cluster_by_doi(works)), query)
+
+
 def search_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = rank.filter_works(rank.rank_works(canonical(spark, sf_dir), QUERY), year_from=1995, min_citations=5)
+    ranked = rank.filter_works(ranked_works(spark, sf_dir, QUERY), year_from=1995, min_citations=5)
     return rank.page(ranked, 1, 20).select("cluster", "score", F.round("relevance", 6).alias("relevance"), "year", "citation_count", F.size("sources").alias("n_sources"))
 
 
@@ -91,7 +97,7 @@ def retrieve_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def synthesis_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top eight works as numbered blocks of one text."""
-    top = rank.page(rank.rank_works(canonical(spark, sf_dir), QUERY), 1, 8).select("cluster", "score", "title", "year")
+    top = rank.page(ranked_works(spark, sf_dir, QUERY), 1, 8).select("cluster", "score", "title", "year")
     block = F.format_string("[%d] %s (%s)", F.col("n"), F.col("title"), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")))
     ordered = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "cluster", "title", "year"))).alias("w"))
     numbered = ordered.select(F.posexplode("w").alias("i", "w")).select((F.col("i") + 1).alias("n"), "w.title", "w.year")
