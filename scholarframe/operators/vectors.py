@@ -4,7 +4,7 @@ Vectors are scaled to length one, where the order by cosine is the order by dist
 row goes to the cell of its nearest centre and keeps its distance r to it.  For a seed at distance d from a centre, a row of the
 cell is at least |d - r| away.  The seed's own cell is searched first; the k-th similarity found there, a bound that the
 k best of all can only better, rules out whole cells by their smallest and largest r, and rows of the others by their own.
-What is left is compared, so the result is that of a full scan.
+What is left is compared by blocks of rows and seeds, as matrix products, so the result is that of a full scan.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from scholarframe.plans.tables import settle
@@ -23,6 +24,8 @@ from scholarframe.plans.tables import settle
 SAMPLE_ROWS, CELLS, ROUNDS = 8192, 32, 8
 #: Similarities are rounded to so many digits before rows are ranked; ties go by key.
 DIGITS = 6
+#: Rows of a cell, and seeds, that one group compares, more or less; products, and candidate pairs, held at once.
+BLOCK, PRODUCTS, PAIRS = 16_384, 1 << 21, 1 << 16
 
 
 @dataclass
@@ -102,34 +105,81 @@ def _asked(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[p
         yield pa.record_batch([batch.column("model").take(pa.array(at)), batch.column("key").take(pa.array(at)), batch.column("unit").take(pa.array(at)), batch.column("cell").take(pa.array(at)), pa.array(np.tile(np.arange(-1, len(centres), dtype=np.int32), len(units))), pa.array(far)], ["model", "seed", "asked", "home", "cell", "d"])
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return F.round(F.coalesce(dot, F.lit(0.0)), DIGITS)
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Rows of an array column; those that are null, vectors without a direction, are zeros."""
+    held = column.is_valid().to_numpy().astype(bool)
+    out = np.zeros((len(held), dims))
+    out[held] = pc.list_flatten(column).to_numpy().reshape(-1, dims) if held.any() else 0.0
+    return out
+
+
+def _block(asked: pa.Table, rows: pa.Table, k: int, dims: int) -> pa.Table:
+    """(model, seed, key, s): of a block of rows, each seed's k most similar and what may round to the same, by matrix products; s is summed in order."""
+    keys = rows.column("key").to_numpy()
+    rows = rows.take(np.argsort(keys, kind="stable"))
+    keys, units = np.sort(keys, kind="stable"), _matrix(rows.column("unit"), dims)
+    # Of equal vectors only those of the first keys can count; one of them may be the seed itself.
+    _, group = np.unique(np.ascontiguousarray(units).view(f"V{8 * dims}").ravel() if dims else np.zeros(len(keys)), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys)) - np.searchsorted(group[order], group[order])
+    keys, units = keys[place <= k], units[place <= k]
+    seeds, vectors, least = asked.column("seed").to_numpy(), _matrix(asked.column("asked"), dims), asked.column("least").to_numpy()
+    found: list[tuple[np.ndarray, ...]] = []
+    step = max(1, PRODUCTS // max(1, len(keys)))
+    for at in range(0, len(seeds), step):
+        own, names = vectors[at : at + step], seeds[at : at + step]
+        near = own @ units.T
+        near[~own.any(1), k + 1 :] = -np.inf  # a seed without a direction is 0 similar to all, so keys decide
+        near[names[:, None] == keys] = -np.inf
+        bound = least[at : at + step] - 1e-9
+        if len(keys) > k:
+            bound = np.maximum(bound, np.partition(near, len(keys) - k, axis=1)[:, -k] - 10.0**-DIGITS - 1e-9)
+        i, j = np.nonzero((near >= bound[:, None]) & (near > -np.inf))
+        for part in range(0, len(i), PAIRS):
+            x, y = i[part : part + PAIRS], j[part : part + PAIRS]
+            s = np.cumsum(own[x] * units[y], axis=1)[:, -1] + 0.0 if dims else np.zeros(len(x))
+            found.append((x + at, keys[y], s))
+    x, key, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), keys[:0], np.empty(0))
+    return pa.table({"model": asked.column("model").take(pa.array(x)), "seed": pa.array(seeds[x]), "key": pa.array(key), "s": pa.array(s)})
+
+
+def _met(asked: DataFrame, rows: DataFrame, cells: DataFrame, k: int, dims: int, slots: int) -> DataFrame:
+    """(model, seed, key, similarity): candidates among each seed's k best of the cells it asks, blocks of a cell's rows against slots of seeds."""
+    parts = cells.select("model", "cell", F.ceil(F.col("many") / BLOCK).alias("parts"))
+    dealt = rows.join(parts, ["model", "cell"]).withColumn("part", F.pmod(F.xxhash64("key"), "parts")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    asking = asked.join(parts, ["model", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("slot", F.pmod(F.xxhash64("seed"), F.lit(slots)).cast("int"))
+    by = ["model", "cell", "part", "slot"]
+    a, b = asking.select(*by, "seed", "asked", "least").groupBy(*by), dealt.select(*by, "key", "unit").groupBy(*by)
+    kind = dict(rows.dtypes)["model"]
+    out = a.cogroup(b).applyInArrow(lambda x, y: _block(x, y, k, dims), f"model {kind}, seed long, key long, s double")
+    return out.select("model", "seed", "key", F.round("s", DIGITS).alias("similarity"))
 
 
 def nearest(index: Index, seeds: DataFrame, k: int = 10, among: DataFrame | None = None, counted: Observation | None = None) -> DataFrame:
     """(model, seed, key, similarity, rank): each seed's k most similar rows of its model, without itself, by cosine rounded to DIGITS; ties by key.
 
     seeds has model and seed, keys of the index.  With `among` (key) only those rows are found, whether or not a seed is one of them: bounds of
-    whole cells hold for a part of their rows, too.  `counted` observes `compared`, the pairs of the second search."""
+    whole cells hold for a part of their rows, too.  `counted` observes `compared`, the pairs of the second search, in other cells."""
     own = index.rows.join(seeds.select("model", F.col("seed").alias("key")).distinct(), ["model", "key"], "left_semi")
     kind = dict(index.rows.dtypes)["model"]
     centres = index.rows.sparkSession.sparkContext.broadcast(index.centres)
     asked = settle(own.mapInArrow(lambda it: _asked(it, centres.value), f"model {kind}, seed long, asked array<double>, home int, cell int, d double"), "seeds")
     rows = index.rows if among is None else settle(index.rows.join(among.select("key").distinct(), "key", "left_semi").select(index.rows.columns), "among")
+    dims = index.centres.shape[1]
+    slots = max(1, -(-own.count() // BLOCK))
     # The seed's own cell gives a bound; a cell of k rows or fewer bounds nothing.
-    home = asked.where("cell = home").join(rows, ["model", "cell"]).where("key <> seed").select("model", "seed", _similarity(F.col("asked"), F.col("unit")).alias("s"))
-    best = Window.partitionBy("model", "seed").orderBy(F.col("s").desc())
-    bound = home.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("model", "seed", (F.col("s") - 2 * 10**-DIGITS).alias("least"))
-    ruled = asked.join(settle(bound, "bounds"), ["model", "seed"], "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
+    home = settle(_met(asked.where("cell = home").withColumn("least", F.lit(-2.0)), rows, index.cells, k, dims, slots), "home")
+    best = Window.partitionBy("model", "seed").orderBy(F.col("similarity").desc())
+    bound = home.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("model", "seed", (F.col("similarity") - 2 * 10**-DIGITS).alias("least"))
+    ruled = asked.where("cell <> home").join(settle(bound, "bounds"), ["model", "seed"], "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
     # Rows of similarity `least` or more are within `reach`; those without a direction are 0 similar to all.
     reach = F.sqrt(F.greatest(2 - 2 * F.col("least"), F.lit(0.0))) + 1e-9
     cells = ruled.withColumn("reach", reach).join(index.cells, ["model", "cell"])
     undirected = (F.col("cell") < 0) | (F.col("home") < 0)
     cells = cells.where(F.when(undirected, F.col("least") <= 0).otherwise((F.col("d") - F.col("hi") <= F.col("reach")) & (F.col("lo") - F.col("d") <= F.col("reach"))))
-    met = cells.drop("lo", "hi", "many").join(rows, ["model", "cell"]).where((F.col("key") != F.col("seed")) & (undirected | (F.abs(F.col("d") - F.col("r")) <= F.col("reach"))))
     if counted is not None:
-        met = met.observe(counted, F.count("*").alias("compared"))
-    scored = met.select("model", "seed", "key", _similarity(F.col("asked"), F.col("unit")).alias("similarity"))
+        cells = cells.observe(counted, F.coalesce(F.sum("many"), F.lit(0)).alias("compared"))
+    scored = home.union(_met(cells.drop("lo", "hi", "many"), rows, index.cells, k, dims, slots))
     ranked = Window.partitionBy("model", "seed").orderBy(F.col("similarity").desc(), "key")
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import Observation
 
@@ -58,3 +60,24 @@ def test_cells_are_skipped_and_works_chosen_first(spark, rows):
     assert sorted((r.model, r.seed, r.key, r.similarity + 0.0, r["rank"]) for r in got) == brute(rows, seeds, 5, among)
     none = vectors.build(spark.createDataFrame([], "model int, key long, vector array<double>"))
     assert vectors.nearest(none, asked, 5).count() == 0
+
+
+def test_equal_to_a_full_scan_in_many_small_blocks(spark, rows, monkeypatch):
+    for name, value in (("BLOCK", 40), ("PRODUCTS", 300), ("PAIRS", 7)):
+        monkeypatch.setattr(vectors, name, value)
+    seeds = [(i % 2, i) for i in range(0, 1500, 17)] + [(0, 2001), (0, 2002), (1, 2004)]
+    index = vectors.build(spark.createDataFrame(rows, "model int, key long, vector array<double>"), 8)
+    got = vectors.nearest(index, spark.createDataFrame(seeds, "model int, seed long"), 6).collect()
+    assert sorted((r.model, r.seed, r.key, r.similarity + 0.0, r["rank"]) for r in got) == brute(rows, seeds, 6)
+
+
+def test_a_block_gives_few_rows_a_seed():
+    """Each seed met every row as a row of its own before; copies of one vector count by their first keys."""
+    rng = np.random.default_rng(2)
+    units = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 3000, 0), rng.normal(size=(3000, 8))])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    rows = pa.table({"key": np.arange(6000)[::-1], "unit": list(units)})
+    asked = pa.table({"model": pa.array([1] * 200), "seed": np.arange(2900, 3100), "asked": list(units[::-1][2900:3100]), "least": [-2.0] * 200})
+    got = vectors._block(asked, rows, 5, 8)
+    assert 1000 <= len(got) <= 1300
+    assert got.filter(pc.equal(got["seed"], 3050))["key"].to_pylist()[:5] == [3000, 3001, 3002, 3003, 3004]
