@@ -60,7 +60,11 @@ def _any_of(chars) -> str:
 def fold_accents(text: Column, ligatures: bool = True) -> Column:
     """Compatibility decomposition without combining marks, for characters that hold an ASCII letter or digit.
 
-    Characters that become several are looked up one by one, only in texts that have any."""
+    Characters that become several are looked up one by one, only in texts that have any; ASCII texts are left as they are."""
+    return let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), _folded(t, ligatures)).otherwise(t))
+
+
+def _folded(text: Column, ligatures: bool) -> Column:
     one, to, several = _folding()
     text = F.translate(text, one, to)
     if ligatures:
