@@ -16,6 +16,8 @@ from scholarframe.plans.tables import settle
 
 #: Ranks that one round decides, calls that make a step of a pool's queue, and calls of a pool that one task goes through.
 RANKS, STEP, CHUNK = 512, 4096, 32768
+#: Calls of a pool that one task goes through where statuses follow from kinds.
+LONG_CHUNK = 1 << 18
 CALL = ("call_id", "pool", "tokens", "at", "step", "attempts", "last_status")
 _WENT = "call_id {call}, pool {pool}, tokens long, at long, step long, attempts int, last_status int, outcome string, place int, left long"
 
@@ -57,9 +59,7 @@ def dispatch(calls: DataFrame, sources: DataFrame, status: Callable[[Column, Col
     they are.  Rounds end with the last call.  A null pool has no sources, null or negative tokens are 0, repeated rows are calls of their
     own, empty tables give no rows or fallbacks only; other columns are ignored.
     """
-    spent = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long").alias("tokens")
-    placed = running(dealt(calls.select("call_id", "pool", "ord", spent), "pool", "ord", "call_id"), "pool", ("ord", "call_id"), F.lit(1))
-    queue = settle(placed.select("call_id", "pool", "tokens", F.col("before").cast("long").alias("at"), F.floor(F.col("before") / STEP).cast("long").alias("step")), "queue")
+    queue = _queued(calls)
     queue = queue.select("*", F.lit(0).alias("attempts"), F.lit(None).cast("int").alias("last_status"))
     places = settle(sources.select("pool", "source_id", "rank", F.col("remaining").cast("long").alias("left")), "sources")
     kind = places.schema["source_id"].dataType
@@ -83,6 +83,65 @@ def dispatch(calls: DataFrame, sources: DataFrame, status: Callable[[Column, Col
     return reduce(DataFrame.unionByName, decided).select("call_id", "pool", "source_id", "outcome", "attempts", F.col("last_status").alias("status"))
 
 
+def _queued(calls: DataFrame, *more: str) -> DataFrame:
+    """calls in the order of their pools' queues: `at` is the place in the queue, `step` the step that it lies in."""
+    spent = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("long").alias("tokens")
+    placed = running(dealt(calls.select("call_id", "pool", "ord", spent, *more), "pool", "ord", "call_id"), "pool", ("ord", "call_id"), F.lit(1))
+    return settle(placed.select("call_id", "pool", "tokens", F.col("before").cast("long").alias("at"), F.floor(F.col("before") / STEP).cast("long").alias("step"), *more), "queue")
+
+
+def dispatch_kinds(calls: DataFrame, sources: DataFrame, status: Callable[[Column, Column], Column]) -> DataFrame:
+    """What `dispatch` gives where statuses follow from a kind of the call and one of the source, few of each: status(call's kind, source's kind).
+
+    calls and sources have a column `kind` besides.  Calls of a kind end alike as long as the same sources are open, at the first of them that
+    doesn't send them on, so nothing is asked call by call.  The sources with a cap are used up by a stretch of the pool's queue, which is gone
+    through in one task, LONG_CHUNK calls at most.  The calls behind it end by kind, whole steps at a time, up to the first step in which another
+    source is used up; there the next stretch begins.  A task holds a pool's open sources and one stretch of its queue."""
+    numbers = lambda rows, name: settle(rows.select("kind").distinct().select("kind", (F.row_number().over(Window.orderBy("kind")) - 1).alias(name)), "kinds")
+    asked, offered = numbers(calls, "call_kind"), numbers(sources, "source_kind")
+    number = lambda rows, kinds: rows.join(kinds.withColumnRenamed("kind", "_kind"), F.col("kind").eqNullSafe(F.col("_kind"))).drop("kind", "_kind")
+    queue = _queued(number(calls.select("call_id", "pool", "ord", "tokens", "kind"), asked), "call_kind")
+    codes = asked.crossJoin(offered.withColumnRenamed("kind", "_kind")).select("source_kind", F.struct("call_kind", _code(status(F.col("kind"), F.col("_kind")).cast("int")).alias("code")).alias("c"))
+    answers = settle(codes.groupBy("source_kind").agg(F.sort_array(F.collect_list("c"))["code"].alias("answers")), "answers")
+    usable = F.col("left").isNull() | (F.col("left") > 0)
+    places = number(sources.select("pool", "source_id", "rank", F.col("remaining").cast("long").alias("left"), "kind"), offered)
+    still = first = settle(places.where(usable & F.col("pool").isNotNull()), "sources")
+    steps = settle(queue.join(first.select("pool").distinct(), "pool", "left_semi").groupBy("pool", "step", "call_kind").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")), "steps")
+    types = dict(queue.dtypes) | dict(places.dtypes)
+    schema = f"pool {types['pool']}, call_id {types['call_id']}, source_id {types['source_id']}, rank int, call_kind int, left long, outcome string, attempts int, status int"
+    decided, spans = [], []
+    after = steps.select("pool").distinct().withColumn("after", F.lit(0).cast("long"))
+    while not after.isEmpty():
+        many = steps.join(after, "pool").where(F.col("step") >= F.col("after")).groupBy("pool", "step").agg(F.sum("n").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("pool").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # Whole steps, up to the first that fills the stretch.
+        until = settle(many.withColumn("before", before).where(F.col("before") < LONG_CHUNK).groupBy("pool").agg(F.min("step").alias("start"), (F.max("step") + 1).alias("until")), "until")
+        head = queue.join(until, "pool").where((F.col("step") >= F.col("start")) & (F.col("step") < F.col("until"))).select("pool", "call_id", "tokens", "at", "call_kind")
+        held = still.join(until.select("pool"), "pool", "left_semi").join(answers, "source_kind").select("pool", "source_id", "rank", "left", "source_kind", "answers")
+        gone = settle(head.groupBy("pool").cogroup(held.groupBy("pool")).applyInArrow(_go_through_kinds, schema), "gone")
+        decided.append(gone.where("call_kind is null and outcome is not null").select("pool", "call_id", "source_id", "outcome", "attempts", "status"))
+        now = gone.where("outcome is null").select("pool", "rank", F.col("left").alias("now"))
+        still = settle(still.join(now, ["pool", "rank"], "left").withColumn("left", F.coalesce("now", "left")).drop("now").where(usable), "sources")
+        ends = gone.where("call_kind is not null").select("pool", "call_kind", "source_id", "rank", "outcome", "attempts", "status").join(until.select("pool", "until"), "pool")
+        # The first step of the rest in which a source is used up, if all of it ended so.
+        rest = steps.join(ends.where("outcome = 'served'"), ["pool", "call_kind"]).where(F.col("step") >= F.col("until"))
+        spent = rest.groupBy("pool", "rank", "step").agg(F.sum("tokens").alias("tokens"))
+        so_far = F.sum("tokens").over(Window.partitionBy("pool", "rank").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+        full = spent.withColumn("so_far", so_far).join(still.select("pool", "rank", "left"), ["pool", "rank"]).where("so_far >= left")
+        after = settle(full.groupBy("pool").agg(F.min("step").alias("after")), "after")
+        sent = spent.join(after, "pool").where(F.col("step") < F.col("after")).groupBy("pool", "rank").agg(F.sum("tokens").alias("sent"))
+        still = settle(still.join(sent, ["pool", "rank"], "left").withColumn("left", F.col("left") - F.coalesce("sent", F.lit(0))).drop("sent"), "sources")
+        spans.append(ends.join(after, "pool", "left").select("pool", "call_kind", "source_id", "outcome", "attempts", "status", F.col("until").alias("start"), F.coalesce("after", F.lit(1 << 62)).alias("after")))
+    out = ("call_id", "pool", "source_id", "outcome", "attempts", "status")
+    none = queue.join(first.select("pool").distinct(), "pool", "left_anti")
+    decided = [d.select(*out) for d in decided]
+    decided.append(none.select("call_id", "pool", F.lit(None).cast(types["source_id"]).alias("source_id"), F.lit("fallback").alias("outcome"), F.lit(0).alias("attempts"), F.lit(None).cast("int").alias("status")))
+    if spans:
+        ended = settle(reduce(DataFrame.unionByName, spans), "spans")
+        decided.append(queue.join(ended, ["pool", "call_kind"]).where((F.col("step") >= F.col("start")) & (F.col("step") < F.col("after"))).select(*out))
+    return reduce(DataFrame.unionByName, decided)
+
+
 def _listed(open_sources: DataFrame, order: str) -> DataFrame:
     """(pool, here): each pool's sources that have something left, in order, as structs (order, source_id, left); at most RANKS of them."""
     usable = open_sources.where("left is null or left > 0")
@@ -171,3 +230,50 @@ def _go_through(calls: pa.Table) -> pa.Table:
     cols += [pa.array([*x, *[None] * len(capped)], kind) for x, kind in ((tries, pa.int32()), (last, pa.int32()), (outcomes, pa.string()))]
     cols += [pa.array([*places, *[k for k, _ in capped]], pa.int32()), pa.array([*[None] * many, *[v for _, v in capped]], pa.int64())]
     return pa.table(cols, [*names, "attempts", "last_status", "outcome", "place", "left"])
+
+
+def _go_through_kinds(calls: pa.Table, sources: pa.Table) -> pa.Table:
+    """A stretch of one pool's calls, one after the other: a row a call, one with `left` for each source that has a cap, and one with `call_kind` for how each kind of call ends then.
+
+    Only the first open source of a kind ever serves, so a kind's open sources are those from one place on."""
+    calls, sources = calls.sort_by("at"), sources.sort_by("rank")
+    left, kinds, tokens = sources.column("left").to_pylist(), sources.column("source_kind").to_numpy(), calls.column("tokens").to_pylist()
+    offered, where = np.unique(kinds, return_index=True)
+    codes = np.array(sources.column("answers").take(pa.array(where)).to_pylist(), int).reshape(len(offered), -1).T  # calls' kinds x sources' kinds
+    places = [np.flatnonzero(kinds == k) for k in offered]
+    which = dict(zip(offered.tolist(), range(len(offered)), strict=True))
+    gone = [0] * len(offered)
+
+    def end(kind: int) -> tuple[int, int, int, str]:
+        """(place, attempts, status, outcome) of a call of the kind now; no place is -1, no answer is None."""
+        stops = [(int(p[g]), k) for k, (p, g) in enumerate(zip(places, gone, strict=True)) if g < len(p) and codes[kind, k] & 3 != 1]
+        if not stops:
+            last = max(((int(p[-1]), k) for k, (p, g) in enumerate(zip(places, gone, strict=True)) if g < len(p)), default=None)
+            code = -4 if last is None else int(codes[kind, last[1]])
+            return -1, sum(len(p) - g for p, g in zip(places, gone, strict=True)), code >> 2, "fallback"
+        place, k = min(stops)
+        tries = sum(max(0, int(np.searchsorted(p, place, "right")) - g) for p, g in zip(places, gone, strict=True))
+        return place, tries, int(codes[kind, k]) >> 2, ("served", "", "error")[codes[kind, k] & 3]
+
+    ends, known, found = [], {}, []
+    for kind, own in zip(calls.column("call_kind").to_pylist(), tokens, strict=True):
+        if kind not in known:
+            known[kind] = len(ends)
+            ends.append(end(kind))
+        found.append(known[kind])
+        place, _, _, outcome = ends[known[kind]]
+        if outcome == "served" and left[place] is not None:
+            left[place] -= own
+            if left[place] <= 0:
+                gone[which[int(kinds[place])]] += 1
+                known = {}
+    later = [(kind, *end(kind)) for kind in range(len(codes))]
+    capped = [k for k, v in enumerate(left) if v is not None]
+    told = [ends[k] for k in found] + [e[1:] for e in later]
+    place = pa.array([None if e[0] < 0 else e[0] for e in told] + capped, pa.int64())
+    ids, none, many = sources.column("source_id").take(place), [None] * len(capped), len(calls)
+    calls_id = pa.chunked_array([*calls.column("call_id").chunks, pa.nulls(len(later) + len(capped), calls.schema.field("call_id").type)])
+    pool = pa.array([calls.column("pool")[0].as_py()] * len(place), calls.schema.field("pool").type)
+    kind = pa.array([None] * many + [e[0] for e in later] + none, pa.int32())
+    status = pa.array([None if e[2] == -1 else e[2] for e in told] + none, pa.int32())
+    return pa.table([pool, calls_id, ids, sources.column("rank").take(place).cast(pa.int32()), kind, pa.array([None] * len(told) + [left[k] for k in capped], pa.int64()), pa.array([e[3] for e in told] + none, pa.string()), pa.array([e[1] for e in told] + none, pa.int32()), status], ["pool", "call_id", "source_id", "rank", "call_kind", "left", "outcome", "attempts", "status"])
