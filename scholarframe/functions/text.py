@@ -75,9 +75,8 @@ def _folded(text: Column, ligatures: bool) -> Column:
 
 
 def normalize_title(title: Column) -> Column:
-    """Lower case, accents folded, runs of anything but a-z, 0-9 and white space to a space, trimmed."""
-    plain = F.regexp_replace(fold_accents(F.lower(title)), r"[^a-z0-9\s]", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    """Lower case, accents folded, runs of anything but a-z and 0-9 to a space, trimmed."""
+    return F.trim(F.regexp_replace(fold_accents(F.lower(title)), "[^a-z0-9]+", " "))
 
 
 def surname(authors: Column) -> Column:

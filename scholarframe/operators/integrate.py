@@ -297,7 +297,9 @@ def fuzzy_edges(works: DataFrame, threshold: float = 0.92) -> DataFrame:
     own = members.where("bare and ord <> rep").select(F.col("rep").alias("first"), "ord")
     bare = alike.where("a_bare and b_bare").select(F.col("a_rep").alias("first"), F.col("b_rep").alias("ord"))
     mixed = alike.where("a_bare <> b_bare").select(F.when(F.col("a_bare"), F.col("a_rep")).otherwise(F.col("b_rep")).alias("first"), F.when(F.col("a_bare"), F.col("b_rep")).otherwise(F.col("a_rep")).alias("rep"))
-    return own.union(bare).union(mixed.join(members.select("rep", "ord"), "rep").select("first", "ord"))
+    # All of these are linked by one of the keys without, so the others need only the first of them.
+    lead = mixed.groupBy("rep").agg(F.min("first").alias("first")).join(members.select("rep", "ord"), "rep").select("first", "ord")
+    return own.union(bare).union(mixed.select("first", "rep")).union(lead)
 
 
 def cluster(works: DataFrame, edges: DataFrame) -> DataFrame:

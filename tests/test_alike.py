@@ -51,3 +51,13 @@ def test_a_large_surname_is_many_groups(spark, monkeypatch):
 def test_ascii_texts_are_not_folded(spark):
     texts = spark.createDataFrame([("plain text",), ("café ﬁne ½",), (None,), ("",)], "t string")
     assert [r[0] for r in texts.select(fold_accents(F.col("t"))).collect()] == ["plain text", "cafe fine 1 2", None, ""]
+
+
+def test_copies_with_a_doi_are_linked_once(spark):
+    """30 records without a DOI, no two titles the same, and 40 copies with one: links add up, and don't multiply."""
+    title = "graph learning for proteins and other large molecules"
+    rows = [(i, "arxiv", str(i), None if i < 30 else f"10.1/{i}", title + (f" {i}" if i < 30 else ""), None, [("Lee", None)], 2000, None, None, None, None) for i in range(70)]
+    works = spark.createDataFrame(rows, WORKS)
+    edges = integrate.fuzzy_edges(works)
+    assert edges.count() <= 30 * 29 / 2 + 30 + 40
+    assert {r.cluster for r in integrate.cluster(works, edges).collect()} == {0}
